@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The forecasting pipeline this library re-expresses has no streams, watermarks or
+stateful operators; its "rolling" forecast is a batch over prediction dates, which
+``tidecast.operators.models.rolling_forecast`` runs as one grouped batch job.
+Nothing here is registered as a query.
+"""
