@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import rows_per_bucket, sized_broadcast
@@ -96,8 +96,13 @@ def spread_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int
 
     ``gini_sum / n^2`` is half the mean absolute difference ``E|X - X'|``.
     """
+    return spread_from_ranked(bucketed(df, keys, value, per_bucket), keys, value)
+
+
+def spread_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """:func:`spread_stats` on the output of :func:`bucketed`."""
     keys = list(keys)
-    summ = bucket_summary(bucketed(df, keys, value, per_bucket), keys, value)
+    summ = bucket_summary(ranked, keys, value)
     contrib = F.col("_tb") + F.col("_sb") * F.col("_off") - F.col(NB) * F.col("_sbefore")
     return summ.groupBy(*keys).agg(
         F.first(N).alias("n"),
@@ -116,8 +121,12 @@ def quantiles_long(
     """Exact percentiles with linear interpolation between order statistics
     (NumPy ``percentile`` default / SQL ``quantile_cont``), long form:
     ``keys..., level_idx INT, q DOUBLE, value DOUBLE``."""
+    return quantiles_from_ranked(bucketed(df, keys, value, per_bucket), keys, value, levels)
+
+
+def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """:func:`quantiles_long` on the output of :func:`bucketed`."""
     keys = list(keys)
-    ranked = bucketed(df, keys, value, per_bucket)
     summ = bucket_summary(ranked, keys, value).select(*keys, B, N, NB, "_off")
     lv = F.array(*[F.lit(float(p)) for p in levels])
     # For every key and level, the (1-based) global ranks to read: floor/ceil of
@@ -160,13 +169,12 @@ def quantiles_wide(
     per_bucket: int | None = None,
 ) -> DataFrame:
     """Same as :func:`quantiles_long`, one column per level (``names``)."""
-    keys = list(keys)
-    lng = quantiles_long(df, keys, value, levels, per_bucket)
+    return widen(quantiles_long(df, keys, value, levels, per_bucket), keys, names)
+
+
+def widen(lng: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long percentiles (``level_idx``, ``value``) to one column per level."""
     return lng.groupBy(*keys).agg(
         *[F.max(F.when(F.col("level_idx") == i, F.col("value"))).alias(nm) for i, nm in enumerate(names)]
     )
 
-
-def interpolate_percentile(col_lo: Column, col_hi: Column, h: Column) -> Column:
-    """Linear interpolation helper used by callers with their own rank columns."""
-    return col_lo + (h - F.floor(h)) * (col_hi - col_lo)

@@ -72,13 +72,14 @@ def sample_summary(
 ) -> DataFrame:
     """Per sample key: ``n``, ``mean_x``, ``gini_sum`` and the requested percentiles."""
     keys = list(keys)
-    spread = orderstats.spread_stats(samples, keys, value).select(
+    ranked = orderstats.bucketed(samples, keys, value)
+    spread = orderstats.spread_from_ranked(ranked, keys, value).select(
         *keys, "n", (F.col("sum_x") / F.col("n")).alias("mean_x"), "gini_sum"
     )
     if not levels:
         return spread
     names = list(names or [level_name(q) for q in levels])
-    qs = orderstats.quantiles_wide(samples, keys, value, levels, names)
+    qs = orderstats.widen(orderstats.quantiles_from_ranked(ranked, keys, value, levels), keys, names)
     return spread.join(qs, on=keys, how="inner")
 
 
@@ -228,6 +229,28 @@ def forecast_stats(
     )
 
 
+def exceedance(samples: DataFrame, keys: Sequence[str], value: str = "x", threshold: float = STATE_THRESHOLD) -> DataFrame:
+    """E7/E8 only: exceedance probabilities and the state (no percentiles needed)."""
+    x = F.col(value)
+    p = samples.where(x.isNotNull()).groupBy(*keys).agg(
+        F.avg((x > threshold).cast("double")).alias("up_prob"),
+        F.avg((x < -threshold).cast("double")).alias("down_prob"),
+    )
+    return p.withColumns(
+        {
+            "normal_prob": 1.0 - F.col("up_prob") - F.col("down_prob"),
+            "state": market_state(F.col("up_prob"), F.col("down_prob")),
+        }
+    )
+
+
+def unpivot_quantiles(df: DataFrame, ids: Sequence[str], value: str = "x") -> DataFrame:
+    """``qNN`` columns to long ``(q, value)`` rows with ``q = NN / 100``."""
+    qcols = [c for c in df.columns if len(c) == 3 and c[0] == "q" and c[1:].isdigit()]
+    long = df.unpivot(list(ids), qcols, "qname", value)
+    return long.withColumn("q", F.substring("qname", 2, 2).cast("double") / 100).drop("qname")
+
+
 def market_state(up: Column, down: Column) -> Column:
     """Up if P(up) > P(down), down if the reverse, else normal."""
     return (

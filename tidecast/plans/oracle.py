@@ -70,6 +70,42 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+CTES["forecast_wide"] = (
+    ("samples", "actuals"),
+    """SELECT f.model, a.zone, a.date, a.hour, f.mean, f.median, f.std, f.q05, f.q25, f.q75, f.q95,
+           a.y AS realized
+    FROM (SELECT model, zone, hour, avg(x) AS mean, quantile_cont(x, 0.5) AS median,
+                 stddev_pop(x) AS std, quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.25) AS q25,
+                 quantile_cont(x, 0.75) AS q75, quantile_cont(x, 0.95) AS q95
+          FROM samples GROUP BY model, zone, hour) f
+    JOIN actuals a ON a.zone = f.zone AND a.hour = f.hour""",
+)
+
+CTES["quantile_fc"] = (
+    ("samples",),
+    """SELECT model, zone, hour, unnest(qs) AS q, unnest(vs) AS value
+    FROM (SELECT model, zone, hour, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]::DOUBLE[] AS qs,
+                 quantile_cont(x, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]::DOUBLE[]) AS vs
+          FROM samples GROUP BY model, zone, hour)""",
+)
+
+CTES["param_fc"] = (
+    ("samples",),
+    """SELECT model, zone, hour, loc, scale,
+           1 + least(greatest(coalesce(ku, 0.0) / 2, 0.0), 10.0) AS tailweight,
+           least(greatest(coalesce(sk, 0.0), -10.0), 10.0) AS skewness,
+           3 + CASE WHEN sk > 0 THEN least(sk, 5.0) ELSE 0.0 END AS a,
+           3 + CASE WHEN sk < 0 THEN least(-sk, 5.0) ELSE 0.0 END AS b
+    FROM (SELECT model, zone, hour, loc, scale,
+                 CASE WHEN scale > 1e-9 * (1 + abs(loc)) THEN m3 / pow(m2, 1.5) END AS sk,
+                 CASE WHEN scale > 1e-9 * (1 + abs(loc)) THEN m4 / (m2 * m2) - 3 END AS ku
+          FROM (SELECT model, zone, hour, avg(x) AS loc, stddev_pop(x) AS scale,
+                       avg(pow(x - mx, 2)) AS m2, avg(pow(x - mx, 3)) AS m3, avg(pow(x - mx, 4)) AS m4
+                FROM (SELECT *, avg(x) OVER (PARTITION BY model, zone, hour) AS mx FROM samples)
+                GROUP BY model, zone, hour))""",
+)
+
+
 def register_cte(name: str, deps: tuple[str, ...], sql: str) -> None:
     CTES[name] = (deps, sql)
 

@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import q_scores  # noqa: F401
+    from . import q_forecasts, q_scores  # noqa: F401

@@ -115,3 +115,38 @@ def strategies(spark: SparkSession) -> DataFrame:
         "da_price double, alpha double, risk double"
     )
     return spark.createDataFrame(rows, schema)
+
+
+def forecast_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report-style forecast per (model, zone, date, hour): mean, median, std,
+    q05/q25/q75/q95 of the samples and the realised value."""
+    from ..operators import orderstats
+
+    s = samples(spark, sf_dir)
+    keys = ["model", "zone", "hour"]
+    mom = s.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    qs = orderstats.quantiles_wide(s, keys, "x", (0.5, *FORECAST_LEVELS[:2], *FORECAST_LEVELS[3:]),
+                                   ("median", "q05", "q25", "q75", "q95"))
+    a = actuals(spark, sf_dir)
+    return (
+        mom.join(qs, on=keys)
+        .join(a, on=["zone", "hour"])
+        .select("model", "zone", "date", "hour", "mean", "median", "std", "q05", "q25", "q75", "q95",
+                F.col("y").alias("realized"))
+    )
+
+
+def quantile_fc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile-model style forecast: (model, zone, hour, q, value) at seven levels."""
+    from ..operators import orderstats
+
+    lng = orderstats.quantiles_long(samples(spark, sf_dir), ["model", "zone", "hour"], "x", QUANTILE_MODEL_LEVELS)
+    return lng.select("model", "zone", "hour", "q", "value")
+
+
+def param_fc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parametric forecast (loc, scale, tailweight, skewness, a, b) per
+    (model, zone, hour), moment-fitted to the samples."""
+    from ..operators import ensemble
+
+    return ensemble.fit_parameters(samples(spark, sf_dir), ["model", "zone", "hour"])
