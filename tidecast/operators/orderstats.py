@@ -21,6 +21,12 @@ Plan used here instead:
 The gini-type sum is then ``sum_b [T_b + S_b * off_b - n_b * S_before_b]`` with no
 join back to the rows; exact percentiles join the few requested ranks back onto the
 bucketed rows, which are already hash-partitioned by ``(key, b)``.
+
+Plan choice: a one-row pre-aggregate gives the largest group size.  When it is within
+``rows_per_bucket`` (the common case) the bound is proven and the plan is a single
+shuffle — ``row_number`` over the key followed by one aggregate on the same
+partitioning, with percentiles read by conditional aggregates.  Only when some group
+exceeds the bound is the bucketed plan above used.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import rows_per_bucket, sized_broadcast
+from ..session import materialize, rows_per_bucket, sized_broadcast
 
 N, LO, HI, NB, B, R = "_n", "_lo", "_hi", "_nb", "_b", "_r"
 
@@ -47,6 +53,100 @@ def _key_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int)
     )
 
 
+def max_group_size(df: DataFrame, keys: Sequence[str], value: str) -> int:
+    """Largest group (non-null values); one small job returning one row."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    top = sizes.agg(F.max("_c")).first()[0]
+    return int(top or 0)
+
+
+def small_groups(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> bool:
+    """True when every group is proven to fit one window partition."""
+    per_bucket = per_bucket or rows_per_bucket(df.sparkSession)
+    return max_group_size(df, keys, value) <= per_bucket
+
+
+def ranked_by_key(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Global rank ``_r`` and group size ``_n`` per key (only for proven-small groups)."""
+    rows = df.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(F.col(value))
+    return rows.withColumn(R, F.row_number().over(w)).withColumn(N, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def _rank_h(q: float):
+    return (F.col(N) - 1) * F.lit(float(q))
+
+
+def _direct_summary(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Small-group plan: one window and one aggregate on the same partitioning."""
+    ranked = ranked_by_key(df, keys, value)
+    x = F.col(value)
+    aggs = [
+        F.first(N).alias("n"),
+        F.sum(x).alias("sum_x"),
+        F.sum((2 * F.col(R) - F.col(N) - 1) * x).alias("gini_sum"),
+    ]
+    for i, q in enumerate(levels):
+        h = _rank_h(q)
+        aggs.append(F.max(F.when(F.col(R) == F.floor(h) + 1, x)).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(F.col(R) == F.ceil(h) + 1, x)).alias(f"_hi{i}"))
+    g = ranked.groupBy(*keys).agg(*aggs)
+    out = [*keys, "n", "sum_x", "gini_sum"]
+    for i, (q, nm) in enumerate(zip(levels, names)):
+        h = (F.col("n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm))
+    return g.select(*out)
+
+
+def _direct_quantiles_long(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """Small-group plan for many levels: rows whose rank some level reads are
+    exploded to (level, row) hits and aggregated on the window's partitioning."""
+    ranked = ranked_by_key(df, keys, value)
+    lv = F.array(*[F.lit(float(p)) for p in levels])
+    hits = F.filter(
+        F.transform(
+            lv,
+            lambda q, k: F.struct(
+                k.alias("k"), q.alias("q"), ((F.col(N) - 1) * q).alias("h")
+            ),
+        ),
+        lambda s: (F.floor(s["h"]) + 1 == F.col(R)) | (F.ceil(s["h"]) + 1 == F.col(R)),
+    )
+    ex = ranked.select(*keys, R, F.col(value).alias("_x"), F.explode(hits).alias("_s"))
+    g = ex.groupBy(*keys, F.col("_s.k").alias("level_idx")).agg(
+        F.first("_s.q").alias("q"),
+        F.first("_s.h").alias("_h"),
+        F.max(F.when(F.floor(F.col("_s.h")) + 1 == F.col(R), F.col("_x"))).alias("_xlo"),
+        F.max(F.when(F.ceil(F.col("_s.h")) + 1 == F.col(R), F.col("_x"))).alias("_xhi"),
+    )
+    frac = F.col("_h") - F.floor("_h")
+    return g.select(
+        *keys,
+        F.col("level_idx").cast("int").alias("level_idx"),
+        "q",
+        (F.col("_xlo") + frac * (F.col("_xhi") - F.col("_xlo"))).alias("value"),
+    )
+
+
+def summary(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    levels: Sequence[float] = (),
+    names: Sequence[str] = (),
+    per_bucket: int | None = None,
+) -> DataFrame:
+    """Per key: ``n``, ``sum_x``, ``gini_sum`` and one column per requested level."""
+    keys = list(keys)
+    if small_groups(df, keys, value, per_bucket):
+        return _direct_summary(df, keys, value, levels, names)
+    ranked = bucketed(df, keys, value, per_bucket)
+    out = spread_from_ranked(ranked, keys, value)
+    if levels:
+        out = out.join(widen(quantiles_from_ranked(ranked, keys, value, levels), keys, names), on=keys, how="inner")
+    return out
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> DataFrame:
     """Rows of ``df`` (non-null ``value`` only) with ``_n`` (group size), ``_b`` (value
     bucket), ``_r`` (rank inside the bucket, 1-based) and ``_nb`` (bucket size)."""
@@ -71,7 +171,9 @@ def bucketed(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | N
     joined = joined.withColumn(B, bucket).drop(LO, HI, "_nbuckets")
     w = Window.partitionBy(*keys, B).orderBy(F.col(value))
     wall = Window.partitionBy(*keys, B)
-    return joined.withColumn(R, F.row_number().over(w)).withColumn(NB, F.count(F.lit(1)).over(wall))
+    ranked = joined.withColumn(R, F.row_number().over(w)).withColumn(NB, F.count(F.lit(1)).over(wall))
+    # Read by the bucket summary and by the percentile lookup: materialize once.
+    return materialize(ranked)
 
 
 def bucket_summary(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -96,7 +198,7 @@ def spread_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int
 
     ``gini_sum / n^2`` is half the mean absolute difference ``E|X - X'|``.
     """
-    return spread_from_ranked(bucketed(df, keys, value, per_bucket), keys, value)
+    return summary(df, keys, value, per_bucket=per_bucket)
 
 
 def spread_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -121,6 +223,9 @@ def quantiles_long(
     """Exact percentiles with linear interpolation between order statistics
     (NumPy ``percentile`` default / SQL ``quantile_cont``), long form:
     ``keys..., level_idx INT, q DOUBLE, value DOUBLE``."""
+    keys = list(keys)
+    if small_groups(df, keys, value, per_bucket):
+        return _direct_quantiles_long(df, keys, value, levels)
     return quantiles_from_ranked(bucketed(df, keys, value, per_bucket), keys, value, levels)
 
 
@@ -169,6 +274,9 @@ def quantiles_wide(
     per_bucket: int | None = None,
 ) -> DataFrame:
     """Same as :func:`quantiles_long`, one column per level (``names``)."""
+    keys = list(keys)
+    if small_groups(df, keys, value, per_bucket):
+        return _direct_summary(df, keys, value, levels, names).select(*keys, *names)
     return widen(quantiles_long(df, keys, value, levels, per_bucket), keys, names)
 
 

@@ -72,15 +72,9 @@ def sample_summary(
 ) -> DataFrame:
     """Per sample key: ``n``, ``mean_x``, ``gini_sum`` and the requested percentiles."""
     keys = list(keys)
-    ranked = orderstats.bucketed(samples, keys, value)
-    spread = orderstats.spread_from_ranked(ranked, keys, value).select(
-        *keys, "n", (F.col("sum_x") / F.col("n")).alias("mean_x"), "gini_sum"
-    )
-    if not levels:
-        return spread
     names = list(names or [level_name(q) for q in levels])
-    qs = orderstats.widen(orderstats.quantiles_from_ranked(ranked, keys, value, levels), keys, names)
-    return spread.join(qs, on=keys, how="inner")
+    summ = orderstats.summary(samples, keys, value, levels, names)
+    return summ.select(*keys, "n", (F.col("sum_x") / F.col("n")).alias("mean_x"), "gini_sum", *names)
 
 
 def hourly_scores(

@@ -33,24 +33,43 @@ def broadcast_max_rows(spark: SparkSession) -> int:
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The check is ``limit(max_rows + 1).count()``: it stops reading once the bound is
-    exceeded.  Above the bound the frame is returned unchanged, so the join falls back
-    to a shuffle join (with AQE skew splitting) instead of shipping an unbounded table
-    to every executor.
+    The frame is first materialized (see :func:`materialize`) so that the check and
+    the later join read the same rows instead of computing them twice.  The check is
+    ``limit(max_rows + 1).count()``.  Above the bound the frame is returned
+    unbroadcast, so the join falls back to a shuffle join (with AQE skew splitting)
+    instead of shipping an unbounded table to every executor.
     """
     bound = max_rows if max_rows is not None else broadcast_max_rows(df.sparkSession)
+    df = materialize(df)
     if df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a frame that several branches of a plan read.
+
+    Uses a reliable ``checkpoint()`` into the shared folder configured for the
+    cluster (``spark.checkpoint.dir``), so lost executors do not force recomputation
+    of the whole lineage.  Without a configured folder the frame is returned as is
+    (Spark then recomputes it per branch, which is correct, only slower).
+    """
+    if checkpoint_dir(df.sparkSession) is None:
+        return df
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster configured, or None."""
-    d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
     if d:
         return d
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    return conf or None
+    conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        sc.setCheckpointDir(conf)
+        return conf
+    return None
 
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
