@@ -189,6 +189,11 @@ def model_table(daily: DataFrame, model_keys: Sequence[str], zone: str = "zone")
     return rank_models(tab, MODEL_TABLE_METRICS)
 
 
+def unpivot_metrics(table: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Wide metric table to long ``(ids..., metric, value)``."""
+    return table.unpivot(list(ids), list(metrics), "metric", "value")
+
+
 def rank_models(table: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``rank() over (order by metric)`` per metric (tiny aggregated table)."""
     return table.withColumns({f"{m}_rank": F.rank().over(Window.orderBy(F.col(m).asc_nulls_last())) for m in metrics})
