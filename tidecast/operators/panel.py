@@ -153,8 +153,11 @@ def day_matrix(
         F.min("ts").alias("day_start"),
         F.sort_array(F.collect_list(F.struct("slot", target, *features))).alias("_rows"),
     )
-    y = F.transform("_rows", lambda r: r[target])
-    xs = [F.transform("_rows", lambda r, f=f: r[f].cast("double")) for f in features]
+    def field(name: str):
+        return lambda r: r[name].cast("double")
+
+    y = F.transform("_rows", field(target))
+    xs = [F.transform("_rows", field(f)) for f in features]
     return g.select(*keys, "day_id", "day_start", y.alias("y"), (F.concat(*xs) if xs else F.array()).alias("x"))
 
 
