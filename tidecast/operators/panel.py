@@ -208,10 +208,11 @@ def select_groups(register: DataFrame, flags: DataFrame) -> DataFrame:
     j = register.join(flags, on="feature", how="left").withColumn(
         "selected", F.coalesce(F.col("selected"), F.lit(False))
     )
+    # The register has one row per feature column (tens of rows): a global window is fine.
     w = Window.partitionBy(F.lit(1))
-    any_sel = F.max(F.col("selected").cast("int")).over(w)
-    first = F.min("pos").over(w)
-    return j.where(F.col("selected") | ((any_sel == 0) & (F.col("pos") == first))).drop("selected")
+    j = j.withColumns({"_any": F.max(F.col("selected").cast("int")).over(w), "_first": F.min("pos").over(w)})
+    keep = F.col("selected") | ((F.col("_any") == 0) & (F.col("pos") == F.col("_first")))
+    return j.where(keep).drop("selected", "_any", "_first")
 
 
 def sibling_selection(register: DataFrame, flags: DataFrame) -> DataFrame:
