@@ -30,7 +30,7 @@ def broadcast_max_rows(spark: SparkSession) -> int:
     return conf_int(spark, CONF_BROADCAST_MAX_ROWS, DEFAULT_BROADCAST_MAX_ROWS)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int | None = None, materialized: bool = False) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The frame is first materialized (see :func:`materialize`) so that the check and
@@ -40,7 +40,8 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     instead of shipping an unbounded table to every executor.
     """
     bound = max_rows if max_rows is not None else broadcast_max_rows(df.sparkSession)
-    df = materialize(df)
+    if not materialized:
+        df = materialize(df)
     if df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df
