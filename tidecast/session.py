@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,16 +49,24 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None, materialized: bo
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a frame that several branches of a plan read.
-
-    Uses a reliable ``checkpoint()`` into the shared folder configured for the
-    cluster (``spark.checkpoint.dir``), so lost executors do not force recomputation
-    of the whole lineage.  Without a configured folder the frame is returned as is
-    (Spark then recomputes it per branch, which is correct, only slower).
+    """Cut lineage of a frame that several branches of a plan (or several rounds of an
+    iterative fit) read.
+
+    Writes the frame as a Parquet table in a fresh folder under the shared folder the
+    cluster configures in ``spark.checkpoint.dir`` and reads it back with its schema:
+    lost executors then re-read files instead of recomputing the lineage, and later
+    scans get column pruning and filter pushdown.  (A written table, rather than
+    ``Dataset.checkpoint``, keeps per-round cost flat in long iterative fits.)
+    Without a configured folder the frame is returned as is — Spark then recomputes
+    it per branch, which is correct, only slower.
     """
-    if checkpoint_dir(df.sparkSession) is None:
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if base is None:
         return df
-    return df.checkpoint(eager=True)
+    path = os.path.join(base, "tidecast-tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
