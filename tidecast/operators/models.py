@@ -121,8 +121,10 @@ def quantile_regression(
         alphas = per_q.groupBy(*gkeys).agg(F.first(alpha).alias("_alpha"))
     # start: least squares fit (pinball weights with r = y)
     beta = materialize(wls(per_q, gkeys, p, x, y))
+    # The coefficient table has one row per group in every round: prove its bound once.
+    small = sized_broadcast(beta, materialized=True) is not beta
     for _ in range(iterations):
-        bsm = sized_broadcast(beta, materialized=True)
+        bsm = F.broadcast(beta) if small else beta
         j = per_q.join(bsm, on=gkeys, how="inner")
         r = F.col(y) - dot(F.col(x), F.col("beta"))
         wq = F.when(r < 0, 1 - F.col("q")).otherwise(F.col("q"))

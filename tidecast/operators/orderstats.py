@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, rows_per_bucket, sized_broadcast
 
 N, LO, HI, NB, B, R = "_n", "_lo", "_hi", "_nb", "_b", "_r"
+DIRECT_LEVELS = 16  # up to this many levels are read by conditional aggregates
 
 
 def _key_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int) -> DataFrame:
@@ -53,11 +54,17 @@ def _key_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int)
     )
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, int]:
+    """Per-key row counts (non-null values; materialized, one row per key) and the
+    largest of them (one row to the driver)."""
+    sizes = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(N)))
+    top = sizes.agg(F.max(N)).first()[0]
+    return sizes, int(top or 0)
+
+
 def max_group_size(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Largest group (non-null values); one small job returning one row."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    top = sizes.agg(F.max("_c")).first()[0]
-    return int(top or 0)
+    """Largest group (non-null values)."""
+    return group_sizes(df, keys, value)[1]
 
 
 def small_groups(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> bool:
@@ -98,26 +105,25 @@ def _direct_summary(df: DataFrame, keys: Sequence[str], value: str, levels: Sequ
     return g.select(*out)
 
 
-def _direct_quantiles_long(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
-    """Small-group plan for many levels: rows whose rank some level reads are
-    exploded to (level, row) hits and aggregated on the window's partitioning."""
-    ranked = ranked_by_key(df, keys, value)
+def _direct_quantiles_long(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], sizes: DataFrame) -> DataFrame:
+    """Small-group plan for many levels: a request table (key, level, rank) built
+    from the group sizes — keys x levels x 2 rows, broadcast after a size check —
+    is joined to the ranked rows on (key, rank), so each row costs one hash lookup;
+    the hits are aggregated on the window's partitioning."""
+    ranked = ranked_by_key(df, keys, value).select(*keys, R, F.col(value).alias("_x"))
     lv = F.array(*[F.lit(float(p)) for p in levels])
-    hits = F.filter(
-        F.transform(
-            lv,
-            lambda q, k: F.struct(
-                k.alias("k"), q.alias("q"), ((F.col(N) - 1) * q).alias("h")
-            ),
-        ),
-        lambda s: (F.floor(s["h"]) + 1 == F.col(R)) | (F.ceil(s["h"]) + 1 == F.col(R)),
+    req = (
+        sizes.select(*keys, N, F.posexplode(lv).alias("level_idx", "q"))
+        .withColumn("_h", (F.col(N) - 1) * F.col("q"))
+        .withColumn(R, F.explode(F.array_distinct(F.array((F.floor("_h") + 1).cast("int"), (F.ceil("_h") + 1).cast("int")))))
+        .drop(N)
     )
-    ex = ranked.select(*keys, R, F.col(value).alias("_x"), F.explode(hits).alias("_s"))
-    g = ex.groupBy(*keys, F.col("_s.k").alias("level_idx")).agg(
-        F.first("_s.q").alias("q"),
-        F.first("_s.h").alias("_h"),
-        F.max(F.when(F.floor(F.col("_s.h")) + 1 == F.col(R), F.col("_x"))).alias("_xlo"),
-        F.max(F.when(F.ceil(F.col("_s.h")) + 1 == F.col(R), F.col("_x"))).alias("_xhi"),
+    hits = ranked.join(sized_broadcast(req), on=[*keys, R], how="inner")
+    g = hits.groupBy(*keys, "level_idx").agg(
+        F.first("q").alias("q"),
+        F.first("_h").alias("_h"),
+        F.max(F.when(F.floor("_h") + 1 == F.col(R), F.col("_x"))).alias("_xlo"),
+        F.max(F.when(F.ceil("_h") + 1 == F.col(R), F.col("_x"))).alias("_xhi"),
     )
     frac = F.col("_h") - F.floor("_h")
     return g.select(
@@ -224,8 +230,17 @@ def quantiles_long(
     (NumPy ``percentile`` default / SQL ``quantile_cont``), long form:
     ``keys..., level_idx INT, q DOUBLE, value DOUBLE``."""
     keys = list(keys)
-    if small_groups(df, keys, value, per_bucket):
-        return _direct_quantiles_long(df, keys, value, levels)
+    per_bucket = per_bucket or rows_per_bucket(df.sparkSession)
+    sizes, top = group_sizes(df, keys, value)
+    if top <= per_bucket:
+        if len(levels) <= DIRECT_LEVELS:
+            return _direct_summary(df, keys, value, levels, [f"_q{i}" for i in range(len(levels))]).select(
+                *keys, F.explode(F.array(*[
+                    F.struct(F.lit(i).alias("level_idx"), F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value"))
+                    for i, q in enumerate(levels)
+                ])).alias("_l")
+            ).select(*keys, "_l.level_idx", "_l.q", "_l.value")
+        return _direct_quantiles_long(df, keys, value, levels, sizes)
     return quantiles_from_ranked(bucketed(df, keys, value, per_bucket), keys, value, levels)
 
 

@@ -63,24 +63,29 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan of ``events``: each event becomes a sample of every forecaster whose
+    history window contains its day (the windows overlap, so up to two rows)."""
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    parts = []
-    for model, run_id, d0, d1 in SAMPLE_WINDOWS:
-        day = F.to_date("ts")
-        parts.append(
-            ev.where((day >= F.lit(d0)) & (day <= F.lit(d1))).select(
-                F.lit(model).alias("model"),
-                F.lit(run_id).alias("run_id"),
-                F.col("event_type").alias("zone"),
-                F.hour("ts").alias("hour"),
-                F.col("event_id").alias("sample_id"),
-                F.col("value").alias("x"),
-            )
+    day = F.to_date("ts")
+    first = min(d0 for _, _, d0, _ in SAMPLE_WINDOWS)
+    last = max(d1 for _, _, _, d1 in SAMPLE_WINDOWS)
+    wins = F.array_compact(
+        F.array(
+            *[
+                F.when((day >= F.lit(d0)) & (day <= F.lit(d1)), F.struct(F.lit(m).alias("model"), F.lit(r).alias("run_id")))
+                for m, r, d0, d1 in SAMPLE_WINDOWS
+            ]
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    )
+    out = ev.where((day >= F.lit(first)) & (day <= F.lit(last))).select("*", F.explode(wins).alias("_w"))
+    return out.select(
+        F.col("_w.model").alias("model"),
+        F.col("_w.run_id").alias("run_id"),
+        F.col("event_type").alias("zone"),
+        F.hour("ts").alias("hour"),
+        F.col("event_id").alias("sample_id"),
+        F.col("value").alias("x"),
+    )
 
 
 def settlement_input(spark: SparkSession, sf_dir: str) -> DataFrame:
