@@ -26,6 +26,7 @@ from ..session import materialize, sized_broadcast
 from . import orderstats
 
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)  # fixed: quantile-model levels
+MATERIALIZE_EVERY = 1  # IRLS rounds between written coefficient tables (lineage cut)
 LOG_CHISQ1_MEAN = -1.2704  # E[log chi^2_1]: bias fix of the log-squared-residual model
 
 
@@ -34,11 +35,15 @@ def dot(x: Column, beta: Column) -> Column:
     return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def normal_equations(rows: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", w: Column | None = None) -> DataFrame:
-    """Per group: ``xtx`` (row-major p*p), ``xty`` (p), ``n``, ``sw`` (sum of weights)."""
+def normal_equations(
+    rows: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", w: Column | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Per group: ``xtx`` (row-major p*p), ``xty`` (p), ``n``, ``sw`` (sum of weights);
+    ``carry`` columns are constant per group and passed through with ``first``."""
     wt = w if w is not None else F.lit(1.0)
     xc = F.col(x)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(wt).alias("sw")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(wt).alias("sw"), *[F.first(c).alias(c) for c in carry]]
     for i in range(p):
         for j in range(i, p):
             aggs.append(F.sum(wt * xc[i] * xc[j]).alias(f"_a{i}_{j}"))
@@ -46,19 +51,29 @@ def normal_equations(rows: DataFrame, keys: Sequence[str], p: int, x: str = "x",
     g = rows.groupBy(*keys).agg(*aggs)
     xtx = F.array(*[F.col(f"_a{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
     xty = F.array(*[F.col(f"_b{i}") for i in range(p)])
-    return g.select(*keys, "n", "sw", xtx.alias("xtx"), xty.alias("xty"))
+    return g.select(*keys, *carry, "n", "sw", xtx.alias("xtx"), xty.alias("xty"))
 
 
-def solve_groups(neq: DataFrame, keys: Sequence[str], p: int, penalty: DataFrame | None = None) -> DataFrame:
+def solve_groups(
+    neq: DataFrame, keys: Sequence[str], p: int, penalty: DataFrame | None = None, l1: bool = False, eps: float = 1e-6
+) -> DataFrame:
     """Batched solve of ``(xtx / sw + P) beta = xty / sw`` per group.
 
     ``penalty`` (optional, joined by ``keys``) holds ``pen`` — an array of p diagonal
-    additions (L1 via adaptive ridge, or plain ridge).  A tiny jitter keeps masked
-    (all-zero) columns solvable.  Runs in ``mapInPandas`` on the aggregated table."""
+    additions (plain ridge).  With ``l1=True`` the table carries ``beta_prev`` and
+    ``l1_alpha`` and the L1 term is the adaptive ridge ``alpha / max(|beta_prev_j|, eps)``
+    on the non-intercept columns.  A tiny jitter keeps masked (all-zero) columns
+    solvable.  Runs in ``mapInPandas`` on the aggregated table (one row per group)."""
     keys = list(keys)
     src = neq if penalty is None else neq.join(penalty, on=keys, how="left")
     if penalty is None:
         src = src.withColumn("pen", F.array_repeat(F.lit(0.0), p))
+    if l1:
+        adaptive = F.concat(
+            F.array(F.lit(0.0)),
+            F.transform(F.slice("beta_prev", 2, p - 1), lambda b: F.col("l1_alpha") / F.greatest(F.abs(b), F.lit(eps))),
+        ) if p > 1 else F.array(F.lit(0.0))
+        src = src.withColumn("pen", F.zip_with("pen", adaptive, lambda a, b: a + b))
     src = src.select(*keys, "sw", "xtx", "xty", "pen")
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", beta array<double>"
@@ -114,34 +129,29 @@ def quantile_regression(
     penalties in a search).  Returns ``keys, q, beta``."""
     keys = list(keys)
     lv = F.array(*[F.lit(float(q)) for q in quantiles])
-    per_q = rows.select("*", F.explode(lv).alias("q"))
-    gkeys = [*keys, "q"]
     alpha_col = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
-    if isinstance(alpha, str):
-        alphas = per_q.groupBy(*gkeys).agg(F.first(alpha).alias("_alpha"))
-    # start: least squares fit (pinball weights with r = y)
+    # every round re-reads the training rows: write them once (only the needed columns)
+    base = materialize(rows.select(*keys, x, y, alpha_col.alias("l1_alpha")))
+    per_q = base.select("*", F.explode(lv).alias("q"))
+    gkeys = [*keys, "q"]
+    # start: least squares fit
     beta = materialize(wls(per_q, gkeys, p, x, y))
     # The coefficient table has one row per group in every round: prove its bound once.
     small = sized_broadcast(beta, materialized=True) is not beta
-    for _ in range(iterations):
-        bsm = F.broadcast(beta) if small else beta
-        j = per_q.join(bsm, on=gkeys, how="inner")
-        r = F.col(y) - dot(F.col(x), F.col("beta"))
+    for it in range(iterations):
+        prev = beta.withColumnRenamed("beta", "beta_prev")
+        j = per_q.join(F.broadcast(prev) if small else prev, on=gkeys, how="inner")
+        r = F.col(y) - dot(F.col(x), F.col("beta_prev"))
         wq = F.when(r < 0, 1 - F.col("q")).otherwise(F.col("q"))
         w = wq / F.greatest(F.abs(r), F.lit(eps))
-        neq = normal_equations(j, gkeys, p, x, y, w)
+        # previous coefficients and the penalty travel with the group's sums, so a
+        # round reads the coefficient table once (a single chain, no plan doubling)
+        neq = normal_equations(j, gkeys, p, x, y, w, carry=["beta_prev", "l1_alpha"])
         # the pinball objective is a mean over rows: rescale sum(w) to the row count
         neq = neq.withColumn("sw", F.col("n").cast("double"))
-        a = F.col("_alpha") if isinstance(alpha, str) else alpha_col
-        pen_src = beta if not isinstance(alpha, str) else beta.join(alphas, on=gkeys)
-        pen = pen_src.select(
-            *gkeys,
-            F.concat(
-                F.array(F.lit(0.0)),
-                F.transform(F.slice("beta", 2, p - 1), lambda b: a / F.greatest(F.abs(b), F.lit(eps))),
-            ).alias("pen"),
-        ) if p > 1 else None
-        beta = materialize(solve_groups(neq, gkeys, p, pen))
+        beta = solve_groups(neq, gkeys, p, l1=True, eps=eps)
+        if (it + 1) % MATERIALIZE_EVERY == 0 or it == iterations - 1:
+            beta = materialize(beta)
     return beta
 
 

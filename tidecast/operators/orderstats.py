@@ -55,9 +55,9 @@ def _key_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int)
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, int]:
-    """Per-key row counts (non-null values; materialized, one row per key) and the
-    largest of them (one row to the driver)."""
-    sizes = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(N)))
+    """Per-key row counts (non-null values, one row per key; lazy) and the largest of
+    them (one row to the driver)."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(N))
     top = sizes.agg(F.max(N)).first()[0]
     return sizes, int(top or 0)
 
