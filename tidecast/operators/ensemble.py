@@ -98,9 +98,12 @@ def sample_quantile_function(qf: DataFrame, keys: Sequence[str], n: int) -> Data
 def vertical(samples: DataFrame, keys: Sequence[str], member: str = "model", min_members: int = 2) -> DataFrame:
     """The pooled samples of all members (equal-count mixture); keys with
     fewer than ``min_members`` members are skipped."""
-    members = samples.groupBy(*keys).agg(F.countDistinct(member).alias("members"))
+    # distinct (key, member) pairs first, so the count is a small second aggregate
+    members = samples.select(*keys, member).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
     ok = members.where(F.col("members") >= min_members).select(*keys)
-    return samples.join(ok, on=list(keys), how="left_semi")
+    # one row per key: broadcast after the size check, so the samples are not
+    # shuffled by key (a hot key would otherwise land in one task)
+    return samples.join(sized_broadcast(ok), on=list(keys), how="left_semi")
 
 
 def fit_parameters(samples: DataFrame, keys: Sequence[str], value: str = "x") -> DataFrame:

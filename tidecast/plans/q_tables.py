@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, panel, report, scores
+from ..session import sized_broadcast
 from ..sources import fixtures as fx
 from ..sources.tables import load
 from .oracle import with_fixtures
@@ -235,3 +236,39 @@ def f2_order_index(spark, sf):
 def f3_heat_bands(spark, sf):
     hb = report.heat_bands(_model_table_long(spark, sf), "metric", "value", "model", exclude=["early"])
     return rounded(hb.select("model", "metric", "value", "norm", F.col("band").cast("int").alias("band"), "is_best"))
+
+
+@query(
+    "g1_order_by_date",
+    with_fixtures(
+        "SELECT zone, date, CAST(row_number() OVER (PARTITION BY zone ORDER BY date) AS INTEGER) AS position"
+        " FROM (SELECT DISTINCT zone, date FROM forecast_wide)",
+        "forecast_wide",
+    ),
+)
+def g1_order_by_date(spark, sf):
+    """G1: forecast dates in order per zone (the order made explicit as a position)."""
+    d = fx.forecast_wide(spark, sf).select("zone", "date").distinct()
+    return d.withColumn("position", F.row_number().over(Window.partitionBy("zone").orderBy("date"))).orderBy("zone", "date")
+
+
+@query(
+    "d4_scaler_lookup",
+    with_fixtures(
+        "SELECT h.zone, h.ts, "
+        + r("(h.premium - s.mu) / s.sigma", "premium_z")
+        + " FROM hourly h JOIN (SELECT zone, CAST(hour(ts) AS INTEGER) AS hour, avg(premium) AS mu,"
+        " CASE WHEN stddev_pop(premium) = 0 THEN 1.0 ELSE stddev_pop(premium) END AS sigma FROM hourly"
+        " WHERE ts < TIMESTAMP '2024-01-22 00:00:00' GROUP BY 1, 2) s ON s.zone = h.zone AND s.hour = hour(h.ts)",
+        "hourly",
+    ),
+)
+def d4_scaler_lookup(spark, sf):
+    """A (zone, hour) scaler fitted on the training period, broadcast after a
+    size check and looked up by key for every row."""
+    h = fx.hourly(spark, sf).withColumn("hour", F.hour("ts"))
+    long = h.select("zone", "ts", "hour", F.lit("premium").alias("feature"), F.col("premium").alias("v"))
+    train = long.where(F.col("ts") < F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"))
+    sc = panel.fit_scaler(train, ["zone"])
+    out = panel.apply_scaler(long, sized_broadcast(sc), ["zone"], skip=())
+    return rounded(out.select("zone", "ts", F.col("v_scaled").alias("premium_z")))
