@@ -40,15 +40,17 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str =
         w.format(fmt).save(path)
 
 
-def params_to_arrays(params: DataFrame, keys: Sequence[str], hour: str, fields: Sequence[str]) -> DataFrame:
-    """A10: hourly parameter rows to one row per key with 24-element arrays (a day is
-    24 rows, so the collect is bounded)."""
-    g = params.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(hour, *fields))).alias("_h"))
-    return g.select(*keys, *[F.transform("_h", _getter(f)).alias(f) for f in fields])
+def params_to_arrays(params: DataFrame, keys: Sequence[str], hour: str, fields: Sequence[str], slots: int = 24) -> DataFrame:
+    """A10: hourly parameter rows to one row per key with ``slots``-element arrays
+    indexed by hour (null where an hour is absent).  A day has at most 24 rows, so
+    the collect is bounded."""
+    g = params.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(hour, F.struct(*fields)))).alias("_m"))
+    idx = F.sequence(F.lit(0), F.lit(slots - 1))
+    return g.select(*keys, *[F.transform(idx, _slot(f)).alias(f) for f in fields])
 
 
-def _getter(name: str):
-    return lambda s: s[name]
+def _slot(name: str):
+    return lambda h: F.col("_m")[h][name]
 
 
 def write_params_json(params: DataFrame, path: str, keys: Sequence[str], hour: str, fields: Sequence[str], partition: Sequence[str]) -> None:
@@ -95,7 +97,8 @@ def _skip(df: DataFrame, suffix: str | None) -> DataFrame:
 def arrays_to_hours(df: DataFrame, keys: Sequence[str], fields: Sequence[str], hour: str = "hour") -> DataFrame:
     """A3: equal-length parameter arrays to one row per hour."""
     z = df.select(*keys, F.posexplode(F.arrays_zip(*[F.col(f) for f in fields])).alias(hour, "_z"))
-    return z.select(*keys, F.col(hour).cast("int").alias(hour), *[F.col(f"_z.{f}").alias(f) for f in fields])
+    out = z.select(*keys, F.col(hour).cast("int").alias(hour), *[F.col(f"_z.{f}").alias(f) for f in fields])
+    return out.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())  # empty slots
 
 
 def discover_runs(df: DataFrame, keys: Sequence[str], run: str = "run_id") -> DataFrame:
