@@ -31,10 +31,17 @@ LS_DECAY, LS_REDUCTION = 5.0, 0.5  # fixed defaults of the location-scale layers
 
 
 # ---------------------------------------------------------------- log densities
+def asinh(z: Column) -> Column:
+    """``sign(z) * ln(|z| + sqrt(z^2 + 1))`` — accurate for large |z| on both signs."""
+    a = F.abs(z)
+    return F.signum(z) * F.log(a + F.sqrt(a * a + 1))
+
+
+
 def normal_logpdf(y: Column, loc: Column, scale: Column) -> Column:
-    """I5."""
+    """I5; undefined (null) for a degenerate scale <= 0."""
     z = (y - loc) / scale
-    return -0.5 * LN_2PI - F.log(scale) - 0.5 * z * z
+    return F.when(scale > 0, -0.5 * LN_2PI - F.log(scale) - 0.5 * z * z)
 
 
 def jsu_logpdf(y: Column, loc: Column, scale: Column, tail: Column, skew: Column) -> Column:
@@ -42,7 +49,7 @@ def jsu_logpdf(y: Column, loc: Column, scale: Column, tail: Column, skew: Column
     sc = clamp(scale, 1e-6)
     tw = clamp(tail, 1e-6)
     z = (y - loc) / sc
-    eps = skew + tw * F.asinh(z)
+    eps = skew + tw * asinh(z)
     lp = F.log(tw) - F.log(sc) - 0.5 * F.log1p(z * z) - 0.5 * eps * eps - 0.5 * LN_2PI
     return F.greatest(lp, F.lit(FLOOR))
 

@@ -274,7 +274,10 @@ def regional_gap(matrix_long: DataFrame, model_col: str = "model", zone: str = "
         F.max(value).alias("max_crps"),
         F.min_by(zone, value).alias("best_zone"),
         F.max_by(zone, value).alias("worst_zone"),
-    ).withColumn("gap_pct", (F.col("max_crps") - F.col("min_crps")) / F.col("min_crps") * 100)
+    ).withColumn(
+        "gap_pct",
+        F.when(F.col("min_crps") != 0, (F.col("max_crps") - F.col("min_crps")) / F.col("min_crps") * 100),
+    )
 
 
 # ------------------------------------------------------------------ validation

@@ -101,9 +101,9 @@ _SKEWT_SQL = """least(greatest(
       + (ca + 0.5) * ln(greatest(1 + z / sqrt(ca + cb + z * z + 1e-8), 1e-8))
       + (cb + 0.5) * ln(greatest(1 - z / sqrt(ca + cb + z * z + 1e-8), 1e-8)) - ln(csc), -100.0), 100.0)"""
 _JSU_SQL = """greatest(ln(greatest(tailweight, 1e-6)) - ln(greatest(scale, 1e-6))
-      - 0.5 * ln(1 + zj * zj) - 0.5 * pow(skewness + greatest(tailweight, 1e-6) * asinh(zj), 2)
+      - 0.5 * ln(1 + zj * zj) - 0.5 * pow(skewness + greatest(tailweight, 1e-6) * (sign(zj) * ln(abs(zj) + sqrt(zj * zj + 1))), 2)
       - 0.5 * ln(2 * pi()), -100.0)"""
-_NORM_SQL = "-0.5 * ln(2 * pi()) - ln(scale) - 0.5 * pow((y - loc) / scale, 2)"
+_NORM_SQL = "CASE WHEN scale > 0 THEN -0.5 * ln(2 * pi()) - ln(scale) - 0.5 * pow((y - loc) / scale, 2) END"
 _DENS = [
     (
         "pj",

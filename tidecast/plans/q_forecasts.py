@@ -118,7 +118,7 @@ def e14_regional_matrix(spark, sf):
     "e15_regional_gap",
     _qg_sql(
         "SELECT model, arg_min(zone, crps) AS best_zone, arg_max(zone, crps) AS worst_zone, "
-        + r("(max(crps) - min(crps)) / min(crps) * 100", "gap_pct")
+        + r("CASE WHEN min(crps) <> 0 THEN (max(crps) - min(crps)) / min(crps) * 100 END", "gap_pct")
         + " FROM qz GROUP BY model"
     ),
 )

@@ -497,7 +497,7 @@ def c23_rolling_stats(spark, sf):
 @query(
     "c24_minmax_scaling",
     with_fixtures(
-        f"SELECT h.zone, h.ts, {r('(h.premium - b.mn) / (b.mx - b.mn)', 'premium_scaled')} FROM hourly h JOIN"
+        f"SELECT h.zone, h.ts, {r('CASE WHEN b.mx > b.mn THEN (h.premium - b.mn) / (b.mx - b.mn) END', 'premium_scaled')} FROM hourly h JOIN"
         " (SELECT zone, min(premium) AS mn, max(premium) AS mx FROM hourly WHERE ts < TIMESTAMP '2024-01-24 00:00:00' GROUP BY zone) b"
         " ON b.zone = h.zone",
         "hourly",
@@ -507,7 +507,8 @@ def c24_minmax_scaling(spark, sf):
     h = _hourly(spark, sf)
     b = h.where(F.col("ts") < F.lit(VAL_START)).groupBy("zone").agg(F.min("premium").alias("mn"), F.max("premium").alias("mx"))
     j = h.join(sized_broadcast(b), on="zone")
-    return rounded(j.select("zone", "ts", ((F.col("premium") - F.col("mn")) / (F.col("mx") - F.col("mn"))).alias("premium_scaled")))
+    scaled = F.when(F.col("mx") > F.col("mn"), (F.col("premium") - F.col("mn")) / (F.col("mx") - F.col("mn")))
+    return rounded(j.select("zone", "ts", scaled.alias("premium_scaled")))
 
 
 @query(
