@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import calibration, scores
+from ..session import materialize
 from ..sources import fixtures as fx
 from .oracle import with_fixtures
 from .registry import query
@@ -62,7 +63,8 @@ QG_KEYS = ["model", "zone", "date", "hour"]
 
 
 def _grid_hourly(spark, sf):
-    fw = fx.forecast_wide(spark, sf)
+    # read twice below (quantile columns and realised values): materialize once
+    fw = materialize(fx.forecast_wide(spark, sf))
     long = scores.unpivot_quantiles(fw.select(*QG_KEYS, "q05", "q25", "q75", "q95"), QG_KEYS)
     obs = fw.select(*QG_KEYS, F.col("realized").alias("y"))
     return scores.hourly_scores(long, obs, QG_KEYS)
