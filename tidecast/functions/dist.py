@@ -101,31 +101,57 @@ def expand(params: DataFrame, keys, n: int, quantile) -> DataFrame:
 
 def skewt_expand(params: DataFrame, keys, n: int, grid: int = 2000) -> DataFrame:
     """Skew-t samples ``loc + scale * sqrt(a+b)(2B-1) / (2 sqrt(B(1-B)))`` with
-    ``B`` the Beta(a, b) quantile at ``u``.  The Beta quantile is found numerically:
-    the Beta density on a ``grid``-point midpoint grid of (0, 1), its running sum
-    (a window over one key's grid — bounded by ``grid``), then linear inversion.
-    The running sum is computed with the log of the Beta normaliser from
-    :func:`lgamma`."""
+    ``B`` the Beta(a, b) quantile at ``u``.
+
+    The Beta quantile is found numerically per parameter row: the Beta density on a
+    ``grid``-point midpoint grid of (0, 1) gives the CDF at the grid edges (running
+    sum); the sample levels ``u`` are merged with those edges in one window ordered
+    by probability, where each ``u`` reads its neighbouring edges (``last`` / ``first``
+    ignoring nulls) and interpolates.  A window partition holds one row's grid and
+    samples (``grid + n`` rows), so it is bounded."""
     keys = list(keys)
     a, b = F.col("a"), F.col("b")
-    g = params.select(*keys, "loc", "scale", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("_j"))
+    base = params.select(*keys, "loc", "scale", "a", "b")
+    g = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("_j"))
     bmid = (F.col("_j") - 0.5) / grid
     log_norm = lgamma(a) + lgamma(b) - lgamma(a + b)
-    dens = F.exp((a - 1) * F.log(bmid) + (b - 1) * F.log(1 - bmid) - log_norm) / grid
-    w = Window.partitionBy(*keys).orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = g.withColumn("_d", dens).withColumn("_cdf", F.sum("_d").over(w)).withColumn("_tot", F.sum("_d").over(Window.partitionBy(*keys)))
-    arr = cdf.groupBy(*keys, "loc", "scale", "a", "b").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("_cdf") / F.col("_tot")).alias("c"), (F.col("_j") / grid).alias("v")))).alias("_cv")
+    dens = F.when(F.col("_j") == 0, F.lit(0.0)).otherwise(
+        F.exp((a - 1) * F.log(bmid) + (b - 1) * F.log(1 - bmid) - log_norm) / grid
     )
-    from ..operators.ensemble import interp_quantile
-
-    qs = F.concat(F.array(F.lit(0.0)), F.transform("_cv", lambda s: s["c"]))
-    vs = F.concat(F.array(F.lit(0.0)), F.transform("_cv", lambda s: s["v"]))
-    ex = arr.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sample_id"))
-    u = midpoint_u(F.col("sample_id"), n)
-    bq = clamp(interp_quantile(u, qs, vs), 1e-12, 1 - 1e-12)
+    run = Window.partitionBy(*keys).orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    edges = g.withColumn("_d", dens).select(
+        *keys, "loc", "scale", "a", "b",
+        (F.sum("_d").over(run) / F.sum("_d").over(Window.partitionBy(*keys))).alias("_v"),
+        (F.col("_j") / grid).alias("_B"),
+        F.lit(0).alias("_kind"),
+        F.lit(None).cast("long").alias("sample_id"),
+    )
+    pts = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sample_id")).select(
+        *keys, "loc", "scale", "a", "b",
+        midpoint_u(F.col("sample_id"), n).alias("_v"),
+        F.lit(None).cast("double").alias("_B"),
+        F.lit(1).alias("_kind"),
+        F.col("sample_id").cast("long").alias("sample_id"),
+    )
+    both = edges.unionByName(pts)
+    # both lookups use growing frames (linear); the "next edge" reads in descending order
+    below = Window.partitionBy(*keys).orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*keys).orderBy(F.col("_v").desc(), F.col("_kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    is_edge = F.col("_kind") == 0
+    m = both.withColumns(
+        {
+            "_v0": F.last(F.when(is_edge, F.col("_v")), ignorenulls=True).over(below),
+            "_b0": F.last(F.when(is_edge, F.col("_B")), ignorenulls=True).over(below),
+            "_v1": F.last(F.when(is_edge, F.col("_v")), ignorenulls=True).over(above),
+            "_b1": F.last(F.when(is_edge, F.col("_B")), ignorenulls=True).over(above),
+        }
+    ).where(F.col("_kind") == 1)
+    bq = F.when(F.col("_v1") > F.col("_v0"),
+                F.col("_b0") + (F.col("_v") - F.col("_v0")) / (F.col("_v1") - F.col("_v0")) * (F.col("_b1") - F.col("_b0"))
+                ).otherwise(F.col("_b0"))
+    bq = clamp(bq, 1e-12, 1 - 1e-12)
     t = F.sqrt(a + b) * (2 * bq - 1) / (2 * F.sqrt(bq * (1 - bq)))
-    return ex.select(*keys, F.col("sample_id").cast("long").alias("sample_id"), (F.col("loc") + F.col("scale") * t).alias("x"))
+    return m.select(*keys, "sample_id", (F.col("loc") + F.col("scale") * t).alias("x"))
 
 
 # ---------------------------------------------------------------- raw scores -> params

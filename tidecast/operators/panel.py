@@ -254,8 +254,10 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: str, columns: Sequen
 def interpolate(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Linear interpolation in time between the previous and next non-null values
     (gaps at the ends stay null)."""
+    # both directions use growing frames (linear per series): "next" reads the series
+    # in descending time order
     w_prev = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    w_next = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_t", epoch_seconds(F.col(order)))
     for c in columns:
         tv = F.when(F.col(c).isNotNull(), F.col("_t"))
@@ -263,8 +265,8 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: str, columns: Sequenc
             {
                 f"_pv_{c}": F.last(c, ignorenulls=True).over(w_prev),
                 f"_pt_{c}": F.last(tv, ignorenulls=True).over(w_prev),
-                f"_nv_{c}": F.first(c, ignorenulls=True).over(w_next),
-                f"_nt_{c}": F.first(tv, ignorenulls=True).over(w_next),
+                f"_nv_{c}": F.last(c, ignorenulls=True).over(w_next),
+                f"_nt_{c}": F.last(tv, ignorenulls=True).over(w_next),
             }
         )
         frac = (F.col("_t") - F.col(f"_pt_{c}")) / (F.col(f"_nt_{c}") - F.col(f"_pt_{c}"))
