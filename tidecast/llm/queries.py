@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import decontaminate, jaccard, packing, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,35 @@ def query(name: str, sql: str | None = None):
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, with their nearest examples as evidence."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard of 0.9 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 13) AS n, unnest([array_to_string(list_slice(ws, i, i + least(len(ws), 13) - 1), ' ') FOR i IN range(1, greatest(len(ws) - 12, 1) + 1)]) AS win FROM b WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, n, unnest(range(1, len(ws) - n + 2)) AS pos, ws FROM d, lens WHERE len(ws) >= n),
+hit AS (SELECT dw.rid, dw.pos, dw.n, bw.item FROM dw JOIN bw ON bw.n = dw.n AND bw.win = array_to_string(list_slice(dw.ws, dw.pos, dw.pos + dw.n - 1), ' ')),
+cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
+@query("op6_decontaminate", OP6_SQL)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
