@@ -69,18 +69,17 @@ def _hit_column(wins: DataFrame, text: Column) -> Column:
         three.add(r["three"])
         full.add(r["win"])
 
-    def found(ws: Column) -> Column:
-        lists = []
-        for length, (one, three, full) in sorted(by.items()):
-
-            def test(i, length=length, one=one, three=three, full=full):
-                return _starts(ws, i, length, 1).isin(list(one)) & _starts(ws, i, length, min(3, length)).isin(list(three)) & _text(ws, i, length).isin(list(full))
+    def of_length(ws: Column, length: int) -> Column:
+        one, three, full = by[length]
+        last = F.size(ws) - length
+        hit = lambda i: _starts(ws, i, length, 1).isin(list(one)) & _starts(ws, i, length, min(3, length)).isin(list(three)) & _text(ws, i, length).isin(list(full))
+        at = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), _text(ws, i, length).alias("win")))
 
-            last = F.size(ws) - length
-            at = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), test)).otherwise(F.array().cast("array<int>"))
-            lists.append(F.transform(at, lambda i, length=length: F.struct(i.alias("pos"), F.lit(length).alias("len"), _text(ws, i, length).alias("win"))))
+    def found(ws: Column) -> Column:
         none = F.array().cast("array<struct<pos:int,len:int,win:string>>")
-        return F.struct(F.size(ws).cast("long").alias("n_words"), (F.flatten(F.array(*lists)) if lists else none).alias("hits"))
+        hits = F.flatten(F.array(*[of_length(ws, n) for n in sorted(by)])) if by else none
+        return F.struct(F.size(ws).cast("long").alias("n_words"), hits.alias("hits"))
 
     return _with(words(text), found)
 
@@ -105,7 +104,12 @@ def _scan(docs: DataFrame, wins: DataFrame, text: str, out: str, max_windows: in
     rid, ws = temp_name(docs, "row"), temp_name(docs, "words")
     rows = stored(docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(ws, words(F.col(text))), "words")
     lens = [r["len"] for r in wins.select("len").distinct().orderBy("len").collect()]  # 1 to WINDOW
-    each = F.flatten(F.array(*[F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0))), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(_text(F.col(ws), i, n)).alias("h")))).otherwise(F.array().cast("array<struct<pos:int,len:int,h:bigint>>")) for n in lens]))
+
+    def hashed(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0)))
+        return F.when(F.size(ws) >= n, F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(_text(F.col(ws), i, n)).alias("h")))).otherwise(F.array().cast("array<struct<pos:int,len:int,h:bigint>>"))
+
+    each = F.flatten(F.array(*[hashed(n) for n in lens]))
     cand = rows.select(F.col(rid).alias("rid"), F.inline(each)).join(wins.select("len", "win", F.xxhash64("win").alias("h")).distinct(), ["len", "h"])
     real = cand.join(rows.select(F.col(rid).alias("rid"), F.col(ws).alias("ws")), "rid").where(F.array_join(F.slice("ws", F.col("pos") + 1, F.col("len")), " ") == F.col("win"))
     hits = real.groupBy("rid").agg(F.collect_set(F.struct("pos", "len", "win")).alias("hits")).withColumnRenamed("rid", rid).withColumnRenamed("hits", out)
