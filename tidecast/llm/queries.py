@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, toxicity
+from . import decontaminate, jaccard, language, packing, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,10 @@ FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents (declared: lang, host: source) and all pages (declared:
+    html lang, host and suffix of the address); doc_id or page_id is null."""
+    return language.identify_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
