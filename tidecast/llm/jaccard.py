@@ -7,10 +7,9 @@ counted in every fragment by itself and the partial counts are summed per pair.
 1. *Order.*  A counting sketch of all n-gram occurrences (fixed size, summed over all
    rows) gives each n-gram a frequency class; the order is (class, hash).  Any global
    order gives the same result; this one keeps frequent passages out of step 2.
-2. *Candidates.*  Two sets of Jaccard >= t share an n-gram among the first
-   n - ceil(t n) + 1 of each, and at the first such n-gram the rest of both sets must
-   still be large enough (length and position bounds).  Only those prefixes are shuffled,
-   as (n-gram, document) rows.
+2. *Candidates.*  Two sets of Jaccard >= t share n-grams among the first n - ceil(t n) + 1
+   of each, and at least as many as :func:`_pairs` works out.  Only those prefixes are
+   shuffled, as (n-gram, document) rows.
 3. *Stars first.*  In each n-gram's bucket every member is compared with one centre.  Copies
    of one text are then one component, and only pairs of a bucket that lie in different
    components are compared after that, so a group of many copies costs a line, not a square,
@@ -44,6 +43,9 @@ from .shingles import shingle_sets
 SKETCH = 1 << 20  # counters
 SLICE = 1 << 14  # counters per row while they are summed
 FRAGMENTS = 8
+#: The first comparison, with one centre per n-gram, takes pairs that share this part of what
+#: they must (they may share the rest under other centres); the second takes the bound itself.
+STAR_SHARE = 4
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -153,11 +155,20 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     return stored(docs.mapInArrow(run, "token long, id long, n int, pos int"), "prefix")
 
 
-def _may_link(percent: int, a: str, b: str) -> F.Column:
-    """Length and position bounds at a shared n-gram: the smaller rest holds the overlap
-    that the threshold asks for, 100 o >= percent (na + nb - o)."""
-    rest = F.least(F.expr(f"{a}n - {a}pos"), F.expr(f"{b}n - {b}pos"))
-    return rest.cast("long") * (100 + percent) >= (F.expr(f"{a}n") + F.expr(f"{b}n")).cast("long") * percent
+def _pairs(met: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) of ``met`` (xid, xn, yid, yn; a row per shared n-gram of
+    the two prefixes, in either order) that can reach the threshold: sizes within it, and
+    enough shared prefix n-grams.
+
+    A pair over the threshold shares at least o = ceil(t (na + nb) / (1 + t)) n-grams, so at
+    most n - o of a set are not shared, and the j-th shared one stands at most at place
+    n - o + j of the set.  Both prefixes therefore hold the first min over both sets of
+    prefix - (n - o) shared n-grams; a pair with fewer (times 1 / ``share``) is left out."""
+    x = F.col("xid") < F.col("yid")
+    p = met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), F.when(x, F.col("xn")).otherwise(F.col("yn")).cast("long").alias("na"), F.when(x, F.col("yn")).otherwise(F.col("xn")).cast("long").alias("nb"), "token")
+    p = p.where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) + 1
+    return p.where(F.col("c") * share >= least).select("a", "b", "na", "nb")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
@@ -202,7 +213,7 @@ def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> Da
 
 def _members(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Members of buckets by class representative instead of row id."""
-    return members.join(nodes.where("digest is not null").select("id", "rep").distinct(), "id").select("token", F.col("rep").alias("id"), "n", "pos").distinct()
+    return members.join(nodes.where("digest is not null").select("id", "rep").distinct(), "id").select("token", F.col("rep").alias("id"), "n").distinct()
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -216,26 +227,26 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
 
     prefix = _prefixes(docs, order, k, percent)
     by = F.col("pos").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    buckets = prefix.groupBy("token").agg(F.count("*").alias("m"), F.min_by("id", by).alias("cid"), F.min_by("n", by).alias("cn"), F.min("pos").alias("cpos")).where("m > 1")
+    buckets = prefix.groupBy("token").agg(F.count("*").alias("m"), F.min_by("id", by).alias("cid"), F.min_by("n", by).alias("cn")).where("m > 1")
     buckets = stored(buckets, "buckets")
     members = stored(_members(nodes, prefix.join(buckets.select("token"), "token")), "members")
 
     rep = nodes.where("digest is not null").select(F.col("id").alias("cid"), F.col("rep").alias("crep")).distinct()
-    centres = buckets.join(rep, "cid").select("token", F.col("crep").alias("cid"), "cn", "cpos")
-    stars = members.join(centres, "token").where("id <> cid").where(_may_link(percent, "", "c"))
-    pair = lambda d, x, nx, y, ny: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).cast("long").alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).cast("long").alias("nb")).distinct()
-    links = _links(docs, pair(stars, "id", "n", "cid", "cn"), order, k, percent)
+    centres = buckets.join(rep, "cid").select("token", F.col("crep").alias("yid"), F.col("cn").alias("yn"))
+    stars = members.select("token", F.col("id").alias("xid"), F.col("n").alias("xn")).join(centres, "token").where("xid <> yid")
+    links = _links(docs, _pairs(stars, percent, STAR_SHARE), order, k, percent)
 
     # Buckets whose members are in several components: compare the members outside the
     # largest component with everything of another component.
     comp = stored(components(links), "components")
-    placed = stored(members.join(comp, "id", "left").select("token", "id", "n", "pos", F.coalesce("component_id", "id").alias("comp")), "placed")
+    placed = stored(members.join(comp, "id", "left").select("token", "id", "n", F.coalesce("component_id", "id").alias("comp")), "placed")
     share = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.col("c")).alias("main")).where("comps > 1")
     open_ = placed.join(share.select("token", "main"), "token")
-    x = open_.where("comp <> main").select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("comp").alias("xcomp"))
-    y = open_.select("token", F.col("id").alias("yid"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("comp").alias("ycomp"))
-    rest = x.join(y, "token").where("xcomp <> ycomp").where(_may_link(percent, "x", "y"))
-    more = _links(docs, pair(rest, "xid", "xn", "yid", "yn"), order, k, percent)
+    x = open_.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), F.col("comp").alias("xcomp"), (F.col("comp") == F.col("main")).alias("xmain"))
+    y = open_.select("token", F.col("id").alias("yid"), F.col("n").alias("yn"), F.col("comp").alias("ycomp"), (F.col("comp") == F.col("main")).alias("ymain"))
+    x = x.where("not xmain").drop("xmain")
+    rest = x.join(y, "token").where("xcomp <> ycomp and (ymain or xid < yid)")
+    more = _links(docs, _pairs(rest, percent), order, k, percent)
     return nodes, links.unionByName(more)
 
 
