@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, packing, toxicity
-from .common import table
+from . import decontaminate, embedding, jaccard, language, lm, packing, tokencount, tokenfile, toxicity, urlrules
+from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,47 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents (declared: lang, host: source) and all pages (declared:
     html lang, host and suffix of the address); doc_id or page_id is null."""
     return language.identify_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+@query("op1_embedding_dedup")
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents; target: documents labelled good."""
+    return lm.score(table(spark, sf_dir, "documents"), lm.good_ids(table(spark, sf_dir, "labels")))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, through a cache that starts empty."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as ORC and read back."""
+    path = fresh_path(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.digests(spark, path)
+
+
+# The rules that the contract of op9 states.
+OP9_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+OP9_SQL = """
+WITH r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT s.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM s LEFT JOIN f USING (rid)
+"""
+
+
+@query("op9_url_filter", OP9_SQL)
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page addresses against the rules."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), OP9_RULES)
