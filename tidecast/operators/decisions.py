@@ -37,8 +37,9 @@ def prob_exceed(qcols: Sequence[tuple[float, str]], threshold: Column) -> Column
 
 def bid_decision(qcols: Sequence[tuple[float, str]], mean: Column, median: Column) -> Column:
     """L1-L5 as one CASE on ``rule``; returns struct(bid BOOLEAN, price DOUBLE)."""
-    qmap = dict(qcols)
-    q_alpha = F.col(qmap[0.95]) if 0.95 in qmap else mean
+    # the quantile column at each row's own alpha; the mean where there is none or it is null
+    at_alpha = [F.when(F.abs(F.col("alpha") - q) < 1e-9, F.col(c)) for q, c in qcols]
+    q_alpha = F.coalesce(*at_alpha, mean)
     p_exc = prob_exceed(qcols, F.col("threshold"))
     cvar_value = mean - F.col("risk") * (mean - q_alpha)
     bid = (

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 
 from ..session import materialize, sized_broadcast
 from . import orderstats
@@ -202,12 +202,21 @@ def tree_quantiles(
     quantiles: Sequence[float] = QUANTILES,
     max_depth: int = 5,
     seed: int = 42,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
     """K3: quantile leaves.  One MLlib regression tree on all groups at once (the
-    group columns are features), then exact quantiles of the training targets in
-    each leaf (skew-safe order statistics) — a leaf is the conditional distribution.
-    Test rows read the quantiles of their leaf.  Returns ``keys_out, q, pred``."""
-    va = VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="skip")
+    group columns are features; ``categories`` are indexed, an unseen value is a class of
+    its own), then exact quantiles of the training targets in each leaf (skew-safe order
+    statistics) — a leaf is the conditional distribution.  A null feature takes the
+    feature's training mean, so every test row gets its leaf's quantiles; training rows
+    without target are left out.  Returns ``keys_out, q, pred``."""
+    means = train.agg(*[F.avg(c).alias(c) for c in features]).first()
+    fill = {c: float(means[c] if means[c] is not None else 0.0) for c in features}
+    train, test = train.where(F.col(y).isNotNull()).fillna(fill), test.fillna(fill)
+    for c in categories:
+        ix = StringIndexer(inputCol=c, outputCol=f"_ix_{c}", handleInvalid="keep").fit(train)
+        train, test = ix.transform(train), ix.transform(test)
+    va = VectorAssembler(inputCols=[*features, *[f"_ix_{c}" for c in categories]], outputCol="_fv", handleInvalid="error")
     tr = va.transform(train)
     model = DecisionTreeRegressor(featuresCol="_fv", labelCol=y, maxDepth=max_depth, seed=seed, leafCol="leaf").fit(tr)
     leaves = model.transform(tr).select("leaf", y)

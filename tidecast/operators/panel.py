@@ -33,7 +33,11 @@ def eval_slice(df: DataFrame, ts: str, start, end, closed: bool = False) -> Data
     return df.where((F.col(ts) >= F.lit(start)) & cond)
 
 
-def to_local(ts: Column | str, tz: str = "Europe/Oslo") -> Column:
+#: Fixed: the zones of the study keep this wall clock.
+LOCAL_TZ = "Europe/Oslo"
+
+
+def to_local(ts: Column | str, tz: str = LOCAL_TZ) -> Column:
     """Naive timestamps are UTC; convert to local wall-clock time (NTZ)."""
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts) if isinstance(ts, str) else ts)
 
@@ -67,16 +71,18 @@ def daily_spine(start, end) -> Column:
     return F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY")))
 
 
-def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
-    """Hour, day of week (Monday = 0) and month."""
+def calendar_parts(df: DataFrame, ts: str, tz: str = LOCAL_TZ) -> DataFrame:
+    """Hour, day of week (Monday = 0) and month of the local time."""
+    local = to_local(ts, tz)
     return df.withColumns(
-        {"hour": F.hour(ts), "day_of_week": F.weekday(F.col(ts)), "month": F.month(ts)}
+        {"hour": F.hour(local), "day_of_week": F.weekday(local), "month": F.month(local)}
     )
 
 
-def time_features(df: DataFrame, ts: str) -> DataFrame:
-    """Cyclical encodings and the weekend flag."""
-    h, d, m = F.hour(ts), F.weekday(F.col(ts)), F.month(ts)
+def time_features(df: DataFrame, ts: str, tz: str = LOCAL_TZ) -> DataFrame:
+    """Cyclical encodings and the weekend flag of the local time."""
+    local = to_local(ts, tz)
+    h, d, m = F.hour(local), F.weekday(local), F.month(local)
     two_pi = 2 * math.pi
     return df.withColumns(
         {
@@ -236,9 +242,9 @@ def hashed_split(keys: Sequence[str], seed: int, train_pct: int = 80) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100)) < train_pct
 
 
-def daily_arrays(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+def daily_arrays(df: DataFrame, keys: Sequence[str], ts: str, value: str, tz: str = LOCAL_TZ) -> DataFrame:
     """Per (keys, local date) the values ordered by time (a day is <= 25 rows)."""
-    return df.groupBy(*keys, F.to_date(ts).alias("date")).agg(
+    return df.groupBy(*keys, F.to_date(to_local(ts, tz)).alias("date")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(ts, value))), lambda s: s[value]).alias("values")
     )
 

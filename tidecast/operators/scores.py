@@ -124,9 +124,9 @@ def hourly_scores(
     return j.select(*cols)
 
 
-def daily_metrics(hourly: DataFrame, day_keys: Sequence[str], pinball_levels: Sequence[float] = PINBALL_LEVELS) -> DataFrame:
+def daily_metrics(hourly: DataFrame, day_keys: Sequence[str], pinball_levels: Sequence[float] = PINBALL_LEVELS, hours: int = 24) -> DataFrame:
     """Per day: mean CRPS over hours, MAE, RMSE (per day), pinball per level and
-    their mean, Winkler."""
+    their mean, Winkler.  Days that have not exactly ``hours`` hours are skipped."""
     pb = [f"pinball_{level_name(q)}" for q in pinball_levels]
     agg = hourly.groupBy(*day_keys).agg(
         F.count(F.lit(1)).alias("hours"),
@@ -135,7 +135,7 @@ def daily_metrics(hourly: DataFrame, day_keys: Sequence[str], pinball_levels: Se
         F.sqrt(F.avg("sq_err")).alias("rmse"),
         *[F.avg(c).alias(c) for c in pb],
         F.avg("winkler").alias("winkler"),
-    )
+    ).where(F.col("hours") == hours)
     mean_pb = sum((F.col(c) for c in pb), F.lit(0.0)) / len(pb)
     return agg.withColumn("pinball_mean", mean_pb)
 

@@ -31,7 +31,8 @@ _DEC = [
                        WHEN 'point' THEN coalesce(f.mean, f.median) > s.threshold
                        WHEN 'prob_threshold' THEN ({_PEXC}) >= s.prob
                        WHEN 'expected_value' THEN coalesce(f.mean, f.median) - s.da_price > 0
-                       WHEN 'cvar' THEN coalesce(f.mean, f.median) - s.risk * (coalesce(f.mean, f.median) - f.q95) > s.da_price
+                       WHEN 'cvar' THEN coalesce(f.mean, f.median) - s.risk * (coalesce(f.mean, f.median) - coalesce(
+                           CASE s.alpha WHEN 0.05 THEN f.q05 WHEN 0.25 THEN f.q25 WHEN 0.75 THEN f.q75 WHEN 0.95 THEN f.q95 END, f.mean, f.median)) > s.da_price
                        ELSE false END AS bid
     FROM forecast_wide f JOIN strategies s ON s.model = f.model""",
     ),

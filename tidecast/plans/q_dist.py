@@ -251,24 +251,23 @@ def i10_raw_to_params(spark, sf):
 
 @query(
     "i11_ls_shrinkage",
-    with_fixtures(f"SELECT model, zone, hour, {r('scale * (1 - 0.5 * exp(-5.0 * abs(skewness)))', 'ls_scale')} FROM param_fc", "param_fc"),
+    with_fixtures(f"SELECT model, zone, hour, {r('scale * (1 - 0.5 * exp(-5.0 * abs(loc / scale)))', 'ls_scale')} FROM param_fc WHERE scale > 0", "param_fc"),
 )
 def i11_ls_shrinkage(spark, sf):
-    """I11 applied with the standardised skewness as the location proxy near zero."""
-    p = _params(spark, sf)
-    return rounded(p.select(*PK, dist.ls_shrink(F.col("scale"), F.col("skewness")).alias("ls_scale")))
+    """I11 on the location in units of the scale."""
+    p = _params(spark, sf).where("scale > 0")
+    return rounded(p.select(*PK, dist.ls_shrink(F.col("scale"), F.col("loc") / F.col("scale")).alias("ls_scale")))
 
 
 @query(
     "i12_normal_from_summary",
     with_fixtures(
         f"SELECT model, zone, date, hour, sample_id, {r('mean + std * ' + ppf_sql('u'), 'x')}"
-        f" FROM (SELECT *, i AS sample_id, (CAST(i AS DOUBLE) - 0.5) / {N_SAMPLES} AS u FROM forecast_wide, range(1, {N_SAMPLES + 1}) t(i))"
-        " WHERE date = DATE '2024-01-22'",
+        f" FROM (SELECT *, i AS sample_id, (CAST(i AS DOUBLE) - 0.5) / {N_SAMPLES} AS u FROM forecast_wide, range(1, {N_SAMPLES + 1}) t(i))",
         "forecast_wide",
     ),
 )
 def i12_normal_from_summary(spark, sf):
-    fw = fx.forecast_wide(spark, sf).where(F.col("date") == F.lit("2024-01-22").cast("date"))
+    fw = fx.forecast_wide(spark, sf)
     out = dist.expand(fw, ["model", "zone", "date", "hour"], N_SAMPLES, lambda u: dist.normal_quantile(u, F.col("mean"), F.col("std")))
     return rounded(out)

@@ -131,13 +131,13 @@ def e15_regional_gap(spark, sf):
 @query(
     "e16_zone_range",
     _qg_sql(
-        "SELECT model, "
+        "SELECT model, arg_min(zone, crps) AS best_zone, arg_max(zone, crps) AS worst_zone, "
         + ", ".join([r("avg(crps)", "mean_crps"), r("min(crps)", "min_crps"), r("max(crps)", "max_crps")])
         + " FROM qz GROUP BY model"
     ),
 )
 def e16_zone_range(spark, sf):
-    return rounded(scores.regional_gap(_zone_model(spark, sf)).select("model", "mean_crps", "min_crps", "max_crps"))
+    return rounded(scores.regional_gap(_zone_model(spark, sf)).select("model", "best_zone", "worst_zone", "mean_crps", "min_crps", "max_crps"))
 
 
 # ------------------------------------------------------------ validation pinball

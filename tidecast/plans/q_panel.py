@@ -99,11 +99,12 @@ _LAGS = ", ".join(
     f"lag({c}, {n}) OVER w AS {c}_{nm}" for nm, n in panel.LAG_HOURS.items() for c in NON_TARGET
 )
 _LAG_NAMES = [f"{c}_{nm}" for nm in panel.LAG_HOURS for c in NON_TARGET]
+_LT = "timezone('Europe/Oslo', timezone('UTC', ts))"  # local time of a UTC stamp
 _TIME_SQL = (
-    "sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos, "
-    "sin(2 * pi() * (isodow(ts) - 1) / 7) AS day_of_week_sin, cos(2 * pi() * (isodow(ts) - 1) / 7) AS day_of_week_cos, "
-    "sin(2 * pi() * (month(ts) - 1) / 12) AS month_sin, cos(2 * pi() * (month(ts) - 1) / 12) AS month_cos, "
-    "CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END AS is_weekend"
+    f"sin(2 * pi() * hour({_LT}) / 24) AS hour_sin, cos(2 * pi() * hour({_LT}) / 24) AS hour_cos, "
+    f"sin(2 * pi() * (isodow({_LT}) - 1) / 7) AS day_of_week_sin, cos(2 * pi() * (isodow({_LT}) - 1) / 7) AS day_of_week_cos, "
+    f"sin(2 * pi() * (month({_LT}) - 1) / 12) AS month_sin, cos(2 * pi() * (month({_LT}) - 1) / 12) AS month_cos, "
+    f"CASE WHEN isodow({_LT}) >= 6 THEN 1.0 ELSE 0.0 END AS is_weekend"
 )
 _FEAT = [
     ("lagged", f"SELECT *, {_LAGS}, row_number() OVER w AS rn FROM hourly WINDOW w AS (PARTITION BY zone ORDER BY ts)"),
@@ -172,8 +173,8 @@ def b8_full_blocks(spark, sf):
 @query(
     "c2_calendar_parts",
     with_fixtures(
-        "SELECT zone, ts, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,"
-        " CAST(month(ts) AS INTEGER) AS month FROM hourly",
+        f"SELECT zone, ts, CAST(hour({_LT}) AS INTEGER) AS hour, CAST(isodow({_LT}) - 1 AS INTEGER) AS day_of_week,"
+        f" CAST(month({_LT}) AS INTEGER) AS month FROM hourly",
         "hourly",
     ),
 )
@@ -192,7 +193,7 @@ def c3_cyclical_features(spark, sf):
     return rounded(panel.time_features(_hourly(spark, sf).select("zone", "ts"), "ts").select("zone", "ts", *_TF[:-1]))
 
 
-@query("c4_weekend_flag", with_fixtures(f"SELECT zone, ts, {r('CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END', 'is_weekend')} FROM hourly", "hourly"))
+@query("c4_weekend_flag", with_fixtures(f"SELECT zone, ts, {r('CASE WHEN isodow(' + _LT + ') >= 6 THEN 1.0 ELSE 0.0 END', 'is_weekend')} FROM hourly", "hourly"))
 def c4_weekend_flag(spark, sf):
     return rounded(panel.time_features(_hourly(spark, sf).select("zone", "ts"), "ts").select("zone", "ts", "is_weekend"))
 
@@ -410,7 +411,7 @@ def c18_hashed_split(spark, sf):
 @query(
     "c19_daily_arrays",
     with_fixtures(
-        "SELECT zone, CAST(ts AS DATE) AS date, " + _fmt_list_sql("list(premium ORDER BY ts)") + " AS values FROM hourly GROUP BY 1, 2",
+        f"SELECT zone, CAST({_LT} AS DATE) AS date, " + _fmt_list_sql("list(premium ORDER BY ts)") + " AS values FROM hourly GROUP BY 1, 2",
         "hourly",
     ),
 )

@@ -64,7 +64,7 @@ SQL_SCORES = [
            sqrt(avg(sq_err)) AS rmse, avg(pinball_q10) AS pinball_q10, avg(pinball_q50) AS pinball_q50,
            avg(pinball_q90) AS pinball_q90, avg(winkler) AS winkler,
            (avg(pinball_q10) + avg(pinball_q50) + avg(pinball_q90)) / 3 AS pinball_mean
-    FROM hs GROUP BY model, run_id, zone, date""",
+    FROM hs GROUP BY model, run_id, zone, date HAVING count(*) = 24""",
     ),
 ]
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 CONF_ROWS_PER_BUCKET = "tidecast.rank.rowsPerBucket"
 CONF_BROADCAST_MAX_ROWS = "tidecast.broadcast.maxRows"
 
+CONF_BROADCAST_MAX_BYTES = "tidecast.broadcast.maxBytes"
+
+DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 
@@ -32,7 +35,8 @@ def broadcast_max_rows(spark: SparkSession) -> int:
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None = None, materialized: bool = False) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows and
+    ``tidecast.broadcast.maxBytes`` bytes of files.
 
     The frame is first materialized (see :func:`materialize`) so that the check and
     the later join read the same rows instead of computing them twice.  The check is
@@ -43,7 +47,8 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None, materialized: bo
     bound = max_rows if max_rows is not None else broadcast_max_rows(df.sparkSession)
     if not materialized:
         df = materialize(df)
-    if df.limit(bound + 1).count() <= bound:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) <= conf_int(df.sparkSession, CONF_BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_BYTES) and df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df
 
@@ -57,13 +62,15 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executors then re-read files instead of recomputing the lineage, and later
     scans get column pruning and filter pushdown.  (A written table, rather than
     ``Dataset.checkpoint``, keeps per-round cost flat in long iterative fits.)
-    Without a configured folder the frame is returned as is — Spark then recomputes
-    it per branch, which is correct, only slower.
+    Without a configured folder a local session (tests, a laptop) gets a scratch folder of
+    its own; a cluster session fails, as executors would not see such a folder.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     if base is None:
-        return df
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = ensure_local_checkpoint_dir(spark)
     path = os.path.join(base, "tidecast-tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -62,7 +62,7 @@ def write_report_csv(df: DataFrame, path: str, decimals: int = 2) -> None:
     """A (small, aggregated) report table as one CSV with fixed decimals."""
     out = df.select(
         *[
-            F.format_number(F.col(f.name), decimals).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+            F.format_string(f"%.{int(decimals)}f", F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
             for f in df.schema.fields
         ]
     )
