@@ -61,9 +61,9 @@ def temp_name(df: DataFrame, stem: str) -> str:
 
 # ------------------------------------------------------------------ bit filter
 
-#: Bits of the filter that keeps unneeded rows out of an exact join (1 MiB).  Its size is
-#: fixed; a fuller filter lets more rows through to that join, never fewer.
-FILTER_BITS = 1 << 23
+#: Most bits of a filter that keeps unneeded rows out of an exact join (8 MiB); smaller sets
+#: get smaller ones.  A fuller filter lets more rows through to that join, never fewer.
+FILTER_BITS = 1 << 26
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -77,21 +77,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix64(ids.astype(np.int64).view(np.uint64))
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter (two probes) of a long column as packed bits of fixed size.  Each
-    partition makes its own bits; Spark ORs them slice by slice, so the driver receives
-    one filter, not the ids."""
+    """A Bloom filter (two probes) of a long column as packed bits, 16 for a row up to
+    ``FILTER_BITS``.  ``df`` is a stored table.  Each partition makes its own bits; Spark
+    ORs them slice by slice, so the driver receives one filter, not the ids."""
     slice_bytes = 1 << 16
+    rows = df.select(F.col(column).cast("long").alias("id")).where("id is not null")
+    size = min(FILTER_BITS, max(1 << 19, 1 << (16 * rows.count()).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        bits = np.zeros(size, dtype=bool)
         for b in batches:
-            for s in _slots(b.column(0).to_numpy(zero_copy_only=False)):
+            for s in _slots(b.column(0).to_numpy(zero_copy_only=False), size):
                 bits[s] = True
         packed = np.packbits(bits)
         parts = [(i, packed[i : i + slice_bytes]) for i in range(0, len(packed), slice_bytes)]
@@ -104,16 +106,15 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
             out |= np.frombuffer(p, np.uint8)
         return pdf.head(1)[["at"]].assign(bits=out.tobytes())
 
-    rows = df.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(build, "at long, bits binary").groupBy("at").applyInPandas(merge, "at long, bits binary").collect()
-    packed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in rows:
+    packed = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows.mapInArrow(build, "at long, bits binary").groupBy("at").applyInPandas(merge, "at long, bits binary").collect():
         packed[r["at"] : r["at"] + slice_bytes] = np.frombuffer(r["bits"], np.uint8)
     return packed
 
 
 def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the filter; an id that was put in always is."""
-    a, b = _slots(ids)
+    a, b = _slots(ids, 8 * len(packed))
     hit = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
     return (hit(a) & hit(b)).astype(bool)
 

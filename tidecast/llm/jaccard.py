@@ -8,7 +8,7 @@ counted in every fragment by itself and the partial counts are summed per pair.
    rows) gives each n-gram a frequency class; the order is (class, hash).  Any global
    order gives the same result; this one keeps frequent passages out of step 2.
 2. *Candidates.*  Two sets of Jaccard >= t share n-grams among the first n - ceil(t n) + 1
-   of each, and at least as many as :func:`_pairs` works out.  Only those prefixes are
+   of each, and at least as many as :func:`_least` works out.  Only those prefixes are
    shuffled, as (n-gram, document) rows.
 3. *Stars first.*  In each n-gram's bucket every member is compared with one centre.  Copies
    of one text are then one component, and only pairs of a bucket that lie in different
@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -155,20 +155,23 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     return stored(docs.mapInArrow(run, "token long, id long, n int, pos int"), "prefix")
 
 
-def _pairs(met: DataFrame, percent: int, share: int = 1) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of ``met`` (xid, xn, yid, yn; a row per shared n-gram of
-    the two prefixes, in either order) that can reach the threshold: sizes within it, and
-    enough shared prefix n-grams.
+def _least(percent: int, a: str, b: str) -> F.Column:
+    """How many prefix n-grams two sets of sizes ``a`` and ``b`` share at least if they reach
+    the threshold; null for sizes that cannot.
 
-    A pair over the threshold shares at least o = ceil(t (na + nb) / (1 + t)) n-grams, so at
-    most n - o of a set are not shared, and the j-th shared one stands at most at place
-    n - o + j of the set.  Both prefixes therefore hold the first min over both sets of
-    prefix - (n - o) shared n-grams; a pair with fewer (times 1 / ``share``) is left out."""
+    They share at least o = ceil(t (a + b) / (1 + t)) n-grams, so at most size - o of a set
+    are not shared, and the j-th shared one stands at most at place size - o + j of the set.
+    Both prefixes therefore hold the first min over both sets of prefix - (size - o)."""
+    total, most = F.col(a).cast("long") + F.col(b), F.greatest(a, b).cast("long")
+    least = F.ceil(total * percent / F.lit(100 + percent)) - F.ceil(most * percent / F.lit(100)) + 1
+    return F.when(F.least(a, b).cast("long") * 100 >= most * percent, least)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, c) of ``met`` (xid, xn, yid, yn), and how often each was met."""
     x = F.col("xid") < F.col("yid")
-    p = met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), F.when(x, F.col("xn")).otherwise(F.col("yn")).cast("long").alias("na"), F.when(x, F.col("yn")).otherwise(F.col("xn")).cast("long").alias("nb"), "token")
-    p = p.where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) + 1
-    return p.where(F.col("c") * share >= least).select("a", "b", "na", "nb")
+    p = met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), F.when(x, F.col("xn")).otherwise(F.col("yn")).cast("long").alias("na"), F.when(x, F.col("yn")).otherwise(F.col("xn")).cast("long").alias("nb"))
+    return p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
 def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
@@ -211,9 +214,22 @@ def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> Da
     return stored(whole.where((100 * F.col("o")) >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b").distinct(), "links")
 
 
-def _members(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Members of buckets by class representative instead of row id."""
-    return members.join(nodes.where("digest is not null").select("id", "rep").distinct(), "id").select("token", F.col("rep").alias("id"), "n").distinct()
+def _members(nodes: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(token, id, n, pos, s, r) of the n-grams that several prefixes hold, by class
+    representative; s: how many a prefix has, r: which of them this is.  A bit filter drops the bulk of the prefixes, n-grams of one document,
+    before the exact join."""
+    shared = stored(prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
+    bits = prefix.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(bits.value, b.column(0).to_numpy())))
+
+    rep = nodes.where("digest is not null").select("id", "rep").distinct()
+    got = prefix.mapInArrow(some, "token long, id long, n int, pos int").join(shared, "token").join(rep, "id")
+    got = got.groupBy("rep", "token", "n").agg(F.min("pos").alias("pos")).withColumnRenamed("rep", "id")
+    own = Window.partitionBy("id")  # the shared n-grams of one prefix
+    return stored(got.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("pos", "token"))), "members")
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -226,27 +242,24 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     nodes = stored(rows.join(reps, "digest", "left").select("id", "n", "digest", F.coalesce("rep", "id").alias("rep")), "nodes")
 
     prefix = _prefixes(docs, order, k, percent)
+    members = _members(nodes, prefix)
     by = F.col("pos").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    buckets = prefix.groupBy("token").agg(F.count("*").alias("m"), F.min_by("id", by).alias("cid"), F.min_by("n", by).alias("cn")).where("m > 1")
-    buckets = stored(buckets, "buckets")
-    members = stored(_members(nodes, prefix.join(buckets.select("token"), "token")), "members")
-
-    rep = nodes.where("digest is not null").select(F.col("id").alias("cid"), F.col("rep").alias("crep")).distinct()
-    centres = buckets.join(rep, "cid").select("token", F.col("crep").alias("yid"), F.col("cn").alias("yn"))
-    stars = members.select("token", F.col("id").alias("xid"), F.col("n").alias("xn")).join(centres, "token").where("xid <> yid")
-    links = _links(docs, _pairs(stars, percent, STAR_SHARE), order, k, percent)
+    centres = members.groupBy("token").agg(F.count("*").alias("m"), F.min_by("id", by).alias("yid"), F.min_by("n", by).alias("yn"), F.min_by("s", by).alias("ys")).where("m > 1")
+    stars = members.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), F.col("s").alias("xs")).join(centres, "token").where("xid <> yid").where(F.least("xs", "ys") >= _least(percent, "xn", "yn"))
+    links = _links(docs, _pairs(stars).where(F.col("c") * STAR_SHARE >= _least(percent, "na", "nb")).drop("c"), order, k, percent)
 
     # Buckets whose members are in several components: compare the members outside the
-    # largest component with everything of another component.
+    # largest component with everything of another component.  Two prefixes that share c of
+    # their s shared n-grams meet at one of the first s - c + 1 of both.
     comp = stored(components(links), "components")
-    placed = stored(members.join(comp, "id", "left").select("token", "id", "n", F.coalesce("component_id", "id").alias("comp")), "placed")
+    placed = stored(members.join(comp, "id", "left").select("token", "id", "n", "s", "r", F.coalesce("component_id", "id").alias("comp")), "placed")
     share = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.col("c")).alias("main")).where("comps > 1")
     open_ = placed.join(share.select("token", "main"), "token")
-    x = open_.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), F.col("comp").alias("xcomp"), (F.col("comp") == F.col("main")).alias("xmain"))
-    y = open_.select("token", F.col("id").alias("yid"), F.col("n").alias("yn"), F.col("comp").alias("ycomp"), (F.col("comp") == F.col("main")).alias("ymain"))
+    x = open_.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), (F.col("s") - F.col("r") + 1).alias("xleft"), F.col("comp").alias("xcomp"), (F.col("comp") == F.col("main")).alias("xmain"))
+    y = open_.select("token", F.col("id").alias("yid"), F.col("n").alias("yn"), (F.col("s") - F.col("r") + 1).alias("yleft"), F.col("comp").alias("ycomp"), (F.col("comp") == F.col("main")).alias("ymain"))
     x = x.where("not xmain").drop("xmain")
-    rest = x.join(y, "token").where("xcomp <> ycomp and (ymain or xid < yid)")
-    more = _links(docs, _pairs(rest, percent), order, k, percent)
+    rest = x.join(y, "token").where("xcomp <> ycomp and (ymain or xid < yid)").where(F.least("xleft", "yleft") >= _least(percent, "xn", "yn"))
+    more = _links(docs, _pairs(rest).drop("c"), order, k, percent)
     return nodes, links.unionByName(more)
 
 
