@@ -54,11 +54,19 @@ def test_min_members_skips(spark):
 def test_vertical_exceedance_is_mean_of_members(spark):
     _, s, _ = _samples(spark)
     th = 11.0
-    pool = scores.exceedance(ensemble.vertical(s, ["zone", "hour"]), ["zone", "hour"], threshold=th).where("hour = 0").first()
+    # members of unequal size count the same
+    pool = ensemble.mixture_stats(ensemble.vertical(s, ["zone", "hour"]), ["zone", "hour"], "x", (), (), threshold=th).where("hour = 0").first()
     per = scores.exceedance(s.where("hour = 0"), ["model"], threshold=th).collect()
     assert pool["up_prob"] == pytest.approx(np.mean([r["up_prob"] for r in per]))
 
 
+def test_vertical_gives_members_of_unequal_size_the_same_weight(spark):
+    rows = [("k", "a", 0.0)] * 10 + [("k", "b", 10.0)] * 1000 + [("only", "a", 1.0)]
+    s = spark.createDataFrame(rows, "key string, model string, x double")
+    got = ensemble.mixture_stats(ensemble.vertical(s, ["key"]), ["key"], "x", (0.4, 0.6), ("lo", "hi")).collect()
+    assert [(r["key"], round(r["mean"], 9), round(r["std"], 9), r["lo"], r["hi"], round(r["up_prob"], 9)) for r in got] == [("k", 5.0, 5.0, 0.0, 10.0, 0.5)]
+
+
 def test_ties_take_minimum_rank(spark):
     t = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 2.0)], "model string, crps double")
     ranks = {r["model"]: r["crps_rank"] for r in scores.rank_models(t, ["crps"]).collect()}

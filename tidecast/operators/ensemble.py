@@ -3,9 +3,9 @@
 * Horizontal (quantile averaging): each member's quantile function on a level grid,
   averaged level by level across members (optionally weighted), then read back by
   linear interpolation.
-* Vertical (mixture): the members' samples pooled; statistics of the pool are the
-  statistics of the equal-count mixture.  The reference resamples the pool at
-  random; the pool itself is the limit of that resampling, so no draw is made.
+* Vertical (mixture): the members' samples pooled with weights that give every member
+  the same share; the pool is the limit of drawing equally often from each member, so no
+  draw is made.
 
 Sampling from a quantile function uses the deterministic midpoint grid
 ``u_i = (i - 1/2) / n`` instead of uniform random draws, so results do not depend on
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
@@ -96,18 +96,62 @@ def sample_quantile_function(qf: DataFrame, keys: Sequence[str], n: int) -> Data
 
 
 def vertical(samples: DataFrame, keys: Sequence[str], member: str = "model", min_members: int = 2) -> DataFrame:
-    """The pooled samples of all members (equal-count mixture); keys with
-    fewer than ``min_members`` members are skipped."""
-    # distinct (key, member) pairs first, so the count is a small second aggregate
-    members = samples.select(*keys, member).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
-    ok = members.where(F.col("members") >= min_members).select(*keys)
-    # one row per key: broadcast after the size check, so the samples are not
+    """The pooled samples of all members with the weight ``w`` = 1 / (members x
+    samples of the member), so every member counts the same however many samples it has;
+    keys with fewer than ``min_members`` members are skipped."""
+    per = samples.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
+    members = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_members)
+    # one row per (key, member): broadcast after the size check, so the samples are not
     # shuffled by key (a hot key would otherwise land in one task)
-    return samples.join(sized_broadcast(ok), on=list(keys), how="left_semi")
+    weights = per.join(members, on=list(keys)).select(*keys, member, (1.0 / (F.col("_m") * F.col("_n"))).alias("w"))
+    return samples.join(sized_broadcast(weights), on=[*keys, member])
+
+
+def _moments(pool: DataFrame, keys: Sequence[str], value: str, *more: Column) -> DataFrame:
+    """Weighted mean and central moments 2 to 4 (two passes, as raw moments cancel)."""
+    x, w = F.col(value), F.col("w")
+    rows = pool.where(x.isNotNull())
+    mean = rows.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("_mx"))
+    d = x - F.col("_mx")
+    return rows.join(sized_broadcast(mean), on=list(keys)).groupBy(*keys).agg(
+        F.first("_mx").alias("mean"),
+        *[(F.sum(w * F.pow(d, k)) / F.sum(w)).alias(f"_m{k}") for k in (2, 3, 4)],
+        *more,
+    )
+
+
+def mixture_quantiles(pool: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Percentiles of the mixture: the smallest value whose cumulative weight reaches the
+    level.  Equal values of a key are one row before they are ordered."""
+    per = pool.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("w").alias("_w"))
+    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = per.withColumn("_c", F.sum("_w").over(up)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
+    at = [F.min(F.when(F.col("_c") >= F.col("_t") * q - 1e-9, F.col(value))).alias(nm) for q, nm in zip(levels, names)]
+    return cum.groupBy(*keys).agg(*at)
+
+
+def mixture_stats(pool: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """J2 on :func:`vertical`: mean, std, median and percentiles, exceedance probabilities
+    and state of the equal-weight mixture."""
+    from .scores import market_state
+
+    x, w = F.col(value), F.col("w")
+    p = lambda c: F.sum(F.when(c, w).otherwise(0.0)) / F.sum(w)
+    m = _moments(pool, keys, value, p(x > threshold).alias("up_prob"), p(x < -threshold).alias("down_prob"))
+    q = mixture_quantiles(pool, keys, value, [0.5, *levels], ["median", *names])
+    return m.join(q, on=list(keys)).withColumns({
+        "std": F.sqrt("_m2"),
+        "normal_prob": 1.0 - F.col("up_prob") - F.col("down_prob"),
+        "state": market_state(F.col("up_prob"), F.col("down_prob")),
+    })
+
+
+# Fixed: the clips of the moment fit.
+TAIL_CLIP, SKEW_CLIP, DEGREES, DEGREE_CLIP = 10.0, 10.0, 3.0, 5.0
 
 
 def fit_parameters(samples: DataFrame, keys: Sequence[str], value: str = "x") -> DataFrame:
-    """Moment fit of every family to samples.
+    """Moment fit of every family to samples (weighted by ``w`` if there is one).
 
     Normal ``loc = mean, scale = population std``; JSU adds
     ``tailweight = 1 + clip(kurtosis / 2, 0, 10)``, ``skewness = clip(skew, -10, 10)``;
@@ -115,24 +159,20 @@ def fit_parameters(samples: DataFrame, keys: Sequence[str], value: str = "x") ->
     (excess) kurtosis are population moments; when the spread is numerically zero
     they are undefined and taken as 0 (symmetric, tail 1, a = b = 3).  All moments are
     mergeable partial aggregates."""
-    x = F.col(value)
-    m = samples.where(x.isNotNull()).groupBy(*keys).agg(
-        F.avg(x).alias("loc"),
-        F.stddev_pop(x).alias("scale"),
-        F.skewness(x).alias("_sk"),
-        F.kurtosis(x).alias("_ku"),
-    )
+    rows = samples if "w" in samples.columns else samples.withColumn("w", F.lit(1.0))
+    m = _moments(rows, keys, value).select(*keys, F.col("mean").alias("loc"), F.sqrt("_m2").alias("scale"), "_m2", "_m3", "_m4")
     spread_ok = F.col("scale") > 1e-9 * (1 + F.abs(F.col("loc")))
-    sk = F.when(spread_ok, F.col("_sk"))
-    ku = F.when(spread_ok, F.col("_ku"))
+    sk = F.when(spread_ok, F.col("_m3") / F.pow("_m2", F.lit(1.5)))
+    ku = F.when(spread_ok, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3)
+    clip = lambda c, lo, hi: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(lo)), F.lit(hi))
     return m.select(
         *keys,
         "loc",
         "scale",
-        (1 + F.least(F.greatest(F.coalesce(ku, F.lit(0.0)) / 2, F.lit(0.0)), F.lit(10.0))).alias("tailweight"),
-        F.least(F.greatest(F.coalesce(sk, F.lit(0.0)), F.lit(-10.0)), F.lit(10.0)).alias("skewness"),
-        (3 + F.when(sk > 0, F.least(sk, F.lit(5.0))).otherwise(0.0)).alias("a"),
-        (3 + F.when(sk < 0, F.least(-sk, F.lit(5.0))).otherwise(0.0)).alias("b"),
+        (1 + clip(ku / 2, 0.0, TAIL_CLIP)).alias("tailweight"),
+        clip(sk, -SKEW_CLIP, SKEW_CLIP).alias("skewness"),
+        (DEGREES + clip(sk, 0.0, DEGREE_CLIP)).alias("a"),
+        (DEGREES + clip(-sk, 0.0, DEGREE_CLIP)).alias("b"),
     )
 
 

@@ -67,25 +67,42 @@ def j6_weighted_ensemble(spark, sf):
     return rounded(_h(spark, sf, WEIGHTS).select(*EK, "level_idx", "q", "value", "members"))
 
 
+# J2-J4 pool two members of unequal size that share no samples; at hour 3 one is absent.
+MEMBERS = ("early", "late")
+_MS = ("ms", "SELECT * FROM samples WHERE model IN ('early', 'late') AND NOT (model = 'late' AND hour = 3)")
 _POOL = [
-    (
-        "pool",
-        """SELECT * FROM samples WHERE (zone, hour) IN
-    (SELECT zone, hour FROM samples GROUP BY zone, hour HAVING count(DISTINCT model) >= 2)""",
-    )
+    _MS,
+    ("mn", "SELECT zone, hour, model, count(*) AS n FROM ms GROUP BY zone, hour, model"),
+    ("mk", "SELECT zone, hour, count(*) AS members FROM mn GROUP BY zone, hour HAVING count(*) >= 2"),
+    ("pool", "SELECT ms.*, 1.0 / (mk.members * mn.n) AS w FROM ms JOIN mn USING (zone, hour, model) JOIN mk USING (zone, hour)"),
+    ("pc", """SELECT zone, hour, x, sum(sum(w)) OVER (PARTITION BY zone, hour ORDER BY x) AS c,
+           sum(sum(w)) OVER (PARTITION BY zone, hour) AS t FROM pool GROUP BY zone, hour, x"""),
+    ("pq", "SELECT zone, hour, " + ", ".join(f"min(CASE WHEN c >= t * {q!r} - 1e-9 THEN x END) AS {nm}" for q, nm in zip((0.5, *J5_LEVELS), ("median", *J5_NAMES))) + " FROM pc GROUP BY zone, hour"),
+    ("pm", """SELECT zone, hour, any_value(mx) AS loc, sum(w * pow(x - mx, 2)) / sum(w) AS m2, sum(w * pow(x - mx, 3)) / sum(w) AS m3,
+           sum(w * pow(x - mx, 4)) / sum(w) AS m4, sum(CASE WHEN x > 0.5 THEN w ELSE 0.0 END) / sum(w) AS up_prob,
+           sum(CASE WHEN x < -0.5 THEN w ELSE 0.0 END) / sum(w) AS down_prob
+    FROM (SELECT *, sum(w * x) OVER (PARTITION BY zone, hour) / sum(w) OVER (PARTITION BY zone, hour) AS mx FROM pool) GROUP BY zone, hour"""),
 ]
 
 
+def _members(spark, sf):
+    return fx.samples(spark, sf).where(F.col("model").isin(*MEMBERS) & ~((F.col("model") == "late") & (F.col("hour") == 3)))
+
+
+def _pool(spark, sf):
+    return ensemble.vertical(_members(spark, sf), EK, "model")
+
+
 @query(
     "j3_member_check",
     with_fixtures(
-        "SELECT zone, hour, count(DISTINCT model) AS members, count(DISTINCT model) >= 2 AS kept FROM samples GROUP BY zone, hour",
+        "SELECT zone, hour, count(DISTINCT model) AS members, count(DISTINCT model) >= 2 AS kept FROM ms GROUP BY zone, hour",
         "samples",
+        local=[_MS],
     ),
 )
 def j3_member_check(spark, sf):
-    s = fx.samples(spark, sf)
-    m = s.groupBy(*EK).agg(F.countDistinct("model").alias("members"))
+    m = _members(spark, sf).groupBy(*EK).agg(F.countDistinct("model").alias("members"))
     return m.withColumn("kept", F.col("members") >= 2)
 
 
@@ -116,22 +133,27 @@ def _ens_stats(samples):
     return scores.forecast_stats(samples, EK, "x", J5_LEVELS, J5_NAMES).select(*EK, *_J5_COLS)
 
 
-@query("j2_vertical_stats", with_fixtures(_stats_sql("pool"), "samples", local=_POOL))
+@query(
+    "j2_vertical_stats",
+    with_fixtures(
+        "SELECT zone, hour, "
+        + ", ".join([r("loc", "mean"), r("median", "median"), r("sqrt(m2)", "std"), *[r(nm, nm) for nm in J5_NAMES], r("up_prob", "up_prob"), r("down_prob", "down_prob"), r("1.0 - up_prob - down_prob", "normal_prob")])
+        + ", CASE WHEN up_prob > down_prob THEN 'up_regulation' WHEN down_prob > up_prob THEN 'down_regulation' ELSE 'normal' END AS state FROM pm JOIN pq USING (zone, hour)",
+        "samples",
+        local=_POOL,
+    ),
+)
 def j2_vertical_stats(spark, sf):
-    return rounded(_ens_stats(ensemble.vertical(fx.samples(spark, sf), EK, "model")))
+    return rounded(ensemble.mixture_stats(_pool(spark, sf), EK, "x", J5_LEVELS, J5_NAMES).select(*EK, *_J5_COLS))
 
 
-_FIT = """SELECT zone, hour, loc, scale,
+_FIT = """SELECT zone, hour, loc, sqrt(m2) AS scale,
        1 + least(greatest(coalesce(ku, 0.0) / 2, 0.0), 10.0) AS tailweight,
        least(greatest(coalesce(sk, 0.0), -10.0), 10.0) AS skewness,
        3 + CASE WHEN sk > 0 THEN least(sk, 5.0) ELSE 0.0 END AS a,
        3 + CASE WHEN sk < 0 THEN least(-sk, 5.0) ELSE 0.0 END AS b
-FROM (SELECT zone, hour, loc, scale,
-             CASE WHEN scale > 1e-9 * (1 + abs(loc)) THEN m3 / pow(m2, 1.5) END AS sk,
-             CASE WHEN scale > 1e-9 * (1 + abs(loc)) THEN m4 / (m2 * m2) - 3 END AS ku
-      FROM (SELECT zone, hour, avg(x) AS loc, stddev_pop(x) AS scale, avg(pow(x - mx, 2)) AS m2,
-                   avg(pow(x - mx, 3)) AS m3, avg(pow(x - mx, 4)) AS m4
-            FROM (SELECT *, avg(x) OVER (PARTITION BY zone, hour) AS mx FROM pool) GROUP BY zone, hour))"""
+FROM (SELECT *, CASE WHEN sqrt(m2) > 1e-9 * (1 + abs(loc)) THEN m3 / pow(m2, 1.5) END AS sk,
+             CASE WHEN sqrt(m2) > 1e-9 * (1 + abs(loc)) THEN m4 / (m2 * m2) - 3 END AS ku FROM pm)"""
 
 
 @query(
@@ -143,7 +165,7 @@ FROM (SELECT zone, hour, loc, scale,
     ),
 )
 def j4_fit_parameters(spark, sf):
-    return rounded(ensemble.fit_parameters(ensemble.vertical(fx.samples(spark, sf), EK, "model"), EK))
+    return rounded(ensemble.fit_parameters(_pool(spark, sf), EK))
 
 
 _HS = [
