@@ -63,3 +63,20 @@ def test_quantiles_long_many_levels(spark, per_bucket):
     assert len(got) == len(want) * len(levels)
     for r in got:
         assert r["value"] == pytest.approx(want[r["key"]][2][r["level_idx"]], rel=1e-12, abs=1e-12)
+
+
+def test_buckets_stay_small_for_point_masses_and_outliers(spark):
+    """60 % zeros and one far outlier, a constant key: no bucket holds more than a small
+    multiple of the bound once equal values are one row."""
+    rng = np.random.default_rng(0)
+    rows = [("hot", 0.0)] * 3000 + [("hot", float(v)) for v in rng.normal(size=1999)] + [("hot", 1e9)] + [("flat", 2.5)] * 500
+    df = spark.createDataFrame(rows, "key string, x double")
+    ranked = orderstats.bucketed(df, ["key"], "x", per_bucket=100)
+    sizes = [r["count"] for r in ranked.groupBy("key", "_b").count().collect()]
+    assert max(sizes) <= 250 and len(sizes) >= 15
+    got = {r["key"]: r for r in orderstats.summary(df, ["key"], "x", (0.5, 0.99), ("q50", "q99"), per_bucket=100).collect()}
+    x = np.sort([v for k, v in rows if k == "hot"])
+    assert got["hot"]["q50"] == pytest.approx(np.quantile(x, 0.5)) and got["hot"]["q99"] == pytest.approx(np.quantile(x, 0.99))
+    i = np.arange(1, len(x) + 1)
+    assert got["hot"]["gini_sum"] == pytest.approx(((2 * i - len(x) - 1) * x).sum())
+    assert got["flat"]["gini_sum"] == pytest.approx(0.0) and got["flat"]["q50"] == 2.5

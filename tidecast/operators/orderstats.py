@@ -7,14 +7,14 @@ to one task, which fails when one key holds a large share of all rows.
 
 Plan used here instead:
 
-1. ``groupBy(key).agg(count, min, max)`` (partial aggregation, one row per key).
-2. Each row gets a *value bucket* ``b`` in ``[0, B_key)``, where
-   ``B_key = ceil(n_key / rows_per_bucket)`` and the buckets are equal-width slices of
-   ``[min, max]``.  The bucket is a monotone, deterministic function of the value, so
-   bucket ``b`` holds only values ``<=`` those of bucket ``b+1`` and ties share a bucket.
-   Re-execution after executor loss yields the same buckets.
-3. ``row_number() over (partition by key, b order by x)`` — each window partition is
-   bounded by ``rows_per_bucket`` (up to the value spread), never by the key size.
+1. ``groupBy(key, value).count()``: equal values collapse with partial aggregation, so a
+   point mass (zeros, a cap) is one row of weight ``_c``.
+2. Per key, approximate percentiles of its distinct values are the edges of value buckets:
+   equal counts whatever the distribution.  They are stored once, so a re-execution after
+   executor loss sees the same edges.  Bucket ``b`` holds only values ``<=`` those of
+   bucket ``b + 1``.
+3. Running counts over ``(key, bucket)`` ordered by value: each window partition holds
+   about ``rows_per_bucket`` distinct values, never the key's rows.
 4. Per-(key, bucket) summaries (count, sum, within-bucket order statistic sum) are
    small; running sums over buckets of a key give each bucket's rank offset.
 
@@ -38,22 +38,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, rows_per_bucket, sized_broadcast
 
-N, LO, HI, NB, B, R = "_n", "_lo", "_hi", "_nb", "_b", "_r"
+N, NB, B, R, C = "_n", "_nb", "_b", "_r", "_c"
+MAX_BUCKETS = 1024  # buckets per key at most; beyond that buckets grow
 DIRECT_LEVELS = 16  # up to this many levels are read by conditional aggregates
 
 
-def _key_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int) -> DataFrame:
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias(N),
-            F.min(value).alias(LO),
-            F.max(value).alias(HI),
-        )
-        .withColumn("_nbuckets", F.greatest(F.lit(1), F.ceil(F.col(N) / F.lit(per_bucket))).cast("long"))
-    )
-
-
 def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, int]:
     """Per-key row counts (non-null values, one row per key; lazy) and the largest of
     them (one row to the driver)."""
@@ -154,30 +143,28 @@ def summary(
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> DataFrame:
-    """Rows of ``df`` (non-null ``value`` only) with ``_n`` (group size), ``_b`` (value
-    bucket), ``_r`` (rank inside the bucket, 1-based) and ``_nb`` (bucket size)."""
+    """One row per distinct ``value`` of a key (null values left out): ``_c`` (how many rows
+    hold it), ``_n`` (group size), ``_b`` (value bucket), ``_r`` (rows before it in the
+    bucket) and ``_nb`` (rows in the bucket).
+
+    Equal values are counted first, with partial aggregation, so a point mass is one row.
+    Bucket edges are the key's approximate percentiles over its distinct values: buckets
+    hold about equally many rows whatever the distribution, one outlier included."""
     keys = list(keys)
     spark = df.sparkSession
     per_bucket = per_bucket or rows_per_bucket(spark)
-    rows = df.where(F.col(value).isNotNull())
-    stats = _key_stats(rows, keys, value, per_bucket)
-    # One row per key: broadcast only after the row bound is proven.
+    rows = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(C)))
+    widest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    parts = max(1, min(MAX_BUCKETS, -(-int(widest) // per_bucket)))
+    cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.first(F.array().cast("array<double>"))
+    stats = rows.groupBy(*keys).agg(F.sum(C).alias(N), cuts.alias("_cuts"))
+    # One row per key, stored (so every branch sees the same edges) and size-checked.
     joined = rows.join(sized_broadcast(stats), on=keys, how="inner")
-    width = F.col(HI) - F.col(LO)
-    bucket = (
-        F.when((F.col("_nbuckets") <= 1) | (width <= 0), F.lit(0))
-        .otherwise(
-            F.least(
-                F.col("_nbuckets") - 1,
-                F.floor((F.col(value) - F.col(LO)) / width * F.col("_nbuckets")),
-            )
-        )
-        .cast("long")
-    )
-    joined = joined.withColumn(B, bucket).drop(LO, HI, "_nbuckets")
-    w = Window.partitionBy(*keys, B).orderBy(F.col(value))
+    x = F.col(value)
+    joined = joined.withColumn(B, F.size(F.filter("_cuts", lambda e: e < x)).cast("long")).drop("_cuts")
     wall = Window.partitionBy(*keys, B)
-    ranked = joined.withColumn(R, F.row_number().over(w)).withColumn(NB, F.count(F.lit(1)).over(wall))
+    before = wall.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = joined.withColumn(R, F.coalesce(F.sum(C).over(before), F.lit(0))).withColumn(NB, F.sum(C).over(wall))
     # Read by the bucket summary and by the percentile lookup: materialize once.
     return materialize(ranked)
 
@@ -189,9 +176,9 @@ def bucket_summary(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFr
     x = F.col(value)
     summ = ranked.groupBy(*keys, B).agg(
         F.first(N).alias(N),
-        F.count(F.lit(1)).alias(NB),
-        F.sum(x).alias("_sb"),
-        F.sum((2 * F.col(R) - F.col(NB) - 1) * x).alias("_tb"),
+        F.sum(C).alias(NB),
+        F.sum(F.col(C) * x).alias("_sb"),
+        F.sum((2 * F.col(R) + F.col(C) - F.col(NB)) * F.col(C) * x).alias("_tb"),
     )
     before = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     return summ.withColumn("_off", F.coalesce(F.sum(NB).over(before), F.lit(0))).withColumn(
@@ -261,8 +248,9 @@ def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str, le
     loc = req.join(summ.select(*keys, B, NB, "_off"), on=keys, how="inner").where(
         (F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col(NB))
     )
-    loc = loc.select(*keys, B, (F.col("_rank") - F.col("_off")).alias(R), "_rank", "level_idx", "q", "_h")
-    hits = ranked.select(*keys, B, R, F.col(value).alias("_x")).join(loc, on=[*keys, B, R], how="inner")
+    loc = loc.select(*keys, B, (F.col("_rank") - F.col("_off")).alias("_local"), "_rank", "level_idx", "q", "_h")
+    holds = (F.col("_local") > F.col(R)) & (F.col("_local") <= F.col(R) + F.col(C))
+    hits = ranked.select(*keys, B, R, C, F.col(value).alias("_x")).join(loc, on=[*keys, B], how="inner").where(holds)
     lo_rank = F.floor("_h") + 1
     hi_rank = F.ceil("_h") + 1
     agg = hits.groupBy(*keys, "level_idx").agg(
