@@ -74,6 +74,13 @@ def heat_bands(df: DataFrame, keys: Sequence[str], value: str, by: Column) -> Da
     return df.groupBy(*keys, by.alias("band")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
 
 
+def heat_bands_of(df: DataFrame, keys: Sequence[str], value: str, bands: dict[str, Column]) -> DataFrame:
+    """E29 for several kinds of band in one pass: ``keys, kind, band`` (as text), mean, n."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("band")) for k, c in bands.items()])
+    long = df.select(*keys, value, F.inline(each))
+    return long.groupBy(*keys, "kind", "band").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
+
+
 def season(month: Column) -> Column:
     """Meteorological season of a month number."""
     return (

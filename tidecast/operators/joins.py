@@ -40,18 +40,17 @@ def trailing_window(
     """Every target date with the history rows in ``[t - days, t)``.
 
     Range condition made shuffle-friendly: each history day is replicated to the
-    ``ceil(days / bucket) + 1`` coarse buckets that may need it, so the join is an
+    coarse buckets that hold its target days, at most ``ceil(days / bucket) + 1``, so the join is an
     equi-join on ``(keys, bucket)`` plus the exact range filter — never a nested
     loop.  ``bucket_days`` defaults to ``days``."""
     bd = bucket_days or days
-    span = days // bd + 1
     t = targets.withColumn("_bk", F.floor(F.unix_date(F.col(target_day)) / bd).cast("long"))
     h = history.withColumn(
         "_bk",
         F.explode(
             F.sequence(
-                F.floor(F.unix_date(F.col(history_day)) / bd).cast("long"),
-                F.floor(F.unix_date(F.col(history_day)) / bd).cast("long") + span,
+                F.floor((F.unix_date(F.col(history_day)) + 1) / bd).cast("long"),
+                F.floor((F.unix_date(F.col(history_day)) + days) / bd).cast("long"),
             )
         ),
     )

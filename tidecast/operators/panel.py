@@ -299,6 +299,14 @@ def kfold_ids(days: DataFrame, keys: Sequence[str], order: str, k: int) -> DataF
     return days.withColumn("fold", F.ntile(k).over(w))
 
 
+def expanding_splits(folds: DataFrame, k: int) -> DataFrame:
+    """Split ``s`` of 1..k-1 trains on folds 1..s and validates on fold s + 1; a row
+    per split that uses the fold."""
+    splits = F.sequence(F.greatest(F.col("fold") - 1, F.lit(1)), F.lit(k - 1))
+    rows = folds.withColumn("split", F.explode(splits))
+    return rows.withColumn("role", F.when(F.col("fold") <= F.col("split"), F.lit("train")).otherwise(F.lit("validate")))
+
+
 def three_way_split(ts: Column, val_start, test_start) -> Column:
     """C26: 'train' / 'val' / 'test' by date."""
     return (

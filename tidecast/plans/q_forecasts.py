@@ -279,13 +279,21 @@ def e24_spike_week(spark, sf):
 @query(
     "e29_heat_bands",
     with_fixtures(
-        f"SELECT model, CAST(hour AS INTEGER) AS band, {r('avg(crps)', 'crps')}, count(*) AS n FROM qh GROUP BY model, hour",
+        " UNION ALL ".join(
+            f"SELECT model, '{kind}' AS kind, CAST({band} AS VARCHAR) AS band, {r('avg(crps)', 'crps')}, count(*) AS n FROM qh GROUP BY model, {band}"
+            for kind, band in (
+                ("hour", "CAST(hour AS INTEGER)"),
+                ("day_of_week", "CAST(isodow(date) - 1 AS INTEGER)"),
+                ("season", "CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) IN (3, 4, 5) THEN 'spring' WHEN month(date) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END"),
+            )
+        ),
         "forecast_wide",
         local=_QG,
     ),
 )
 def e29_heat_bands(spark, sf):
-    return rounded(calibration.heat_bands(_grid_hourly(spark, sf), ["model"], "crps", F.col("hour")))
+    bands = {"hour": F.col("hour").cast("int"), "day_of_week": F.weekday("date"), "season": calibration.season(F.month("date"))}
+    return rounded(calibration.heat_bands_of(_grid_hourly(spark, sf), ["model"], "crps", bands))
 
 
 @query(

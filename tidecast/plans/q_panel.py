@@ -515,14 +515,16 @@ def c24_minmax_scaling(spark, sf):
 @query(
     "c25_kfold",
     with_fixtures(
-        "SELECT zone, date, CAST(ntile(6) OVER (PARTITION BY zone ORDER BY date) AS INTEGER) AS fold"
-        " FROM (SELECT DISTINCT zone, CAST(ts AS DATE) AS date FROM hourly)",
+        "SELECT zone, split, date, fold, CASE WHEN fold <= split THEN 'train' ELSE 'validate' END AS role"
+        " FROM f JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS split) ON fold <= split + 1",
         "hourly",
+        local=[("f", "SELECT zone, date, CAST(ntile(6) OVER (PARTITION BY zone ORDER BY date) AS INTEGER) AS fold"
+                " FROM (SELECT DISTINCT zone, CAST(ts AS DATE) AS date FROM hourly)")],
     ),
 )
 def c25_kfold(spark, sf):
     days = _hourly(spark, sf).select("zone", F.to_date("ts").alias("date")).distinct()
-    return panel.kfold_ids(days, ["zone"], "date", 6)
+    return panel.expanding_splits(panel.kfold_ids(days, ["zone"], "date", 6), 6).select("zone", "split", "date", "fold", "role")
 
 
 @query(
