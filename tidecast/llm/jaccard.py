@@ -174,6 +174,14 @@ def _pairs(met: DataFrame) -> DataFrame:
     return p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
+def _sharing(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share as many n-grams as the threshold implies.  A list holds
+    the shared n-grams of one prefix."""
+    lists = stored(members.groupBy("id").agg(F.collect_list("token").alias("tokens")), "lists")
+    both = pairs.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= _least(percent, "na", "nb")).select("a", "b", "na", "nb")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold: overlaps per fragment, summed."""
     pairs = stored(pairs, "pairs")
@@ -259,7 +267,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     y = open_.select("token", F.col("id").alias("yid"), F.col("n").alias("yn"), (F.col("s") - F.col("r") + 1).alias("yleft"), F.col("comp").alias("ycomp"), (F.col("comp") == F.col("main")).alias("ymain"))
     x = x.where("not xmain").drop("xmain")
     rest = x.join(y, "token").where("xcomp <> ycomp and (ymain or xid < yid)").where(F.least("xleft", "yleft") >= _least(percent, "xn", "yn"))
-    more = _links(docs, _pairs(rest).drop("c"), order, k, percent)
+    more = _links(docs, _sharing(_pairs(rest).drop("c"), members, percent), order, k, percent)
     return nodes, links.unionByName(more)
 
 
