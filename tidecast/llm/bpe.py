@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Units remembered per Python worker (not a bound on the data: the memory is emptied and refilled).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 # The split patterns of the two public tokenizer files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -63,14 +63,21 @@ class Ids(dict):
 
     def _merged(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1")
-        if not (self.words and piece.isascii()):
+        if not piece.isascii():
             letters = letters.translate(self.letters)
+        elif piece[0] == " ":
+            letters = "\u0120" + piece[1:]  # the letter of a space; other plain bytes stand for themselves
         out = self.known[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         return out
 
     def __missing__(self, unit: str) -> bytes:
         if _PLAIN.fullmatch(unit) and "<|" not in unit:
-            out = b"".join([self.known.get(p) or self._merged(p) for p in self.pieces(unit.lower() if self.words else unit)])
+            if self.words:
+                unit_ = unit.lower()
+                pieces = (unit_,) if unit_.isalpha() else self.pieces(unit_)
+            else:
+                pieces = (unit,) if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else self.pieces(unit)
+            out = b"".join([self.known.get(p) or self._merged(p) for p in pieces])
         else:
             out = self._whole(unit)
         self[unit] = out
