@@ -242,9 +242,10 @@ def hashed_split(keys: Sequence[str], seed: int, train_pct: int = 80) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100)) < train_pct
 
 
-def daily_arrays(df: DataFrame, keys: Sequence[str], ts: str, value: str, tz: str = LOCAL_TZ) -> DataFrame:
-    """Per (keys, local date) the values ordered by time (a day is <= 25 rows)."""
-    return df.groupBy(*keys, F.to_date(to_local(ts, tz)).alias("date")).agg(
+def daily_arrays(df: DataFrame, keys: Sequence[str], ts: str, value: str, tz: str | None = None) -> DataFrame:
+    """Per (keys, local date) the values ordered by time (a day is <= 25 rows).
+    ``ts`` is local time already, or UTC where ``tz`` names the zone to convert to."""
+    return df.groupBy(*keys, F.to_date(to_local(ts, tz) if tz else F.col(ts)).alias("date")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(ts, value))), lambda s: s[value]).alias("values")
     )
 

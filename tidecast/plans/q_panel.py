@@ -416,7 +416,7 @@ def c18_hashed_split(spark, sf):
     ),
 )
 def c19_daily_arrays(spark, sf):
-    d = panel.daily_arrays(_hourly(spark, sf), ["zone"], "ts", "premium")
+    d = panel.daily_arrays(_hourly(spark, sf), ["zone"], "ts", "premium", panel.LOCAL_TZ)
     return d.select("zone", "date", _fmt_list(F.col("values")).alias("values"))
 
 
