@@ -43,6 +43,7 @@ from .shingles import shingle_sets
 SKETCH = 1 << 20  # counters
 SLICE = 1 << 14  # counters per row while they are summed
 FRAGMENTS = 8
+OFTEN = 8  # prefixes that hold an n-gram before it is put last in the order
 #: The first comparison, with one centre per n-gram, takes pairs that share this part of what
 #: they must (they may share the rest under other centres); the second takes the bound itself.
 STAR_SHARE = 4
@@ -66,6 +67,7 @@ class Order:
         usual = max(1.0, float(np.median(counts)))
         self.level[some] = np.clip(np.ceil(2 * np.log2(np.maximum(counts[some] / (1.5 * usual), 1.0))), 0, 255).astype(np.uint8)
         self.alone = counts <= 1
+        self.often: np.ndarray | None = None  # bit filter of n-grams put last, see _linked
         mass = np.bincount(self.level, weights=counts, minlength=256)
         self.before = np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1.0)
 
@@ -73,6 +75,8 @@ class Order:
         """Hashes in the global order, their fragments, and which may occur elsewhere too."""
         slot = _slot(h)
         level = self.level[slot]
+        if self.often is not None:
+            level = np.where(in_filter(self.often, h.view(np.int64)), np.uint8(255), level)
         order = np.argsort(level, kind="stable")  # h comes sorted
         h, level = h[order], level[order]
         place = self.before[level] + (self.before[level + 1] - self.before[level]) * (h.astype(np.float64) / 2.0**64)
@@ -244,11 +248,18 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     """(id, n, rep) per row, and the links between class representatives that matter."""
     spark = docs.sparkSession
     profile = _profile(docs, k)
-    order = spark.sparkContext.broadcast(_order(profile))
+    order = _order(profile)
     rows = profile.where("at is null").select("id", "n", "digest")
     reps = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = stored(rows.join(reps, "digest", "left").select("id", "n", "digest", F.coalesce("rep", "id").alias("rep")), "nodes")
 
+    # The sketch cannot tell n-grams of a few dozen documents from single ones.  Those that a
+    # first round of prefixes shows are put last too, and the prefixes made again; any fixed
+    # order is exact, so the filter's false positives do no harm.
+    first = _prefixes(docs, spark.sparkContext.broadcast(order), k, percent)
+    often = stored(first.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= OFTEN).select("token"), "often")
+    order.often = bit_filter(often, "token")
+    order = spark.sparkContext.broadcast(order)
     prefix = _prefixes(docs, order, k, percent)
     members = _members(nodes, prefix)
     by = F.col("pos").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
