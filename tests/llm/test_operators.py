@@ -395,6 +395,16 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert {r.score for r in toxicity.score(frame, lab.limit(0)).collect()} == {0.0}
 
 
+def test_every_term_of_the_examples_counts(spark):
+    """A word that only one example holds finds that example."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    frame = docs_of(spark, [(i, f"plain text here rare{chr(97 + n // 26)}{chr(97 + n % 26)}" if n else "plain text quokka") for n, i in enumerate(ids)] + [(1000, "one quokka")])
+    lab = spark.createDataFrame([(i, 1, int(n < 9)) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame, toxicity.training_rows(lab))
+    assert {"plain", "quokk"} <= {t[:5] for t in index.terms} and len(index.ids) == len(ids)
+    assert toxicity.score(frame, lab).where("doc_id = 1000").first().evidence == [ids[0]]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     terms = [f"t{i}" for i in range(40)]

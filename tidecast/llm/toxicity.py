@@ -1,19 +1,20 @@
 """Toxicity scores from the nearest labelled examples.
 
-Exact TF-IDF cosine against a bounded set of labelled examples, found with a block-max
-inverted index; distance-weighted votes, calibrated on the examples themselves
+Exact TF-IDF cosine against a bounded set of labelled examples, found with an inverted
+index of the rarer terms and a length bound of the others; distance-weighted votes, calibrated on the examples themselves
 (each left out of its own vote).
 
 * Terms: words (runs of word characters, lower case) cut to their first five characters,
   the classic truncation stem.
 * Examples: at most ``MAX_EXAMPLES`` labelled rows, those with the smallest hash of their
   id (a bounded sample, the documented bound of the classifier).
-* Vector space: the terms that speak for the label, whose document frequency among toxic
-  examples is raised with a log-likelihood ratio of at least ``MIN_G2`` and a log odds
-  ratio of at least ``MIN_LOG_ODDS`` (terms that only follow a document's length are none).  Document frequencies behind the IDF are
-  counted over all documents.
-* A text without any such term has the zero vector, is nearest to nothing and gets the
-  rate of toxic examples among such texts.
+* Vector space: every term of the examples, weighted by TF-IDF, times 1 + G2 (log-likelihood
+  ratio) where the term is more frequent among toxic examples: no term is left out, and
+  terms that speak for the label count more.  Document frequencies
+  behind the IDF are counted over all documents.  A term that no example holds meets no
+  example; it counts in the length of a text's vector, like a term of one document.
+* A text without any term of the examples is nearest to nothing and gets the rate of toxic
+  examples among such texts.
 
 Null and empty texts have the zero vector.  Labels that are null are no labels; a document
 labelled twice is toxic if any of them says so.  Without any label the score is 0.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,7 @@ from .common import BROADCAST_ROWS, stored, temp_name
 MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
 BLOCK = 128
-MIN_G2 = 16.0
-MIN_LOG_ODDS = 2.0
+COMMON = 50  # terms in more than one of so many examples are common
 STEM = 5
 EVIDENCE = 3
 
@@ -55,55 +55,99 @@ def stems(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples as rows ordered by their vectors, postings per term cut into blocks of
-    ``BLOCK`` consecutive examples, and the largest weight of every term in every block."""
+    """Examples as rows ordered by their vectors, postings per term by row."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times relevance
+    unseen: float  # the same of a term that no example holds
     ids: np.ndarray  # example ids
     toxic: np.ndarray  # 0/1 per example
-    start: np.ndarray  # (terms, blocks + 1): where a block's postings of a term begin
+    offset: np.ndarray  # (terms + 1,): where a term's postings begin
     post: np.ndarray  # example rows, by term and row
     weight: np.ndarray
-    peak: np.ndarray  # (terms, blocks)
     base: float  # toxic rate of all examples
     blank: float  # toxic rate of examples with the zero vector
     knots: tuple[np.ndarray, np.ndarray]  # calibration: vote -> score
 
+    sent = None  # the index as a broadcast variable
+    _parts = None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("sent", "_parts")}
+
+    @property
+    def start(self) -> np.ndarray:
+        """(terms, blocks + 1): where the postings of a term in a block of ``BLOCK`` rows begin."""
+        edges = np.arange(-(-len(self.ids) // BLOCK) + 1) * BLOCK
+        return np.array([lo + np.searchsorted(self.post[lo:hi], edges) for lo, hi in zip(self.offset, self.offset[1:])]).reshape(-1, len(edges))
+
+    @property
+    def peak(self) -> np.ndarray:
+        """(terms, blocks): the largest weight of a term in a block."""
+        out = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK)))
+        np.maximum.at(out, (np.repeat(np.arange(len(self.terms)), np.diff(self.offset)), self.post // BLOCK), self.weight)
+        return out
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Column of every common term (-1: none), the examples' weights in these columns,
+        and the length of each example's common part."""
+        if self._parts is None:
+            common = np.flatnonzero(np.diff(self.offset) * COMMON > len(self.ids))
+            column = np.full(len(self.terms), -1, np.int32)
+            column[common] = np.arange(len(common))
+            dense = np.zeros((len(self.ids), len(common)), np.float32)
+            for c, j in enumerate(common):
+                lo, hi = self.offset[j], self.offset[j + 1]
+                dense[self.post[lo:hi], c] = self.weight[lo:hi]
+            self._parts = column, dense, np.sqrt(np.einsum("ij,ij->i", dense, dense, dtype=np.float64))
+        return self._parts
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector: (term numbers, weights); empty for the zero vector."""
-        t = np.array(sorted(self.terms[s] for s in counts), dtype=np.int64)
-        if not len(t):
-            return t, np.zeros(0)
-        by = {self.terms[s]: n for s, n in counts.items()}
-        w = (1.0 + np.log(np.array([by[x] for x in t], dtype=np.float64))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+        """Unit vector: (term numbers, weights of the examples' terms); empty if there are none."""
+        get = self.terms.get
+        t = np.array([get(s, -1) for s in counts], dtype=np.int64)
+        w = 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        known = t >= 0
+        w = w * np.where(known, self.idf[t] if len(self.idf) else 0.0, self.unseen)
+        w /= np.sqrt((w * w).sum()) or 1.0
+        t, w = t[known], w[known]
+        order = np.argsort(t)
+        return t[order], w[order]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly, ties by row.  Blocks are read
-        in falling order of their bound (weights times block peaks) until the bound is
-        below the k-th best cosine."""
-        bound = w @ self.peak[t]
-        order = np.argsort(-bound, kind="stable")
-        rows, cos, cut = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0.0 or bound[b] < cut - 1e-9:
-                break
-            got = np.zeros(BLOCK)
-            for j, x in zip(t, w):
-                lo, hi = self.start[j, b], self.start[j, b + 1]
-                if hi > lo:
-                    got[self.post[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            hit = np.flatnonzero(got)
-            rows, cos = np.concatenate([rows, hit + b * BLOCK]), np.concatenate([cos, got[hit]])
-            if skip >= 0 and (own := rows == skip).any():
-                rows, cos = rows[~own], cos[~own]
-            if len(rows) > k:
-                best = np.lexsort((rows, -np.round(cos, 12)))[:k]
-                rows, cos = rows[best], cos[best]
-            if len(rows) == k:
-                cut = cos.min()
-        best = np.lexsort((rows, -np.round(cos, 12)))
+        """The k examples of largest cosine above 0, exactly, ties by row.  The rarer terms
+        are summed over their postings; the common ones add at most the product of both
+        common parts' lengths, so only rows whose bound reaches the k-th best cosine of
+        the first ones are compared in them."""
+        n = len(self.ids)
+        if not n or not len(t):
+            return np.zeros(0, np.int64), np.zeros(0)
+        column, dense, length = self.parts()
+        col = column[t]
+        rare, often = t[col < 0], col >= 0
+        partial = np.zeros(n)
+        if len(rare):
+            lo, hi = self.offset[rare], self.offset[rare + 1]
+            at = np.concatenate([self.post[a:b] for a, b in zip(lo, hi)])
+            partial = np.bincount(at, np.repeat(w[~often], hi - lo) * np.concatenate([self.weight[a:b] for a, b in zip(lo, hi)]), n)
+        col, q = col[often], w[often]
+        bound = partial + np.sqrt((q * q).sum()) * length
+        if skip >= 0:
+            bound[skip] = -1.0
+
+        def full(rows: np.ndarray) -> np.ndarray:
+            return partial[rows] + (dense[np.ix_(rows, col)].astype(np.float64) @ q if len(col) else 0.0)
+
+        rows = np.arange(n) if n <= 4 * k else np.argpartition(-bound, 4 * k)[: 4 * k]
+        cos = full(rows)
+        cut = np.partition(cos, -k)[-k] if len(rows) >= k else 0.0
+        more = bound >= cut - 1e-6
+        more[rows] = False
+        more = np.flatnonzero(more)
+        rows, cos = np.concatenate([rows, more]), np.concatenate([cos, full(more)])
+        some = (cos > 0) & (rows != skip)
+        rows, cos = rows[some], cos[some]
+        best = np.lexsort((rows, -np.round(cos, 12)))[:k]
         return rows[best], cos[best]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
@@ -117,8 +161,7 @@ class Index:
         return float(np.interp(vote, *self.knots))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        counts = Counter(s for s in stems(text) if s in self.terms)
-        t, w = self.vector(counts)
+        t, w = self.vector(Counter(stems(text)))
         if not len(t):
             return self.blank, np.zeros(0, np.int64), np.zeros(0)
         rows, cos = self.nearest(t, w)
@@ -147,51 +190,48 @@ def _g2(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2.0 * (part(a, have * na / n) + part(b, have * nb / n) + part(na - a, (n - have) * na / n) + part(nb - b, (n - have) * nb / n))
 
 
-def select_terms(terms: list[str], a: np.ndarray, n: np.ndarray, n_pos: int, n_all: int) -> set[str]:
-    """The terms that speak for the label: ``a`` of the ``n`` examples that hold a term are toxic."""
-    if not n_pos or n_pos == n_all or not terms:
-        return set()
-    b, neg = n - a, n_all - n_pos
-    odds = np.log((a + 0.5) / (n_pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
-    keep = (_g2(a, b, n_pos, neg) >= MIN_G2) & (odds >= MIN_LOG_ODDS)
-    return {t for t, k in zip(terms, keep) if k}
+def relevance(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+    """Weights from 1 up: 1 + G2 of a term that a of na toxic and b of nb other examples
+    hold where it is more frequent among the toxic ones, 1 elsewhere."""
+    if not na or not nb:
+        return np.ones(len(a))
+    return 1.0 + np.where(a * nb > b * na, np.maximum(_g2(a, b, na, nb), 0.0), 0.0)
 
 
-def build_index(examples: list[tuple[int, int, Counter]], df: dict[str, int], n_docs: int) -> Index:
-    """``examples``: (id, toxic, term counts over the selected terms); ``df``: document
-    frequency of the selected terms over all documents."""
+def build_index(examples: Iterable[tuple[int, int, Counter]], df: dict[str, int], n_docs: int) -> Index:
+    """``examples``: (id, toxic, term counts over the terms of ``df``); ``df``: document
+    frequency of the terms over all documents."""
     names = sorted(df)
-    terms = {s: i for i, s in enumerate(names)}
-    idf = np.log((1.0 + n_docs) / (1.0 + np.array([df[s] for s in names], dtype=np.float64))) + 1.0
-    toxic = np.array([y for _, y, _ in examples], dtype=np.float64)
-    base = (toxic.sum() + 0.5) / (len(examples) + 1.0) if len(examples) else 0.0
-    ix = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros((len(names), 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(names), 0)), base, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    vectors = [(i, y, *ix.vector(c)) for i, y, c in examples]
-    flat = [y for _, y, t, _ in vectors if not len(t)]
-    ix.blank = (sum(flat) + base) / (len(flat) + 1.0)
-    full = [v for v in vectors if len(v[2])]
-    full.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[2].tolist(), v[0]))  # alike examples share blocks
-    n_blocks = -(-len(full) // BLOCK)
-    ix.ids = np.array([v[0] for v in full], dtype=np.int64)
-    ix.toxic = np.array([v[1] for v in full], dtype=np.float64)
-    row = np.concatenate([np.full(len(v[2]), r) for r, v in enumerate(full)] or [np.zeros(0)]).astype(np.int64)
-    term = np.concatenate([v[2] for v in full] or [np.zeros(0)]).astype(np.int64)
-    weight = np.concatenate([v[3] for v in full] or [np.zeros(0)])
-    order = np.lexsort((row, term))
-    ix.post, ix.weight, term = row[order], weight[order], term[order]
-    edges = (np.arange(len(names))[:, None] * n_blocks + np.arange(n_blocks + 1)[None, :]).ravel()
-    ix.start = np.searchsorted(term * n_blocks + ix.post // BLOCK, edges).reshape(len(names), n_blocks + 1)
-    ix.peak = np.zeros((len(names), n_blocks))
-    np.maximum.at(ix.peak, (term, ix.post // BLOCK), ix.weight)
-    votes, truth = [], []
-    for r, v in enumerate(full):
-        rows, cos = ix.nearest(v[2], v[3], skip=r)
-        if len(rows):
-            votes.append(ix.vote(rows, cos))
-            truth.append(v[1])
-    if votes:
-        ix.knots = _rising(np.array(votes), np.array(truth, dtype=np.float64))
-    return ix
+    number = {s: i for i, s in enumerate(names)}
+    examples = list(examples)
+    row = [r for r, (_, _, c) in enumerate(examples) for _ in c]
+    term = [number[s] for _, _, c in examples for s in c]
+    n = [x for _, _, c in examples for x in c.values()]
+    ids, y = [i for i, _, _ in examples], [y for _, y, _ in examples]
+    return _index(*(np.array(x, np.int64) for x in (ids, y, row, term, n)), names, np.array([df[s] for s in names], np.float64), n_docs)
+
+
+def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, names: list[str], df: np.ndarray, n_docs: int) -> Index:
+    """From the examples' (id, toxic) and their (row, term, count)."""
+    a = np.bincount(term, toxic[row], len(names))
+    b = np.bincount(term, None, len(names)) - a
+    idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * relevance(a, b, int(toxic.sum()), int((1 - toxic).sum()))
+    w = (1.0 + np.log(n)) * idf[term]
+    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    base = float((toxic.sum() + 0.5) / (len(ids) + 1.0)) if len(ids) else 0.0
+    full = np.bincount(row, None, len(ids)) > 0
+    blank = float((toxic[~full].sum() + base) / ((~full).sum() + 1.0))
+    order = np.lexsort((-w, row))
+    first = np.zeros(len(ids), np.int64)  # the heaviest term: alike examples lie together
+    first[row[order][::-1]] = term[order][::-1]
+    order = np.lexsort((ids, first))
+    order = order[full[order]]
+    place = np.zeros(len(ids), np.int32)
+    place[order] = np.arange(len(order))
+    by = np.lexsort((place[row], term))
+    offset = np.concatenate([[0], np.cumsum(np.bincount(term, None, len(names)))]).astype(np.int64)
+    unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
+    return Index({s: i for i, s in enumerate(names)}, idf, unseen, ids[order], toxic[order].astype(np.float64), offset, place[row][by], w[by].astype(np.float32), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
 
 # ------------------------------------------------------------------ Spark
@@ -216,35 +256,61 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "stems": [list(x) for x in c], "n": [list(x.values()) for x in c]})
 
     seen = stored(rows.join(pick, "id").mapInPandas(listed, "id long, y int, stems array<string>, n array<int>"), "stems")
-    n_pos, n_all = (int(x or 0) for x in seen.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.count("*")).first())
-    per = seen.select("y", F.explode("stems").alias("s")).groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.count("*").alias("n")).where("n >= 4").toPandas()
-    chosen = select_terms(per["s"].tolist(), per["a"].to_numpy(float), per["n"].to_numpy(float), n_pos, n_all)
+    got = seen.orderBy("id", F.xxhash64("stems", "n")).toArrow()
+    words = got["stems"].combine_chunks().flatten().dictionary_encode()
+    sizes = got["stems"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    names = words.dictionary.to_pylist()
+    vocabulary = spark.sparkContext.broadcast(frozenset(names))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = Counter(), 0
+        total, n, known = Counter(), 0, vocabulary.value
         for pdf in batches:
             n += len(pdf)
             for t in pdf["text"]:
-                total.update(chosen.intersection(stems(t)))
+                total.update(known.intersection(stems(t)))
         yield pd.DataFrame({"s": [None, *total], "n": [n, *total.values()]})
 
-    df = {r["s"]: r["n"] for r in rows.select("text").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    df = rows.select("text").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(df["s"].to_pylist(), df["n"].to_pylist()))
     n_docs = int(df.pop(None, 0) or 0)
-    examples = []
-    names = sorted(chosen)
-    kept = seen.select("id", "y", F.filter(F.arrays_zip("stems", "n"), lambda x: x["stems"].isin(names)).alias("c")) if names else seen.select("id", "y", F.array().cast("array<struct<stems:string,n:int>>").alias("c"))
-    for r in kept.orderBy("id").toLocalIterator():
-        examples.append((r["id"], int(r["y"]), Counter({x["stems"]: x["n"] for x in r["c"]})))
-    return build_index(examples, {s: int(df.get(s, 0)) for s in names}, n_docs)
+    index = _index(
+        got["id"].to_numpy().astype(np.int64),
+        got["y"].to_numpy().astype(np.int64),
+        np.repeat(np.arange(len(sizes)), sizes),
+        words.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+        got["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+        names,
+        np.array([df.get(s, 0) for s in names], np.float64),
+        n_docs,
+    )
+    index.sent = model = spark.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix = model.value
+        at = {i: r for r, i in enumerate(ix.ids.tolist())}
+        for pdf in batches:
+            out = []
+            for i, y, s, n in zip(pdf["id"], pdf["y"], pdf["stems"], pdf["n"]):
+                near, cos = ix.nearest(*ix.vector(Counter(dict(zip(s, n)))), skip=at.get(i, -1))
+                if len(near):
+                    out.append((ix.vote(near, cos), float(y)))
+            yield pd.DataFrame(out, columns=["vote", "y"])
+
+    voted = seen.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(votes, "vote double, y double").orderBy("vote", "y").toPandas()  # at most a row per example
+    if len(voted):
+        index.knots = _rising(voted["vote"].to_numpy(), voted["y"].to_numpy())
+    return index
 
 
 def judge(docs: DataFrame, index: Index, text: str = "text") -> Column:
     """A column struct(score, evidence ids, evidence cosines) for each row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(index)
+    model = index.sent or docs.sparkSession.sparkContext.broadcast(index)
+    knots = index.knots  # fitted after the index was sent
 
     @pandas_udf("score double, evidence array<long>, cosines array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix = model.value
+        ix.knots = knots
         for s in batches:
             got = [ix.score(t) for t in s]
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [ix.ids[g[1]].tolist() for g in got], "cosines": [g[2].tolist() for g in got]})
