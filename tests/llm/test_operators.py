@@ -405,6 +405,13 @@ def test_every_term_of_the_examples_counts(spark):
     assert toxicity.score(frame, lab).where("doc_id = 1000").first().evidence == [ids[0]]
 
 
+def test_terms_are_whole():
+    assert len(set(toxicity.stems("moron Moroni trash trashumante pathetic pathetically"))) == 6
+    assert toxicity.stems("Parties dogs class bus és") == ["party", "dog", "class", "bus", "és"]
+    assert toxicity.stems("今天天气很好吗 สวัสดี x") == ["今天", "天天", "天气", "气很", "很好", "好吗", "สว", "วั", "ัส", "สด", "ดี", "x"]
+    assert toxicity.stems("हिन्दी") == ["हिन्दी"]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     terms = [f"t{i}" for i in range(40)]

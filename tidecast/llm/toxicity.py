@@ -4,8 +4,8 @@ Exact TF-IDF cosine against a bounded set of labelled examples, found with an in
 index of the rarer terms and a length bound of the others; distance-weighted votes, calibrated on the examples themselves
 (each left out of its own vote).
 
-* Terms: words (runs of word characters, lower case) cut to their first five characters,
-  the classic truncation stem.
+* Terms: whole words (runs of word characters and marks, lower case) without plural endings
+  (Harman's S-stemmer); overlapping pairs of characters in scripts without spaces.
 * Examples: at most ``MAX_EXAMPLES`` labelled rows, those with the smallest hash of their
   id (a bounded sample, the documented bound of the classifier).
 * Vector space: every term of the examples, weighted by TF-IDF, times 1 + G2 (log-likelihood
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -39,15 +40,41 @@ from .common import BROADCAST_ROWS, stored, temp_name
 MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
 BLOCK = 128
-COMMON = 50  # terms in more than one of so many examples are common
-STEM = 5
+COMMON = 8  # terms in more than one of so many examples are common
 EVIDENCE = 3
 
-_STEMS = re.compile(r"(\w{1,%d})\w*" % STEM).findall
+_WORDS = re.compile(r"\w+").findall
+_FURTHER = re.compile("[\u0300-\U0010ffff]").search  # may hold marks or unspaced scripts
+_MARKED = regex.compile(r"[\w\p{M}]+").findall
+# Fixed value: scripts written without spaces between words (Thai, Lao, Myanmar, Khmer, kana, ideographs).
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+)")
+
+
+def stem(word: str) -> str:
+    """Harman's S-stemmer: plural endings of words over three letters."""
+    if len(word) < 4 or word[-1] != "s" or word[-2] in "us":
+        return word
+    if word.endswith("ies") and word[-4] not in "ea":
+        return word[:-3] + "y"
+    return word[:-1]
 
 
 def stems(text: str | None) -> list[str]:
-    return _STEMS(text.lower()) if text else []
+    """The terms of a text: stems of whole words, and overlapping pairs of characters where
+    a script has no spaces."""
+    if not text:
+        return []
+    text = text.lower()
+    if not _FURTHER(text):
+        return [stem(w) if w[-1] == "s" else w for w in _WORDS(text)]
+    out = []
+    for w in _MARKED(text):
+        for i, part in enumerate(_UNSPACED.split(w)):
+            if i % 2 and len(part) > 1:
+                out += map("".join, zip(part, part[1:]))
+            elif part:
+                out.append(stem(part))
+    return out
 
 
 # ------------------------------------------------------------------ index
