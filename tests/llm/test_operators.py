@@ -76,6 +76,15 @@ def test_ids_equal_the_librarys(name):
         assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_end_a_segment(name):
+    ids = bpe.Ids(bpe.tokenizer_path(name))
+    for special in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|other|>", "<|"):
+        for before, after in itertools.product(("", " ", "  ", "\n\n", " \n\n ", "\t\t", "\u3000\u3000"), repeat=2):
+            t = f"a{before}{special}{after}b {special}{special}{before}"
+            assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def library(name, text, end=()):
     return np.array(bpe.Ids.load(bpe.tokenizer_path(name)).lib.encode(text or "", add_special_tokens=False).ids + list(end), "<u4")
 

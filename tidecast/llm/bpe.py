@@ -47,6 +47,8 @@ class Ids(dict):
         self.lib = Tokenizer.from_file(path)
         self.words = self.lib.normalizer is not None
         self.model = self.lib.model
+        special = {t.content for t in self.lib.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)", re.IGNORECASE).search
         self.pieces = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}  # by piece, as units share pieces
@@ -90,7 +92,9 @@ class Ids(dict):
         if len(self) > REMEMBERED:
             self.clear()
             self.known.clear()
-        if _ODD.search(text):  # separators on whose class the two regex engines differ
+        # Separators on whose class the two regex engines differ, and special strings: the
+        # library splits at these first, so the white space before one ends a segment.
+        if _ODD.search(text) or ("<" in text and self.special(text)):
             return self._whole(text)
         units = text.split() if self.words else _UNIT.findall(text)
         return b"".join(map(self.__getitem__, units))
