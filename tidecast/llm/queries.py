@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding, jaccard, language, lm, packing, tokencount, tokenfile, toxicity, urlrules
+from . import decontaminate, embedding, jaccard, language, lm, mixing, packing, tokencount, tokenfile, toxicity, urlrules
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,29 @@ SELECT s.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FR
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All page addresses against the rules."""
     return urlrules.judge(table(spark, sf_dir, "pages"), OP9_RULES)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY k),
+w AS (SELECT k, ss, CAST(2 * ss AS DOUBLE) AS cap, CAST([5, 2, 1][(row_number() OVER (ORDER BY k) - 1) % 3 + 1] AS DOUBLE) AS wt FROM s),
+l AS (SELECT *, (1.5::DOUBLE * CAST(sum(ss) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam, row_number() OVER o AS i FROM w WINDOW o AS (ORDER BY cap / wt, k)),
+t AS (SELECT k, ss, least(wt * (SELECT arg_min(lam, i) FROM l WHERE wt * lam <= cap), cap) AS target FROM l),
+r AS (SELECT d.*, ss, target, size * 64 > target AS long FROM d JOIN t USING (k)),
+c AS (SELECT k, long, h, CAST(sum(size) AS BIGINT) AS s, CAST(sum(sum(size)) OVER (PARTITION BY k, long ORDER BY h) AS BIGINT) AS cum FROM r WHERE size > 0 GROUP BY k, long, h),
+g AS (SELECT k, ss, target, CAST(coalesce(sum(size) FILTER (WHERE long), 0) AS BIGINT) AS lw FROM r GROUP BY k, ss, target),
+b1 AS (SELECT *, CASE WHEN lw > 0 THEN CAST(floor(target * lw / ss / lw) AS BIGINT) ELSE 0 END AS times, CASE WHEN lw > 0 THEN target * lw / ss - floor(target * lw / ss / lw) * lw ELSE 0 END AS budget FROM g),
+x1 AS (SELECT k, arg_min(CASE WHEN cum - budget < budget - (cum - s) THEN h ELSE h - 1 END, cum) AS upto, arg_min(CASE WHEN cum - budget < budget - (cum - s) THEN cum ELSE cum - s END, cum) AS got FROM c JOIN b1 USING (k) WHERE long AND budget > 0 AND cum >= budget GROUP BY k),
+b2 AS (SELECT b1.k, b1.ss, target, times AS times1, coalesce(upto, -1) AS upto1, ss - lw AS sw, least(greatest(target - (times * lw + coalesce(got, 0)), 0), (ss - lw) * 2::DOUBLE) AS left2 FROM b1 LEFT JOIN x1 USING (k)),
+b3 AS (SELECT *, CASE WHEN sw > 0 THEN CAST(floor(left2 / sw) AS BIGINT) ELSE 0 END AS times2, CASE WHEN sw > 0 THEN left2 - floor(left2 / sw) * sw ELSE 0 END AS budget FROM b2),
+x2 AS (SELECT k, arg_min(CASE WHEN cum - budget < budget - (cum - s) THEN h ELSE h - 1 END, cum) AS upto2 FROM c JOIN b3 USING (k) WHERE NOT long AND budget > 0 AND cum >= budget GROUP BY k)
+SELECT r.doc_id, r.size, r.ss AS source_size, r.target, CAST(r.size * CASE WHEN long THEN times1 + CAST(h <= upto1 AS BIGINT) ELSE times2 + CAST(h <= coalesce(upto2, -1) AS BIGINT) END AS BIGINT) AS taken
+FROM r JOIN b3 ON r.k = b3.k LEFT JOIN x2 ON r.k = x2.k
+"""
+
+
+@query("op13_source_mixing", OP13_SQL)
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 of 150 % of their words."""
+    return mixing.decide(table(spark, sf_dir, "documents")).drop("copies")
