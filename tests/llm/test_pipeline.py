@@ -21,13 +21,16 @@ COLUMNS = {
     "op8": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op9": {"page_id", "host", "path", "rule", "verdict"},
     "op10": {"doc_id", "held_out", "score", "predicted"},
+    "op11": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op12": {"item_id", "rank", "doc_id", "score"},
+    "op13": {"doc_id", "size", "source_size", "target", "taken"},
 }
 
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(n.split("_")[0] for n in names) == sorted(COLUMNS)
-    assert "pipeline" in entry.queries() and {"op6_decontaminate", "op9_url_filter"} <= set(entry.oracle_sql())
+    assert "pipeline" in entry.queries() and {"op6_decontaminate", "op9_url_filter", "op12_lexical_search", "op13_source_mixing"} <= set(entry.oracle_sql())
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
