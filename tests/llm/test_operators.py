@@ -410,7 +410,8 @@ def test_every_term_of_the_examples_counts(spark):
     frame = docs_of(spark, [(i, f"plain text here rare{chr(97 + n // 26)}{chr(97 + n % 26)}" if n else "plain text quokka") for n, i in enumerate(ids)] + [(1000, "one quokka")])
     lab = spark.createDataFrame([(i, 1, int(n < 9)) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
     index = toxicity.fit(frame, toxicity.training_rows(lab))
-    assert {"plain", "quokk"} <= {t[:5] for t in index.terms} and len(index.ids) == len(ids)
+    texts = [r.text for r in frame.collect() if r.doc_id in ids]
+    assert set(index.terms.tolist()) == set(toxicity.hashed(t for x in texts for t in toxicity.stems(x)).tolist()) and len(index.ids) == len(ids)
     assert toxicity.score(frame, lab).where("doc_id = 1000").first().evidence == [ids[0]]
 
 
@@ -421,19 +422,85 @@ def test_terms_are_whole():
     assert toxicity.stems("हिन्दी") == ["हिन्दी"]
 
 
-def test_block_max_search_is_exact():
+def whole_cosines(ix, t, w):
+    """All examples against one query, without the index."""
+    q = np.zeros(len(ix.terms))
+    q[t] = w
+    return np.bincount(np.repeat(np.arange(len(ix.ids)), np.diff(ix.row_at)), q[ix.row_term] * ix.row_weight, len(ix.ids))
+
+
+@pytest.mark.parametrize("leaders", [0, 8, 512])
+def test_block_max_search_is_exact(leaders, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEADERS", leaders)
+    monkeypatch.setattr(toxicity, "GROUPS", 4)
     rng = np.random.default_rng(2)
-    terms = [f"t{i}" for i in range(40)]
-    ex = [(i, int(rng.random() < 0.3), Counter(rng.choice(terms, rng.integers(0, 6)).tolist())) for i in range(900)]
-    ix = toxicity.build_index(ex, {t: int(rng.integers(1, 500)) for t in terms}, 1000)
-    full = np.zeros((len(ix.ids), len(terms)))
-    for j in range(len(terms)):
-        for b in range(ix.peak.shape[1]):
-            lo, hi = ix.start[j, b], ix.start[j, b + 1]
-            full[ix.post[lo:hi], j] = ix.weight[lo:hi]
-    for _ in range(60):
-        t, w = ix.vector(Counter(rng.choice(terms, 4).tolist()))
-        rows, cos = ix.nearest(t, w)
-        all_cos = full[:, t] @ w
+    topics = [[f"t{k}x{i}" for i in range(60)] for k in range(8)]
+    text = lambda k: Counter(rng.choice(topics[k], rng.integers(0, 9)).tolist() + rng.choice(topics[0], 2).tolist())
+    ex = [(i, int(rng.random() < 0.3), text(i % 8) if i % 50 else Counter()) for i in range(3000)]
+    df = {t: int(rng.integers(1, 500)) for k in topics for t in k}
+    ix = toxicity.build_index(ex, df, 1000)
+    assert len(ix.ids) == 2940
+    # Every posting is in the blocks or in the leaders' matrix, and the peaks are the largest.
+    dense, peaks = ix.dense()
+    full = np.zeros((len(ix.ids), len(ix.terms)), np.float32)
+    for t in range(len(ix.terms)):
+        for e in range(ix.term_entry[t], ix.term_entry[t + 1]):
+            rows = ix.post[ix.entry_post[e] : ix.entry_post[e + 1]]
+            full[rows, t] = ix.weight[ix.entry_post[e] : ix.entry_post[e + 1]]
+            assert set(rows // toxicity.BLOCK) == {ix.entry_block[e]} and full[rows, t].max() == ix.entry_peak[e]
+        if ix.leader[t] >= 0:
+            full[:, t] = dense[: len(ix.ids), ix.leader[t]]
+    queries = [ix.vector(toxicity.hashed(c), np.array(list(c.values()))) for c in (text(i % 8) for i in range(200))]
+    skips = [int(x) for x in rng.integers(-1, len(ix.ids), len(queries))]
+    for (t, w), skip, (rows, cos) in zip(queries, skips, ix.nearest(queries, skips=skips)):
+        all_cos = whole_cosines(ix, t, w)
+        assert np.allclose(all_cos, full[:, t].astype(float) @ w)
+        all_cos[skip if skip >= 0 else len(ix.ids) :] = 0 if skip < 0 else np.where(np.arange(skip, len(ix.ids)) == skip, 0, all_cos[skip:])
         want = np.lexsort((np.arange(len(all_cos)), -np.round(all_cos, 12)))[: toxicity.NEIGHBOURS]
         assert rows.tolist() == want[all_cos[want] > 0].tolist() and np.allclose(cos, all_cos[rows])
+    assert ix.blocks_read < ix.blocks_seen
+
+
+def test_scores_equal_brute_force(spark):
+    """Document frequencies, weights, cosines, votes, leave-one-out calibration and scores,
+    each computed again without Spark or the index."""
+    rows, labels = toxic_rows(240)
+    rows.append((900, None))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, rows), lab).collect()}
+    counts = {i: Counter(toxicity.stems(t)) for i, t in rows}
+    df = Counter(s for c in counts.values() for s in c)
+    train = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5]
+    vocab = sorted({s for i, _ in train for s in counts[i]})
+    na, nb = sum(y for _, y in train), sum(1 - y for _, y in train)
+    a = np.array([sum(y for i, y in train if s in counts[i]) for s in vocab])
+    b = np.array([sum(1 - y for i, y in train if s in counts[i]) for s in vocab])
+    idf = (np.log((1 + len(rows)) / (1 + np.array([df[s] for s in vocab]))) + 1) * toxicity.relevance(a, b, na, nb)
+    weight = dict(zip(vocab, idf))
+    unseen = np.log((1 + len(rows)) / 2) + 1
+
+    def unit(c):
+        v = {s: (1 + np.log(n)) * weight.get(s, unseen) for s, n in c.items()}
+        z = np.sqrt(sum(x * x for x in v.values())) or 1
+        return {s: x / z for s, x in v.items()}
+
+    vectors = {i: unit(c) for i, c in counts.items()}
+    base = (na + 0.5) / (len(train) + 1)
+
+    def vote(i, own):
+        cos = sorted(((sum(x * vectors[j].get(s, 0) for s, x in vectors[i].items()), y) for j, y in train if not (own and j == i)), key=lambda x: -x[0])[: toxicity.NEIGHBOURS]
+        w = [(1 / (1.05 - min(c, 1)), y) for c, y in cos if c > 0]
+        return (sum(x * y for x, y in w) + base / 0.55) / (sum(x for x, _ in w) + 1 / 0.55) if w else None
+
+    knots = toxicity._rising(*(np.array(x) for x in zip(*sorted((vote(i, True), float(y)) for i, y in train))))
+    for i, _ in rows:
+        v = vote(i, False)
+        assert got[i] == pytest.approx(base if v is None else np.interp(v, *knots), abs=2e-3), i
+
+
+def test_examples_are_bounded_by_their_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSTINGS", 600)
+    rows, labels = toxic_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs_of(spark, rows + [(None, "no id")]), toxicity.training_rows(lab))
+    assert 10 < len(index.ids) < 40 and len(index.row_term) <= 600

@@ -1,24 +1,35 @@
 """Toxicity scores from the nearest labelled examples.
 
-Exact TF-IDF cosine against a bounded set of labelled examples, found with an inverted
-index of the rarer terms and a length bound of the others; distance-weighted votes, calibrated on the examples themselves
-(each left out of its own vote).
+Exact TF-IDF cosine against a bounded set of labelled examples, found with a block-max
+inverted index; distance-weighted votes, calibrated on the examples themselves (each left out
+of its own vote).
 
 * Terms: whole words (runs of word characters and marks, lower case) without plural endings
-  (Harman's S-stemmer); overlapping pairs of characters in scripts without spaces.
+  (Harman's S-stemmer); overlapping pairs of characters in scripts without spaces.  A term is
+  its 64-bit xxhash from here on.
 * Examples: at most ``MAX_EXAMPLES`` labelled rows, those with the smallest hash of their
-  id (a bounded sample, the documented bound of the classifier).
+  id, as long as they hold at most ``MAX_POSTINGS`` distinct terms of texts together (a
+  bounded sample, the documented bound of the classifier; texts are whole).
 * Vector space: every term of the examples, weighted by TF-IDF, times 1 + G2 (log-likelihood
   ratio) where the term is more frequent among toxic examples: no term is left out, and
   terms that speak for the label count more.  Document frequencies
   behind the IDF are counted over all documents.  A term that no example holds meets no
   example; it counts in the length of a text's vector, like a term of one document.
+* Index: examples are ordered so that alike ones lie together and cut into blocks of
+  ``BLOCK``; a term's postings are kept by block with the block's largest weight.  A search
+  adds up query weight times block maximum over the query's terms, which bounds every cosine
+  in a block, reads the postings of the ``FIRST`` blocks of highest bound, and then only those
+  blocks whose bound reaches the k-th best cosine found.  Texts are searched ``TOGETHER`` at a
+  time, and the commonest terms of a block are read as one matrix product of all texts that
+  opened it; the best rows get their cosines again in double precision.
 * A text without any term of the examples is nearest to nothing and gets the rate of toxic
   examples among such texts.
 
 Null and empty texts have the zero vector.  Labels that are null are no labels; a document
-labelled twice is toxic if any of them says so.  Without any label the score is 0.
-Repeated rows and ids are scored row by row; other columns pass through untouched.
+labelled twice is toxic if any of them says so; labels without a document, and documents
+with a null id, are no examples.  Without any label the score is 0.  Equal cosines go by the
+order of the index.  Repeated rows and ids are scored row by row; other columns pass through
+untouched.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +41,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -39,9 +52,17 @@ from .common import BROADCAST_ROWS, stored, temp_name
 
 MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
-BLOCK = 128
-COMMON = 8  # terms in more than one of so many examples are common
+BLOCK = 64
+FIRST = 4
+ROUNDING = 1e-4  # more than sums of 32-bit products are off
 EVIDENCE = 3
+#: Most distinct terms of all examples together, each counted once an example.
+MAX_POSTINGS = 6_000_000
+#: Commonest terms, and groups of examples by them, that order the index.
+LEADERS = 512
+GROUPS = 32
+#: Texts searched together.
+TOGETHER = 64
 
 _WORDS = re.compile(r"\w+").findall
 _FURTHER = re.compile("[\u0300-\U0010ffff]").search  # may hold marks or unspaced scripts
@@ -77,105 +98,162 @@ def stems(text: str | None) -> list[str]:
     return out
 
 
+def hashed(terms: Iterable[str]) -> np.ndarray:
+    """64-bit hashes of terms."""
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(t) for t in terms], np.uint64).view(np.int64)
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a text, hashed, and how often it holds each."""
+    c = Counter(stems(text))
+    return hashed(c), np.fromiter(c.values(), np.int64, len(c))
+
+
 # ------------------------------------------------------------------ index
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0]..hi[0]-1, lo[1]..hi[1]-1 and so on, as one array."""
+    n = hi - lo
+    end = np.cumsum(n)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(lo - (end - n), n)
+
+
 @dataclass
 class Index:
-    """Examples as rows ordered by their vectors, postings per term by row."""
+    """Examples as rows in the order of the index, and their postings by term and block.
 
-    terms: dict[str, int]
+    The ``LEADERS`` commonest terms are in most blocks, which hold them as a small matrix.  For
+    the others entry e is one term in one block: rows ``post[entry_post[e]:entry_post[e + 1]]`` of block
+    ``entry_block[e]`` hold it, with a weight of at most ``entry_peak[e]``; the entries of
+    term t are ``term_entry[t]`` up to ``term_entry[t + 1]``."""
+
+    terms: np.ndarray  # hashes, ascending
     idf: np.ndarray  # times relevance
     unseen: float  # the same of a term that no example holds
     ids: np.ndarray  # example ids
     toxic: np.ndarray  # 0/1 per example
-    offset: np.ndarray  # (terms + 1,): where a term's postings begin
-    post: np.ndarray  # example rows, by term and row
+    leader: np.ndarray  # column of each of the commonest terms, -1 for the others
+    term_entry: np.ndarray
+    entry_block: np.ndarray
+    entry_peak: np.ndarray
+    entry_post: np.ndarray
+    post: np.ndarray  # example rows
     weight: np.ndarray
+    row_at: np.ndarray  # the same by row: terms and weights of row r from ``row_at[r]`` on
+    row_term: np.ndarray
+    row_weight: np.ndarray
     base: float  # toxic rate of all examples
     blank: float  # toxic rate of examples with the zero vector
     knots: tuple[np.ndarray, np.ndarray]  # calibration: vote -> score
 
     sent = None  # the index as a broadcast variable
-    _parts = None
+    _query = None  # a query's weights by term, all 0 between queries
+    _dense = None
+    blocks_read = blocks_seen = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("sent", "_parts")}
-
-    @property
-    def start(self) -> np.ndarray:
-        """(terms, blocks + 1): where the postings of a term in a block of ``BLOCK`` rows begin."""
-        edges = np.arange(-(-len(self.ids) // BLOCK) + 1) * BLOCK
-        return np.array([lo + np.searchsorted(self.post[lo:hi], edges) for lo, hi in zip(self.offset, self.offset[1:])]).reshape(-1, len(edges))
-
-    @property
-    def peak(self) -> np.ndarray:
-        """(terms, blocks): the largest weight of a term in a block."""
-        out = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK)))
-        np.maximum.at(out, (np.repeat(np.arange(len(self.terms)), np.diff(self.offset)), self.post // BLOCK), self.weight)
-        return out
-
-    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Column of every common term (-1: none), the examples' weights in these columns,
-        and the length of each example's common part."""
-        if self._parts is None:
-            common = np.flatnonzero(np.diff(self.offset) * COMMON > len(self.ids))
-            column = np.full(len(self.terms), -1, np.int32)
-            column[common] = np.arange(len(common))
-            dense = np.zeros((len(self.ids), len(common)), np.float32)
-            for c, j in enumerate(common):
-                lo, hi = self.offset[j], self.offset[j + 1]
-                dense[self.post[lo:hi], c] = self.weight[lo:hi]
-            self._parts = column, dense, np.sqrt(np.einsum("ij,ij->i", dense, dense, dtype=np.float64))
-        return self._parts
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector: (term numbers, weights of the examples' terms); empty if there are none."""
-        get = self.terms.get
-        t = np.array([get(s, -1) for s in counts], dtype=np.int64)
-        w = 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-        known = t >= 0
-        w = w * np.where(known, self.idf[t] if len(self.idf) else 0.0, self.unseen)
+        return {k: v for k, v in self.__dict__.items() if k not in ("sent", "_query", "_dense")}
+
+    def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of hashed terms and counts: (term numbers, weights of the examples'
+        terms); empty if there are none."""
+        t = np.searchsorted(self.terms, h)
+        known = np.zeros(len(h), bool)
+        inside = t < len(self.terms)
+        known[inside] = self.terms[t[inside]] == h[inside]
+        w = 1.0 + np.log(n)
+        w[known] *= self.idf[t[known]]
+        w[~known] *= self.unseen
         w /= np.sqrt((w * w).sum()) or 1.0
         t, w = t[known], w[known]
         order = np.argsort(t)
         return t[order], w[order]
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly, ties by row.  The rarer terms
-        are summed over their postings; the common ones add at most the product of both
-        common parts' lengths, so only rows whose bound reaches the k-th best cosine of
-        the first ones are compared in them."""
-        n = len(self.ids)
-        if not n or not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
-        column, dense, length = self.parts()
-        col = column[t]
-        rare, often = t[col < 0], col >= 0
-        partial = np.zeros(n)
-        if len(rare):
-            lo, hi = self.offset[rare], self.offset[rare + 1]
-            at = np.concatenate([self.post[a:b] for a, b in zip(lo, hi)])
-            partial = np.bincount(at, np.repeat(w[~often], hi - lo) * np.concatenate([self.weight[a:b] for a, b in zip(lo, hi)]), n)
-        col, q = col[often], w[often]
-        bound = partial + np.sqrt((q * q).sum()) * length
-        if skip >= 0:
-            bound[skip] = -1.0
-
-        def full(rows: np.ndarray) -> np.ndarray:
-            return partial[rows] + (dense[np.ix_(rows, col)].astype(np.float64) @ q if len(col) else 0.0)
-
-        rows = np.arange(n) if n <= 4 * k else np.argpartition(-bound, 4 * k)[: 4 * k]
-        cos = full(rows)
-        cut = np.partition(cos, -k)[-k] if len(rows) >= k else 0.0
-        more = bound >= cut - 1e-6
-        more[rows] = False
-        more = np.flatnonzero(more)
-        rows, cos = np.concatenate([rows, more]), np.concatenate([cos, full(more)])
-        some = (cos > 0) & (rows != skip)
-        rows, cos = rows[some], cos[some]
-        best = np.lexsort((rows, -np.round(cos, 12)))[:k]
-        return rows[best], cos[best]
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the leaders (rows x leaders, rows padded to whole blocks) and their
+        largest in each block (blocks x leaders)."""
+        if self._dense is None:
+            blocks = -(-len(self.ids) // BLOCK)
+            out = np.zeros((blocks * BLOCK, int(self.leader.max(initial=-1)) + 1), np.float32)
+            column = self.leader[self.row_term]
+            some = column >= 0
+            out[np.repeat(np.arange(len(self.ids)), np.diff(self.row_at))[some], column[some]] = self.row_weight[some]
+            self._dense = out, out.reshape(blocks, BLOCK, -1).max(axis=1)
+        return self._dense
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest cosine above 0 and their cosines,
+        exactly, ties by row, without its row of ``skips``."""
+        n, blocks = len(queries), -(-len(self.ids) // BLOCK)
+        if not blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        dense, peaks = self.dense()
+        lead = np.zeros((dense.shape[1], n), np.float32)
+        entries = []
+        for d, (t, w) in enumerate(queries):
+            column = self.leader[t]
+            lead[column[column >= 0], d] = w[column >= 0]
+            t, w = t[column < 0], w[column < 0]
+            lo, hi = self.term_entry[t], self.term_entry[t + 1]
+            entry = _ranges(lo, hi)
+            entries.append((entry, np.repeat(w, hi - lo), self.entry_block[entry]))
+        bound = (peaks @ lead).T.astype(np.float64)
+        for d, (entry, q, at) in enumerate(entries):
+            bound[d] += np.bincount(at, q * self.entry_peak[entry], blocks)
+        some = bound > 0
+        bound = bound * (1 + ROUNDING) + ROUNDING  # sums of 32-bit products
+        first = np.zeros((n, blocks), bool)
+        top = np.argpartition(-bound, FIRST, axis=1)[:, :FIRST] if blocks > FIRST else np.broadcast_to(np.arange(blocks), (n, blocks))
+        np.put_along_axis(first, top, True, axis=1)
+        sums = np.zeros((n, blocks * BLOCK))
+        self._read(sums, first, entries, lead, skips)
+        opened = np.take_along_axis(sums.reshape(n, blocks, BLOCK), top[:, :, None], axis=1).reshape(n, -1)
+        cut = np.partition(opened, -k, axis=1)[:, -k] if opened.shape[1] > k else np.zeros(n)
+        more = some & ~first & (bound >= cut[:, None] - ROUNDING)
+        self.blocks_read += int(first.sum() + more.sum())
+        self.blocks_seen += n * blocks
+        self._read(sums, more, entries, lead, skips)
+        out = []
+        for d, (t, w) in enumerate(queries):
+            rows = np.flatnonzero(sums[d] > max(float(cut[d]) - 2 * ROUNDING, 0.0))
+            if len(rows) > 2 * k:
+                near = sums[d, rows]
+                rows = rows[near >= np.partition(near, -k)[-k] - 2 * ROUNDING]
+            cos = self._cosines(rows, t, w)
+            best = np.lexsort((rows, -np.round(cos, 12)))[:k]
+            out.append((rows[best], cos[best]))
+        return out
+
+    def _read(self, sums: np.ndarray, use: np.ndarray, entries: list, lead: np.ndarray, skips: list[int] | None) -> None:
+        """Add the sums of products of the rows in the used (query, block) pairs."""
+        dense, _ = self.dense()
+        for b in np.flatnonzero(use.any(axis=0)):
+            d = np.flatnonzero(use[:, b])
+            sums[d, b * BLOCK : (b + 1) * BLOCK] = (dense[b * BLOCK : (b + 1) * BLOCK] @ lead[:, d]).T
+        for d, (entry, q, at) in enumerate(entries):
+            open_ = use[d][at]
+            entry, q = entry[open_], q[open_]
+            lo, hi = self.entry_post[entry], self.entry_post[entry + 1]
+            place = _ranges(lo, hi)
+            if len(place):
+                sums[d] += np.bincount(self.post[place], np.repeat(q, hi - lo) * self.weight[place], sums.shape[1])
+            if skips is not None and skips[d] >= 0:
+                sums[d, skips[d]] = 0.0
+
+    def _cosines(self, rows: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of some rows in double precision, from their own terms."""
+        if not len(rows):
+            return np.zeros(0)
+        if self._query is None:
+            self._query = np.zeros(len(self.terms))
+        lo, hi = self.row_at[rows], self.row_at[rows + 1]
+        place = _ranges(lo, hi)
+        self._query[t] = w
+        out = np.add.reduceat(self._query[self.row_term[place]] * self.row_weight[place], np.cumsum(hi - lo) - (hi - lo))
+        self._query[t] = 0.0
+        return out
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         """Share of toxic neighbours weighted by inverse distance, held to the base rate by
@@ -187,12 +265,10 @@ class Index:
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.knots))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        t, w = self.vector(Counter(stems(text)))
-        if not len(t):
-            return self.blank, np.zeros(0, np.int64), np.zeros(0)
-        rows, cos = self.nearest(t, w)
-        return (self.calibrated(self.vote(rows, cos)) if len(rows) else self.blank), rows[:EVIDENCE], cos[:EVIDENCE]
+    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, evidence rows and their cosines of each text."""
+        found = self.nearest([self.vector(*counted(t)) for t in texts])
+        return [(self.calibrated(self.vote(rows, cos)) if len(rows) else self.blank, rows[:EVIDENCE], cos[:EVIDENCE]) for rows, cos in found]
 
 
 def _rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,37 +304,66 @@ def relevance(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
 def build_index(examples: Iterable[tuple[int, int, Counter]], df: dict[str, int], n_docs: int) -> Index:
     """``examples``: (id, toxic, term counts over the terms of ``df``); ``df``: document
     frequency of the terms over all documents."""
-    names = sorted(df)
-    number = {s: i for i, s in enumerate(names)}
+    names = hashed(df)
+    order = np.argsort(names)
+    names, counts = names[order], np.array(list(df.values()), np.float64)[order]
     examples = list(examples)
-    row = [r for r, (_, _, c) in enumerate(examples) for _ in c]
-    term = [number[s] for _, _, c in examples for s in c]
-    n = [x for _, _, c in examples for x in c.values()]
-    ids, y = [i for i, _, _ in examples], [y for _, y, _ in examples]
-    return _index(*(np.array(x, np.int64) for x in (ids, y, row, term, n)), names, np.array([df[s] for s in names], np.float64), n_docs)
-
-
-def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, names: list[str], df: np.ndarray, n_docs: int) -> Index:
+    row = np.repeat(np.arange(len(examples)), [len(c) for _, _, c in examples])
+    term = np.searchsorted(names, hashed(s for _, _, c in examples for s in c))
+    n = np.array([x for _, _, c in examples for x in c.values()], np.int64)
+    return _index(np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], np.int64), row.astype(np.int32), term.astype(np.int32), n, names, counts, n_docs)
+
+
+def _order(row: np.ndarray, term: np.ndarray, size: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """Places of the examples in the index: by the commonest terms that they hold (texts of
+    one language hold the same ones), then by the number of their terms, so that a block's
+    largest weights are close to all its weights."""
+    held = np.zeros((len(size), LEADERS), np.float32)
+    some = leader[term] >= 0
+    held[row[some], leader[term[some]]] = 1
+    # Two rounds of assigning each example to the nearer of a few mean leader vectors.
+    group = np.zeros(len(size), np.int64)
+    if len(size) > GROUPS:
+        centre = held[np.linspace(0, len(size) - 1, GROUPS).astype(np.int64)]
+        for _ in range(8):
+            unit = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+            group = np.argmax(held @ unit.T, axis=1)
+            for g in range(GROUPS):
+                if (group == g).any():
+                    centre[g] = held[group == g].mean(axis=0)
+    return np.lexsort((np.arange(len(size)), size, group))
+
+
+def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, names: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
     """From the examples' (id, toxic) and their (row, term, count)."""
     a = np.bincount(term, toxic[row], len(names))
     b = np.bincount(term, None, len(names)) - a
     idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * relevance(a, b, int(toxic.sum()), int((1 - toxic).sum()))
     w = (1.0 + np.log(n)) * idf[term]
     w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    w = w.astype(np.float32)
     base = float((toxic.sum() + 0.5) / (len(ids) + 1.0)) if len(ids) else 0.0
-    full = np.bincount(row, None, len(ids)) > 0
+    size = np.bincount(row, None, len(ids))
+    full = size > 0
     blank = float((toxic[~full].sum() + base) / ((~full).sum() + 1.0))
-    order = np.lexsort((-w, row))
-    first = np.zeros(len(ids), np.int64)  # the heaviest term: alike examples lie together
-    first[row[order][::-1]] = term[order][::-1]
-    order = np.lexsort((ids, first))
+    leader = np.full(len(names), -1, np.int32)
+    often = np.argsort(-(a + b), kind="stable")[:LEADERS]
+    leader[often] = np.arange(len(often))
+    order = _order(row, term, size, leader)
     order = order[full[order]]
     place = np.zeros(len(ids), np.int32)
     place[order] = np.arange(len(order))
+    by = np.lexsort((term, place[row]))
+    row_term, row_weight, row_at = term[by], w[by], np.concatenate([[0], np.cumsum(size[order])])
     by = np.lexsort((place[row], term))
-    offset = np.concatenate([[0], np.cumsum(np.bincount(term, None, len(names)))]).astype(np.int64)
+    by = by[leader[term[by]] < 0]
+    post, term, w = place[row][by], term[by], w[by]
+    block = post // BLOCK
+    first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(post)])
+    peak = np.maximum.reduceat(w, first) if len(first) else w
+    term_entry = np.searchsorted(term[first], np.arange(len(names) + 1)).astype(np.int64)
     unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
-    return Index({s: i for i, s in enumerate(names)}, idf, unseen, ids[order], toxic[order].astype(np.float64), offset, place[row][by], w[by].astype(np.float32), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), leader, term_entry, block[first], peak, np.append(first, len(post)), post, w, row_at, row_term, row_weight, base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
 
 # ------------------------------------------------------------------ Spark
@@ -277,53 +382,68 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     pick = labelled.join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_examples)
     pick = F.broadcast(stored(pick.select("id", "y"), "examples"))  # at most max_examples rows
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            c = [Counter(stems(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "stems": [list(x) for x in c], "n": [list(x.values()) for x in c]})
-
-    seen = stored(rows.join(pick, "id").mapInPandas(listed, "id long, y int, stems array<string>, n array<int>"), "stems")
-    got = seen.orderBy("id", F.xxhash64("stems", "n")).toArrow()
-    words = got["stems"].combine_chunks().flatten().dictionary_encode()
-    sizes = got["stems"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    names = words.dictionary.to_pylist()
-    vocabulary = spark.sparkContext.broadcast(frozenset(names))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, known = Counter(), 0, vocabulary.value
-        for pdf in batches:
-            n += len(pdf)
-            for t in pdf["text"]:
-                total.update(known.intersection(stems(t)))
-        yield pd.DataFrame({"s": [None, *total], "n": [n, *total.values()]})
-
-    df = rows.select("text").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(df["s"].to_pylist(), df["n"].to_pylist()))
-    n_docs = int(df.pop(None, 0) or 0)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [counted(t.as_py()) for t in b.column(2)]
+            at = np.concatenate([[0], np.cumsum([len(h) for h, _ in c])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x[k] for x in c]) if c else np.zeros(0, np.int64), kind)) for k, kind in ((0, pa.int64()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "y", "terms", "n"])
+
+    seen = rows.join(pick, "id").select("id", "y", "text").mapInArrow(listed, "id long, y int, terms array<long>, n array<int>")
+    run = Window.orderBy(F.xxhash64("id"), "id", F.xxhash64("terms", "n")).rowsBetween(Window.unboundedPreceding, 0)  # sizes of at most max_examples ids
+    seen = stored(seen.withColumn("key", F.xxhash64("terms", "n")), "terms")
+    upto = seen.select("id", "key", F.sum(F.size("terms").cast("long")).over(run).alias("held")).where(F.col("held") <= MAX_POSTINGS)
+    seen = stored(seen.join(F.broadcast(upto.select("id", "key").distinct()), ["id", "key"]), "examples")
+    got = seen.select("id", "y", "terms", "n").orderBy("id", "key").toArrow()  # at most MAX_POSTINGS terms
+    flat = got["terms"].combine_chunks()
+    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
+    names, term = np.unique(flat.flatten().to_numpy(), return_inverse=True)
+    vocabulary = spark.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        total, n = np.zeros(len(known), np.int64), 0
+        for b in batches:
+            n += b.num_rows
+            for lo in range(0, b.num_rows, 256):
+                h = np.concatenate([hashed(set(stems(t.as_py()))) for t in b.column(0).slice(lo, 256)])
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    total += np.bincount(at[known[at] == h], minlength=len(known))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(n, total[some]))], ["t", "n"])
+
+    found = rows.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
+    df, n_docs, at = np.zeros(len(names)), 0, found["t"].to_numpy()
+    if len(at):
+        df[at[at >= 0]] = found["n"].to_numpy()[at >= 0]
+        n_docs = int(found["n"].to_numpy()[at < 0].sum())
     index = _index(
         got["id"].to_numpy().astype(np.int64),
         got["y"].to_numpy().astype(np.int64),
-        np.repeat(np.arange(len(sizes)), sizes),
-        words.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-        got["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+        np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
+        term.astype(np.int32),
+        got["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False),
         names,
-        np.array([df.get(s, 0) for s in names], np.float64),
+        df,
         n_docs,
     )
+    del got, flat, term, found
     index.sent = model = spark.sparkContext.broadcast(index)
 
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = model.value
         at = {i: r for r, i in enumerate(ix.ids.tolist())}
-        for pdf in batches:
+        for b in batches:
             out = []
-            for i, y, s, n in zip(pdf["id"], pdf["y"], pdf["stems"], pdf["n"]):
-                near, cos = ix.nearest(*ix.vector(Counter(dict(zip(s, n)))), skip=at.get(i, -1))
-                if len(near):
-                    out.append((ix.vote(near, cos), float(y)))
-            yield pd.DataFrame(out, columns=["vote", "y"])
-
-    voted = seen.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(votes, "vote double, y double").orderBy("vote", "y").toPandas()  # at most a row per example
+            for lo in range(0, b.num_rows, TOGETHER):
+                ids, y, h, n = (b.column(c).slice(lo, TOGETHER) for c in range(4))
+                vectors = [ix.vector(x.values.to_numpy(), m.values.to_numpy(zero_copy_only=False)) for x, m in zip(h, n)]
+                found = ix.nearest(vectors, skips=[at.get(i, -1) for i in ids.to_pylist()])
+                out += [(ix.vote(*f), float(v)) for f, v in zip(found, y.to_pylist()) if len(f[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in (0, 1)], ["vote", "y"])
+
+    voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(votes, "vote double, y double").orderBy("vote", "y").toPandas()  # at most a row per example
     if len(voted):
         index.knots = _rising(voted["vote"].to_numpy(), voted["y"].to_numpy())
     return index
@@ -339,7 +459,7 @@ def judge(docs: DataFrame, index: Index, text: str = "text") -> Column:
         ix = model.value
         ix.knots = knots
         for s in batches:
-            got = [ix.score(t) for t in s]
+            got = [g for lo in range(0, len(s), TOGETHER) for g in ix.score(s.iloc[lo : lo + TOGETHER].tolist())]
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [ix.ids[g[1]].tolist() for g in got], "cosines": [g[2].tolist() for g in got]})
 
     return scored(F.col(text))
