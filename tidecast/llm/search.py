@@ -276,13 +276,14 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", i
             break
         w = weights(n_docs, _frequencies(counted, len(block.vocab)))
         vectors = stored(_vectors(counted, w, n_docs, total), "vectors")
-        # Cuts between rounds by length, and within a round partitions by length, longest first.
+        # Cuts between rounds by length, and within a round partitions by length, longest first;
+        # the hash spreads copies, whose lengths are equal.
         cuts = [float("inf"), *(vectors.approxQuantile("length", [1 - p for p in ROUNDS[:-1]], 0.002) or [0.0] * (len(ROUNDS) - 1)), 0.0]
         floor, found = np.zeros(len(block.items), np.int64), None
         for high, low in zip(cuts, cuts[1:]):
             part = vectors.where((F.col("length") < high) & (F.col("length") >= low))
             n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            part = part.repartitionByRange(n, F.desc("length")).sortWithinPartitions(F.desc("length"))
+            part = part.repartitionByRange(n, F.desc("length"), F.xxhash64("doc_id")).sortWithinPartitions(F.desc("length"))
             hits = _search(part, block, w, k, floor)
             found = stored(_best(hits if found is None else hits.unionByName(found.drop("rank")), k), "best")
             for r in found.where(F.col("rank") == k).select("q", "score").collect():  # a row per query of the block
