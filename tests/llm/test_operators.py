@@ -438,18 +438,17 @@ def test_block_max_search_is_exact(leaders, monkeypatch):
     text = lambda k: Counter(rng.choice(topics[k], rng.integers(0, 9)).tolist() + rng.choice(topics[0], 2).tolist())
     ex = [(i, int(rng.random() < 0.3), text(i % 8) if i % 50 else Counter()) for i in range(3000)]
     df = {t: int(rng.integers(1, 500)) for k in topics for t in k}
-    ix = toxicity.build_index(ex, df, 1000)
+    ix = toxicity.build_index(ex, df, 1000).ready()
     assert len(ix.ids) == 2940
     # Every posting is in the blocks or in the leaders' matrix, and the peaks are the largest.
-    dense, peaks = ix.dense()
     full = np.zeros((len(ix.ids), len(ix.terms)), np.float32)
     for t in range(len(ix.terms)):
         for e in range(ix.term_entry[t], ix.term_entry[t + 1]):
-            rows = ix.post[ix.entry_post[e] : ix.entry_post[e + 1]]
+            rows = ix.block_post[ix.entry_post[e] : ix.entry_post[e + 1]]
             full[rows, t] = ix.weight[ix.entry_post[e] : ix.entry_post[e + 1]]
             assert set(rows // toxicity.BLOCK) == {ix.entry_block[e]} and full[rows, t].max() == ix.entry_peak[e]
         if ix.leader[t] >= 0:
-            full[:, t] = dense[: len(ix.ids), ix.leader[t]]
+            full[:, t] = ix.dense[: len(ix.ids), ix.leader[t]]
     queries = [ix.vector(toxicity.hashed(c), np.array(list(c.values()))) for c in (text(i % 8) for i in range(200))]
     skips = [int(x) for x in rng.integers(-1, len(ix.ids), len(queries))]
     for (t, w), skip, (rows, cos) in zip(queries, skips, ix.nearest(queries, skips=skips)):
@@ -503,4 +502,4 @@ def test_examples_are_bounded_by_their_terms(spark, monkeypatch):
     rows, labels = toxic_rows()
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     index = toxicity.fit(docs_of(spark, rows + [(None, "no id")]), toxicity.training_rows(lab))
-    assert 10 < len(index.ids) < 40 and len(index.row_term) <= 600
+    assert 10 < len(index.ids) < 40 and len(index.post) <= 600

@@ -122,39 +122,62 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as rows in the order of the index, and their postings by term and block.
+    """Examples as rows in the order of the index, and their postings by term.  This much is
+    sent to the workers; ``ready`` derives the blocks from it.
 
     The ``LEADERS`` commonest terms are in most blocks, which hold them as a small matrix.  For
-    the others entry e is one term in one block: rows ``post[entry_post[e]:entry_post[e + 1]]`` of block
-    ``entry_block[e]`` hold it, with a weight of at most ``entry_peak[e]``; the entries of
-    term t are ``term_entry[t]`` up to ``term_entry[t + 1]``."""
+    the others entry e is one term in one block: rows ``block_post[entry_post[e]:entry_post[e + 1]]``
+    of block ``entry_block[e]`` hold it, with a weight of at most ``entry_peak[e]``; the entries
+    of term t are ``term_entry[t]`` up to ``term_entry[t + 1]``.  By row, terms and weights of
+    row r begin at ``row_at[r]`` of ``row_term`` and ``row_weight``."""
 
     terms: np.ndarray  # hashes, ascending
     idf: np.ndarray  # times relevance
     unseen: float  # the same of a term that no example holds
     ids: np.ndarray  # example ids
     toxic: np.ndarray  # 0/1 per example
-    leader: np.ndarray  # column of each of the commonest terms, -1 for the others
-    term_entry: np.ndarray
-    entry_block: np.ndarray
-    entry_peak: np.ndarray
-    entry_post: np.ndarray
-    post: np.ndarray  # example rows
-    weight: np.ndarray
-    row_at: np.ndarray  # the same by row: terms and weights of row r from ``row_at[r]`` on
-    row_term: np.ndarray
-    row_weight: np.ndarray
+    length: np.ndarray  # of each example's vector before it is scaled to 1
+    offset: np.ndarray  # (terms + 1,): where a term's postings begin
+    post: np.ndarray  # example rows, by term and row
+    count: np.ndarray  # how often the row holds the term
     base: float  # toxic rate of all examples
     blank: float  # toxic rate of examples with the zero vector
     knots: tuple[np.ndarray, np.ndarray]  # calibration: vote -> score
 
     sent = None  # the index as a broadcast variable
-    _query = None  # a query's weights by term, all 0 between queries
-    _dense = None
+    row_at = None  # derived
     blocks_read = blocks_seen = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("sent", "_query", "_dense")}
+        return {k: self.__dict__[k] for k in self.__dataclass_fields__}
+
+    def ready(self) -> Index:
+        """The index with its derived parts."""
+        if self.row_at is not None:
+            return self
+        n, size = len(self.ids), np.diff(self.offset)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)
+        weight = ((1.0 + np.log(self.count)) * self.idf[term] / self.length[self.post]).astype(np.float32)
+        by = np.argsort(self.post, kind="stable")
+        self.row_term, self.row_weight = term[by], weight[by]
+        self.leader = np.full(len(self.terms), -1, np.int32)
+        often = np.argsort(-size, kind="stable")[:LEADERS]
+        self.leader[often] = np.arange(len(often))
+        blocks = -(-n // BLOCK)
+        self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
+        column = self.leader[term]
+        lead = column >= 0
+        self.dense[self.post[lead], column[lead]] = weight[lead]
+        self.peaks = self.dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else self.dense
+        self.block_post, self.weight, term = self.post[~lead].astype(np.int32), weight[~lead], term[~lead]
+        block = self.block_post // BLOCK
+        first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(term)])
+        self.entry_block, self.entry_post = block[first], np.append(first, len(term))
+        self.entry_peak = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.term_entry = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int64)
+        self.query = np.zeros(len(self.terms))  # a query's weights by term, all 0 between queries
+        self.row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
+        return self
 
     def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of hashed terms and counts: (term numbers, weights of the examples'
@@ -171,26 +194,14 @@ class Index:
         order = np.argsort(t)
         return t[order], w[order]
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the leaders (rows x leaders, rows padded to whole blocks) and their
-        largest in each block (blocks x leaders)."""
-        if self._dense is None:
-            blocks = -(-len(self.ids) // BLOCK)
-            out = np.zeros((blocks * BLOCK, int(self.leader.max(initial=-1)) + 1), np.float32)
-            column = self.leader[self.row_term]
-            some = column >= 0
-            out[np.repeat(np.arange(len(self.ids)), np.diff(self.row_at))[some], column[some]] = self.row_weight[some]
-            self._dense = out, out.reshape(blocks, BLOCK, -1).max(axis=1)
-        return self._dense
-
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above 0 and their cosines,
         exactly, ties by row, without its row of ``skips``."""
         n, blocks = len(queries), -(-len(self.ids) // BLOCK)
         if not blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
-        dense, peaks = self.dense()
-        lead = np.zeros((dense.shape[1], n), np.float32)
+        self.ready()
+        lead = np.zeros((self.dense.shape[1], n), np.float32)
         entries = []
         for d, (t, w) in enumerate(queries):
             column = self.leader[t]
@@ -199,7 +210,7 @@ class Index:
             lo, hi = self.term_entry[t], self.term_entry[t + 1]
             entry = _ranges(lo, hi)
             entries.append((entry, np.repeat(w, hi - lo), self.entry_block[entry]))
-        bound = (peaks @ lead).T.astype(np.float64)
+        bound = (self.peaks @ lead).T.astype(np.float64)
         for d, (entry, q, at) in enumerate(entries):
             bound[d] += np.bincount(at, q * self.entry_peak[entry], blocks)
         some = bound > 0
@@ -228,17 +239,16 @@ class Index:
 
     def _read(self, sums: np.ndarray, use: np.ndarray, entries: list, lead: np.ndarray, skips: list[int] | None) -> None:
         """Add the sums of products of the rows in the used (query, block) pairs."""
-        dense, _ = self.dense()
         for b in np.flatnonzero(use.any(axis=0)):
             d = np.flatnonzero(use[:, b])
-            sums[d, b * BLOCK : (b + 1) * BLOCK] = (dense[b * BLOCK : (b + 1) * BLOCK] @ lead[:, d]).T
+            sums[d, b * BLOCK : (b + 1) * BLOCK] = (self.dense[b * BLOCK : (b + 1) * BLOCK] @ lead[:, d]).T
         for d, (entry, q, at) in enumerate(entries):
             open_ = use[d][at]
             entry, q = entry[open_], q[open_]
             lo, hi = self.entry_post[entry], self.entry_post[entry + 1]
             place = _ranges(lo, hi)
             if len(place):
-                sums[d] += np.bincount(self.post[place], np.repeat(q, hi - lo) * self.weight[place], sums.shape[1])
+                sums[d] += np.bincount(self.block_post[place], np.repeat(q, hi - lo) * self.weight[place], sums.shape[1])
             if skips is not None and skips[d] >= 0:
                 sums[d, skips[d]] = 0.0
 
@@ -246,13 +256,11 @@ class Index:
         """Cosines of some rows in double precision, from their own terms."""
         if not len(rows):
             return np.zeros(0)
-        if self._query is None:
-            self._query = np.zeros(len(self.terms))
         lo, hi = self.row_at[rows], self.row_at[rows + 1]
         place = _ranges(lo, hi)
-        self._query[t] = w
-        out = np.add.reduceat(self._query[self.row_term[place]] * self.row_weight[place], np.cumsum(hi - lo) - (hi - lo))
-        self._query[t] = 0.0
+        self.query[t] = w
+        out = np.add.reduceat(self.query[self.row_term[place]] * self.row_weight[place], np.cumsum(hi - lo) - (hi - lo))
+        self.query[t] = 0.0
         return out
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
@@ -339,9 +347,7 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     a = np.bincount(term, toxic[row], len(names))
     b = np.bincount(term, None, len(names)) - a
     idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * relevance(a, b, int(toxic.sum()), int((1 - toxic).sum()))
-    w = (1.0 + np.log(n)) * idf[term]
-    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
-    w = w.astype(np.float32)
+    length = np.sqrt(np.bincount(row, ((1.0 + np.log(n)) * idf[term]) ** 2, len(ids)))
     base = float((toxic.sum() + 0.5) / (len(ids) + 1.0)) if len(ids) else 0.0
     size = np.bincount(row, None, len(ids))
     full = size > 0
@@ -353,17 +359,12 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     order = order[full[order]]
     place = np.zeros(len(ids), np.int32)
     place[order] = np.arange(len(order))
-    by = np.lexsort((term, place[row]))
-    row_term, row_weight, row_at = term[by], w[by], np.concatenate([[0], np.cumsum(size[order])])
-    by = np.lexsort((place[row], term))
-    by = by[leader[term[by]] < 0]
-    post, term, w = place[row][by], term[by], w[by]
-    block = post // BLOCK
-    first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(post)])
-    peak = np.maximum.reduceat(w, first) if len(first) else w
-    term_entry = np.searchsorted(term[first], np.arange(len(names) + 1)).astype(np.int64)
+    post = place[row]
+    by = np.argsort(term.astype(np.int64) * (len(ids) + 1) + post, kind="stable")
+    offset = np.concatenate([[0], np.cumsum(np.bincount(term, None, len(names)))])
     unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
-    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), leader, term_entry, block[first], peak, np.append(first, len(post)), post, w, row_at, row_term, row_weight, base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, small(post[by]), small(n[by]), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
 
 # ------------------------------------------------------------------ Spark
