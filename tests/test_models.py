@@ -28,17 +28,17 @@ def _pinball(q, y, pred):
 def test_intercept_only_is_a_quantile(spark):
     data, df = _rows(spark)
     df1 = df.withColumn("x", F.array(F.lit(1.0)))
-    coefs = models.quantile_regression(df1, ["g"], 1, quantiles=(0.1, 0.5, 0.9), iterations=40).collect()
+    coefs = models.quantile_regression(df1, ["g"], 1, quantiles=(0.1, 0.5, 0.9)).collect()
     for r in coefs:
         ys = np.array([d[1] for d in data if d[0] == r["g"]])
         b = r["beta"][0]
-        # IRLS minimises the pinball loss: it must be as good as the empirical quantile
+        # the fit minimises the pinball loss: it must be as good as the empirical quantile
         assert _pinball(r["q"], ys, b) <= _pinball(r["q"], ys, np.quantile(ys, r["q"])) + 1e-3
 
 
 def test_quantile_regression_beats_intercept_and_covers(spark):
     data, df = _rows(spark)
-    coefs = models.quantile_regression(df, ["g"], 2, quantiles=(0.1, 0.5, 0.9), iterations=30)
+    coefs = models.quantile_regression(df, ["g"], 2, quantiles=(0.1, 0.5, 0.9))
     pr = models.predict_quantiles(df, coefs, ["g"]).collect()
     for q in (0.1, 0.5, 0.9):
         sel = [r for r in pr if r["q"] == q]
@@ -50,8 +50,8 @@ def test_quantile_regression_beats_intercept_and_covers(spark):
 
 def test_l1_penalty_shrinks_slope(spark):
     _, df = _rows(spark)
-    free = models.quantile_regression(df, ["g"], 2, quantiles=(0.5,), iterations=25).where("g = 'g1'").first()["beta"][1]
-    pen = models.quantile_regression(df, ["g"], 2, quantiles=(0.5,), alpha=0.5, iterations=25).where("g = 'g1'").first()["beta"][1]
+    free = models.quantile_regression(df, ["g"], 2, quantiles=(0.5,)).where("g = 'g1'").first()["beta"][1]
+    pen = models.quantile_regression(df, ["g"], 2, quantiles=(0.5,), alpha=0.5).where("g = 'g1'").first()["beta"][1]
     assert abs(pen) < abs(free)
 
 

@@ -8,8 +8,8 @@ sufficient statistics are ``X'WX`` (p*p) and ``X'Wy`` (p): one partial aggregate
 the rows, independent of the group's size — a hot group costs no more memory than a
 cold one.  The small per-group systems are solved in batches with NumPy inside
 ``mapInPandas`` over the aggregated table (one row per group), so nothing passes
-through the driver.  Iterative fits (IRLS for quantile regression) checkpoint the
-coefficient table each round to cut lineage.
+through the driver.  Quantile regression is in :mod:`quantreg`, boosted trees in
+:mod:`boosting`, trailing windows by running sums in :mod:`rolling`.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 
 from ..session import materialize, sized_broadcast
-from . import orderstats
+from . import orderstats, quantreg
+from .quantreg import QUANTILES
 
-QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)  # fixed: quantile-model levels
-MATERIALIZE_EVERY = 1  # IRLS rounds between written coefficient tables (lineage cut)
 LOG_CHISQ1_MEAN = -1.2704  # E[log chi^2_1]: bias fix of the log-squared-residual model
 
 
@@ -36,14 +35,12 @@ def dot(x: Column, beta: Column) -> Column:
 
 
 def normal_equations(
-    rows: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", w: Column | None = None,
-    carry: Sequence[str] = (),
+    rows: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", w: Column | None = None
 ) -> DataFrame:
-    """Per group: ``xtx`` (row-major p*p), ``xty`` (p), ``n``, ``sw`` (sum of weights);
-    ``carry`` columns are constant per group and passed through with ``first``."""
+    """Per group: ``xtx`` (row-major p*p), ``xty`` (p), ``n``, ``sw`` (sum of weights)."""
     wt = w if w is not None else F.lit(1.0)
     xc = F.col(x)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(wt).alias("sw"), *[F.first(c).alias(c) for c in carry]]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(wt).alias("sw")]
     for i in range(p):
         for j in range(i, p):
             aggs.append(F.sum(wt * xc[i] * xc[j]).alias(f"_a{i}_{j}"))
@@ -51,29 +48,18 @@ def normal_equations(
     g = rows.groupBy(*keys).agg(*aggs)
     xtx = F.array(*[F.col(f"_a{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
     xty = F.array(*[F.col(f"_b{i}") for i in range(p)])
-    return g.select(*keys, *carry, "n", "sw", xtx.alias("xtx"), xty.alias("xty"))
+    return g.select(*keys, "n", "sw", xtx.alias("xtx"), xty.alias("xty"))
 
 
-def solve_groups(
-    neq: DataFrame, keys: Sequence[str], p: int, penalty: DataFrame | None = None, l1: bool = False, eps: float = 1e-6
-) -> DataFrame:
+def solve_groups(neq: DataFrame, keys: Sequence[str], p: int, penalty: DataFrame | None = None) -> DataFrame:
     """Batched solve of ``(xtx / sw + P) beta = xty / sw`` per group.
 
     ``penalty`` (optional, joined by ``keys``) holds ``pen`` — an array of p diagonal
-    additions (plain ridge).  With ``l1=True`` the table carries ``beta_prev`` and
-    ``l1_alpha`` and the L1 term is the adaptive ridge ``alpha / max(|beta_prev_j|, eps)``
-    on the non-intercept columns.  A tiny jitter keeps masked (all-zero) columns
-    solvable.  Runs in ``mapInPandas`` on the aggregated table (one row per group)."""
+    additions (plain ridge).  A tiny jitter keeps all-zero columns solvable.  Runs in ``mapInPandas`` on the aggregated table (one row per group)."""
     keys = list(keys)
     src = neq if penalty is None else neq.join(penalty, on=keys, how="left")
     if penalty is None:
         src = src.withColumn("pen", F.array_repeat(F.lit(0.0), p))
-    if l1:
-        adaptive = F.concat(
-            F.array(F.lit(0.0)),
-            F.transform(F.slice("beta_prev", 2, p - 1), lambda b: F.col("l1_alpha") / F.greatest(F.abs(b), F.lit(eps))),
-        ) if p > 1 else F.array(F.lit(0.0))
-        src = src.withColumn("pen", F.zip_with("pen", adaptive, lambda a, b: a + b))
     src = src.select(*keys, "sw", "xtx", "xty", "pen")
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", beta array<double>"
@@ -108,51 +94,11 @@ def wls(rows: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y"
 
 
 def quantile_regression(
-    rows: DataFrame,
-    keys: Sequence[str],
-    p: int,
-    quantiles: Sequence[float] = QUANTILES,
-    alpha: float | str = 0.0,
-    iterations: int = 25,
-    x: str = "x",
-    y: str = "y",
-    eps: float = 1e-6,
+    rows: DataFrame, keys: Sequence[str], p: int, quantiles: Sequence[float] = QUANTILES, alpha: float = 0.0, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    """K1: L1-penalised linear quantile regression for every (group, q) at once by
-    iteratively reweighted least squares.
-
-    Objective per group: ``mean(pinball_q(y - x beta)) + alpha * sum_{j>0} |beta_j|``
-    (column 0 is the intercept, unpenalised).  Each round: weights
-    ``|q - 1(r < 0)| / max(|r|, eps)`` and the L1 term as an adaptive ridge
-    ``alpha / max(|beta_j|, eps)``; one aggregate for the normal equations, a batched
-    solve, a checkpoint.  ``alpha`` may name a column of ``rows`` (per-candidate
-    penalties in a search).  Returns ``keys, q, beta``."""
-    keys = list(keys)
-    lv = F.array(*[F.lit(float(q)) for q in quantiles])
-    alpha_col = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
-    # every round re-reads the training rows: write them once (only the needed columns)
-    base = materialize(rows.select(*keys, x, y, alpha_col.alias("l1_alpha")))
-    per_q = base.select("*", F.explode(lv).alias("q"))
-    gkeys = [*keys, "q"]
-    # start: least squares fit
-    beta = materialize(wls(per_q, gkeys, p, x, y))
-    # The coefficient table has one row per group in every round: prove its bound once.
-    small = sized_broadcast(beta, materialized=True) is not beta
-    for it in range(iterations):
-        prev = beta.withColumnRenamed("beta", "beta_prev")
-        j = per_q.join(F.broadcast(prev) if small else prev, on=gkeys, how="inner")
-        r = F.col(y) - dot(F.col(x), F.col("beta_prev"))
-        wq = F.when(r < 0, 1 - F.col("q")).otherwise(F.col("q"))
-        w = wq / F.greatest(F.abs(r), F.lit(eps))
-        # previous coefficients and the penalty travel with the group's sums, so a
-        # round reads the coefficient table once (a single chain, no plan doubling)
-        neq = normal_equations(j, gkeys, p, x, y, w, carry=["beta_prev", "l1_alpha"])
-        # the pinball objective is a mean over rows: rescale sum(w) to the row count
-        neq = neq.withColumn("sw", F.col("n").cast("double"))
-        beta = solve_groups(neq, gkeys, p, l1=True, eps=eps)
-        if (it + 1) % MATERIALIZE_EVERY == 0 or it == iterations - 1:
-            beta = materialize(beta)
-    return beta
+    """K1: L1-penalised linear quantile regression for every (group, q) at once, to proven
+    optimality (see :mod:`quantreg`).  Returns ``keys, q, beta, n, loss, gap, converged``."""
+    return quantreg.fit(rows, keys, p, quantreg.problems(p, quantiles, alpha), x, y).drop("candidate", "alpha")
 
 
 def predict_quantiles(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
@@ -161,6 +107,17 @@ def predict_quantiles(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], x:
     return j.withColumn("pred", dot(F.col(x), F.col("beta")))
 
 
+def coefficient_loss(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """K5: mean pinball of coefficient sets (``keys, by, q, beta``) over ``rows``: a group's
+    sets lie in one array, which its rows meet once; sums per set leave the rows' tasks."""
+    by = list(by)
+    sets = coefs.groupBy(*keys).agg(F.collect_list(F.struct(*by, "q", "beta")).alias("_sets"))  # a struct per problem
+    e = F.col(y) - dot(F.col(x), F.col("_c.beta"))
+    j = rows.where(F.col(y).isNotNull()).select(*keys, x, y).join(sized_broadcast(sets), on=list(keys)).withColumn("_c", F.explode("_sets"))
+    loss = F.greatest(F.col("_c.q") * e, (F.col("_c.q") - 1) * e)
+    return j.groupBy(*[F.col(f"_c.{b}").alias(b) for b in by]).agg(F.avg(loss).alias("val_pinball"))
+
+
 def coefficient_importance(coefs: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Mean absolute coefficient per feature over all (hour, q) fits."""
     ex = coefs.select(*keys, F.posexplode("beta").alias("j", "coef"))

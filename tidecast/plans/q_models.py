@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import joins, models, report, scores
+from ..operators import joins, models, quantreg, scores
 from ..sources import fixtures as fx
 from .oracle import with_fixtures
 from .registry import query
@@ -18,7 +18,6 @@ FEATURES = ["premium_d2", "premium_d7", "vol_down_d2"]
 P = len(FEATURES) + 1
 VAL_START = dt.datetime(2024, 1, 24)
 GK = ["zone", "hour"]
-ITER = 12
 
 
 def design(spark, sf):
@@ -46,14 +45,15 @@ def _beta_cols(df):
 
 @query("k1_linear_quantile_fit")
 def k1_linear_quantile_fit(spark, sf):
-    """K1 (rows-only: iterative fit): coefficients per (zone, hour, q)."""
+    """K1 (rows-only: a linear program): coefficients per (zone, hour, q), with the loss
+    that they reach and the proof that none is lower (``gap``, ``converged``)."""
     train, _ = _train_test(spark, sf)
-    return rounded(_beta_cols(models.quantile_regression(train, GK, P, alpha=0.0, iterations=ITER)))
+    return rounded(_beta_cols(models.quantile_regression(train, GK, P)))
 
 
 def _k2(spark, sf):
     train, test = _train_test(spark, sf)
-    coefs = models.quantile_regression(train, GK, P, iterations=ITER)
+    coefs = models.quantile_regression(train, GK, P)
     return models.predict_quantiles(test, coefs, GK)
 
 
@@ -79,7 +79,7 @@ def k8_day_quantile_params(spark, sf):
 def e28_feature_importance(spark, sf):
     """E28 (rows-only): mean |coefficient| per feature over every (zone, hour, q) fit."""
     train, _ = _train_test(spark, sf)
-    coefs = models.quantile_regression(train, GK, P, iterations=ITER)
+    coefs = models.quantile_regression(train, GK, P)
     return rounded(models.coefficient_importance(coefs, [*GK, "q"], ["intercept", *FEATURES]))
 
 
@@ -102,46 +102,29 @@ def k4_location_scale(spark, sf):
     return rounded(pr.select("zone", "ts", "loc", sc.alias("scale"), (-dist.normal_logpdf(F.col("y"), F.col("loc"), sc)).alias("nll")))
 
 
-# K5 candidate grid (fixed search space): feature flags over FEATURES and the L1 penalty.
-CANDIDATES = (
-    (1, (True, True, True), 0.0),
-    (2, (True, True, True), 0.05),
-    (3, (True, False, False), 0.0),
-    (4, (False, False, False), 0.0),
-    (5, (False, True, True), 0.02),
-)
+# K5 search space: every set of features times a ladder of L1 penalties, as a table of any
+# length.  C15: no flag selected forces the first feature group.
+ALPHAS = (0.0, 0.01, 0.02, 0.05)
 
 
-def candidate_array(ids=None):
-    """The grid as a literal array of structs; C15: no flag selected forces the first
-    feature group.  Exploding it gives every row one copy per candidate (the
-    candidate becomes a group key) without joining tables."""
-    items = []
-    for cid, flags, alpha in CANDIDATES:
-        if ids is not None and cid not in ids:
-            continue
-        eff = flags if any(flags) else (True,) + (False,) * (len(flags) - 1)
-        mask = [1.0] + [1.0 if f else 0.0 for f in eff]
-        items.append(F.struct(F.lit(cid).alias("candidate_id"), F.lit(float(alpha)).alias("alpha"),
-                              F.array(*[F.lit(m) for m in mask]).alias("mask")))
-    return F.array(*items)
-
-
-def _masked(df, ids=None):
-    ex = df.select("*", F.explode(candidate_array(ids)).alias("_c"))
-    return ex.select(
-        *[c for c in df.columns if c != "x"], "_c.candidate_id", "_c.alpha",
-        F.zip_with("x", "_c.mask", lambda a, m: a * m).alias("x"),
-    )
+def candidates() -> list[tuple[int, tuple[bool, ...], float]]:
+    """(candidate id, mask over the design columns, alpha)."""
+    masks = [tuple(bool(k >> j & 1) for j in range(len(FEATURES))) for k in range(2 ** len(FEATURES))]
+    masks = [m if any(m) else (True,) + (False,) * (len(FEATURES) - 1) for m in masks]
+    return [(i, (True, *m), a) for i, (m, a) in enumerate(((m, a) for m in masks for a in ALPHAS), start=1)]
+
+
+def _problems(ids=None) -> list[quantreg.Problem]:
+    return [quantreg.Problem(i, q, a, m) for i, m, a in candidates() if ids is None or i in ids for q in quantreg.QUANTILES]
 
 
 def _search(spark, sf):
+    """Validation pinball per candidate.  All candidates are problems of one fit, which
+    reads the training rows once; predictions are never written per row and candidate, the
+    loss of each is summed where the row lies."""
     train, test = _train_test(spark, sf)
-    keys = [*GK, "candidate_id"]
-    coefs = models.quantile_regression(_masked(train), keys, P, alpha="alpha", iterations=ITER)
-    pr = models.predict_quantiles(_masked(test), coefs, keys)
-    vp = scores.validation_pinball(pr, ["candidate_id"])
-    return vp, coefs
+    coefs = quantreg.fit(train, GK, P, _problems())
+    return models.coefficient_loss(test, coefs, GK, ["candidate"]).withColumnRenamed("candidate", "candidate_id"), coefs
 
 
 @query("k5_candidate_search")
@@ -157,9 +140,8 @@ def k6_refit_best(spark, sf):
     """K6 (rows-only): refit the best candidate on all rows; its coefficients."""
     vp, _ = _search(spark, sf)
     best_id = vp.orderBy("val_pinball", "candidate_id").select("candidate_id").first()[0]  # one scalar
-    d = _masked(design(spark, sf), ids={best_id})
-    coefs = models.quantile_regression(d, [*GK, "candidate_id"], P, alpha="alpha", iterations=ITER)
-    return rounded(_beta_cols(coefs))
+    coefs = quantreg.fit(design(spark, sf), GK, P, _problems({best_id}))
+    return rounded(_beta_cols(coefs.withColumnRenamed("candidate", "candidate_id")))
 
 
 ROLL_DAYS = 14
@@ -175,7 +157,7 @@ def k7_rolling_forecast(spark, sf):
     tz = d.where(F.col("date") >= F.lit(fx.EVAL_START)).select("zone", F.col("date").alias("pred_date")).distinct()
     train = joins.trailing_window(tz, d, ["zone"], "pred_date", "date", ROLL_DAYS)
     keys = ["pred_date", *GK]
-    coefs = models.quantile_regression(train, keys, P, iterations=ITER)
+    coefs = models.quantile_regression(train, keys, P)
     test = d.where(F.col("date") >= F.lit(fx.EVAL_START)).withColumn("pred_date", F.col("date"))
     pr = models.predict_quantiles(test, coefs, keys)
     return rounded(pr.select("zone", "pred_date", "hour", "q", "pred"))
