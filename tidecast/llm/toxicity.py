@@ -52,17 +52,17 @@ from .common import BROADCAST_ROWS, stored, temp_name
 
 MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST = 4
+BLOCK = 256
+FIRST = 2
 ROUNDING = 1e-4  # more than sums of 32-bit products are off
 EVIDENCE = 3
 #: Most distinct terms of all examples together, each counted once an example.
 MAX_POSTINGS = 6_000_000
 #: Commonest terms, and groups of examples by them, that order the index.
 LEADERS = 512
-GROUPS = 32
+GROUPS = 16
 #: Texts searched together.
-TOGETHER = 64
+TOGETHER = 128
 
 _WORDS = re.compile(r"\w+").findall
 _FURTHER = re.compile("[\u0300-\U0010ffff]").search  # may hold marks or unspaced scripts
