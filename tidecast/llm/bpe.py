@@ -90,8 +90,7 @@ class Ids(dict):
         if not text:
             return b""
         if len(self) > REMEMBERED:
-            self.clear()
-            self.known.clear()
+            self.forget()
         # Separators on whose class the two regex engines differ, and special strings: the
         # library splits at these first, so the white space before one ends a segment.
         if _ODD.search(text) or ("<" in text and self.special(text)):
@@ -99,6 +98,11 @@ class Ids(dict):
         units = text.split() if self.words else _UNIT.findall(text)
         return b"".join(map(self.__getitem__, units))
 
+    def forget(self) -> None:
+        """Empty the memory, so that a worker does not carry it into its next work."""
+        self.clear()
+        self.known.clear()
+
 
 def tokenizer_path(name: str) -> str:
     """Where the public file lies on this machine (every machine has the package)."""

@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
                     made += 1
             yield batch(rows)
             rows = []
+        encode.forget()
         for w in packer.rest():
             rows += _rows(w, (part << 36) + made, keep=True)
             made += 1

@@ -61,8 +61,10 @@ MAX_POSTINGS = 6_000_000
 #: Commonest terms, and groups of examples by them, that order the index.
 LEADERS = 512
 GROUPS = 16
+#: Texts whose scores a task remembers (it forgets them all when there are more).
+REMEMBERED = 50_000
 #: Texts searched together.
-TOGETHER = 128
+TOGETHER = 256
 
 _WORDS = re.compile(r"\w+").findall
 _FURTHER = re.compile("[\u0300-\U0010ffff]").search  # may hold marks or unspaced scripts
@@ -182,6 +184,8 @@ class Index:
     def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of hashed terms and counts: (term numbers, weights of the examples'
         terms); empty if there are none."""
+        order = np.argsort(h)  # ascending needles are found faster
+        h, n = h[order], n[order]
         t = np.searchsorted(self.terms, h)
         known = np.zeros(len(h), bool)
         inside = t < len(self.terms)
@@ -190,9 +194,7 @@ class Index:
         w[known] *= self.idf[t[known]]
         w[~known] *= self.unseen
         w /= np.sqrt((w * w).sum()) or 1.0
-        t, w = t[known], w[known]
-        order = np.argsort(t)
-        return t[order], w[order]
+        return t[known], w[known]
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above 0 and their cosines,
@@ -407,7 +409,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
         for b in batches:
             n += b.num_rows
             for lo in range(0, b.num_rows, 256):
-                h = np.concatenate([hashed(set(stems(t.as_py()))) for t in b.column(0).slice(lo, 256)])
+                h = np.sort(np.concatenate([hashed(set(stems(t.as_py()))) for t in b.column(0).slice(lo, 256)]))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     total += np.bincount(at[known[at] == h], minlength=len(known))
@@ -444,7 +446,8 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
                 out += [(ix.vote(*f), float(v)) for f, v in zip(found, y.to_pylist()) if len(f[0])]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in (0, 1)], ["vote", "y"])
 
-    voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(votes, "vote double, y double").orderBy("vote", "y").toPandas()  # at most a row per example
+    voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(votes, "vote double, y double").toPandas()  # at most a row per example
+    voted = voted.sort_values(["vote", "y"])
     if len(voted):
         index.knots = _rising(voted["vote"].to_numpy(), voted["y"].to_numpy())
     return index
@@ -459,8 +462,17 @@ def judge(docs: DataFrame, index: Index, text: str = "text") -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix = model.value
         ix.knots = knots
+        known: dict[bytes, tuple] = {}  # scores of this task's texts, for copies
         for s in batches:
-            got = [g for lo in range(0, len(s), TOGETHER) for g in ix.score(s.iloc[lo : lo + TOGETHER].tolist())]
+            keys = [xxhash.xxh3_128_digest(t or "") for t in s]
+            fresh = {k: t for k, t in zip(keys, s) if k not in known}
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                fresh = dict(zip(keys, s))
+            for lo in range(0, len(fresh), TOGETHER):
+                part = list(fresh)[lo : lo + TOGETHER]
+                known.update(zip(part, ix.score([fresh[k] for k in part])))
+            got = [known[k] for k in keys]
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [ix.ids[g[1]].tolist() for g in got], "cosines": [g[2].tolist() for g in got]})
 
     return scored(F.col(text))
