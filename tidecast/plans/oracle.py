@@ -11,6 +11,11 @@ PANEL = ("premium", "price_up", "price_down", "vol_up", "vol_down")
 _FFILL = ",\n    ".join(f"last_value(r.{c} IGNORE NULLS) OVER w AS {c}" for c in PANEL)
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
+    "span": (
+        (),
+        """SELECT d0, d0 + CAST(n // 3 AS INTEGER) AS d_third, d0 + CAST(n * 7 // 10 AS INTEGER) AS d_eval, d0 + CAST(n * 7 // 9 AS INTEGER) AS d_val
+    FROM (SELECT min(CAST(ts AS DATE)) AS d0, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS n FROM events)""",
+    ),
     "hourly_raw": (
         (),
         """SELECT event_type AS zone, date_trunc('hour', ts) AS ts,
@@ -31,21 +36,21 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     WINDOW w AS (PARTITION BY s.zone ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     ),
     "actuals": (
-        ("hourly",),
+        ("hourly", "span"),
         """SELECT zone, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, premium AS y
-    FROM hourly WHERE ts >= TIMESTAMP '2024-01-22 00:00:00'""",
+    FROM hourly, span WHERE ts >= d_eval""",
     ),
     "samples": (
-        (),
+        ("span",),
         """SELECT 'hist' AS model, '1' AS run_id, event_type AS zone, CAST(hour(ts) AS INTEGER) AS hour,
            event_id AS sample_id, value AS x
-    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-21'
+    FROM events, span WHERE CAST(ts AS DATE) >= d0 AND CAST(ts AS DATE) < d_eval
     UNION ALL
     SELECT 'early', '2', event_type, CAST(hour(ts) AS INTEGER), event_id, value
-    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-10'
+    FROM events, span WHERE CAST(ts AS DATE) >= d0 AND CAST(ts AS DATE) < d_third
     UNION ALL
     SELECT 'late', '3', event_type, CAST(hour(ts) AS INTEGER), event_id, value
-    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-21'""",
+    FROM events, span WHERE CAST(ts AS DATE) >= d_third AND CAST(ts AS DATE) < d_eval""",
     ),
     "settlement_input": (
         ("hourly",),

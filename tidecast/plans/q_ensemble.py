@@ -67,9 +67,9 @@ def j6_weighted_ensemble(spark, sf):
     return rounded(_h(spark, sf, WEIGHTS).select(*EK, "level_idx", "q", "value", "members"))
 
 
-# J2-J4 pool two members of unequal size that share no samples; at hour 3 one is absent.
+# J2-J4 pool the two members that share no samples (the third is their union).
 MEMBERS = ("early", "late")
-_MS = ("ms", "SELECT * FROM samples WHERE model IN ('early', 'late') AND NOT (model = 'late' AND hour = 3)")
+_MS = ("ms", "SELECT * FROM samples WHERE model IN ('early', 'late')")
 _POOL = [
     _MS,
     ("mn", "SELECT zone, hour, model, count(*) AS n FROM ms GROUP BY zone, hour, model"),
@@ -86,7 +86,7 @@ _POOL = [
 
 
 def _members(spark, sf):
-    return fx.samples(spark, sf).where(F.col("model").isin(*MEMBERS) & ~((F.col("model") == "late") & (F.col("hour") == 3)))
+    return fx.samples(spark, sf).where(F.col("model").isin(*MEMBERS))
 
 
 def _pool(spark, sf):

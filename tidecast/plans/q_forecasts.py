@@ -3,8 +3,6 @@ summaries: E6-E8, E13-E18, E20-E30, B12, B14."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ..operators import calibration, scores
@@ -258,21 +256,19 @@ def e22_sharpness(spark, sf):
     return rounded(calibration.sharpness(_curve(spark, sf), ["model"]))
 
 
-SPIKE_START = dt.date(2024, 1, 24)
-
-
 @query(
     "e24_spike_week",
     with_fixtures(
         "SELECT model, zone, CAST(row_number() OVER (PARTITION BY model, zone ORDER BY date, hour) - 1 AS INTEGER) AS hour_offset, "
         + ", ".join([r("mean", "mean"), r("q05", "lower90"), r("q95", "upper90"), r("realized", "realized")])
-        + " FROM forecast_wide WHERE date >= DATE '2024-01-24' AND date < DATE '2024-01-31'",
+        + " FROM forecast_wide, span WHERE date >= d_val AND date < d_val + 7",
         "forecast_wide",
+        "span",
     ),
 )
 def e24_spike_week(spark, sf):
     fw = fx.forecast_wide(spark, sf).withColumn("ts", F.timestamp_add("HOUR", F.col("hour"), F.col("date").cast("timestamp_ntz")))
-    wk = calibration.spike_week(fw, ["model", "zone"], "ts", SPIKE_START)
+    wk = calibration.spike_week(fw, ["model", "zone"], "ts", fx.span(spark, sf).validation)
     return rounded(wk.select("model", "zone", F.col("hour_offset").cast("int").alias("hour_offset"), "mean", "lower90", "upper90", "realized"))
 
 

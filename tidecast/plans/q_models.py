@@ -8,15 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import joins, models, quantreg, scores
+from ..operators import boosting, models, quantreg, rolling, scores
 from ..sources import fixtures as fx
+from ..sources.tables import load
 from .oracle import with_fixtures
 from .registry import query
 from .util import r, rounded
 
 FEATURES = ["premium_d2", "premium_d7", "vol_down_d2"]
 P = len(FEATURES) + 1
-VAL_START = dt.datetime(2024, 1, 24)
 GK = ["zone", "hour"]
 
 
@@ -35,8 +35,8 @@ def design(spark, sf):
 
 
 def _train_test(spark, sf):
-    d = design(spark, sf)
-    return d.where(F.col("ts") < F.lit(VAL_START)), d.where(F.col("ts") >= F.lit(VAL_START))
+    d, start = design(spark, sf), dt.datetime.combine(fx.span(spark, sf).validation, dt.time())
+    return d.where(F.col("ts") < F.lit(start)), d.where(F.col("ts") >= F.lit(start))
 
 
 def _beta_cols(df):
@@ -104,7 +104,7 @@ def k4_location_scale(spark, sf):
 
 # K5 search space: every set of features times a ladder of L1 penalties, as a table of any
 # length.  C15: no flag selected forces the first feature group.
-ALPHAS = (0.0, 0.01, 0.02, 0.05)
+ALPHAS = (0.0, 0.02)
 
 
 def candidates() -> list[tuple[int, tuple[bool, ...], float]]:
@@ -144,23 +144,60 @@ def k6_refit_best(spark, sf):
     return rounded(_beta_cols(coefs.withColumnRenamed("candidate", "candidate_id")))
 
 
-ROLL_DAYS = 14
+K3_FEATURES = FEATURES
+
+
+@query("k3_boosted_quantiles")
+def k3_boosted_quantiles(spark, sf):
+    """K3 (rows-only): boosted quantile trees per (zone, hour), all levels together; the last
+    week before the validation rows says how many rounds each group keeps."""
+    train, test = _train_test(spark, sf)
+    start = fx.span(spark, sf).validation
+    model = boosting.fit(train, GK, K3_FEATURES, rounds=10, rate=0.3, validation=F.col("date") >= F.lit(start - dt.timedelta(days=7)), patience=5)
+    return rounded(boosting.predict(test, model, GK, K3_FEATURES, keep=["ts", "y"]))
+
+
+# K7: a linear model per (zone, hour) is fitted anew for every day on the days before it.
+WINDOW_DAYS = 730
 
 
 @query("k7_rolling_forecast")
 def k7_rolling_forecast(spark, sf):
-    """K7 (rows-only): one quantile-regression fit per prediction date on its trailing
-    window (D7 bucketed range join), all dates in one grouped job; predictions for
-    the date itself."""
+    """K7 (rows-only): quantiles of every evaluation day from the model fitted on its
+    trailing window, all days in one job; the sums of a window are differences of running
+    sums, so no row is copied into the windows that hold it."""
     d = design(spark, sf)
-    # prediction dates per zone: the days each zone has rows on (no product of tables)
-    tz = d.where(F.col("date") >= F.lit(fx.EVAL_START)).select("zone", F.col("date").alias("pred_date")).distinct()
-    train = joins.trailing_window(tz, d, ["zone"], "pred_date", "date", ROLL_DAYS)
-    keys = ["pred_date", *GK]
-    coefs = models.quantile_regression(train, keys, P)
-    test = d.where(F.col("date") >= F.lit(fx.EVAL_START)).withColumn("pred_date", F.col("date"))
-    pr = models.predict_quantiles(test, coefs, keys)
-    return rounded(pr.select("zone", "pred_date", "hour", "q", "pred"))
+    fits = rolling.trailing_fits(d, GK, "date", P, WINDOW_DAYS, least_rows=2 * P)
+    test = d.where(F.col("date") >= F.lit(fx.span(spark, sf).evaluation))
+    return rounded(rolling.predict_quantiles(test, fits, GK, "date", keep=["ts"]).select("zone", "hour", F.col("date").alias("pred_date"), "q", "pred"))
+
+
+# The same over seven years of orders: daily totals per priority, a level and a trend.
+_DAILY_SQL = """SELECT o_orderpriority AS zone, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1e5 AS y FROM orders GROUP BY 1, 2"""
+
+
+def daily_orders(spark, sf):
+    """Daily totals per priority with a weekly cycle as features: x = [1, weekend, day / 365]."""
+    o = load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("zone"), F.to_date("o_orderdate").alias("date")).agg((F.sum("o_totalprice") / 1e5).alias("y"))
+    weekend = (F.weekday("date") >= 5).cast("double")
+    return o.withColumn("x", F.array(F.lit(1.0), weekend, F.datediff("date", F.lit(dt.date(1995, 1, 1))) / 365.0))
+
+
+_ROLL_SQL = f"""WITH d AS (SELECT zone, date, y, CASE WHEN isodow(date) >= 6 THEN 1.0::DOUBLE ELSE 0.0 END AS w, date_diff('day', DATE '1995-01-01', date) / 365.0::DOUBLE AS t FROM ({_DAILY_SQL})),
+s AS (SELECT a.zone, a.date, any_value(a.w) AS w0, any_value(a.t) AS t0, count(*) AS n, sum(b.w) AS sw, sum(b.t) AS st, sum(b.w * b.w) AS sww, sum(b.w * b.t) AS swt, sum(b.t * b.t) AS stt, sum(b.y) AS sy, sum(b.w * b.y) AS swy, sum(b.t * b.y) AS sty, sum(b.y * b.y) AS syy
+  FROM d a JOIN d b ON a.zone = b.zone AND b.date < a.date AND b.date >= a.date - {WINDOW_DAYS} GROUP BY a.zone, a.date HAVING count(*) >= 200),
+c AS (SELECT *, sww - sw * sw / n AS cww, swt - sw * st / n AS cwt, stt - st * st / n AS ctt, swy - sw * sy / n AS cwy, sty - st * sy / n AS cty, syy - sy * sy / n AS cyy FROM s),
+f AS (SELECT *, (cwy * ctt - cty * cwt) / (cww * ctt - cwt * cwt) AS bw, (cty * cww - cwy * cwt) / (cww * ctt - cwt * cwt) AS bt FROM c)
+SELECT zone, date, n, {r("sy / n - bw * sw / n - bt * st / n + bw * w0 + bt * t0", "loc", 5)}, {r("sqrt(greatest(cyy - bw * cwy - bt * cty, 0) / (n - 3))", "scale", 5)} FROM f"""
+
+
+@query("k7_rolling_730_days", _ROLL_SQL)
+def k7_rolling_730_days(spark, sf):
+    """K7 over B3/B4: for each priority and day with at least 200 days of history, location and
+    scale of the day's total from the linear model of the 730 days before it."""
+    d = daily_orders(spark, sf)
+    fits = rolling.trailing_fits(d, ["zone"], "date", 3, WINDOW_DAYS, least_rows=200)
+    return rounded(rolling.predict(d, fits, ["zone"], "date").select("zone", "date", "n", "loc", "scale"), 5)
 
 
 @query(

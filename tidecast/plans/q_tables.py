@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, panel, report, scores
@@ -120,14 +122,14 @@ def h2_except_dates(spark, sf):
 @query(
     "h3_union_all_frames",
     with_fixtures(
-        "SELECT model, zone, date, hour, " + r("mean", "mean") + " FROM forecast_wide WHERE model = 'hist'"
-        " UNION ALL SELECT model, zone, date, hour, " + r("mean", "mean") + " FROM forecast_wide WHERE model = 'late'",
+        "SELECT model, zone, date, hour, " + r("mean", "mean") + " FROM forecast_wide",
         "forecast_wide",
     ),
 )
 def h3_union_all_frames(spark, sf):
     fw = fx.forecast_wide(spark, sf).select("model", "zone", "date", "hour", "mean")
-    return rounded(fw.where(F.col("model") == "hist").unionByName(fw.where(F.col("model") == "late")))
+    frames = [fw.where(F.col("model") == m) for m, *_ in fx.span(spark, sf).windows]
+    return rounded(reduce(DataFrame.unionByName, frames))
 
 
 @query("h4_distinct_zone_models", with_fixtures("SELECT DISTINCT zone, model FROM samples", "samples"))
@@ -258,9 +260,10 @@ def g1_order_by_date(spark, sf):
         "SELECT h.zone, h.ts, "
         + r("(h.premium - s.mu) / s.sigma", "premium_z")
         + " FROM hourly h JOIN (SELECT zone, CAST(hour(ts) AS INTEGER) AS hour, avg(premium) AS mu,"
-        " CASE WHEN stddev_pop(premium) = 0 THEN 1.0 ELSE stddev_pop(premium) END AS sigma FROM hourly"
-        " WHERE ts < TIMESTAMP '2024-01-22 00:00:00' GROUP BY 1, 2) s ON s.zone = h.zone AND s.hour = hour(h.ts)",
+        " CASE WHEN stddev_pop(premium) = 0 THEN 1.0 ELSE stddev_pop(premium) END AS sigma FROM hourly, span"
+        " WHERE ts < d_eval GROUP BY 1, 2) s ON s.zone = h.zone AND s.hour = hour(h.ts)",
         "hourly",
+        "span",
     ),
 )
 def d4_scaler_lookup(spark, sf):
@@ -268,7 +271,7 @@ def d4_scaler_lookup(spark, sf):
     size check and looked up by key for every row."""
     h = fx.hourly(spark, sf).withColumn("hour", F.hour("ts"))
     long = h.select("zone", "ts", "hour", F.lit("premium").alias("feature"), F.col("premium").alias("v"))
-    train = long.where(F.col("ts") < F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"))
+    train = long.where(F.col("ts") < F.lit(fx.span(spark, sf).evaluation).cast("timestamp_ntz"))
     sc = panel.fit_scaler(train, ["zone"])
     out = panel.apply_scaler(long, sized_broadcast(sc), ["zone"], skip=())
     return rounded(out.select("zone", "ts", F.col("v_scaled").alias("premium_z")))

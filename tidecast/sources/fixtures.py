@@ -10,20 +10,51 @@ values of the same zone and hour-of-day are the predictive samples of three
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load
 
-# Fixed fixture parameters (dates inside the events table's January 2024 range).
-EVAL_START = dt.date(2024, 1, 22)
-SAMPLE_WINDOWS = (
-    # model, run_id, first day, last day (inclusive)
-    ("hist", "1", dt.date(2024, 1, 1), dt.date(2024, 1, 21)),
-    ("early", "2", dt.date(2024, 1, 1), dt.date(2024, 1, 10)),
-    ("late", "3", dt.date(2024, 1, 11), dt.date(2024, 1, 21)),
-)
+@dataclass(frozen=True)
+class Span:
+    """The days of ``events``, first and last included, and the dates that divide them: the
+    first third is one history, the rest up to ``evaluation`` (seven tenths) another, and the
+    rows from ``validation`` (seven ninths) on judge fitted models."""
+
+    first: dt.date
+    last: dt.date
+
+    @property
+    def days(self) -> int:
+        return (self.last - self.first).days + 1
+
+    def _at(self, days: int) -> dt.date:
+        return self.first + dt.timedelta(days=days)
+
+    @property
+    def evaluation(self) -> dt.date:
+        return self._at(self.days * 7 // 10)
+
+    @property
+    def validation(self) -> dt.date:
+        return self._at(self.days * 7 // 9)
+
+    @property
+    def windows(self) -> tuple[tuple[str, str, dt.date, dt.date], ...]:
+        """(model, run_id, first day, last day) of the three forecasters' histories."""
+        third, end = self._at(self.days // 3), self.evaluation - dt.timedelta(days=1)
+        return (("hist", "1", self.first, end), ("early", "2", self.first, third - dt.timedelta(days=1)), ("late", "3", third, end))
+
+
+def span(spark: SparkSession, sf_dir: str) -> Span:
+    """First and last day of the events (one row; an empty table has one empty day)."""
+    low, high = load(spark, sf_dir, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    none = dt.date(1970, 1, 1)
+    return Span(low or none, high or none)
+
+
 PANEL_COLUMNS = ("premium", "price_up", "price_down", "vol_up", "vol_down")
 FORECAST_LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 QUANTILE_MODEL_LEVELS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
@@ -53,7 +84,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hourly(spark, sf_dir).where(F.col("ts") >= F.lit(dt.datetime.combine(EVAL_START, dt.time())))
+    h = hourly(spark, sf_dir).where(F.col("ts") >= F.lit(dt.datetime.combine(span(spark, sf_dir).evaluation, dt.time())))
     return h.select(
         "zone",
         F.to_date("ts").alias("date"),
@@ -67,13 +98,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     history window contains its day (the windows overlap, so up to two rows)."""
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     day = F.to_date("ts")
-    first = min(d0 for _, _, d0, _ in SAMPLE_WINDOWS)
-    last = max(d1 for _, _, _, d1 in SAMPLE_WINDOWS)
+    windows = span(spark, sf_dir).windows
+    first, last = min(d0 for _, _, d0, _ in windows), max(d1 for _, _, _, d1 in windows)
     wins = F.array_compact(
         F.array(
             *[
                 F.when((day >= F.lit(d0)) & (day <= F.lit(d1)), F.struct(F.lit(m).alias("model"), F.lit(r).alias("run_id")))
-                for m, r, d0, d1 in SAMPLE_WINDOWS
+                for m, r, d0, d1 in windows
             ]
         )
     )
