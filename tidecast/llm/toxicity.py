@@ -56,6 +56,8 @@ BLOCK = 256
 FIRST = 2
 ROUNDING = 1e-4  # more than sums of 32-bit products are off
 EVIDENCE = 3
+#: Postings that the driver works on at a time.
+CHUNK = 1 << 20
 #: Most distinct terms of all examples together, each counted once an example.
 MAX_POSTINGS = 6_000_000
 #: Commonest terms, and groups of examples by them, that order the index.
@@ -321,7 +323,7 @@ def build_index(examples: Iterable[tuple[int, int, Counter]], df: dict[str, int]
     row = np.repeat(np.arange(len(examples)), [len(c) for _, _, c in examples])
     term = np.searchsorted(names, hashed(s for _, _, c in examples for s in c))
     n = np.array([x for _, _, c in examples for x in c.values()], np.int64)
-    return _index(np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], np.int64), row.astype(np.int32), term.astype(np.int32), n, names, counts, n_docs)
+    return _index(np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], np.int64), row, term.astype(np.int32), n, names, counts, n_docs)
 
 
 def _order(row: np.ndarray, term: np.ndarray, size: np.ndarray, leader: np.ndarray) -> np.ndarray:
@@ -329,8 +331,9 @@ def _order(row: np.ndarray, term: np.ndarray, size: np.ndarray, leader: np.ndarr
     one language hold the same ones), then by the number of their terms, so that a block's
     largest weights are close to all its weights."""
     held = np.zeros((len(size), LEADERS), np.float32)
-    some = leader[term] >= 0
-    held[row[some], leader[term[some]]] = 1
+    for lo in range(0, len(term), CHUNK):
+        column, r = leader[term[lo : lo + CHUNK]], row[lo : lo + CHUNK]
+        held[r[column >= 0], column[column >= 0]] = 1
     # Two rounds of assigning each example to the nearer of a few mean leader vectors.
     group = np.zeros(len(size), np.int64)
     if len(size) > GROUPS:
@@ -344,12 +347,22 @@ def _order(row: np.ndarray, term: np.ndarray, size: np.ndarray, leader: np.ndarr
     return np.lexsort((np.arange(len(size)), size, group))
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 up in the least bytes that hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, names: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
     """From the examples' (id, toxic) and their (row, term, count)."""
-    a = np.bincount(term, toxic[row], len(names))
-    b = np.bincount(term, None, len(names)) - a
+    b = np.bincount(term, minlength=len(names))
+    a = np.bincount(term[toxic.astype(bool)[row]], minlength=len(names))
+    b -= a
     idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * relevance(a, b, int(toxic.sum()), int((1 - toxic).sum()))
-    length = np.sqrt(np.bincount(row, ((1.0 + np.log(n)) * idf[term]) ** 2, len(ids)))
+    length = np.zeros(len(ids))
+    for lo in range(0, len(term), CHUNK):  # the driver holds few arrays of all postings at once
+        part = slice(lo, lo + CHUNK)
+        length += np.bincount(row[part], ((1.0 + np.log(n[part])) * idf[term[part]]) ** 2, len(ids))
+    length = np.sqrt(length)
     base = float((toxic.sum() + 0.5) / (len(ids) + 1.0)) if len(ids) else 0.0
     size = np.bincount(row, None, len(ids))
     full = size > 0
@@ -361,12 +374,12 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     order = order[full[order]]
     place = np.zeros(len(ids), np.int32)
     place[order] = np.arange(len(order))
-    post = place[row]
-    by = np.argsort(term.astype(np.int64) * (len(ids) + 1) + post, kind="stable")
-    offset = np.concatenate([[0], np.cumsum(np.bincount(term, None, len(names)))])
+    post = _small(place)[row]
+    by = np.argsort(post, kind="stable")
+    by = by[np.argsort(term[by], kind="stable")]
+    offset = np.concatenate([[0], np.cumsum(a + b)])
     unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
-    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, small(post[by]), small(n[by]), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, post[by], _small(n[by]), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
 
 # ------------------------------------------------------------------ Spark
@@ -398,9 +411,17 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     upto = seen.select("id", "key", F.sum(F.size("terms").cast("long")).over(run).alias("held")).where(F.col("held") <= MAX_POSTINGS)
     seen = stored(seen.join(F.broadcast(upto.select("id", "key").distinct()), ["id", "key"]), "examples")
     got = seen.select("id", "y", "terms", "n").orderBy("id", "key").toArrow()  # at most MAX_POSTINGS terms
-    flat = got["terms"].combine_chunks()
-    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
-    names, term = np.unique(flat.flatten().to_numpy(), return_inverse=True)
+    ids, toxic = got["id"].to_numpy().astype(np.int64), got["y"].to_numpy().astype(np.int64)
+    lists = got["terms"].chunks
+    sizes = np.concatenate([np.zeros(0, np.int32), *[c.value_lengths().to_numpy(zero_copy_only=False) for c in lists]]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in lists]])
+    counts = _small(np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in got["n"].chunks]]))
+    del got, lists
+    names = np.unique(flat)
+    term = np.empty(len(flat), np.int32)
+    for lo in range(0, len(flat), CHUNK):
+        term[lo : lo + CHUNK] = np.searchsorted(names, flat[lo : lo + CHUNK])
+    del flat
     vocabulary = spark.sparkContext.broadcast(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,17 +442,9 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     if len(at):
         df[at[at >= 0]] = found["n"].to_numpy()[at >= 0]
         n_docs = int(found["n"].to_numpy()[at < 0].sum())
-    index = _index(
-        got["id"].to_numpy().astype(np.int64),
-        got["y"].to_numpy().astype(np.int64),
-        np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
-        term.astype(np.int32),
-        got["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False),
-        names,
-        df,
-        n_docs,
-    )
-    del got, flat, term, found
+    row = np.repeat(_small(np.arange(len(sizes))), sizes)
+    index = _index(ids, toxic, row, term, counts, names, df, n_docs)
+    del row, term, counts, found
     index.sent = model = spark.sparkContext.broadcast(index)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
