@@ -370,6 +370,18 @@ def test_url_collisions_are_confirmed(tmp_path):
     assert urlrules.Rules(str(path)).fits(["a.com"], ["/x"]) == [None]
 
 
+def test_texts_that_share_an_id_keep_their_own_links(spark):
+    """Links need one pair of texts; an id has the links of all its texts, and no others."""
+    w = [f"w{i}" for i in range(400)]
+    a, b, c = " ".join(w[:102]), " ".join(w[9:102]), " ".join(w[:94])  # 100, 91 and 92 shingles
+    x, y = " ".join(w[200:260]), " ".join(w[300:360])
+    rows = [(1, a), (1, b), (2, c), (5, x), (5, y), (5, y), (6, x), (7, y + " end"), (8, x + " z"), (9, ""), (9, None)]
+    got = jaccard.join(docs_of(spark, rows), words=3, percent=90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 91, 1), (1, 100, 1), (2, 92, 1), (5, 58, 5), (5, 58, 5), (5, 58, 5), (6, 58, 5), (7, 59, 5), (8, 59, 5), (9, 0, 9), (9, 0, 9)]
+    got = jaccard.join(docs_of(spark, [(1, " ".join(w[:102])), (1, " ".join(w[11:102])), (2, " ".join(w[:80] + w[120:142]))]), words=3, percent=90)
+    assert {r.component_id for r in got.collect() if r.doc_id == 2} == {2}
+
+
 # ------------------------------------------------------------------ toxicity
 
 

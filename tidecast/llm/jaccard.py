@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bit_filter, components, in_filter, mix64, stored, temp_name
+from .common import bit_filter, components, in_filter, mix64, small, stored, temp_name
 from .shingles import shingle_sets
 
 SKETCH = 1 << 20  # counters
@@ -289,9 +289,25 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text",
     if not 1 <= percent <= 100:
         raise ValueError("percent is 1 to 100")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    nodes, links = _linked(rows, words, percent)
-    comp = components(links).select(F.col("id").alias("rep"), "component_id")
-    return nodes.join(comp, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    twice = stored(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "twice")
+    if twice.isEmpty():
+        nodes, links = _linked(rows, words, percent)
+        comp = components(links).select(F.col("id").alias("rep"), "component_id")
+        return nodes.join(comp, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    # Texts that share an id are compared one by one, under ids of their own, and their
+    # components are one: a document has the links of all its texts.
+    own = rows.join(small(twice.withColumn("again", F.lit(True))), "id", "left")
+    uid = F.when(F.col("again"), -1 - F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62))).otherwise(F.col("id"))
+    own = stored(own.select("id", uid.alias("uid"), "text"), "own")
+    nodes, links = _linked(own.select(F.col("uid").alias("id"), "text"), words, percent)
+    named = nodes.withColumnRenamed("id", "uid").join(own.select("uid", "id").distinct(), "uid")
+    named = stored(named.select("uid", "id", "n", "rep"), "named")
+    several = named.join(small(twice), "id")
+    bound = several.join(small(stored(several.groupBy("id").agg(F.min("rep").alias("a")), "several")), "id").select("a", F.col("rep").alias("b"))
+    comp = components(links.unionByName(bound.where("a <> b"))).select(F.col("id").alias("rep"), F.col("component_id").alias("c"))
+    placed = stored(named.join(comp, "rep", "left").withColumn("c", F.coalesce("c", "rep")), "placed")
+    least = placed.groupBy("c").agg(F.min("id").alias("component_id"))
+    return placed.join(least, "c").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
