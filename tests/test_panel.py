@@ -97,3 +97,24 @@ def test_trailing_window_matches_brute_force(spark):
             assert got[d] == (len(hist), sum(hist))
         else:
             assert d not in got
+
+
+def test_lags_by_time_skip_gaps_and_follow_the_clock(spark):
+    t0 = dt.datetime(2024, 3, 29, 0)
+    rows = [("z", t0 + dt.timedelta(hours=i), float(i)) for i in range(96) if i % 7 != 5]
+    df = spark.createDataFrame(rows, "zone string, ts timestamp_ntz, v double")
+    have = {t: v for _, t, v in rows}
+    got = {r.ts: r for r in panel.lags_by_time(df, ["zone"], "ts", ["v"], {"d1": 24}).collect()}
+    assert len(got) == len(rows) and all(r.v_d1 == have.get(t - dt.timedelta(hours=24)) for t, r in got.items())
+    # Oslo skips 2:00 on 31 March: one local day before 12:00 (10:00 UTC) is 11:00 UTC of the 30th.
+    got = {r.ts: r for r in panel.lags_by_time(df, ["zone"], "ts", ["v"], {"d1": 24}, tz=panel.LOCAL_TZ).collect()}
+    assert got[dt.datetime(2024, 3, 31, 10)].v_d1 == have.get(dt.datetime(2024, 3, 30, 11))
+    assert got[dt.datetime(2024, 3, 30, 10)].v_d1 == have.get(dt.datetime(2024, 3, 29, 10))
+
+
+def test_clock_lag_over_the_repeated_hour_takes_the_later_one(spark):
+    rows = [("z", dt.datetime(2024, 10, 26, 22) + dt.timedelta(hours=i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "zone string, ts timestamp_ntz, v double")
+    got = {r.ts: r.v_d1 for r in panel.lags_by_time(df, ["zone"], "ts", ["v"], {"d1": 24}, tz=panel.LOCAL_TZ).collect()}
+    assert got[dt.datetime(2024, 10, 28, 1)] == 3.0  # 2:00 local a day earlier was 0:00 and 1:00 UTC
+    assert panel.lags_by_time(df.limit(0), ["zone"], "ts", ["v"]).count() == 0

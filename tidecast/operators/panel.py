@@ -112,6 +112,23 @@ def lag_features(
     return df.withColumns({f"{c}_{name}": F.lag(c, n).over(w) for name, n in lags.items() for c in columns})
 
 
+def lags_by_time(
+    df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], lags: dict[str, int] | None = None, tz: str | None = None
+) -> DataFrame:
+    """C5 by time: the value exactly so many hours earlier, whatever rows are missing between
+    (null where that hour has no row).  With ``tz`` the hours are those of the local clock of the
+    UTC stamp ``ts``: two days before 14:00 is 14:00 also across a clock change; the hour that a
+    change skips has no value, of the hour that it repeats the later one counts.  One sort per
+    series; each frame holds the rows of one hour.  Of rows with one stamp the greatest value
+    counts."""
+    lags = lags or LAG_HOURS
+    clock = epoch_seconds(to_local(ts, tz) if tz else F.col(ts)).cast("long")
+    w = Window.partitionBy(*keys).orderBy(clock)
+    return df.withColumns({
+        f"{c}_{name}": F.max(F.struct(F.col(ts), F.col(c))).over(w.rangeBetween(-3600 * n, -3600 * n))[c] for name, n in lags.items() for c in columns
+    })
+
+
 def feature_family(name: Column) -> Column:
     """Strip the ``_d{N}`` lag suffix to get the base feature name."""
     return F.regexp_replace(name, r"_d[0-9]+$", "")

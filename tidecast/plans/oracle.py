@@ -52,6 +52,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT 'late', '3', event_type, CAST(hour(ts) AS INTEGER), event_id, value
     FROM events, span WHERE CAST(ts AS DATE) >= d_third AND CAST(ts AS DATE) < d_eval""",
     ),
+    "order_hours": (
+        (),
+        """SELECT s.zone, s.ts, coalesce(r.value, 0.0) AS value
+    FROM (SELECT zone, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts
+          FROM (SELECT o_orderpriority AS zone, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts FROM orders) GROUP BY zone) s
+    LEFT JOIN (SELECT o_orderpriority AS zone, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2) r
+      ON r.zone = s.zone AND r.ts = s.ts""",
+    ),
     "settlement_input": (
         ("hourly",),
         """SELECT zone, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour,

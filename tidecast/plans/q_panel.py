@@ -130,6 +130,23 @@ def c5_lag_features(spark, sf):
     return rounded(_lagged(spark, sf).select("zone", "ts", *_LAG_NAMES))
 
 
+_BY_TIME = ", ".join(f"{r(f'p{k}.premium', f'premium_{nm}')}" for k, nm in enumerate(panel.LAG_HOURS))
+
+
+@query(
+    "c5_lags_by_time",
+    with_fixtures(
+        f"SELECT h.zone, h.ts, {_BY_TIME} FROM hourly_raw h "
+        + " ".join(f"LEFT JOIN hourly_raw p{k} ON p{k}.zone = h.zone AND p{k}.ts = h.ts - INTERVAL {n} HOUR" for k, n in enumerate(panel.LAG_HOURS.values())),
+        "hourly_raw",
+    ),
+)
+def c5_lags_by_time(spark, sf):
+    """C5 on the panel as it is, gaps included: lags by time, not by row."""
+    lagged = panel.lags_by_time(fx.hourly_raw(spark, sf), ["zone"], "ts", ["premium"])
+    return rounded(lagged.select("zone", "ts", *[f"premium_{nm}" for nm in panel.LAG_HOURS]))
+
+
 @query(
     "f4_row_lag",
     with_fixtures(f"SELECT zone, ts, {r('lag(premium, 24) OVER (PARTITION BY zone ORDER BY ts)', 'premium_lag24')} FROM hourly", "hourly"),

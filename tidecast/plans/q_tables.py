@@ -95,6 +95,26 @@ def d8_dst_align(spark, sf):
     return days.select("zone", "date", "n_values", txt.alias("aligned"))
 
 
+_LOCAL = "timezone('Europe/Oslo', timezone('UTC', ts))"
+
+
+@query(
+    "d8_dst_days",
+    with_fixtures(
+        "SELECT zone, date, n_values, " + ", ".join(r(f"CASE WHEN n_values = 24 THEN v[{k}] WHEN n_values = 25 THEN v[{k if k <= 3 else k + 1}] WHEN n_values = 23 THEN v[{k if k <= 3 else k - 1}] END", f"h{k - 1}", 2) for k in (1, 3, 4, 5, 24))
+        + f" FROM (SELECT zone, CAST({_LOCAL} AS DATE) AS date, count(*) AS n_values, list(value ORDER BY ts) AS v FROM order_hours GROUP BY 1, 2)",
+        "order_hours",
+    ),
+)
+def d8_dst_days(spark, sf):
+    """D8 over years of local days: real days of 23 and 25 hours put on 24 slots (slots
+    around the clock change and the ends shown; null for the cut first and last days)."""
+    h = fx.order_hours(spark, sf)
+    days = panel.daily_arrays(h, ["zone"], "ts", "value", panel.LOCAL_TZ).withColumn("n_values", F.size("values").cast("long"))
+    a = days.withColumn("a", joins.dst_align(F.col("values")))
+    return rounded(a.select("zone", "date", "n_values", *[F.col("a")[k].alias(f"h{k}") for k in (0, 2, 3, 4, 23)]), 2)
+
+
 @query(
     "h1_intersect_dates",
     """SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT'

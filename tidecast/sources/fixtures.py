@@ -83,6 +83,16 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.forward_fill(full, ["zone"], "ts", list(PANEL_COLUMNS))
 
 
+def order_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of hourly order values per priority, in UTC and without gaps: an order counts in
+    hour ``o_orderkey mod 24`` of its date; hours without orders have value 0."""
+    from ..operators import panel
+
+    o = load(spark, sf_dir, "orders").withColumn("ts", F.timestamp_add("HOUR", (F.col("o_orderkey") % 24).cast("int"), F.col("o_orderdate").cast("timestamp_ntz")))
+    raw = o.groupBy(F.col("o_orderpriority").alias("zone"), "ts").agg(F.sum("o_totalprice").alias("value"))
+    return panel.hourly_spine(raw, "zone", "ts").join(raw, on=["zone", "ts"], how="left").fillna(0.0, ["value"])
+
+
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir).where(F.col("ts") >= F.lit(dt.datetime.combine(span(spark, sf_dir).evaluation, dt.time())))
     return h.select(
