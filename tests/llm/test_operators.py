@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,13 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
 
 
+def test_a_cluster_without_a_shared_folder_fails():
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset, master="spark://host:7077"), conf=unset)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
 # ------------------------------------------------------------------ components
 
 

@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.  Only where
-    it is unset (tests, a laptop session) a scratch folder is made and used instead."""
+    it is unset in a local session (tests, a laptop) a scratch folder is made and used
+    instead; a cluster session fails, as executors would not see such a folder."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-ckpt-")
         sc.setCheckpointDir(base)
     return base
