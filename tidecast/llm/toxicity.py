@@ -117,6 +117,11 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ index
 
 
+def _frequency(n: np.ndarray) -> np.ndarray:
+    """Weight of a term that a text holds n times, before its IDF, in double precision."""
+    return 1.0 + np.log(n.astype(np.float64))
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """lo[0]..hi[0]-1, lo[1]..hi[1]-1 and so on, as one array."""
     n = hi - lo
@@ -161,9 +166,13 @@ class Index:
             return self
         n, size = len(self.ids), np.diff(self.offset)
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)
-        weight = ((1.0 + np.log(self.count)) * self.idf[term] / self.length[self.post]).astype(np.float32)
+        weight = np.empty(len(term), np.float32)
+        for lo in range(0, len(term), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            weight[part] = _frequency(self.count[part]) * self.idf[term[part]] / self.length[self.post[part]]
         by = np.argsort(self.post, kind="stable")
         self.row_term, self.row_weight = term[by], weight[by]
+        del by
         self.leader = np.full(len(self.terms), -1, np.int32)
         often = np.argsort(-size, kind="stable")[:LEADERS]
         self.leader[often] = np.arange(len(often))
@@ -192,7 +201,7 @@ class Index:
         known = np.zeros(len(h), bool)
         inside = t < len(self.terms)
         known[inside] = self.terms[t[inside]] == h[inside]
-        w = 1.0 + np.log(n)
+        w = _frequency(n)
         w[known] *= self.idf[t[known]]
         w[~known] *= self.unseen
         w /= np.sqrt((w * w).sum()) or 1.0
@@ -361,7 +370,7 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     length = np.zeros(len(ids))
     for lo in range(0, len(term), CHUNK):  # the driver holds few arrays of all postings at once
         part = slice(lo, lo + CHUNK)
-        length += np.bincount(row[part], ((1.0 + np.log(n[part])) * idf[term[part]]) ** 2, len(ids))
+        length += np.bincount(row[part], (_frequency(n[part]) * idf[term[part]]) ** 2, len(ids))
     length = np.sqrt(length)
     base = float((toxic.sum() + 0.5) / (len(ids) + 1.0)) if len(ids) else 0.0
     size = np.bincount(row, None, len(ids))
