@@ -316,40 +316,52 @@ def test_html_and_address_parts(spark):
 
 
 def test_lm_difference_equals_counting(spark, none):
-    texts = [(1, "abab abab"), (2, "abab"), (3, "zz. zz. Zz!"), (4, None), (5, ""), (1, "abab abab")]
+    texts = [(1, "abab abab, x"), (2, "abab x"), (3, "zz. zz. Zz!"), (4, None), (5, ""), (1, "abab abab, x"), (6, "  "), (7, "\u4e2d\u6587 zz"), (None, "zz. abab")]
     frame = docs_of(spark, texts)
-    got = sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(frame, spark.createDataFrame([(1,), (2,)], "id long")).collect())
-
-    def model(ts):
-        c = Counter()
-        for t in ts:
-            for g in lm.grams(t).tolist():
-                c[g >> 18, g >> 12 & 63, g >> 6 & 63, g & 63] += 1
-
-        def prob(h, x):
-            below = 1 / 64 if not h else prob(h[1:], x)
-            own = Counter()
-            for g, n in c.items():
-                if g[3 - len(h) : 3] == h:
-                    own[g[3]] += n
-            if not h:
-                below = 1 / 64
-            n, kinds = sum(own.values()), len(own)
-            return (own[x] + kinds * below) / (n + kinds) if n else below
-
-        return prob
-
-    a, b = model([t for i, t in texts if i in (1, 2)]), model([t for _, t in texts])
+    marked = spark.createDataFrame([(1,), (2,)], "id long")
+    assert lm.words("Zz_9, \u4e2d\u6587a!") == ["zz", "_", "9", ",", "\u4e2d", "\u6587", "a", "!"]
+
+    def model(ts, kinds):
+        uni, pair = Counter(), Counter()
+        for w in ts:
+            tokens = [*w, "<>"]
+            uni.update(tokens)
+            pair.update(zip(["<>", *w], tokens))
+        n = sum(uni.values())
+        return lambda v, w: (pair[v, w] + 50 * (uni[w] + 1) / (n + kinds + 1)) / (uni[v] + 50)
+
+    cut = [lm.words(t) for _, t in texts]
+    kinds = len({w for ws in cut for w in ws}) + 1
     want = []
-    for i, t in texts:
-        g = [(x >> 18, x >> 12 & 63, x >> 6 & 63, x & 63) for x in lm.grams(t).tolist()]
-        want.append((i, len(g), round(float(np.mean([np.log(b(x[:3], x[3])) - np.log(a(x[:3], x[3])) for x in g])), 6) if g else 0.0))
-    assert [(i, n) for i, n, _ in got] == sorted((i, n) for i, n, _ in want)
-    assert np.allclose(sorted(s for *_, s in got), sorted(s for *_, s in want), atol=1e-4)
+    for j, (i, _) in enumerate(texts):
+        others = [(k, w) for k, w in enumerate(cut) if k != j and w]
+        a = model([w for k, w in others if texts[k][0] in (1, 2)], kinds)
+        b = model([w for _, w in others], kinds)
+        steps = list(zip(["<>", *cut[j]], [*cut[j], "<>"])) if cut[j] else []
+        want.append((i, len(steps), *(float(np.mean([-np.log(m(v, w)) for v, w in steps])) if steps else 0.0 for m in (a, b))))
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+    for size in (1, 20, 1 << 20):  # blocks of one document, of some, of all
+        got = order((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm.score(frame, marked, size=size).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in order(want)]
+        assert np.allclose([r[2:] for r in got], [r[2:] for r in order(want)], atol=1e-12)
     assert lm.score(none, spark.createDataFrame([], "id long")).count() == 0
     assert {r.score for r in lm.score(frame, spark.createDataFrame([], "id long")).collect()} == {0.0}
 
 
+def test_lm_tells_scripts_and_copies_apart(spark):
+    rng = np.random.default_rng(3)
+    greek, latin = [["".join(chr(a + int(c)) for c in rng.integers(0, 24, 4)) for _ in range(60)] for a in (0x3B1, 0x61)]
+    text = lambda vocabulary: " ".join(rng.choice(vocabulary, 40))
+    rows = [(i, text(greek if i % 2 else latin)) for i in range(80)]
+    strange = [" ".join(f"q{i}x{j}" for j in range(40)) for i in range(4)]
+    rows += [(100 + i, s) for i, s in enumerate(strange)] + [(200, strange[0]), (300, "word " * 200_000)]
+    out = {r.doc_id: r for r in lm.score(docs_of(spark, rows), spark.createDataFrame([(i,) for i in range(1, 40, 2)], "id long")).collect()}
+    assert len(out) == len(rows) and out[300].n_tokens == 200_001
+    assert max(out[i].score for i in range(1, 80, 2)) < min(out[i].score for i in range(0, 80, 2))
+    # a text that occurs twice is known to the background, one that occurs once is not
+    assert min(out[100].score, out[200].score) > max(out[i].score for i in (101, 102, 103)) + 1
+
+
 # ------------------------------------------------------------------ URL rules
 
 

@@ -1,162 +1,188 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are letter models of order 4 over one shared vocabulary of 64 symbols (space,
-a-z, digits, marks, the letters of Latin-1, and others), with interpolated Witten-Bell
-smoothing down to the uniform model.  The target model counts the documents marked as
-target, the background model counts all documents.  A document's score is the mean over its
-symbols of target loss minus background loss, in nats: the lower, the more like the target.
-
-Counts are exact sums over all documents: every task adds up the 4-grams it meets, and Spark
-sums them by 4-gram.  There are at most 64**4 of them whatever the input, which bounds what
-the driver collects and broadcasts.
-
-Null and empty texts have no symbols and score 0.  A document marked twice counts once per
-row of the documents.  Without target documents all scores are 0.
+Both models are word bigram models over one vocabulary, the words of all documents, with the
+same smoothing (Dirichlet priors): p(w) = (c(w) + 1) / (N + V + 1) and
+p(w | v) = (c(v w) + prior * p(w)) / (c(v) + prior).  The target model counts the documents
+marked as target, the background model all documents.  A document is judged by models that
+have not seen it: its own counts are taken off first.  Its score is the mean over its words
+and its end of target loss minus background loss, in nats: the lower, the more like the target.
+
+Words are lower-cased runs of letters and digits, single letters of Han and Kana, and single
+other marks.  Words and bigrams are told apart by 64-bit hashes.
+
+The models grow with the corpus and are never gathered: documents are written in blocks of
+about ``BLOCK_BYTES`` of text, each with its distinct words and bigrams and their counts; Spark
+sums the counts by key, joins the sums back to the blocks, and every block is scored beside
+the counts of its own keys only.  Keys that no other block has are known already and do not
+travel back.  A frequent word is one row a block, however often it occurs.
+
+Null and empty texts, and texts without words, have no tokens and score 0.  A document marked
+twice counts once per row of the documents; repeated rows are rows of their own, and each is
+background to the other.  Null ids are kept and are never target.  Without target documents
+all scores are 0.  A very long text is a block of its own.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import small, stored
 
-ORDER = 4
-SYMBOLS = 64
-GRAMS = SYMBOLS**ORDER
-CONTEXTS = SYMBOLS ** (ORDER - 1)
-
-
-def _vocabulary() -> np.ndarray:
-    """Symbol of every code point below U+0250; the last entry is for all others."""
-    s = np.full(0x251, 31, np.uint8)  # 31: anything else
-    for c in range(0x250):
-        ch = chr(c).lower()
-        if ch.isspace():
-            s[c] = 0
-        elif len(ch) == 1 and "a" <= ch <= "z":
-            s[c] = 1 + ord(ch) - ord("a")
-        elif ch.isdigit() and c < 128:
-            s[c] = 27
-        elif ch in ".!?":
-            s[c] = 28
-        elif c < 128 and c > 32:
-            s[c] = 29
-        elif len(ch) == 1 and 0xDF <= ord(ch) <= 0xFF and ch != "÷":
-            s[c] = 32 + (ord(ch) - 0xDF if ord(ch) < 0xF7 else ord(ch) - 0xE0)
-        elif ch.isalpha():
-            s[c] = 30
-    return s
-
-
-_SYMBOL = _vocabulary()
-
-
-def grams(text: str | None) -> np.ndarray:
-    """The 4-grams of a text as numbers, one per symbol and one for its end, with the
-    contexts before the first symbol blank."""
-    if not text:
-        return np.zeros(0, np.int32)
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    s = np.zeros(len(points) + ORDER, np.int32)
-    s[ORDER - 1 : -1] = _SYMBOL[np.minimum(points, 0x250)]
-    n = len(points) + 1
-    return (s[:n] << 18) | (s[1 : n + 1] << 12) | (s[2 : n + 2] << 6) | s[3 : n + 3]
-
-
-@dataclass
-class Difference:
-    """Target minus background loss of every 4-gram: values of the counted ones, and what is
-    left of the lower order for the others."""
-
-    code: np.ndarray
-    value: np.ndarray
-    context: np.ndarray  # (CONTEXTS,): back-off part
-    lower: np.ndarray  # (CONTEXTS,): loss difference of the last three symbols
-
-    _tables = {}
-
-    def table(self, key: str) -> np.ndarray:
-        """The dense table (64 MB), built once per Python worker and model."""
-        if key not in self._tables:
-            self._tables.clear()
-            t = (self.context.astype(np.float32)[:, None] + np.tile(self.lower.astype(np.float32).reshape(SYMBOLS * SYMBOLS, SYMBOLS), (SYMBOLS, 1))).ravel()
-            t[self.code] = self.value
-            self._tables[key] = t
-        return self._tables[key]
-
-
-def _losses(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Witten-Bell losses: of the given 4-grams, of the back-off step per context, and of
-    the next lower order."""
-    n3 = np.bincount(code & (CONTEXTS - 1), count, CONTEXTS)
-    p = np.full(1, 1.0 / SYMBOLS)
-    for k in (1, 2, 3):  # lower orders, each dense
-        n = n3.reshape(-1, SYMBOLS**k).sum(axis=0).reshape(-1, SYMBOLS)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        below = np.tile(p.reshape(-1, SYMBOLS) if k > 1 else np.full((1, SYMBOLS), p[0]), (len(n) // max(1, len(p) // SYMBOLS), 1))
-        p = np.where(total > 0, (n + kinds * below) / np.maximum(total + kinds, 1), below).ravel()
-    c = np.bincount(code >> 6, count, CONTEXTS)
-    kinds = np.bincount(code >> 6, count > 0, CONTEXTS)
-    back = np.where(c > 0, kinds / np.maximum(c + kinds, 1), 1.0)
-    ctx, low = code >> 6, p[code & (CONTEXTS - 1)]
-    full = np.where(c[ctx] > 0, (count + kinds[ctx] * low) / np.maximum(c[ctx] + kinds[ctx], 1), low)
-    return -np.log(full), -np.log(back), -np.log(p)
-
-
-def difference(code: np.ndarray, target: np.ndarray, background: np.ndarray) -> Difference:
-    a, b = _losses(code, target), _losses(code, background)
-    return Difference(code, (a[0] - b[0]).astype(np.float32), a[1] - b[1], a[2] - b[2])
-
-
-def counts(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(code, target, background): 4-gram counts over all rows of ``docs``; ``target_ids``
-    holds the distinct ids (column ``id``) of the target."""
-    t = small(stored(target_ids.select("id", F.lit(1).alias("t")), "targets"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(t, "id", "left").select("text", "t")
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = np.zeros((2, GRAMS), np.int32)
+#: Characters of text in a block, but for a longer single document.
+BLOCK_BYTES = 8 << 20
+#: Weight of the word model in the bigram model, in occurrences.
+PRIOR = 50.0
+_ALONE = "぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # letters written without spaces
+_WORD = re.compile(rf"[{_ALONE}]|[^\W_{_ALONE}]+|[^\w\s]|_")
+_EDGE = np.uint64(0x9E3779B97F4A7C14)  # start and end of a document; even, like all words
+_MIX, _STEP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_KNOWN: dict[str, int] = {}
+_REMEMBERED, _LONGEST = 1 << 19, 32  # words a worker remembers, and their longest
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text."""
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _number(word: str) -> int:
+    got = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1
+    if len(word) <= _LONGEST:
+        if len(_KNOWN) >= _REMEMBERED:
+            _KNOWN.clear()
+        _KNOWN[word] = got
+    return got
+
+
+def keys(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token, the end included: its key, the key of the token before it (the start
+    has the key of the end) and the key of the two.  Word keys are even, bigram keys odd."""
+    w = words(text)
+    if not w:
+        return (np.zeros(0, np.int64),) * 3
+    get = _KNOWN.get
+    u = np.empty(len(w) + 1, np.uint64)
+    u[:-1] = [get(x) or _number(x) for x in w]
+    u[-1] = _EDGE
+    before = np.concatenate((u[-1:], u[:-1]))
+    x = before * _MIX + u
+    x ^= x >> np.uint64(29)
+    x *= _STEP
+    x ^= x >> np.uint64(32)
+    return u.view(np.int64), before.view(np.int64), (x | np.uint64(1)).view(np.int64)
+
+
+def _tally(parts: list[np.ndarray], flags: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a block, and their counts in target documents and in all."""
+    every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    key, count = np.unique(every, return_counts=True)
+    target = np.zeros(len(key), np.int64)
+    marked = [p for p, f in zip(parts, flags) if f]
+    if marked:
+        k, c = np.unique(np.concatenate(marked), return_counts=True)
+        target[np.searchsorted(key, k)] = c
+    return key, target, count.astype(np.int64)
+
+
+def blocks(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in blocks, written: block, id, text, target; the last row of a block also
+    has the block's keys with their target and background counts."""
+    t = small(stored(target_ids.select("id", F.lit(True).alias("target")), "targets"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(t, "id", "left")
+    rows = rows.select(F.spark_partition_id().alias("part"), "id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    longs = ArrayType(LongType(), False)
+    schema = StructType([StructField("block", LongType()), StructField("id", docs.schema[id_col].dataType), StructField("text", StringType()), rows.schema["target"]]
+                        + [StructField(c, longs) for c in ("keys", "targets", "counts")])
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, at, parts, flags, held = 0, 0, [], [], 0
+        spare: list[pd.DataFrame] = []  # rows of the open block that are not given out yet
+
+        def give(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+            rows = rows.assign(block=(part << 32) + at, keys=None, targets=None, counts=None)
+            if last:
+                for c, v in zip(("keys", "targets", "counts"), _tally(parts, flags)):
+                    rows[c] = rows[c].astype(object)
+                    rows.at[rows.index[-1], c] = v
+            return rows[["block", "id", "text", "target", "keys", "targets", "counts"]]
+
         for pdf in batches:
-            for s, t in zip(pdf["text"], pdf["t"].notna()):
-                g = grams(s)
-                np.add.at(both[1], g, 1)
-                if t:
-                    np.add.at(both[0], g, 1)
-        at = np.flatnonzero(both[1])
-        for i in range(0, len(at), 100_000):
-            x = at[i : i + 100_000]
-            yield pd.DataFrame({"code": x, "target": both[0][x], "background": both[1][x]})
-
-    got = rows.mapInPandas(add, "code int, target long, background long")
-    return got.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens (symbols and the end), score,
-    like_target (score below 0)."""
-    c = counts(docs, target_ids, text, id_col).toPandas().sort_values("code")  # at most GRAMS rows
-    code, t, b = (c[x].to_numpy(np.int64) for x in ("code", "target", "background"))
-    empty = not t.sum()
-    model = docs.sparkSession.sparkContext.broadcast(difference(code, b if empty else t, b))
-    key = uuid.uuid4().hex
-
-    @pandas_udf("n long, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = model.value.table(key)
-        for s in batches:
-            got = [grams(x) for x in s]
-            yield pd.DataFrame({"n": [len(g) for g in got], "score": [float(table[g].mean(dtype=np.float64)) if len(g) else 0.0 for g in got]})
-
-    out = docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text)).alias("v"))
-    return out.select("doc_id", F.col("v.n").alias("n_tokens"), F.col("v.score").alias("score"), (F.col("v.score") < 0).alias("like_target"))
+            part = int(pdf["part"].iat[0]) if len(pdf) else part
+            start = 0
+            for i, (s, f) in enumerate(zip(pdf["text"], pdf["target"])):
+                u, _, b = keys(s)
+                parts += [u, b]
+                flags += [bool(f)] * 2
+                held += len(s) if s else 1
+                if held >= size:
+                    yield from (give(x, False) for x in spare)
+                    yield give(pdf.iloc[start : i + 1].reset_index(drop=True), True)
+                    spare, start, at, parts, flags, held = [], i + 1, at + 1, [], [], 0
+            if start < len(pdf):
+                spare.append(pdf.iloc[start:].reset_index(drop=True))
+        for i, x in enumerate(spare):
+            yield give(x, i == len(spare) - 1)
+
+    return stored(rows.mapInPandas(form, schema), "lm-blocks")
+
+
+def _log(count: np.ndarray, pair: np.ndarray, before: np.ndarray, total: float, kinds: int, prior: float) -> np.ndarray:
+    """Losses from the counts of the tokens, of the pairs and of the tokens before them."""
+    word = (count + 1.0) / (total + kinds + 1.0)
+    return -np.log((pair + prior * word) / (before + prior))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id", prior: float = PRIOR, size: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens (words and the end), target_loss,
+    background_loss (nats a token), score (their difference), like_target (score below 0).
+    ``target_ids`` holds the distinct ids (column ``id``) of the target."""
+    made = blocks(docs, target_ids, text, id_col, size)
+    entry = made.where("keys is not null").select("block", F.explode(F.arrays_zip("keys", "targets", "counts")).alias("e"))
+    entry = entry.select("block", F.col("e.keys").alias("key"), F.col("e.targets").alias("t"), F.col("e.counts").alias("b")).repartition("key")
+    sums = entry.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n_blocks"))
+    word = made.where("keys is not null").select(F.explode(F.arrays_zip("keys", "targets", "counts")).alias("e")).where("e.keys % 2 = 0")
+    word = word.groupBy("e.keys").agg(F.sum("e.targets").alias("t"), F.sum("e.counts").alias("b"))
+    row = word.agg(F.count(F.lit(1)).alias("kinds"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    kinds, n_target, n_all = row.kinds, float(row.t or 0), float(row.b or 0)
+    shared = entry.select(F.col("block").alias("home"), "key").join(sums.where("n_blocks > 1").select("key", "t", "b"), "key")
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)])
+    schema = schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double")
+
+    def judge(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        last = rows["keys"].last_valid_index()
+        key, t, b = (np.array(rows.at[last, c], np.int64) for c in ("keys", "targets", "counts"))
+        at = np.searchsorted(key, found["key"].to_numpy(np.int64))
+        t[at], b[at] = found["t"].to_numpy(np.int64), found["b"].to_numpy(np.int64)
+        out = []
+        for s, marked in zip(rows["text"], rows["target"]):
+            u, v, uv = keys(s)
+            if not len(u):
+                out.append((0, 0.0, 0.0))
+                continue
+            k, back, own = np.unique(np.concatenate((u, v, uv)), return_inverse=True, return_counts=True)
+            n = len(u)
+            own -= np.bincount(back[n : 2 * n], minlength=len(k))  # as a token or a pair, not as context
+            i = np.searchsorted(key, k)
+            cb = (b[i] - own)[back].astype(float)
+            back_loss = _log(cb[:n], cb[2 * n :], cb[n : 2 * n], n_all - n, kinds, prior)
+            ct = (t[i] - own if marked else t[i])[back].astype(float)
+            loss = _log(ct[:n], ct[2 * n :], ct[n : 2 * n], n_target - (n if marked else 0), kinds, prior) if n_target else back_loss
+            out.append((n, float(loss.mean()), float(back_loss.mean())))
+        got = pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss"])
+        got.insert(0, "doc_id", rows["id"].to_numpy())
+        return got
+
+    got = made.groupBy("block").cogroup(shared.groupBy("home")).applyInPandas(judge, schema)
+    difference = F.col("target_loss") - F.col("background_loss")
+    return got.select("*", difference.alias("score"), (difference < 0).alias("like_target"))
 
 
 def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
