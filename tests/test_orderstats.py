@@ -1,4 +1,4 @@
-"""Skew-safe order statistics: bucketed plan == direct plan == brute force."""
+"""Skew-safe order statistics: with and without buckets == brute force."""
 
 import itertools
 import random
@@ -80,3 +80,27 @@ def test_buckets_stay_small_for_point_masses_and_outliers(spark):
     i = np.arange(1, len(x) + 1)
     assert got["hot"]["gini_sum"] == pytest.approx(((2 * i - len(x) - 1) * x).sum())
     assert got["flat"]["gini_sum"] == pytest.approx(0.0) and got["flat"]["q50"] == 2.5
+
+
+@pytest.mark.parametrize("per_bucket", [1_000_000, 25])
+def test_marks_meet_samples_in_one_pass(spark, per_bucket):
+    """Counts and sums strictly below any value, present or not, in hot and cold keys."""
+    rows, df = _data(spark)
+    wanted = [("hot", float(v)) for v in np.linspace(-40, 140, 61)] + [("k1", 1.0), ("k1", -1.0), ("single", 4.2), ("k2", None)]
+    marks = spark.createDataFrame(wanted, "key string, x double")
+    got = {(r["key"], r["x"]): r for r in orderstats.ranked(df, ["key"], "x", per_bucket, marks=marks).collect()}
+    for k, v in wanted[:-1]:
+        x = np.array([r[2] for r in rows if r[0] == k])
+        r = got[k, v]
+        assert (r["_before"], r["_n"], r["_c"]) == ((x < v).sum(), len(x), (x == v).sum())
+        assert r["_sbefore"] == pytest.approx(x[x < v].sum())
+
+
+def test_planning_runs_no_job(spark):
+    _, df = _data(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning-only", "")
+    orderstats.summary(df, ["key"], "x", [0.5], ["m"], per_bucket=25)
+    orderstats.quantiles_long(df, ["key"], "x", [i / 99 for i in range(100)])
+    assert not tracker.getJobIdsForGroup("planning-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -94,3 +94,30 @@ def test_heat_bands_exclusion(spark):
     assert hb["a"]["band"] == 1 and hb["a"]["is_best"] and hb["b"]["band"] == 7 and hb["naive"]["band"] == 7
     assert hb["c"]["norm"] == pytest.approx(0.5) and hb["c"]["band"] == 4
     _ = F
+
+
+def test_forecasts_of_one_date_meet_only_their_own_observation(spark):
+    rng = np.random.default_rng(8)
+    xs = {(d, h): np.round(rng.normal(d, 1 + h, 5 + d), 2) for d in range(4) for h in range(3)}
+    s = spark.createDataFrame([("m", d, h, float(x)) for (d, h), v in xs.items() for x in v], "model string, date int, hour int, x double")
+    ys = {(d, h): float(xs[d, h][0]) if h == 0 else d + 0.25 for d in range(5) for h in range(3)} | {(3, 2): None}
+    a = spark.createDataFrame([(d, h, y) for (d, h), y in ys.items()], "date int, hour int, y double")
+    got = {(r["date"], r["hour"]): r for r in scores.hourly_scores(s, a, ["model", "date", "hour"]).collect()}
+    assert set(got) == set(xs)  # no forecast for day 4
+    for k, x in xs.items():
+        if ys[k] is None:
+            assert got[k]["crps"] is None and got[k]["abs_err"] is None
+            continue
+        want = np.mean(np.abs(x - ys[k])) - 0.5 * np.mean(np.abs(x[:, None] - x[None, :]))
+        assert got[k]["crps"] == pytest.approx(want, abs=1e-9) and got[k]["n"] == len(x)
+
+
+def test_order_index_equals_rank_with_ties_nulls_and_a_hot_key(spark):
+    from tidecast.operators import orderstats
+
+    rows = [("hot", i, float(i % 37)) for i in range(500)] + [("hot", 900, None), ("cold", 1, 2.0), ("cold", 2, 2.0), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, x double")
+    got = sorted(map(str, orderstats.order_index(df, ["k"], "x", per_bucket=5).select("k", "id", "i").collect()))
+    df.createOrReplaceTempView("order_rows")
+    want = spark.sql("SELECT k, id, rank() OVER (PARTITION BY k ORDER BY x) AS i FROM order_rows").collect()
+    assert got == sorted(map(str, want))

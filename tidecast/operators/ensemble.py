@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized_broadcast
@@ -122,12 +122,12 @@ def _moments(pool: DataFrame, keys: Sequence[str], value: str, *more: Column) ->
 
 def mixture_quantiles(pool: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Percentiles of the mixture: the smallest value whose cumulative weight reaches the
-    level.  Equal values of a key are one row before they are ordered."""
-    per = pool.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("w").alias("_w"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("_c", F.sum("_w").over(up)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
-    at = [F.min(F.when(F.col("_c") >= F.col("_t") * q - 1e-9, F.col(value))).alias(nm) for q, nm in zip(levels, names)]
-    return cum.groupBy(*keys).agg(*at)
+    level (a step function; no interpolation).  Ordered in value buckets, so one key may hold
+    all rows."""
+    rows = orderstats.ranked(pool, keys, value, weight="w")
+    reached = F.col(orderstats.BEFORE) + F.col(orderstats.C)
+    at = [F.min(F.when(reached >= F.col(orderstats.N) * q - 1e-9, F.col(value))).alias(nm) for q, nm in zip(levels, names)]
+    return rows.groupBy(*keys).agg(*at)
 
 
 def mixture_stats(pool: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str], threshold: float = 0.5) -> DataFrame:

@@ -2,31 +2,25 @@
 
 CRPS needs ``sum_i (2i - n - 1) * x_(i)`` over the sorted values of each group, and
 exact (linear-interpolation) percentiles need the values at given ranks.  The obvious
-plan — ``row_number() over (partition by key order by x)`` — sends every row of a key
+plan, ``row_number() over (partition by key order by x)``, sends every row of a key
 to one task, which fails when one key holds a large share of all rows.
 
-Plan used here instead:
-
-1. ``groupBy(key, value).count()``: equal values collapse with partial aggregation, so a
-   point mass (zeros, a cap) is one row of weight ``_c``.
-2. Per key, approximate percentiles of its distinct values are the edges of value buckets:
-   equal counts whatever the distribution.  They are stored once, so a re-execution after
-   executor loss sees the same edges.  Bucket ``b`` holds only values ``<=`` those of
-   bucket ``b + 1``.
-3. Running counts over ``(key, bucket)`` ordered by value: each window partition holds
-   about ``rows_per_bucket`` distinct values, never the key's rows.
-4. Per-(key, bucket) summaries (count, sum, within-bucket order statistic sum) are
-   small; running sums over buckets of a key give each bucket's rank offset.
-
-The gini-type sum is then ``sum_b [T_b + S_b * off_b - n_b * S_before_b]`` with no
-join back to the rows; exact percentiles join the few requested ranks back onto the
-bucketed rows, which are already hash-partitioned by ``(key, b)``.
-
-Plan choice: a one-row pre-aggregate gives the largest group size.  When it is within
-``rows_per_bucket`` (the common case) the bound is proven and the plan is a single
-shuffle — ``row_number`` over the key followed by one aggregate on the same
-partitioning, with percentiles read by conditional aggregates.  Only when some group
-exceeds the bound is the bucketed plan above used.
+There is one plan, whatever the sizes, and it runs no job while it is built:
+
+1. ``groupBy(key, value)`` sums weights: equal values collapse with partial aggregation, so
+   a point mass (zeros, a cap) is one row.
+2. Keys with more than ``rows_per_bucket`` distinct values are cut into value buckets of about
+   that many.  The cuts are taken from the values whose hash falls on a fixed residue, an
+   even sample of the distinct values that comes out the same wherever and however often it
+   is computed.  Bucket ``b`` holds only values below those of bucket ``b + 1``.
+3. Running weights over ``(key, bucket)`` ordered by value: a window partition holds about
+   ``rows_per_bucket`` rows, never the key's rows.
+4. Running totals over the buckets of a key give each bucket's offset.  There is one row per
+   (key, bucket).
+
+Values at which counts are wanted although no row holds them ("marks", such as observations
+met by a forecast's samples) travel along with weight 0, so samples and observations meet in
+one sorted pass: work n + m instead of n x m.
 """
 
 from __future__ import annotations
@@ -36,91 +30,88 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, rows_per_bucket, sized_broadcast
+from ..session import rows_per_bucket
 
-N, NB, B, R, C = "_n", "_nb", "_b", "_r", "_c"
-MAX_BUCKETS = 1024  # buckets per key at most; beyond that buckets grow
+N, B, C, SX = "_n", "_b", "_c", "_sx"
+BEFORE, SBEFORE = "_before", "_sbefore"  # weight, and sum of weight x value, below this value
+SAMPLED = 64  # sampled values per bucket that place its ends
 DIRECT_LEVELS = 16  # up to this many levels are read by conditional aggregates
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, int]:
-    """Per-key row counts (non-null values, one row per key; lazy) and the largest of
-    them (one row to the driver)."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(N))
-    top = sizes.agg(F.max(N)).first()[0]
-    return sizes, int(top or 0)
-
-
-def max_group_size(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Largest group (non-null values)."""
-    return group_sizes(df, keys, value)[1]
-
-
-def small_groups(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> bool:
-    """True when every group is proven to fit one window partition."""
+def bucketed(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    per_bucket: int | None = None,
+    weight: str | None = None,
+    marks: DataFrame | None = None,
+) -> DataFrame:
+    """One row per distinct ``value`` of a key (null values left out): ``_c`` (its weight: rows,
+    or the sum of ``weight``), ``_n`` and ``_sx`` (the key's weight and sum of weight x value)
+    and ``_b`` (value bucket).  ``marks`` (keys and ``value``) adds rows of weight 0."""
+    keys = list(keys)
     per_bucket = per_bucket or rows_per_bucket(df.sparkSession)
-    return max_group_size(df, keys, value) <= per_bucket
+    x = F.col(value)
+    rows = df.where(x.isNotNull()).select(*keys, value, (F.col(weight) if weight else F.lit(1).cast("long")).alias(C))
+    if marks is not None:
+        rows = rows.unionByName(marks.where(x.isNotNull()).select(*keys, value, F.lit(0).cast(rows.schema[C].dataType).alias(C)))
+    rows = rows.groupBy(*keys, value).agg(F.sum(C).alias(C))
+    every = max(1, per_bucket // SAMPLED)
+    step = max(1, per_bucket // every)
+    stats = rows.groupBy(*keys).agg(
+        F.sum(C).alias(N),
+        F.sum(F.col(C) * x).alias(SX),
+        F.count(F.lit(1)).alias("_d"),
+        F.sort_array(F.collect_list(F.when(F.pmod(F.xxhash64(x), F.lit(every)) == 0, x))).alias("_s"),
+    )
+    cuts = F.when(F.col("_d") > per_bucket, F.filter("_s", lambda e, i: (i + 1) % step == 0))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    stats = stats.select(*named, N, SX, cuts.alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda e: e < x)))
+    return rows.join(stats, on=same, how="inner").select(*keys, value, C, N, SX, bucket.alias(B))
 
 
-def ranked_by_key(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Global rank ``_r`` and group size ``_n`` per key (only for proven-small groups)."""
-    rows = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(F.col(value))
-    return rows.withColumn(R, F.row_number().over(w)).withColumn(N, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+def ranked(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    per_bucket: int | None = None,
+    weight: str | None = None,
+    marks: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`bucketed` with ``_before`` and ``_sbefore``: the key's weight, and sum of weight x
+    value, strictly below the row's value."""
+    keys = list(keys)
+    rows = bucketed(df, keys, value, per_bucket, weight, marks)
+    x = F.col(value)
+    totals = rows.groupBy(*keys, B).agg(F.sum(C).alias("_nb"), F.sum(F.col(C) * x).alias("_sb"))
+    lower = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col(B).alias("_kb"),
+        F.coalesce(F.sum("_nb").over(lower), F.lit(0)).alias("_off"),
+        F.coalesce(F.sum("_sb").over(lower), F.lit(0.0)).alias("_soff"),
+    )
+    inside = Window.partitionBy(*keys, B).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "_r": F.coalesce(F.sum(C).over(inside), F.lit(0)),
+        "_sr": F.coalesce(F.sum(F.col(C) * x).over(inside), F.lit(0.0)),
+    })
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(B) == F.col("_kb")]
+    return rows.join(totals, on=same, how="inner").select(
+        *keys, value, C, N, SX, (F.col("_off") + F.col("_r")).alias(BEFORE), (F.col("_soff") + F.col("_sr")).alias(SBEFORE)
+    )
 
 
-def _rank_h(q: float):
+def _at(q: float):
+    """Zero-based fractional rank of level ``q``."""
     return (F.col(N) - 1) * F.lit(float(q))
 
 
-def _direct_summary(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Small-group plan: one window and one aggregate on the same partitioning."""
-    ranked = ranked_by_key(df, keys, value)
-    x = F.col(value)
-    aggs = [
-        F.first(N).alias("n"),
-        F.sum(x).alias("sum_x"),
-        F.sum((2 * F.col(R) - F.col(N) - 1) * x).alias("gini_sum"),
-    ]
-    for i, q in enumerate(levels):
-        h = _rank_h(q)
-        aggs.append(F.max(F.when(F.col(R) == F.floor(h) + 1, x)).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col(R) == F.ceil(h) + 1, x)).alias(f"_hi{i}"))
-    g = ranked.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n", "sum_x", "gini_sum"]
-    for i, (q, nm) in enumerate(zip(levels, names)):
-        h = (F.col("n") - 1) * F.lit(float(q))
-        out.append((F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm))
-    return g.select(*out)
-
-
-def _direct_quantiles_long(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], sizes: DataFrame) -> DataFrame:
-    """Small-group plan for many levels: a request table (key, level, rank) built
-    from the group sizes — keys x levels x 2 rows, broadcast after a size check —
-    is joined to the ranked rows on (key, rank), so each row costs one hash lookup;
-    the hits are aggregated on the window's partitioning."""
-    ranked = ranked_by_key(df, keys, value).select(*keys, R, F.col(value).alias("_x"))
-    lv = F.array(*[F.lit(float(p)) for p in levels])
-    req = (
-        sizes.select(*keys, N, F.posexplode(lv).alias("level_idx", "q"))
-        .withColumn("_h", (F.col(N) - 1) * F.col("q"))
-        .withColumn(R, F.explode(F.array_distinct(F.array((F.floor("_h") + 1).cast("int"), (F.ceil("_h") + 1).cast("int")))))
-        .drop(N)
-    )
-    hits = ranked.join(sized_broadcast(req), on=[*keys, R], how="inner")
-    g = hits.groupBy(*keys, "level_idx").agg(
-        F.first("q").alias("q"),
-        F.first("_h").alias("_h"),
-        F.max(F.when(F.floor("_h") + 1 == F.col(R), F.col("_x"))).alias("_xlo"),
-        F.max(F.when(F.ceil("_h") + 1 == F.col(R), F.col("_x"))).alias("_xhi"),
-    )
-    frac = F.col("_h") - F.floor("_h")
-    return g.select(
-        *keys,
-        F.col("level_idx").cast("int").alias("level_idx"),
-        "q",
-        (F.col("_xlo") + frac * (F.col("_xhi") - F.col("_xlo"))).alias("value"),
-    )
+def _holds(rank):
+    """Whether the row's value has the (1-based) rank."""
+    return (rank > F.col(BEFORE)) & (rank <= F.col(BEFORE) + F.col(C))
 
 
 def summary(
@@ -131,79 +122,28 @@ def summary(
     names: Sequence[str] = (),
     per_bucket: int | None = None,
 ) -> DataFrame:
-    """Per key: ``n``, ``sum_x``, ``gini_sum`` and one column per requested level."""
-    keys = list(keys)
-    if small_groups(df, keys, value, per_bucket):
-        return _direct_summary(df, keys, value, levels, names)
-    ranked = bucketed(df, keys, value, per_bucket)
-    out = spread_from_ranked(ranked, keys, value)
-    if levels:
-        out = out.join(widen(quantiles_from_ranked(ranked, keys, value, levels), keys, names), on=keys, how="inner")
-    return out
+    """Per key: ``n``, ``sum_x``, ``gini_sum`` (``sum_i (2i - n - 1) x_(i)``; over n^2 it is half
+    the mean absolute difference) and one column per requested level."""
+    return summary_from_ranked(ranked(df, keys, value, per_bucket), keys, value, levels, names)
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> DataFrame:
-    """One row per distinct ``value`` of a key (null values left out): ``_c`` (how many rows
-    hold it), ``_n`` (group size), ``_b`` (value bucket), ``_r`` (rows before it in the
-    bucket) and ``_nb`` (rows in the bucket).
-
-    Equal values are counted first, with partial aggregation, so a point mass is one row.
-    Bucket edges are the key's approximate percentiles over its distinct values: buckets
-    hold about equally many rows whatever the distribution, one outlier included."""
+def summary_from_ranked(rows: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float] = (), names: Sequence[str] = ()) -> DataFrame:
+    """:func:`summary` on the output of :func:`ranked`."""
     keys = list(keys)
-    spark = df.sparkSession
-    per_bucket = per_bucket or rows_per_bucket(spark)
-    rows = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(C)))
-    widest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    parts = max(1, min(MAX_BUCKETS, -(-int(widest) // per_bucket)))
-    cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.first(F.array().cast("array<double>"))
-    stats = rows.groupBy(*keys).agg(F.sum(C).alias(N), cuts.alias("_cuts"))
-    # One row per key, stored (so every branch sees the same edges) and size-checked.
-    joined = rows.join(sized_broadcast(stats), on=keys, how="inner")
     x = F.col(value)
-    joined = joined.withColumn(B, F.size(F.filter("_cuts", lambda e: e < x)).cast("long")).drop("_cuts")
-    wall = Window.partitionBy(*keys, B)
-    before = wall.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = joined.withColumn(R, F.coalesce(F.sum(C).over(before), F.lit(0))).withColumn(NB, F.sum(C).over(wall))
-    # Read by the bucket summary and by the percentile lookup: materialize once.
-    return materialize(ranked)
-
-
-def bucket_summary(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per (key, bucket): size, sum, within-bucket order sum, and the rank offset and
-    value sum of all lower buckets of the same key."""
-    keys = list(keys)
-    x = F.col(value)
-    summ = ranked.groupBy(*keys, B).agg(
-        F.first(N).alias(N),
-        F.sum(C).alias(NB),
-        F.sum(F.col(C) * x).alias("_sb"),
-        F.sum((2 * F.col(R) + F.col(C) - F.col(NB)) * F.col(C) * x).alias("_tb"),
-    )
-    before = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    return summ.withColumn("_off", F.coalesce(F.sum(NB).over(before), F.lit(0))).withColumn(
-        "_sbefore", F.coalesce(F.sum("_sb").over(before), F.lit(0.0))
-    )
-
-
-def spread_stats(df: DataFrame, keys: Sequence[str], value: str, per_bucket: int | None = None) -> DataFrame:
-    """Per key: ``n``, ``sum_x`` and ``gini_sum = sum_i (2i - n - 1) x_(i)``.
-
-    ``gini_sum / n^2`` is half the mean absolute difference ``E|X - X'|``.
-    """
-    return summary(df, keys, value, per_bucket=per_bucket)
-
-
-def spread_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """:func:`spread_stats` on the output of :func:`bucketed`."""
-    keys = list(keys)
-    summ = bucket_summary(ranked, keys, value)
-    contrib = F.col("_tb") + F.col("_sb") * F.col("_off") - F.col(NB) * F.col("_sbefore")
-    return summ.groupBy(*keys).agg(
+    aggs = [
         F.first(N).alias("n"),
-        F.sum("_sb").alias("sum_x"),
-        F.sum(contrib).alias("gini_sum"),
-    )
+        F.first(SX).alias("sum_x"),
+        F.sum((2 * F.col(BEFORE) + F.col(C) - F.col(N)) * F.col(C) * x).alias("gini_sum"),
+    ]
+    for i, q in enumerate(levels):
+        aggs.append(F.max(F.when(_holds(F.floor(_at(q)) + 1), x)).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(_holds(F.ceil(_at(q)) + 1), x)).alias(f"_hi{i}"))
+    out = [*keys, "n", "sum_x", "gini_sum"]
+    for i, (q, name) in enumerate(zip(levels, names)):
+        h = (F.col("n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name))
+    return rows.groupBy(*keys).agg(*aggs).where(F.col("n") > 0).select(*out)
 
 
 def quantiles_long(
@@ -217,55 +157,23 @@ def quantiles_long(
     (NumPy ``percentile`` default / SQL ``quantile_cont``), long form:
     ``keys..., level_idx INT, q DOUBLE, value DOUBLE``."""
     keys = list(keys)
-    per_bucket = per_bucket or rows_per_bucket(df.sparkSession)
-    sizes, top = group_sizes(df, keys, value)
-    if top <= per_bucket:
-        if len(levels) <= DIRECT_LEVELS:
-            return _direct_summary(df, keys, value, levels, [f"_q{i}" for i in range(len(levels))]).select(
-                *keys, F.explode(F.array(*[
-                    F.struct(F.lit(i).alias("level_idx"), F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value"))
-                    for i, q in enumerate(levels)
-                ])).alias("_l")
-            ).select(*keys, "_l.level_idx", "_l.q", "_l.value")
-        return _direct_quantiles_long(df, keys, value, levels, sizes)
-    return quantiles_from_ranked(bucketed(df, keys, value, per_bucket), keys, value, levels)
-
-
-def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
-    """:func:`quantiles_long` on the output of :func:`bucketed`."""
-    keys = list(keys)
-    summ = bucket_summary(ranked, keys, value).select(*keys, B, N, NB, "_off")
-    lv = F.array(*[F.lit(float(p)) for p in levels])
-    # For every key and level, the (1-based) global ranks to read: floor/ceil of
-    # 1 + (n - 1) * q.  Requests are small: keys x levels x 2.
-    req = (
-        summ.where(F.col("_off") == 0)
-        .select(*keys, N, F.posexplode(lv).alias("level_idx", "q"))
-        .withColumn("_h", (F.col(N) - 1) * F.col("q"))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_h") + 1, F.ceil("_h") + 1))))
-    )
-    # Locate each requested rank's bucket and local rank.
-    loc = req.join(summ.select(*keys, B, NB, "_off"), on=keys, how="inner").where(
-        (F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col(NB))
-    )
-    loc = loc.select(*keys, B, (F.col("_rank") - F.col("_off")).alias("_local"), "_rank", "level_idx", "q", "_h")
-    holds = (F.col("_local") > F.col(R)) & (F.col("_local") <= F.col(R) + F.col(C))
-    hits = ranked.select(*keys, B, R, C, F.col(value).alias("_x")).join(loc, on=[*keys, B], how="inner").where(holds)
-    lo_rank = F.floor("_h") + 1
-    hi_rank = F.ceil("_h") + 1
-    agg = hits.groupBy(*keys, "level_idx").agg(
-        F.first("q").alias("q"),
+    rows = ranked(df, keys, value, per_bucket)
+    if len(levels) <= DIRECT_LEVELS:
+        wide = summary_from_ranked(rows, keys, value, levels, [f"_q{i}" for i in range(len(levels))])
+        cells = [F.struct(F.lit(i).alias("level_idx"), F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value")) for i, q in enumerate(levels)]
+        return wide.select(*keys, F.explode(F.array(*cells)).alias("_l")).select(*keys, "_l.level_idx", "_l.q", "_l.value")
+    # Every row names the levels that read it; most rows name none.
+    lv = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
+    h = F.col("_h")
+    read = F.filter(lv, lambda e: _holds(F.floor((F.col(N) - 1) * e.q) + 1) | _holds(F.ceil((F.col(N) - 1) * e.q) + 1))
+    hits = rows.select(*keys, value, C, N, BEFORE, F.explode(read).alias("_l")).withColumn("_h", (F.col(N) - 1) * F.col("_l.q"))
+    got = hits.groupBy(*keys, F.col("_l.i").alias("level_idx")).agg(
+        F.first("_l.q").alias("q"),
         F.first("_h").alias("_h"),
-        F.max(F.when(F.col("_rank") == lo_rank, F.col("_x"))).alias("_xlo"),
-        F.max(F.when(F.col("_rank") == hi_rank, F.col("_x"))).alias("_xhi"),
-    )
-    frac = F.col("_h") - F.floor("_h")
-    return agg.select(
-        *keys,
-        F.col("level_idx").cast("int").alias("level_idx"),
-        "q",
-        (F.col("_xlo") + frac * (F.col("_xhi") - F.col("_xlo"))).alias("value"),
+        F.max(F.when(_holds(F.floor(h) + 1), F.col(value))).alias("_xlo"),
+        F.max(F.when(_holds(F.ceil(h) + 1), F.col(value))).alias("_xhi"),
     )
+    return got.select(*keys, "level_idx", "q", (F.col("_xlo") + (h - F.floor(h)) * (F.col("_xhi") - F.col("_xlo"))).alias("value"))
 
 
 def quantiles_wide(
@@ -277,15 +185,23 @@ def quantiles_wide(
     per_bucket: int | None = None,
 ) -> DataFrame:
     """Same as :func:`quantiles_long`, one column per level (``names``)."""
-    keys = list(keys)
-    if small_groups(df, keys, value, per_bucket):
-        return _direct_summary(df, keys, value, levels, names).select(*keys, *names)
-    return widen(quantiles_long(df, keys, value, levels, per_bucket), keys, names)
+    if len(levels) <= DIRECT_LEVELS:
+        return summary(df, keys, value, levels, names, per_bucket).select(*keys, *names)
+    long = quantiles_long(df, keys, value, levels, per_bucket)
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("level_idx") == i, F.col("value"))).alias(name) for i, name in enumerate(names)])
 
 
-def widen(lng: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Long percentiles (``level_idx``, ``value``) to one column per level."""
-    return lng.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("level_idx") == i, F.col("value"))).alias(nm) for i, nm in enumerate(names)]
-    )
-
+def order_index(df: DataFrame, keys: Sequence[str], value: str, name: str = "i", per_bucket: int | None = None) -> DataFrame:
+    """``df`` with every row's rank within its key by ``value`` (ties share the lowest rank,
+    null values come first as in ``rank()``).  Ranks come from value buckets and are joined to
+    the rows by (key, value), so no task holds a key's rows."""
+    keys = list(keys)
+    x = F.col(value)
+    at = ranked(df, keys, value, per_bucket).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_x"), BEFORE)
+    nulls = df.where(x.isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_nulls"))
+    nulls = nulls.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], "_nulls")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [x == F.col("_x")]
+    also = [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+    out = df.join(at, on=same, how="left").join(nulls, on=also, how="left")
+    first = F.when(x.isNull(), F.lit(1)).otherwise(F.col(BEFORE) + F.coalesce("_nulls", F.lit(0)) + 1)
+    return out.select(*[F.col(c) for c in df.columns], first.cast("int").alias(name))

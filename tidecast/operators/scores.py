@@ -6,12 +6,11 @@ Inputs are long tables:
   (e.g. model, run_id, zone, hour[, date]) with value column ``x``;
 * ``actuals``: one row per observation, keyed by ``zone, date, hour`` with ``y``.
 
-Plan shape: everything that depends only on the samples (count, mean, the CRPS
-order-statistic term, percentiles) is computed once per sample key with the
-skew-safe operators of :mod:`orderstats`; only ``mean |x - y|`` needs samples joined
-to observations, and that is a partial aggregate over a join whose observation side
-is broadcast after a row-count check.  A forecast shared by many dates (historical
-simulation) is therefore sorted once, not once per date.
+Plan shape: the samples of a forecast and the observations it meets are sorted together
+once (:func:`orderstats.ranked`, observations as marks of weight 0).  Counts and sums below
+an observation give ``mean |x - y|``; the same rows give the sample count, mean, CRPS
+order-statistic term and percentiles.  Work is n + m for n samples and m observations, for a
+forecast shared by many dates (historical simulation) and for forecasts of one date each.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import sized_broadcast
 from . import orderstats
 
 PINBALL_LEVELS = (0.1, 0.5, 0.9)  # fixed: quantiles scored by the reference
@@ -99,15 +97,17 @@ def hourly_scores(
     names = [f"_pb{i}" for i in range(len(pinball_levels))] + ["_lo", "_hi"]
     summ = sample_summary(samples, sample_keys, value, levels, names)
 
-    obs = sized_broadcast(actuals.select(*join_keys, *extra, y))
-    # E1 term 1: mean |x - y| — partial aggregate over samples x observations.
-    term1 = (
-        samples.where(F.col(value).isNotNull())
-        .join(obs, on=join_keys, how="inner")
-        .groupBy(*out_keys)
-        .agg(F.avg(F.abs(F.col(value) - F.col(y))).alias("_mad"), F.first(y).alias(y))
-    )
-    j = term1.join(summ, on=sample_keys, how="inner")
+    forecasts = samples.where(F.col(value).isNotNull()).select(*sample_keys).distinct()
+    met = forecasts.join(actuals.select(*join_keys, *extra, y), on=join_keys, how="inner")
+    rows = orderstats.ranked(samples, sample_keys, value, marks=met.select(*sample_keys, F.col(y).cast("double").alias(value)))
+    summ = orderstats.summary_from_ranked(rows, sample_keys, value, levels, names)
+    summ = summ.select(*sample_keys, "n", "sum_x", (F.col("sum_x") / F.col("n")).alias("mean_x"), "gini_sum", *names)
+    below = rows.select(*sample_keys, F.col(value).alias("_x"), orderstats.BEFORE, orderstats.SBEFORE)
+    at = met.withColumn("_x", F.col(y).cast("double")).join(below, on=[*sample_keys, "_x"], how="left")
+    j = at.join(summ, on=sample_keys, how="inner")
+    # E1 term 1: n * mean |x - y| = y * below - sum below + sum above - y * above.
+    under, total = F.col(orderstats.BEFORE), F.col(orderstats.SBEFORE)
+    j = j.withColumn("_mad", (F.col(y) * (2 * under - F.col("n")) + F.col("sum_x") - 2 * total) / F.col("n"))
     yy, mean = F.col(y), F.col("mean_x")
     cols = [
         *out_keys,

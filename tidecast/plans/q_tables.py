@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, panel, report, scores
+from ..operators import joins, orderstats, panel, report, scores
 from ..session import sized_broadcast
 from ..sources import fixtures as fx
 from ..sources.tables import load
@@ -232,9 +232,8 @@ def f1_rank_models(spark, sf):
     ),
 )
 def f2_order_index(spark, sf):
-    s = fx.samples(spark, sf)
-    w = Window.partitionBy("model", "run_id", "zone", "hour").orderBy("x")
-    return s.select("model", "run_id", "zone", "hour", "sample_id", F.rank().over(w).alias("i"))
+    keys = ["model", "run_id", "zone", "hour"]
+    return orderstats.order_index(fx.samples(spark, sf), keys, "x").select(*keys, "sample_id", "i")
 
 
 @query(

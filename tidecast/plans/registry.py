@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import q_decisions, q_dist, q_ensemble, q_forecasts, q_io, q_models, q_panel, q_scores, q_tables  # noqa: F401
+    from . import q_dated, q_decisions, q_dist, q_ensemble, q_forecasts, q_io, q_models, q_panel, q_scores, q_tables  # noqa: F401
