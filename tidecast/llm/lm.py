@@ -10,11 +10,14 @@ and its end of target loss minus background loss, in nats: the lower, the more l
 Words are lower-cased runs of letters and digits, single letters of Han and Kana, and single
 other marks.  Words and bigrams are told apart by 64-bit hashes.
 
-The models grow with the corpus and are never gathered: documents are written in blocks of
-about ``BLOCK_BYTES`` of text, each with its distinct words and bigrams and their counts; Spark
-sums the counts by key, joins the sums back to the blocks, and every block is scored beside
-the counts of its own keys only.  Keys that no other block has are known already and do not
-travel back.  A frequent word is one row a block, however often it occurs.
+The models grow with the corpus and are never gathered.  A task forms blocks of about
+``BLOCK`` characters of text and tells, per slice of the key space, the block's distinct words
+and bigrams with their counts, as sorted keys in packed arrays.  A slice is merged in one task
+(hash ranges are even; a frequent word is one entry a block, however often it occurs) and
+answers every block with the counts of those keys that other blocks hold too; the others are
+known to the block already.  A block is then scored beside its answers only.  Blocks are formed
+twice, by the same scan; a checksum of a block's keys travels with its answers, and a scan that
+comes out differently fails instead of mixing counts.
 
 Null and empty texts, and texts without words, have no tokens and score 0.  A document marked
 twice counts once per row of the documents; repeated rows are rows of their own, and each is
@@ -32,12 +35,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import small, stored
 
 #: Characters of text in a block, but for a longer single document.
-BLOCK_BYTES = 8 << 20
+BLOCK = 8 << 20
+#: Bytes of text a slice of the key space stands for.
+SLICE = 16 << 20
 #: Weight of the word model in the bigram model, in occurrences.
 PRIOR = 50.0
 _ALONE = "぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # letters written without spaces
@@ -82,56 +86,94 @@ def keys(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tally(parts: list[np.ndarray], flags: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys of a block, and their counts in target documents and in all."""
-    every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    every = np.concatenate(parts).view(np.uint64) if parts else np.zeros(0, np.uint64)
     key, count = np.unique(every, return_counts=True)
     target = np.zeros(len(key), np.int64)
     marked = [p for p, f in zip(parts, flags) if f]
     if marked:
-        k, c = np.unique(np.concatenate(marked), return_counts=True)
+        k, c = np.unique(np.concatenate(marked).view(np.uint64), return_counts=True)
         target[np.searchsorted(key, k)] = c
     return key, target, count.astype(np.int64)
 
 
-def blocks(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in blocks, written: block, id, text, target; the last row of a block also
-    has the block's keys with their target and background counts."""
-    t = small(stored(target_ids.select("id", F.lit(True).alias("target")), "targets"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(t, "id", "left")
-    rows = rows.select(F.spark_partition_id().alias("part"), "id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    longs = ArrayType(LongType(), False)
-    schema = StructType([StructField("block", LongType()), StructField("id", docs.schema[id_col].dataType), StructField("text", StringType()), rows.schema["target"]]
-                        + [StructField(c, longs) for c in ("keys", "targets", "counts")])
+def _checksum(key: np.ndarray, target: np.ndarray, count: np.ndarray) -> int:
+    """Of a block's tally, whatever the order of its documents."""
+    return int((key * (count * 2 + target * 3 + 1).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: the planes of zeros compress to nothing."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
-    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, at, parts, flags, held = 0, 0, [], [], 0
-        spare: list[pd.DataFrame] = []  # rows of the open block that are not given out yet
-
-        def give(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
-            rows = rows.assign(block=(part << 32) + at, keys=None, targets=None, counts=None)
-            if last:
-                for c, v in zip(("keys", "targets", "counts"), _tally(parts, flags)):
-                    rows[c] = rows[c].astype(object)
-                    rows.at[rows.index[-1], c] = v
-            return rows[["block", "id", "text", "target", "keys", "targets", "counts"]]
-
-        for pdf in batches:
-            part = int(pdf["part"].iat[0]) if len(pdf) else part
-            start = 0
-            for i, (s, f) in enumerate(zip(pdf["text"], pdf["target"])):
-                u, _, b = keys(s)
-                parts += [u, b]
-                flags += [bool(f)] * 2
-                held += len(s) if s else 1
-                if held >= size:
-                    yield from (give(x, False) for x in spare)
-                    yield give(pdf.iloc[start : i + 1].reset_index(drop=True), True)
-                    spare, start, at, parts, flags, held = [], i + 1, at + 1, [], [], 0
-            if start < len(pdf):
-                spare.append(pdf.iloc[start:].reset_index(drop=True))
-        for i, x in enumerate(spare):
-            yield give(x, i == len(spare) - 1)
-
-    return stored(rows.mapInPandas(form, schema), "lm-blocks")
+
+def _ends(key: np.ndarray, slices: int) -> np.ndarray:
+    """Where the slices of sorted keys start, and the end of the last."""
+    width = (1 << 64) // slices + 1
+    return np.append(np.searchsorted(key, np.array([i * width for i in range(slices)], np.uint64)), len(key))
+
+
+def _rows(docs: DataFrame, target_ids: DataFrame, text: str, id_col: str) -> DataFrame:
+    t = small(stored(target_ids.select("id", F.lit(True).alias("target")), "targets"))
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    # ids travel as text: pandas would make floats of long ids beside null ones
+    return rows.join(t, "id", "left").select("part", F.col("id").cast("string").alias("id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[int, list[pd.DataFrame]]]:
+    """The blocks of a task's rows: number and frames."""
+    part, at, frames, held = 0, 0, [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        part = int(pdf["part"].iat[0])
+        long = held + np.cumsum([len(s) if s else 1 for s in pdf["text"]])
+        start = 0
+        while start < len(pdf):
+            stop = int(np.searchsorted(long, size)) + 1
+            frames.append(pdf.iloc[start:stop])
+            if stop > len(pdf):
+                held = int(long[-1])
+                break
+            yield (part << 32) + at, frames
+            long, start, at, frames, held = long - long[stop - 1], stop, at + 1, [], 0
+    if frames:
+        yield (part << 32) + at, frames
+
+
+def _tell(batches: Iterator[pd.DataFrame], size: int, slices: int) -> Iterator[pd.DataFrame]:
+    """Per block and slice: the packed keys and counts."""
+    for block, frames in _blocks(batches, size):
+        parts, flags = [], []
+        for f in frames:
+            for s, marked in zip(f["text"], f["target"]):
+                u, _, uv = keys(s)
+                parts += [u, uv]
+                flags += [bool(marked)] * 2
+        key, t, b = _tally(parts, flags)
+        total, ends = _checksum(key, t, b), _ends(key, slices)
+        for i in np.flatnonzero(np.diff(ends)):
+            x = slice(ends[i], ends[i + 1])
+            yield pd.DataFrame({"slice": [int(i)], "block": block, "checksum": total, "keys": [_planes(np.diff(key[x], prepend=np.uint64(0)))], "t": [_planes(t[x])], "b": [_planes(b[x] - 1)]})
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One slice: for every block a mask of its keys that others hold too, with their counts;
+    and a row without block: distinct words of the slice, tokens of target and of all."""
+    key = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
+    every, back, blocks = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
+    t, b = (np.bincount(back, np.concatenate([_numbers(x) + add for x in pdf[c]]), len(every)).astype(np.int64) for c, add in (("t", 0), ("b", 1)))
+    word = (every & np.uint64(1)) == 0
+    out, at, shared = [(None, 0, int(word.sum()), int(t[word].sum()), int(b[word].sum()), None, None, None)], 0, blocks > 1
+    for block, total, k in zip(pdf["block"], pdf["checksum"], key):
+        i = back[at : at + len(k)]
+        mask, at = shared[i], at + len(k)
+        out.append((block, total, len(k), 0, 0, np.packbits(mask).tobytes(), _planes(t[i[mask]]), _planes(b[i[mask]])))
+    got = pd.DataFrame(out, columns=["block", "checksum", "n", "n_target", "n_all", "mask", "t", "b"])
+    return got.assign(slice=int(pdf["slice"].iat[0])).astype({"block": "Int64"})
 
 
 def _log(count: np.ndarray, pair: np.ndarray, before: np.ndarray, total: float, kinds: int, prior: float) -> np.ndarray:
@@ -140,34 +182,39 @@ def _log(count: np.ndarray, pair: np.ndarray, before: np.ndarray, total: float,
     return -np.log((pair + prior * word) / (before + prior))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id", prior: float = PRIOR, size: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: str = "doc_id", prior: float = PRIOR, size: int = BLOCK, slice_bytes: int = SLICE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens (words and the end), target_loss,
     background_loss (nats a token), score (their difference), like_target (score below 0).
     ``target_ids`` holds the distinct ids (column ``id``) of the target."""
-    made = blocks(docs, target_ids, text, id_col, size)
-    entry = made.where("keys is not null").select("block", F.explode(F.arrays_zip("keys", "targets", "counts")).alias("e"))
-    entry = entry.select("block", F.col("e.keys").alias("key"), F.col("e.targets").alias("t"), F.col("e.counts").alias("b")).repartition("key")
-    sums = entry.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n_blocks"))
-    word = made.where("keys is not null").select(F.explode(F.arrays_zip("keys", "targets", "counts")).alias("e")).where("e.keys % 2 = 0")
-    word = word.groupBy("e.keys").agg(F.sum("e.targets").alias("t"), F.sum("e.counts").alias("b"))
-    row = word.agg(F.count(F.lit(1)).alias("kinds"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    kinds, n_target, n_all = row.kinds, float(row.t or 0), float(row.b or 0)
-    shared = entry.select(F.col("block").alias("home"), "key").join(sums.where("n_blocks > 1").select("key", "t", "b"), "key")
-    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)])
-    schema = schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double")
+    rows = _rows(docs, target_ids, text, id_col)
+    slices = max(1, -(-int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // slice_bytes))
+    told = rows.mapInPandas(lambda it: _tell(it, size, slices), "slice int, block long, checksum long, keys binary, t binary, b binary")
+    answers = stored(told.groupBy("slice").applyInPandas(_answer, "block long, checksum long, n long, n_target long, n_all long, mask binary, t binary, b binary, slice int"), "lm-answers")
+    row = answers.where("block is null").agg(F.sum("n").alias("kinds"), F.sum("n_target").alias("t"), F.sum("n_all").alias("b")).first()
+    kinds, n_target, n_all = row.kinds or 0, float(row.t or 0), float(row.b or 0)
+    formed = "block long, id string, text string, target boolean"
+    schema = "doc_id string, n_tokens long, target_loss double, background_loss double"
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, frames in _blocks(batches, size):
+            for f in frames:
+                yield f[["id", "text", "target"]].assign(block=block)[["block", "id", "text", "target"]]
 
     def judge(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        last = rows["keys"].last_valid_index()
-        key, t, b = (np.array(rows.at[last, c], np.int64) for c in ("keys", "targets", "counts"))
-        at = np.searchsorted(key, found["key"].to_numpy(np.int64))
-        t[at], b[at] = found["t"].to_numpy(np.int64), found["b"].to_numpy(np.int64)
+        tokens = [keys(s) for s in rows["text"]]
+        key, t, b = _tally([x for u, _, uv in tokens for x in (u, uv)], [bool(m) for m in rows["target"] for _ in (0, 1)])
+        total, ends = _checksum(key, t, b), _ends(key, slices)
+        if len(found) != np.count_nonzero(np.diff(ends)) or (found["checksum"] != total).any():
+            raise ValueError("the documents came out in other blocks than before; write them as a table first")
+        for i, n, mask, ts, bs in zip(found["slice"], found["n"], found["mask"], found["t"], found["b"]):
+            at = ends[i] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
+            t[at], b[at] = _numbers(ts), _numbers(bs)
         out = []
-        for s, marked in zip(rows["text"], rows["target"]):
-            u, v, uv = keys(s)
+        for (u, v, uv), marked in zip(tokens, rows["target"]):
             if not len(u):
                 out.append((0, 0.0, 0.0))
                 continue
-            k, back, own = np.unique(np.concatenate((u, v, uv)), return_inverse=True, return_counts=True)
+            k, back, own = np.unique(np.concatenate((u, v, uv)).view(np.uint64), return_inverse=True, return_counts=True)
             n = len(u)
             own -= np.bincount(back[n : 2 * n], minlength=len(k))  # as a token or a pair, not as context
             i = np.searchsorted(key, k)
@@ -180,9 +227,10 @@ def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: st
         got.insert(0, "doc_id", rows["id"].to_numpy())
         return got
 
-    got = made.groupBy("block").cogroup(shared.groupBy("home")).applyInPandas(judge, schema)
+    found = answers.where("block is not null").drop("n_target", "n_all")
+    got = rows.mapInPandas(form, formed).groupBy("block").cogroup(found.groupBy("block")).applyInPandas(judge, schema)
     difference = F.col("target_loss") - F.col("background_loss")
-    return got.select("*", difference.alias("score"), (difference < 0).alias("like_target"))
+    return got.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).select("*", difference.alias("score"), (difference < 0).alias("like_target"))
 
 
 def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
