@@ -321,6 +321,9 @@ def test_lm_difference_equals_counting(spark, none):
     marked = spark.createDataFrame([(1,), (2,)], "id long")
     assert lm.words("Zz_9, \u4e2d\u6587a!") == ["zz", "_", "9", ",", "\u4e2d", "\u6587", "a", "!"]
 
+    ascii_ = "".join(map(chr, range(128))) + " a_b-C3 __ x"
+    assert lm.words(ascii_) == lm.words(ascii_ + "\u00a0")  # both patterns
+
     def model(ts, kinds):
         uni, pair = Counter(), Counter()
         for w in ts:

@@ -46,6 +46,7 @@ SLICE = 16 << 20
 PRIOR = 50.0
 _ALONE = "぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # letters written without spaces
 _WORD = re.compile(rf"[{_ALONE}]|[^\W_{_ALONE}]+|[^\w\s]|_")
+_PLAIN = re.compile(r"[a-z0-9]+|[^a-z0-9\s]")  # the same on ASCII, without Unicode classes
 _EDGE = np.uint64(0x9E3779B97F4A7C14)  # start and end of a document; even, like all words
 _MIX, _STEP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _KNOWN: dict[str, int] = {}
@@ -54,7 +55,9 @@ _REMEMBERED, _LONGEST = 1 << 19, 32  # words a worker remembers, and their longe
 
 def words(text: str | None) -> list[str]:
     """The words of a text."""
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_PLAIN if text.isascii() else _WORD).findall(text.lower())
 
 
 def _number(word: str) -> int:
