@@ -495,6 +495,31 @@ def test_block_max_search_is_exact(leaders, monkeypatch):
     assert ix.blocks_read < ix.blocks_seen
 
 
+@pytest.mark.parametrize("leaders", [0, 8, 512])
+def test_blocks_that_bounds_do_not_close_are_read_whole(leaders, monkeypatch):
+    """Texts of one topic open most blocks; both ways of reading give the same neighbours."""
+    monkeypatch.setattr(toxicity, "LEADERS", leaders)
+    rng = np.random.default_rng(4)
+    text = lambda: Counter(f"w{i}" for i in rng.zipf(1.3, 30) if i < 5000)
+    ex = [(i, int(rng.random() < 0.3), text()) for i in range(9000)]
+    ix = toxicity.build_index(ex, {f"w{i}": 1 + 9000 // i for i in range(1, 5000)}, 9000)
+    queries = [ix.vector(toxicity.hashed(c), np.array(list(c.values()))) for c in (text() for _ in range(60))]
+    skips = [int(x) for x in rng.integers(-1, len(ix.ids), len(queries))]
+    whole = ix.nearest(queries, skips=skips)
+    assert ix.blocks_read > 0.9 * ix.blocks_seen
+    monkeypatch.setattr(toxicity, "OPEN", 1.0)
+    for (a, x), (b, y) in zip(whole, ix.nearest(queries, skips=skips)):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+
+
+def test_terms_of_many_texts_at_once():
+    texts = [None, "", " ", "Cats cats CAT ties flies as gas 12s _s", "İstanbul çok güzel", "naïve cafés Éclairs", "日本語 テスト words", "a\nb\r\nc\x1cd", "ß straße", "हिन्दी", "cats", "x" * 300]
+    for _ in range(2):  # with words that are new, and that are remembered
+        for t, (h, n) in zip(texts, toxicity.tallied(texts)):
+            assert dict(zip(h.tolist(), n.tolist())) == dict(zip(*(x.tolist() for x in toxicity.counted(t))))
+    assert toxicity.tallied([]) == [] and len(toxicity.tallied([None])[0][0]) == 0
+
+
 def test_scores_equal_brute_force(spark):
     """Document frequencies, weights, cosines, votes, leave-one-out calibration and scores,
     each computed again without Spark or the index."""

@@ -40,6 +40,10 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+#: Powers of an odd number and of its inverse modulo 2**64: the factors of rolling hashes.
+powers = _Powers.get
+
+
 def _hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the texts data[offsets[i]:offsets[i+1]], in text order, and how
     many each text has (with repeats)."""

@@ -22,6 +22,9 @@ of its own vote).
   blocks whose bound reaches the k-th best cosine found.  Texts are searched ``TOGETHER`` at a
   time, and the commonest terms of a block are read as one matrix product of all texts that
   opened it; the best rows get their cosines again in double precision.
+* Where the bounds of the first ``PROBE`` texts open more than ``OPEN`` of many blocks, working
+  them out costs more than the blocks they close: the texts after them read all blocks, each
+  term's postings at a stretch.  Both ways are exact.
 * A text without any term of the examples is nearest to nothing and gets the rate of toxic
   examples among such texts.
 
@@ -48,12 +51,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import BROADCAST_ROWS, stored, temp_name
+from .common import BROADCAST_ROWS, mix64, stored, temp_name
+from .shingles import powers
 
 MAX_EXAMPLES = 20_000
 NEIGHBOURS = 15
 BLOCK = 256
 FIRST = 2
+#: Rows whose largest sum stands for them when all blocks are read.
+STRIP = 64
 ROUNDING = 1e-4  # more than sums of 32-bit products are off
 EVIDENCE = 3
 #: Postings that the driver works on at a time.
@@ -65,8 +71,11 @@ LEADERS = 512
 GROUPS = 16
 #: Texts whose scores a task remembers (it forgets them all when there are more).
 REMEMBERED = 50_000
-#: Texts searched together.
-TOGETHER = 256
+#: Words whose terms a worker remembers (16 bytes each; it forgets them all when there are more).
+REMEMBERED_WORDS = 1 << 19
+#: Texts searched together, those of them whose blocks are counted, and the share of opened
+#: blocks from which on the others read all, in an index of at least ``MANY`` blocks.
+TOGETHER, PROBE, OPEN, MANY = 128, 4, 0.4, 32
 
 _WORDS = re.compile(r"\w+").findall
 _FURTHER = re.compile("[\u0300-\U0010ffff]").search  # may hold marks or unspaced scripts
@@ -114,6 +123,63 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return hashed(c), np.fromiter(c.values(), np.int64, len(c))
 
 
+_LATIN = np.array([bool(_WORDS(chr(c))) for c in range(0x300)])  # which characters make words
+_LETTER = mix64(np.arange(1, 0x301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Known:
+    """The hashed terms of words that a worker has met, by the words' rolling hashes."""
+
+    words, terms = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    @classmethod
+    def get(cls, words: np.ndarray, joined: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Terms of distinct ascending words, which stand at joined[start:stop]."""
+        if len(cls.words) > REMEMBERED_WORDS:
+            cls.words, cls.terms = cls.words[:0].copy(), cls.terms[:0].copy()
+        at = np.searchsorted(cls.words, words)
+        new = np.ones(len(words), bool)
+        inside = at < len(cls.words)
+        new[inside] = cls.words[at[inside]] != words[inside]
+        out = np.empty(len(words), np.int64)
+        out[~new] = cls.terms[at[~new]]
+        if new.any():
+            out[new] = hashed([stem(joined[i:j]) for i, j in zip(start[new].tolist(), stop[new].tolist())])
+            cls.words, cls.terms = np.insert(cls.words, at[new], words[new]), np.insert(cls.terms, at[new], out[new])
+        return out
+
+
+def _tally(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``counted`` of lower-cased texts without characters from U+0300 on, terms ascending.
+    Words are cut and told apart (by rolling 64-bit hashes) for all texts at once; each
+    distinct word is stemmed and hashed as a string once, as long as it is remembered."""
+    joined = "\n".join(texts)
+    code = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+    edge = np.flatnonzero(np.diff(_LATIN[code].view(np.int8), prepend=0, append=0))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return [(np.zeros(0, np.int64),) * 2] * len(texts)
+    up, down = powers(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_LETTER[code] * up[:-1], out=sums[1:])
+    word = mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    word, one, which = np.unique(word, return_index=True, return_inverse=True)
+    term, of = np.unique(_Known.get(word, joined, start[one], stop[one]), return_inverse=True)
+    end = np.cumsum([len(t) + 1 for t in texts])
+    pair, n = np.unique(np.searchsorted(end, start, "right") * len(term) + of[which], return_counts=True)
+    at = np.searchsorted(pair, np.arange(len(texts) + 1) * len(term))
+    term = term[pair % len(term)]
+    return [(term[i:j], n[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def tallied(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``counted`` of each text, whatever the order of its terms."""
+    lower = [(t or "").lower() for t in texts]
+    plain = [not _FURTHER(t) for t in lower]
+    latin = iter(_tally([t for t, p in zip(lower, plain) if p]))
+    return [next(latin) if p else counted(t) for t, p in zip(texts, plain)]
+
+
 # ------------------------------------------------------------------ index
 
 
@@ -178,16 +244,21 @@ class Index:
         self.leader[often] = np.arange(len(often))
         blocks = -(-n // BLOCK)
         self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
-        column = self.leader[term]
-        lead = column >= 0
-        self.dense[self.post[lead], column[lead]] = weight[lead]
+        for t in often.tolist():
+            lo, hi = self.offset[t : t + 2]
+            self.dense[self.post[lo:hi], self.leader[t]] = weight[lo:hi]
         self.peaks = self.dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else self.dense
-        self.block_post, self.weight, term = self.post[~lead].astype(np.int32), weight[~lead], term[~lead]
-        block = self.block_post // BLOCK
-        first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(term)])
-        self.entry_block, self.entry_post = block[first], np.append(first, len(term))
+        other = np.repeat(self.leader < 0, size)
+        self.block_post, self.weight, term = self.post[other], weight[other], term[other]
+        del weight, other
+        block = _small(self.block_post.astype(np.int32) // BLOCK)
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.entry_block, self.entry_post = block[first], np.append(first, len(term)).astype(np.int32)
         self.entry_peak = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.term_entry = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int64)
+        del term, block, new, first
         self.query = np.zeros(len(self.terms))  # a query's weights by term, all 0 between queries
         self.row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
         return self
@@ -214,6 +285,52 @@ class Index:
         if not blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
         self.ready()
+        before = self.blocks_read
+        out = self._best(queries[:PROBE], k, *self._pruned(queries[:PROBE], k, skips and skips[:PROBE]))
+        if n > PROBE:
+            way = self._whole if blocks >= MANY and self.blocks_read - before > OPEN * PROBE * blocks else self._pruned
+            out += self._best(queries[PROBE:], k, *way(queries[PROBE:], k, skips and skips[PROBE:]))
+        return out
+
+    def _best(self, queries: list, k: int, sums: np.ndarray, cut: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k best rows of each query, from their sums and a sum that the k best reach."""
+        out = []
+        for d, (t, w) in enumerate(queries):
+            rows = np.flatnonzero(sums[d] > max(float(cut[d]) - 2 * ROUNDING, 0.0))
+            if len(rows) > 2 * k:
+                near = sums[d, rows]
+                rows = rows[near >= np.partition(near, -k)[-k] - 2 * ROUNDING]
+            cos = self._cosines(rows, t, w)
+            best = np.lexsort((rows, -np.round(cos, 12)))[:k]
+            out.append((rows[best], cos[best]))
+        return out
+
+    def _whole(self, queries: list, k: int, skips: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all rows of all blocks, and a sum that the k best reach."""
+        n, rows = len(queries), len(self.dense)
+        lead = np.zeros((n, self.dense.shape[1]), np.float32)
+        for d, (t, w) in enumerate(queries):
+            column = self.leader[t]
+            lead[d, column[column >= 0]] = w[column >= 0]
+        sums = lead @ self.dense.T
+        for d, (t, w) in enumerate(queries):
+            t, w = t[self.leader[t] < 0], w[self.leader[t] < 0]
+            lo, hi = self.entry_post[self.term_entry[t]], self.entry_post[self.term_entry[t + 1]]
+            parts = list(map(slice, lo.tolist(), hi.tolist()))
+            if parts:
+                place, weight = (np.concatenate([x[p] for p in parts]) for x in (self.block_post, self.weight))
+                weight *= np.repeat(w.astype(np.float32), hi - lo)
+                sums[d] += np.bincount(place, weight, rows)
+            if skips is not None and skips[d] >= 0:
+                sums[d, skips[d]] = 0.0
+        self.blocks_read += n * (rows // BLOCK)
+        self.blocks_seen += n * (rows // BLOCK)
+        strips = sums.reshape(n, -1, STRIP).max(axis=2)
+        return sums, np.partition(strips, -k, axis=1)[:, -k].astype(np.float64) if strips.shape[1] > k else np.zeros(n)
+
+    def _pruned(self, queries: list, k: int, skips: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the rows of the blocks that the bounds open, and a sum that the k best reach."""
+        n, blocks = len(queries), len(self.dense) // BLOCK
         lead = np.zeros((self.dense.shape[1], n), np.float32)
         entries = []
         for d, (t, w) in enumerate(queries):
@@ -231,24 +348,15 @@ class Index:
         first = np.zeros((n, blocks), bool)
         top = np.argpartition(-bound, FIRST, axis=1)[:, :FIRST] if blocks > FIRST else np.broadcast_to(np.arange(blocks), (n, blocks))
         np.put_along_axis(first, top, True, axis=1)
-        sums = np.zeros((n, blocks * BLOCK))
+        sums = np.zeros((n, blocks * BLOCK), np.float32)
         self._read(sums, first, entries, lead, skips)
         opened = np.take_along_axis(sums.reshape(n, blocks, BLOCK), top[:, :, None], axis=1).reshape(n, -1)
-        cut = np.partition(opened, -k, axis=1)[:, -k] if opened.shape[1] > k else np.zeros(n)
+        cut = np.partition(opened, -k, axis=1)[:, -k].astype(np.float64) if opened.shape[1] > k else np.zeros(n)
         more = some & ~first & (bound >= cut[:, None] - ROUNDING)
         self.blocks_read += int(first.sum() + more.sum())
         self.blocks_seen += n * blocks
         self._read(sums, more, entries, lead, skips)
-        out = []
-        for d, (t, w) in enumerate(queries):
-            rows = np.flatnonzero(sums[d] > max(float(cut[d]) - 2 * ROUNDING, 0.0))
-            if len(rows) > 2 * k:
-                near = sums[d, rows]
-                rows = rows[near >= np.partition(near, -k)[-k] - 2 * ROUNDING]
-            cos = self._cosines(rows, t, w)
-            best = np.lexsort((rows, -np.round(cos, 12)))[:k]
-            out.append((rows[best], cos[best]))
-        return out
+        return sums, cut
 
     def _read(self, sums: np.ndarray, use: np.ndarray, entries: list, lead: np.ndarray, skips: list[int] | None) -> None:
         """Add the sums of products of the rows in the used (query, block) pairs."""
@@ -288,7 +396,7 @@ class Index:
 
     def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Score, evidence rows and their cosines of each text."""
-        found = self.nearest([self.vector(*counted(t)) for t in texts])
+        found = self.nearest([self.vector(*x) for x in tallied(texts)])
         return [(self.calibrated(self.vote(rows, cos)) if len(rows) else self.blank, rows[:EVIDENCE], cos[:EVIDENCE]) for rows, cos in found]
 
 
@@ -384,8 +492,7 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     place = np.zeros(len(ids), np.int32)
     place[order] = np.arange(len(order))
     post = _small(place)[row]
-    by = np.argsort(post, kind="stable")
-    by = by[np.argsort(term[by], kind="stable")]
+    by = np.lexsort((post, term))
     offset = np.concatenate([[0], np.cumsum(a + b)])
     unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
     return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, post[by], _small(n[by]), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
@@ -439,7 +546,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
         for b in batches:
             n += b.num_rows
             for lo in range(0, b.num_rows, 256):
-                h = np.sort(np.concatenate([hashed(set(stems(t.as_py()))) for t in b.column(0).slice(lo, 256)]))
+                h = np.sort(np.concatenate([h for h, _ in tallied(b.column(0).slice(lo, 256).to_pylist())]))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     total += np.bincount(at[known[at] == h], minlength=len(known))
