@@ -563,3 +563,24 @@ def test_examples_are_bounded_by_their_terms(spark, monkeypatch):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     index = toxicity.fit(docs_of(spark, rows + [(None, "no id")]), toxicity.training_rows(lab))
     assert 10 < len(index.ids) < 40 and len(index.post) <= 600
+
+
+def test_lm_counts_travel_in_the_bytes_they_need():
+    """A slice of the key space is held whole by one task: eight bytes for each count of a few
+    occurrences had filled it with zeros."""
+    for x, planes in ((np.zeros(1000, np.int64), 0), (np.arange(1000) % 200, 1), (np.array([1 << 40, 3]), 6), (np.array([-1, 5]), 8), (np.zeros(0, np.int64), 0)):
+        packed = lm._planes(x)
+        assert len(packed) == 1 + planes * len(x) and lm._numbers(packed, len(x)).tolist() == x.tolist()
+    key = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    assert np.array_equal(lm._numbers(lm._planes(key), len(key), np.uint64), key)
+
+
+def test_lm_own_counts_of_many_documents_at_once():
+    texts = ["a b a b a", None, "b a", "", "c", "a b a b a"]
+    u, pair, n = lm.keys(texts)
+    assert n.tolist() == [6, 0, 3, 0, 2, 6]
+    for x in (u, pair):
+        key, back, count = np.unique(x, return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(n)), n)
+        assert lm._own(back, doc, count).tolist() == [int(((x == k) & (doc == d)).sum()) for k, d in zip(x, doc)]
+    assert [a.tolist() for a in lm.keys(texts[:1])[:2]] == [u[:6].tolist(), pair[:6].tolist()]

@@ -28,7 +28,7 @@ all scores are 0.  A very long text is a block of its own.  An empty table gives
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,18 +39,19 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 #: Characters of text in a block, but for a longer single document.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes of text a slice of the key space stands for.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Weight of the word model in the bigram model, in occurrences.
 PRIOR = 50.0
 _ALONE = "぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # letters written without spaces
 _WORD = re.compile(rf"[{_ALONE}]|[^\W_{_ALONE}]+|[^\w\s]|_")
 _PLAIN = re.compile(r"[a-z0-9]+|[^a-z0-9\s]")  # the same on ASCII, without Unicode classes
 _EDGE = np.uint64(0x9E3779B97F4A7C14)  # start and end of a document; even, like all words
+_END = np.array([_EDGE])
 _MIX, _STEP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _KNOWN: dict[str, int] = {}
-_REMEMBERED, _LONGEST = 1 << 19, 32  # words a worker remembers, and their longest
+_REMEMBERED, _LONGEST = 1 << 17, 32  # words a worker remembers, and their longest
 
 
 def words(text: str | None) -> list[str]:
@@ -69,34 +70,36 @@ def _number(word: str) -> int:
     return got
 
 
-def keys(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token, the end included: its key, the key of the token before it (the start
-    has the key of the end) and the key of the two.  Word keys are even, bigram keys odd."""
-    w = words(text)
-    if not w:
-        return (np.zeros(0, np.int64),) * 3
+def keys(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of the texts, their ends included: its key, and the key of the pair of it
+    and the token before it (the start has the key of the end); and the tokens of each text.
+    Word keys are even, pair keys odd."""
     get = _KNOWN.get
-    u = np.empty(len(w) + 1, np.uint64)
-    u[:-1] = [get(x) or _number(x) for x in w]
-    u[-1] = _EDGE
-    before = np.concatenate((u[-1:], u[:-1]))
-    x = before * _MIX + u
+    parts, n = [], []
+    for t in texts:
+        w = words(t)
+        n.append(len(w) + 1 if w else 0)
+        if w:
+            parts.append(np.array([get(x) or _number(x) for x in w], np.uint64))
+            parts.append(_END)
+    u = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    x = np.concatenate((_END, u[:-1])) if len(u) else u.copy()
+    x *= _MIX
+    x += u
     x ^= x >> np.uint64(29)
     x *= _STEP
     x ^= x >> np.uint64(32)
-    return u.view(np.int64), before.view(np.int64), (x | np.uint64(1)).view(np.int64)
+    x |= np.uint64(1)
+    return u, x, np.array(n, np.int64)
 
 
-def _tally(parts: list[np.ndarray], flags: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a block, and their counts in target documents and in all."""
-    every = np.concatenate(parts).view(np.uint64) if parts else np.zeros(0, np.uint64)
-    key, count = np.unique(every, return_counts=True)
-    target = np.zeros(len(key), np.int64)
-    marked = [p for p, f in zip(parts, flags) if f]
-    if marked:
-        k, c = np.unique(np.concatenate(marked).view(np.uint64), return_counts=True)
-        target[np.searchsorted(key, k)] = c
-    return key, target, count.astype(np.int64)
+def _targets(key: np.ndarray, u: np.ndarray, pair: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """How often the tokens that are marked, and their pairs, have each of the sorted keys."""
+    out = np.zeros(len(key), np.int64)
+    for x in (u, pair):
+        k, c = np.unique(x[marked], return_counts=True)
+        out[np.searchsorted(key, k)] = c
+    return out
 
 
 def _checksum(key: np.ndarray, target: np.ndarray, count: np.ndarray) -> int:
@@ -105,12 +108,15 @@ def _checksum(key: np.ndarray, target: np.ndarray, count: np.ndarray) -> int:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane: the planes of zeros compress to nothing."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """How many bytes the largest of the 64-bit numbers needs, and these bytes plane by plane."""
+    planes = (int(numbers.view(np.uint64).max(initial=0)).bit_length() + 7) // 8
+    return bytes([planes]) + numbers.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
-def _numbers(planes: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+def _numbers(packed: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : packed[0]] = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], n).T
+    return out.reshape(-1).view(kind)
 
 
 def _ends(key: np.ndarray, slices: int) -> np.ndarray:
@@ -150,36 +156,45 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[int, l
 def _tell(batches: Iterator[pd.DataFrame], size: int, slices: int) -> Iterator[pd.DataFrame]:
     """Per block and slice: the packed keys and counts."""
     for block, frames in _blocks(batches, size):
-        parts, flags = [], []
-        for f in frames:
-            for s, marked in zip(f["text"], f["target"]):
-                u, _, uv = keys(s)
-                parts += [u, uv]
-                flags += [bool(marked)] * 2
-        key, t, b = _tally(parts, flags)
-        total, ends = _checksum(key, t, b), _ends(key, slices)
-        for i in np.flatnonzero(np.diff(ends)):
+        u, pair, n = keys(t for f in frames for t in f["text"])
+        key, count = np.unique(np.concatenate((u, pair)), return_counts=True)
+        t = _targets(key, u, pair, np.repeat(np.concatenate([f["target"].to_numpy(bool) for f in frames]), n))
+        del u, pair, frames
+        total, ends = _checksum(key, t, count), _ends(key, slices)
+        some = np.flatnonzero(np.diff(ends))
+        rows = []
+        for i in some.tolist():
             x = slice(ends[i], ends[i + 1])
-            yield pd.DataFrame({"slice": [int(i)], "block": block, "checksum": total, "keys": [_planes(np.diff(key[x], prepend=np.uint64(0)))], "t": [_planes(t[x])], "b": [_planes(b[x] - 1)]})
+            rows.append((int(ends[i + 1] - ends[i]), _planes(np.diff(key[x], prepend=np.uint64(0))), _planes(t[x]), _planes(count[x] - 1)))
+        yield pd.DataFrame(rows, columns=["n", "keys", "t", "b"]).assign(slice=some, block=block, checksum=total)[["slice", "block", "checksum", "n", "keys", "t", "b"]]
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One slice: for every block a mask of its keys that others hold too, with their counts;
     and a row without block: distinct words of the slice, tokens of target and of all."""
-    key = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
-    every, back, blocks = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
-    t, b = (np.bincount(back, np.concatenate([_numbers(x) + add for x in pdf[c]]), len(every)).astype(np.int64) for c, add in (("t", 0), ("b", 1)))
+    size = pdf["n"].to_numpy()
+    every, back, blocks = np.unique(np.concatenate([np.cumsum(_numbers(k, n, np.uint64), dtype=np.uint64) for k, n in zip(pdf["keys"], size)]), return_inverse=True, return_counts=True)
+    t, b = (np.bincount(back, np.concatenate([_numbers(x, n) + add for x, n in zip(pdf[c], size)]), len(every)).astype(np.int64) for c, add in (("t", 0), ("b", 1)))
     word = (every & np.uint64(1)) == 0
     out, at, shared = [(None, 0, int(word.sum()), int(t[word].sum()), int(b[word].sum()), None, None, None)], 0, blocks > 1
-    for block, total, k in zip(pdf["block"], pdf["checksum"], key):
-        i = back[at : at + len(k)]
-        mask, at = shared[i], at + len(k)
-        out.append((block, total, len(k), 0, 0, np.packbits(mask).tobytes(), _planes(t[i[mask]]), _planes(b[i[mask]])))
+    for block, total, n in zip(pdf["block"], pdf["checksum"], size.tolist()):
+        i = back[at : at + n]
+        mask, at = shared[i], at + n
+        out.append((block, total, n, 0, 0, np.packbits(mask).tobytes(), _planes(t[i[mask]]), _planes(b[i[mask]])))
     got = pd.DataFrame(out, columns=["block", "checksum", "n", "n_target", "n_all", "mask", "t", "b"])
     return got.assign(slice=int(pdf["slice"].iat[0])).astype({"block": "Int64"})
 
 
-def _log(count: np.ndarray, pair: np.ndarray, before: np.ndarray, total: float, kinds: int, prior: float) -> np.ndarray:
+def _own(back: np.ndarray, doc: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often the document of each entry has the entry's key; ``count``: the same of the block."""
+    out = np.ones(len(back), np.int64)
+    again = np.flatnonzero(count[back] > 1)
+    _, at, n = np.unique(doc[again] * len(count) + back[again], return_inverse=True, return_counts=True)
+    out[again] = n[at]
+    return out
+
+
+def _log(count: np.ndarray, pair: np.ndarray, before: np.ndarray, total: np.ndarray, kinds: int, prior: float) -> np.ndarray:
     """Losses from the counts of the tokens, of the pairs and of the tokens before them."""
     word = (count + 1.0) / (total + kinds + 1.0)
     return -np.log((pair + prior * word) / (before + prior))
@@ -191,7 +206,7 @@ def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: st
     ``target_ids`` holds the distinct ids (column ``id``) of the target."""
     rows = _rows(docs, target_ids, text, id_col)
     slices = max(1, -(-int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // slice_bytes))
-    told = rows.mapInPandas(lambda it: _tell(it, size, slices), "slice int, block long, checksum long, keys binary, t binary, b binary")
+    told = rows.mapInPandas(lambda it: _tell(it, size, slices), "slice int, block long, checksum long, n int, keys binary, t binary, b binary")
     answers = stored(told.groupBy("slice").applyInPandas(_answer, "block long, checksum long, n long, n_target long, n_all long, mask binary, t binary, b binary, slice int"), "lm-answers")
     row = answers.where("block is null").agg(F.sum("n").alias("kinds"), F.sum("n_target").alias("t"), F.sum("n_all").alias("b")).first()
     kinds, n_target, n_all = row.kinds or 0, float(row.t or 0), float(row.b or 0)
@@ -204,30 +219,34 @@ def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", id_col: st
                 yield f[["id", "text", "target"]].assign(block=block)[["block", "id", "text", "target"]]
 
     def judge(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        tokens = [keys(s) for s in rows["text"]]
-        key, t, b = _tally([x for u, _, uv in tokens for x in (u, uv)], [bool(m) for m in rows["target"] for _ in (0, 1)])
+        u, pair, n = keys(rows["text"])
+        marked = np.repeat(rows["target"].to_numpy(bool), n)
+        key, back, count = np.unique(np.concatenate((u, pair)), return_inverse=True, return_counts=True)
+        t, b = _targets(key, u, pair, marked), count.copy()
+        del u, pair
         total, ends = _checksum(key, t, b), _ends(key, slices)
         if len(found) != np.count_nonzero(np.diff(ends)) or (found["checksum"] != total).any():
             raise ValueError("the documents came out in other blocks than before; write them as a table first")
-        for i, n, mask, ts, bs in zip(found["slice"], found["n"], found["mask"], found["t"], found["b"]):
-            at = ends[i] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
-            t[at], b[at] = _numbers(ts), _numbers(bs)
-        out = []
-        for (u, v, uv), marked in zip(tokens, rows["target"]):
-            if not len(u):
-                out.append((0, 0.0, 0.0))
-                continue
-            k, back, own = np.unique(np.concatenate((u, v, uv)).view(np.uint64), return_inverse=True, return_counts=True)
-            n = len(u)
-            own -= np.bincount(back[n : 2 * n], minlength=len(k))  # as a token or a pair, not as context
-            i = np.searchsorted(key, k)
-            cb = (b[i] - own)[back].astype(float)
-            back_loss = _log(cb[:n], cb[2 * n :], cb[n : 2 * n], n_all - n, kinds, prior)
-            ct = (t[i] - own if marked else t[i])[back].astype(float)
-            loss = _log(ct[:n], ct[2 * n :], ct[n : 2 * n], n_target - (n if marked else 0), kinds, prior) if n_target else back_loss
-            out.append((n, float(loss.mean()), float(back_loss.mean())))
-        got = pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss"])
-        got.insert(0, "doc_id", rows["id"].to_numpy())
+        for i, size, mask, ts, bs in zip(found["slice"], found["n"], found["mask"], found["t"], found["b"]):
+            at = ends[i] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=size))
+            t[at], b[at] = _numbers(ts, len(at)), _numbers(bs, len(at))
+        got = pd.DataFrame({"doc_id": rows["id"].to_numpy(), "n_tokens": n, "target_loss": 0.0, "background_loss": 0.0})
+        if not len(marked):
+            return got
+        doc = np.repeat(np.arange(len(n)), n)
+        word, both = back[: len(doc)], back[len(doc) :]
+        own, own_both = _own(word, doc, count), _own(both, doc, count)
+        # The token before the first is the end of the text before, whose key is the same.
+        before, own_before = np.concatenate((word[-1:], word[:-1])), np.concatenate((own[-1:], own[:-1]))
+        full = np.flatnonzero(n)
+        start = np.cumsum(n)[full] - n[full]
+
+        def mean_loss(c: np.ndarray, of: int | np.ndarray, all_: float) -> np.ndarray:
+            loss = _log(c[word] - own * of, c[both] - own_both * of, c[before] - own_before * of, all_ - n[doc] * of, kinds, prior)
+            return np.add.reduceat(loss, start) / n[full]
+
+        got.loc[full, "background_loss"] = mean_loss(b, 1, n_all)
+        got.loc[full, "target_loss"] = mean_loss(t, marked, n_target) if n_target else got["background_loss"].to_numpy()[full]
         return got
 
     found = answers.where("block is not null").drop("n_target", "n_all")
