@@ -584,3 +584,16 @@ def test_lm_own_counts_of_many_documents_at_once():
         doc = np.repeat(np.arange(len(n)), n)
         assert lm._own(back, doc, count).tolist() == [int(((x == k) & (doc == d)).sum()) for k, d in zip(x, doc)]
     assert [a.tolist() for a in lm.keys(texts[:1])[:2]] == [u[:6].tolist(), pair[:6].tolist()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_are_remembered_as_units(name):
+    """One memory: a piece of one unit is not merged again when it stands alone, or at the end
+    of another unit."""
+    ids = bpe.Ids(bpe.tokenizer_path(name))
+    text = "quokkas, don't 'sup ''s É. naïve; 3. a3, 'x's I'LL ..., ß! 你好。 a\x1cb <|endoftext|>"
+    merged = []
+    ids._merged = lambda p, m=ids._merged: (merged.append(p), m(p))[1]
+    for t in (text, "zebra, zebra: zebra zebra", "zebra"):
+        assert ids.of(t) == ids._whole(t)
+    assert sum("zebra" in p for p in merged) == (1 if ids.words else 2)  # with a space, and without

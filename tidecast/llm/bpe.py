@@ -24,7 +24,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 _PLAIN = re.compile(r" ?[\x21-\x7e\xa1-\xac\xae-ɏ]+")
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
+_MARKS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,8 +36,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def _letters(text: str) -> bool:
+    """Letters only, after a space or not: one piece under both patterns."""
+    return text.isalpha() or (text[:1] == " " and text[1:].isalpha())
+
+
 class Ids(dict):
-    """unit -> its ids as little-endian unsigned 32-bit bytes; ``of(text)`` joins them."""
+    """unit -> its ids as little-endian unsigned 32-bit bytes; ``of(text)`` joins them.  The pieces
+    of a unit are units too."""
 
     _loaded: dict[str, Ids] = {}
 
@@ -51,7 +58,7 @@ class Ids(dict):
         self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)", re.IGNORECASE).search
         self.pieces = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}  # by piece, as units share pieces
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.lib.get_vocab().values(), default=-1) + 1)]
 
     @classmethod
     def load(cls, path: str) -> Ids:
@@ -69,17 +76,21 @@ class Ids(dict):
             letters = letters.translate(self.letters)
         elif piece[0] == " ":
             letters = "\u0120" + piece[1:]  # the letter of a space; other plain bytes stand for themselves
-        out = self.known[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        out = self[piece] = self._merged(piece)
         return out
 
     def __missing__(self, unit: str) -> bytes:
         if _PLAIN.fullmatch(unit) and "<|" not in unit:
-            if self.words:
-                unit_ = unit.lower()
-                pieces = (unit_,) if unit_.isalpha() else self.pieces(unit_)
+            text = unit.lower() if self.words else unit
+            if _letters(text):
+                out = (text is not unit and self.get(text)) or self._merged(text)
             else:
-                pieces = (unit,) if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else self.pieces(unit)
-            out = b"".join([self.known.get(p) or self._merged(p) for p in pieces])
+                pieces = (text[:-1], text[-1]) if text[-1] in _MARKS and _letters(text[:-1]) else self.pieces(text)
+                out = b"".join([self.get(p) or self._piece(p) for p in pieces])
         else:
             out = self._whole(unit)
         self[unit] = out
@@ -93,7 +104,7 @@ class Ids(dict):
             self.forget()
         # Separators on whose class the two regex engines differ, and special strings: the
         # library splits at these first, so the white space before one ends a segment.
-        if _ODD.search(text) or ("<" in text and self.special(text)):
+        if any(c in text for c in _ODD) or ("<" in text and self.special(text)):
             return self._whole(text)
         units = text.split() if self.words else _UNIT.findall(text)
         return b"".join(map(self.__getitem__, units))
@@ -101,7 +112,6 @@ class Ids(dict):
     def forget(self) -> None:
         """Empty the memory, so that a worker does not carry it into its next work."""
         self.clear()
-        self.known.clear()
 
 
 def tokenizer_path(name: str) -> str:
