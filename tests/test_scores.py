@@ -100,7 +100,7 @@ def test_forecasts_of_one_date_meet_only_their_own_observation(spark):
     rng = np.random.default_rng(8)
     xs = {(d, h): np.round(rng.normal(d, 1 + h, 5 + d), 2) for d in range(4) for h in range(3)}
     s = spark.createDataFrame([("m", d, h, float(x)) for (d, h), v in xs.items() for x in v], "model string, date int, hour int, x double")
-    ys = {(d, h): float(xs[d, h][0]) if h == 0 else d + 0.25 for d in range(5) for h in range(3)} | {(3, 2): None}
+    ys = {(d, h): float(xs[d, h][0]) if h == 0 and d < 4 else d + 0.25 for d in range(5) for h in range(3)} | {(3, 2): None}
     a = spark.createDataFrame([(d, h, y) for (d, h), y in ys.items()], "date int, hour int, y double")
     got = {(r["date"], r["hour"]): r for r in scores.hourly_scores(s, a, ["model", "date", "hour"]).collect()}
     assert set(got) == set(xs)  # no forecast for day 4

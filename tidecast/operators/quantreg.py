@@ -144,7 +144,7 @@ def program(x: np.ndarray, y: np.ndarray, problem: Problem, n: float, weight: np
     b, a = solve(xs / unit, y, low, high)
     beta = np.zeros(x.shape[1])
     beta[use] = b / unit
-    return beta, float(a @ y)
+    return beta, max(float(a @ y), 0.0)  # no loss is below 0, whatever the dual value is rounded to
 
 
 def penalty(beta: np.ndarray, problem: Problem, n: float) -> float:
