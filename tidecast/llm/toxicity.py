@@ -263,12 +263,6 @@ class Index:
         self.row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
         return self
 
-    def release(self) -> None:
-        """Drop the derived parts, so that a worker does not hold them when its task is done
-        (Spark keeps idle workers, more of them than run at a time)."""
-        for name in set(self.__dict__) - set(self.__dataclass_fields__) - {"sent"}:
-            delattr(self, name)
-
     def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of hashed terms and counts: (term numbers, weights of the examples'
         terms); empty if there are none."""
@@ -580,7 +574,6 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
                 found = ix.nearest(vectors, skips=[at.get(i, -1) for i in ids.to_pylist()])
                 out += [(ix.vote(*f), float(v)) for f, v in zip(found, y.to_pylist()) if len(f[0])]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in (0, 1)], ["vote", "y"])
-        ix.release()
 
     voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(votes, "vote double, y double").toPandas()  # at most a row per example
     voted = voted.sort_values(["vote", "y"])
@@ -610,7 +603,6 @@ def judge(docs: DataFrame, index: Index, text: str = "text") -> Column:
                 known.update(zip(part, ix.score([fresh[k] for k in part])))
             got = [known[k] for k in keys]
             yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [ix.ids[g[1]].tolist() for g in got], "cosines": [g[2].tolist() for g in got]})
-        ix.release()
 
     return scored(F.col(text))
 
