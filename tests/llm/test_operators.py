@@ -597,3 +597,13 @@ def test_pieces_are_remembered_as_units(name):
     for t in (text, "zebra, zebra: zebra zebra", "zebra"):
         assert ids.of(t) == ids._whole(t)
     assert sum("zebra" in p for p in merged) == (1 if ids.words else 2)  # with a space, and without
+
+
+def test_plain_lines_are_cut_at_spaces(monkeypatch):
+    ids = bpe.Ids(bpe.tokenizer_path("byte_bpe_50k.json"))
+    for t in ("one, two\nthree four! élan", "a", "a <b> c|d e<|", "x1 don't I'll, ., é. É!", "a\nb c\nd"):
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "_UNIT", None)  # such texts need no pattern
+            assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in ("a  b", "a \nb", "a\n b", "a\n\nb", " a", "a\n", "a\tb c", "a b c d", "a\r\nb c", "\n", " "):
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)

@@ -41,6 +41,24 @@ def _letters(text: str) -> bool:
     return text.isalpha() or (text[:1] == " " and text[1:].isalpha())
 
 
+class _After(dict):
+    """word -> the ids of a space and the word, packed (byte-level tokenizer)."""
+
+    def __init__(self, ids: Ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            out = self.ids._merged(" " + word)
+        elif word[-1] in _MARKS and word[:-1].isalpha() and _PLAIN.fullmatch(word):
+            out = self[word[:-1]] + self.ids[word[-1]]
+        else:
+            out = self.ids.made(" " + word)
+        self[word] = out
+        return out
+
+
 class Ids(dict):
     """unit -> its ids as little-endian unsigned 32-bit bytes; ``of(text)`` joins them.  The pieces
     of a unit are units too."""
@@ -51,6 +69,7 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.after = _After(self)
         self.lib = Tokenizer.from_file(path)
         self.words = self.lib.normalizer is not None
         self.model = self.lib.model
@@ -83,7 +102,8 @@ class Ids(dict):
         out = self[piece] = self._merged(piece)
         return out
 
-    def __missing__(self, unit: str) -> bytes:
+    def made(self, unit: str) -> bytes:
+        """Ids of a unit, which is not remembered (its pieces are)."""
         if _PLAIN.fullmatch(unit) and "<|" not in unit:
             text = unit.lower() if self.words else unit
             if _letters(text):
@@ -93,25 +113,33 @@ class Ids(dict):
                 out = b"".join([self.get(p) or self._piece(p) for p in pieces])
         else:
             out = self._whole(unit)
-        self[unit] = out
+        return out
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self[unit] = self.made(unit)
         return out
 
     def of(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none), packed."""
         if not text:
             return b""
-        if len(self) > REMEMBERED:
+        if len(self) + len(self.after) > REMEMBERED:
             self.forget()
         # Separators on whose class the two regex engines differ, and special strings: the
         # library splits at these first, so the white space before one ends a segment.
         if any(c in text for c in _ODD) or ("<" in text and self.special(text)):
             return self._whole(text)
-        units = text.split() if self.words else _UNIT.findall(text)
-        return b"".join(map(self.__getitem__, units))
+        if self.words:
+            return b"".join(map(self.__getitem__, text.split()))
+        lines = [(line, line.split()) for line in text.split("\n")]
+        if all(words and " ".join(words) == line for line, words in lines):  # no other white space
+            return self["\n"].join([self[words[0]] + b"".join(map(self.after.__getitem__, words[1:])) for _, words in lines])
+        return b"".join(map(self.__getitem__, _UNIT.findall(text)))
 
     def forget(self) -> None:
         """Empty the memory, so that a worker does not carry it into its next work."""
         self.clear()
+        self.after.clear()
 
 
 def tokenizer_path(name: str) -> str:
