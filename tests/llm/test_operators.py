@@ -599,6 +599,47 @@ def test_pieces_are_remembered_as_units(name):
     assert sum("zebra" in p for p in merged) == (1 if ids.words else 2)  # with a space, and without
 
 
+# ------------------------------------------------------------------ memory of workers
+
+
+def test_derived_index_needs_little_more_room_than_it_keeps(monkeypatch):
+    import pickle
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 15)
+    rng = np.random.default_rng(5)
+    rows, words, each = 1500, 40_000, 400
+    row = np.repeat(np.arange(rows, dtype=np.uint16), each)
+    term = np.concatenate([np.sort(rng.choice(words, each, replace=False)) for _ in range(rows)]).astype(np.int32)
+    n = rng.integers(1, 5, len(term)).astype(np.uint8)
+    names = np.sort(rng.choice(1 << 40, words, replace=False)).astype(np.int64)
+    index = toxicity._index(np.arange(rows), (np.arange(rows) % 9 == 0).astype(np.int64), row, term, n, names, np.bincount(term, minlength=words) * 2.0, 5000)
+    alone = pickle.loads(pickle.dumps(index))
+    tracemalloc.start()
+    try:
+        alone.alone()
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # Five parts of 32 bits or less a posting are kept beside the matrix; making them takes no 64-bit copy of all.
+    assert peak - alone.dense.nbytes < 34 * len(term)
+    assert alone.post is None and alone.count is None
+    some = [alone.vector(names[term[row == r]], n[row == r]) for r in range(0, rows, 100)]
+    for (t, w), (found, cos) in zip(some, alone.nearest(some)):
+        q = np.zeros(words)
+        q[t] = w
+        own = np.bincount(np.repeat(np.arange(rows), np.diff(index.ready().row_at)), q[index.row_term] * index.row_weight, rows)
+        assert np.allclose(np.sort(own)[::-1][: len(cos)], cos) and np.allclose(own[found], cos)
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    work = common.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(work) == 2 and not calls
+    assert list(work) == [4] and calls == [1]
+
+
 def test_plain_lines_are_cut_at_spaces(monkeypatch):
     ids = bpe.Ids(bpe.tokenizer_path("byte_bpe_50k.json"))
     for t in ("one, two\nthree four! élan", "a", "a <b> c|d e<|", "x1 don't I'll, ., é. É!", "a\nb c\nd"):

@@ -3,10 +3,13 @@ bit filters and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,32 @@ def temp_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+# ------------------------------------------------------------------ memory of workers
+
+
+def give_back() -> None:
+    """Return this process's freed memory to the system (where its C library can)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, after which its worker gives freed memory back.
+    Workers outlive their tasks, and the idle ones share an executor's memory."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 # ------------------------------------------------------------------ bit filter
 
 #: Most bits of a filter that keeps unneeded rows out of an exact join (8 MiB); smaller sets
@@ -110,7 +139,7 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
         return pdf.head(1)[["at"]].assign(bits=out.tobytes())
 
     packed = np.zeros(size // 8, dtype=np.uint8)
-    for r in rows.mapInArrow(build, "at long, bits binary").groupBy("at").applyInPandas(merge, "at long, bits binary").collect():
+    for r in rows.mapInArrow(tidy(build), "at long, bits binary").groupBy("at").applyInPandas(merge, "at long, bits binary").collect():
         packed[r["at"] : r["at"] + slice_bytes] = np.frombuffer(r["bits"], np.uint8)
     return packed
 
@@ -165,7 +194,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     in one group, and each round is written to the shared folder.  Edges are first
     thinned batch by batch with union-find."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = stored(e.mapInArrow(_thin, "u long, v long").distinct(), "cc")
+    e = stored(e.mapInArrow(tidy(_thin), "u long, v long").distinct(), "cc")
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

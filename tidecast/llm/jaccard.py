@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bit_filter, components, in_filter, mix64, small, stored, temp_name
+from .common import bit_filter, components, in_filter, mix64, small, stored, temp_name, tidy
 from .shingles import shingle_sets
 
 SKETCH = 1 << 20  # counters
@@ -109,7 +109,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
         n = len(rows)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([part] * n, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["id", "n", "digest", "part", "at", "counts"])
 
-    return stored(docs.mapInArrow(run, "id long, n long, digest binary, part long, at long, counts binary"), "profile")
+    return stored(docs.mapInArrow(tidy(run), "id long, n long, digest binary, part long, at long, counts binary"), "profile")
 
 
 def _order(profile: DataFrame) -> Order:
@@ -156,7 +156,7 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                     ["token", "id", "n", "pos"],
                 )
 
-    return stored(docs.mapInArrow(run, "token long, id long, n int, pos int"), "prefix")
+    return stored(docs.mapInArrow(tidy(run), "token long, id long, n int, pos int"), "prefix")
 
 
 def _least(percent: int, a: str, b: str) -> F.Column:
@@ -207,7 +207,7 @@ def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> Da
                     ids, frags, segs = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.binary())], ["id", "f", "seg"])
 
-    segs = stored(docs.mapInArrow(cut, "id long, f int, seg binary"), "segments")
+    segs = stored(docs.mapInArrow(tidy(cut), "id long, f int, seg binary"), "segments")
     both = pairs.join(segs.select(F.col("id").alias("a"), "f", F.col("seg").alias("sa")), "a").join(segs.select(F.col("id").alias("b"), "f", F.col("seg").alias("sb")), ["b", "f"])
 
     @pandas_udf("long")
@@ -238,7 +238,7 @@ def _members(nodes: DataFrame, prefix: DataFrame) -> DataFrame:
             yield b.filter(pa.array(in_filter(bits.value, b.column(0).to_numpy())))
 
     rep = nodes.where("digest is not null").select("id", "rep").distinct()
-    got = prefix.mapInArrow(some, "token long, id long, n int, pos int").join(shared, "token").join(rep, "id")
+    got = prefix.mapInArrow(tidy(some), "token long, id long, n int, pos int").join(shared, "token").join(rep, "id")
     got = got.groupBy("rep", "token", "n").agg(F.min("pos").alias("pos")).withColumnRenamed("rep", "id")
     own = Window.partitionBy("id")  # the shared n-grams of one prefix
     return stored(got.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("pos", "token"))), "members")

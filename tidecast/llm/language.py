@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import small, stored, temp_name
+from .common import small, stored, temp_name, tidy
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
@@ -92,7 +92,7 @@ def fit_text(rows: DataFrame) -> Model:
             at = np.flatnonzero(s)
             yield pd.DataFrame({"declared": d, "bucket": at, "n": s[at]})
 
-    counts = picked.select("text", "declared").mapInPandas(count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = picked.select("text", "declared").mapInPandas(tidy(count), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(names) + 1), 0.0)
     for i, name in enumerate(names):
         c = counts[counts["declared"] == name]
@@ -107,6 +107,7 @@ def _evidence(rows: DataFrame, model) -> DataFrame:
     """Text posteriors of all rows summed by host, suffix, declared code and best language."""
 
     @pandas_udf("array<double>")
+    @tidy
     def posterior(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.value
         for s in batches:
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     final = spark.sparkContext.broadcast(model)
 
     @pandas_udf("lang string, confidence double, text_lang string, accepted boolean")
+    @tidy
     def fuse(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         m = final.value
         for ts, ds, cs, ps, ss in batches:

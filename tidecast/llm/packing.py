@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Ids, tokenizer_path
-from .common import stored
+from .common import stored, tidy
 
 WINDOW = 2048
 OPEN = 64
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
         return df.drop(columns="ids").astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = stored(rows.mapInArrow(run, SCHEMA), "packed")
+    first = stored(rows.mapInArrow(tidy(run), SCHEMA), "packed")
     columns = [f.name for f in _ARROW if f.name != "ids"]
     loose = first.where("ids is not null").groupBy(F.expr(f"shiftright(sequence_id, 36) div {MERGED}").alias("g"))
     merged = loose.applyInPandas(lambda pdf: merge(pdf.drop(columns="g", errors="ignore")), SCHEMA.removesuffix(", ids binary"))

@@ -43,15 +43,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from .common import BROADCAST_ROWS, mix64, stored, temp_name
+from .common import BROADCAST_ROWS, give_back, mix64, stored, temp_name, tidy
 from .shingles import powers
 
 MAX_EXAMPLES = 20_000
@@ -71,6 +70,8 @@ LEADERS = 512
 GROUPS = 16
 #: Texts whose scores a task remembers (it forgets them all when there are more).
 REMEMBERED = 50_000
+#: Texts of a batch that a task holds as strings at a time.
+SLICE = 1024
 #: Words whose terms a worker remembers (16 bytes each; it forgets them all when there are more).
 REMEMBERED_WORDS = 1 << 19
 #: Texts searched together, those of them whose blocks are counted, and the share of opened
@@ -203,8 +204,8 @@ class Index:
     The ``LEADERS`` commonest terms are in most blocks, which hold them as a small matrix.  For
     the others entry e is one term in one block: rows ``block_post[entry_post[e]:entry_post[e + 1]]``
     of block ``entry_block[e]`` hold it, with a weight of at most ``entry_peak[e]``; the entries
-    of term t are ``term_entry[t]`` up to ``term_entry[t + 1]``.  By row, terms and weights of
-    row r begin at ``row_at[r]`` of ``row_term`` and ``row_weight``."""
+    of term t are ``term_entry[t]`` up to ``term_entry[t + 1]``.  By row, terms and counts of
+    row r begin at ``row_at[r]`` of ``row_term`` and ``row_count``."""
 
     terms: np.ndarray  # hashes, ascending
     idf: np.ndarray  # times relevance
@@ -230,39 +231,69 @@ class Index:
         """The index with its derived parts."""
         if self.row_at is not None:
             return self
+        # Every worker makes these parts: CHUNK postings at a time, and first those that need most room.
+        self.frequency = _frequency(np.maximum(np.arange(int(self.count.max(initial=0)) + 1), 1))  # by count
         n, size = len(self.ids), np.diff(self.offset)
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)
-        weight = np.empty(len(term), np.float32)
-        for lo in range(0, len(term), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            weight[part] = _frequency(self.count[part]) * self.idf[term[part]] / self.length[self.post[part]]
-        by = np.argsort(self.post, kind="stable")
-        self.row_term, self.row_weight = term[by], weight[by]
-        del by
+        blocks = -(-n // BLOCK)
         self.leader = np.full(len(self.terms), -1, np.int32)
         often = np.argsort(-size, kind="stable")[:LEADERS]
         self.leader[often] = np.arange(len(often))
-        blocks = -(-n // BLOCK)
-        self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
-        for t in often.tolist():
-            lo, hi = self.offset[t : t + 2]
-            self.dense[self.post[lo:hi], self.leader[t]] = weight[lo:hi]
-        self.peaks = self.dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else self.dense
         other = np.repeat(self.leader < 0, size)
-        self.block_post, self.weight, term = self.post[other], weight[other], term[other]
-        del weight, other
-        block = _small(self.block_post.astype(np.int32) // BLOCK)
+        self.block_post = self.post[other]
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.where(self.leader < 0, size, 0))
+        self.weight, at = np.empty(len(term), np.float32), 0
+        for lo in range(0, len(other), CHUNK):
+            some = lo + np.flatnonzero(other[lo : lo + CHUNK])
+            self.weight[at : at + len(some)] = self._weights(self.count[some], term[at : at + len(some)], self.post[some])
+            at += len(some)
+        del other
+        block = _small(np.floor_divide(self.block_post, BLOCK, dtype=np.int32))
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         first = np.flatnonzero(new)
-        self.entry_block, self.entry_post = block[first], np.append(first, len(term)).astype(np.int32)
+        del new
+        self.entry_block, self.entry_post = block[first], np.empty(len(first) + 1, np.int32)
+        self.entry_post[:-1], self.entry_post[-1] = first, len(term)
         self.entry_peak = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.term_entry = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int64)
-        del term, block, new, first
+        del term, block, first
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)
+        self.row_term, self.row_count = np.empty(len(term), np.int32), np.empty(len(term), self.count.dtype)
+        row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
+        row = 0
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(row_at, row_at[row] + CHUNK, "right")) - 1)
+            some = np.flatnonzero((self.post >= row) & (self.post < end))
+            some = some[np.argsort(self.post[some], kind="stable")]
+            part = slice(int(row_at[row]), int(row_at[end]))
+            self.row_term[part], self.row_count[part] = term[some], self.count[some]
+            row = end
+        del term
+        self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
+        for t in often.tolist():
+            part = slice(int(self.offset[t]), int(self.offset[t + 1]))
+            self.dense[self.post[part], self.leader[t]] = self._weights(self.count[part], t, self.post[part])
+        self.peaks = self.dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else self.dense
         self.query = np.zeros(len(self.terms))  # a query's weights by term, all 0 between queries
-        self.row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
+        self.row_at = row_at
+        give_back()
         return self
 
+    def alone(self) -> Index:
+        """The index in a worker, which sends it nowhere: with its derived parts, without the
+        postings that they repeat."""
+        self.ready().post = self.count = None
+        return self
+
+    def _weights(self, n: np.ndarray, term: np.ndarray | int, row: np.ndarray) -> np.ndarray:
+        """Weights of terms that rows hold n times."""
+        return (self.frequency[n] * self.idf[term] / self.length[row]).astype(np.float32)
+
+    @property
+    def row_weight(self) -> np.ndarray:
+        """Weights in the order of ``row_term``."""
+        return self._weights(self.row_count, self.row_term, np.repeat(np.arange(len(self.ids)), np.diff(self.row_at)))
+
     def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of hashed terms and counts: (term numbers, weights of the examples'
         terms); empty if there are none."""
@@ -380,7 +411,9 @@ class Index:
         lo, hi = self.row_at[rows], self.row_at[rows + 1]
         place = _ranges(lo, hi)
         self.query[t] = w
-        out = np.add.reduceat(self.query[self.row_term[place]] * self.row_weight[place], np.cumsum(hi - lo) - (hi - lo))
+        term = self.row_term[place]
+        weight = self._weights(self.row_count[place], term, np.repeat(rows, hi - lo))
+        out = np.add.reduceat(self.query[term] * weight, np.cumsum(hi - lo) - (hi - lo))
         self.query[t] = 0.0
         return out
 
@@ -521,7 +554,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x[k] for x in c]) if c else np.zeros(0, np.int64), kind)) for k, kind in ((0, pa.int64()), (1, pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "y", "terms", "n"])
 
-    seen = rows.join(pick, "id").select("id", "y", "text").mapInArrow(listed, "id long, y int, terms array<long>, n array<int>")
+    seen = rows.join(pick, "id").select("id", "y", "text").mapInArrow(tidy(listed), "id long, y int, terms array<long>, n array<int>")
     run = Window.orderBy(F.xxhash64("id"), "id", F.xxhash64("terms", "n")).rowsBetween(Window.unboundedPreceding, 0)  # sizes of at most max_examples ids
     seen = stored(seen.withColumn("key", F.xxhash64("terms", "n")), "terms")
     upto = seen.select("id", "key", F.sum(F.size("terms").cast("long")).over(run).alias("held")).where(F.col("held") <= MAX_POSTINGS)
@@ -553,7 +586,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(n, total[some]))], ["t", "n"])
 
-    found = rows.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
+    found = rows.select("text").mapInArrow(tidy(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples
     df, n_docs, at = np.zeros(len(names)), 0, found["t"].to_numpy()
     if len(at):
         df[at[at >= 0]] = found["n"].to_numpy()[at >= 0]
@@ -564,7 +597,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     index.sent = model = spark.sparkContext.broadcast(index)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = model.value
+        ix = model.value.alone()
         at = {i: r for r, i in enumerate(ix.ids.tolist())}
         for b in batches:
             out = []
@@ -575,7 +608,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
                 out += [(ix.vote(*f), float(v)) for f, v in zip(found, y.to_pylist()) if len(f[0])]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in (0, 1)], ["vote", "y"])
 
-    voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(votes, "vote double, y double").toPandas()  # at most a row per example
+    voted = seen.select("id", "y", "terms", "n").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(tidy(votes), "vote double, y double").toPandas()  # at most a row per example
     voted = voted.sort_values(["vote", "y"])
     if len(voted):
         index.knots = _rising(voted["vote"].to_numpy(), voted["y"].to_numpy())
@@ -587,22 +620,27 @@ def judge(docs: DataFrame, index: Index, text: str = "text") -> Column:
     model = index.sent or docs.sparkSession.sparkContext.broadcast(index)
     knots = index.knots  # fitted after the index was sent
 
-    @pandas_udf("score double, evidence array<long>, cosines array<double>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ix = model.value
+    @arrow_udf("score double, evidence array<long>, cosines array<double>")
+    @tidy
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ix = model.value.alone()
         ix.knots = knots
         known: dict[bytes, tuple] = {}  # scores of this task's texts, for copies
         for s in batches:
-            keys = [xxhash.xxh3_128_digest(t or "") for t in s]
-            fresh = {k: t for k, t in zip(keys, s) if k not in known}
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = dict(zip(keys, s))
-            for lo in range(0, len(fresh), TOGETHER):
-                part = list(fresh)[lo : lo + TOGETHER]
-                known.update(zip(part, ix.score([fresh[k] for k in part])))
-            got = [known[k] for k in keys]
-            yield pd.DataFrame({"score": [g[0] for g in got], "evidence": [ix.ids[g[1]].tolist() for g in got], "cosines": [g[2].tolist() for g in got]})
+            got = []
+            for lo in range(0, len(s), SLICE):  # so that few texts are Python strings at once
+                texts = s.slice(lo, SLICE).to_pylist()
+                keys = [xxhash.xxh3_128_digest(t or "") for t in texts]
+                fresh = {k: t for k, t in zip(keys, texts) if k not in known}
+                if len(known) + len(fresh) > REMEMBERED:
+                    known.clear()
+                    fresh = dict(zip(keys, texts))
+                for at in range(0, len(fresh), TOGETHER):
+                    part = list(fresh)[at : at + TOGETHER]
+                    known.update(zip(part, ix.score([fresh[k] for k in part])))
+                got += [known[k] for k in keys]
+            lists = [pa.array([x.tolist() for x in c], pa.list_(kind)) for c, kind in (([ix.ids[g[1]] for g in got], pa.int64()), ([g[2] for g in got], pa.float64()))]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), *lists], ["score", "evidence", "cosines"])
 
     return scored(F.col(text))
 
