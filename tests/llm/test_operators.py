@@ -3,6 +3,7 @@ and very long texts, ties, repeated rows, empty tables and clashing column names
 
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -648,3 +649,24 @@ def test_plain_lines_are_cut_at_spaces(monkeypatch):
             assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)
     for t in ("a  b", "a \nb", "a\n b", "a\n\nb", " a", "a\n", "a\tb c", "a b c d", "a\r\nb c", "\n", " "):
         assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 50])
+def test_index_is_made_in_small_steps(monkeypatch, chunk):
+    n, m, v = (300, 4000, 20_000) if chunk > 50 else (40, 30, 60)
+    rng = np.random.default_rng(4)
+    row = np.repeat(toxicity._small(np.arange(n)), m)
+    term = np.concatenate([np.sort(rng.choice(v, m, replace=False)).astype(np.int32) for _ in range(n)])
+    count = rng.integers(1, 300, len(term)).astype(np.uint16)
+    toxic = rng.integers(0, 2, n)
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    tracemalloc.start()
+    ix = toxicity._index(np.arange(n), toxic, row, term, count, np.arange(v), rng.integers(1, 99, v).astype(float), 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = np.empty(n, np.int64)
+    place[ix.ids] = np.arange(n)
+    by = np.lexsort((place[row], term))
+    assert (ix.post == place[row][by]).all() and (ix.count == count[by]).all()
+    assert (ix.offset == np.concatenate([[0], np.cumsum(np.bincount(term, minlength=v))])).all()
+    assert peak < 14 * len(term) or chunk == 50  # 8 bytes of a posting for its place alone, if all are sorted at once

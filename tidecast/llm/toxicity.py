@@ -61,8 +61,8 @@ FIRST = 2
 STRIP = 64
 ROUNDING = 1e-4  # more than sums of 32-bit products are off
 EVIDENCE = 3
-#: Postings that the driver works on at a time.
-CHUNK = 1 << 20
+#: Postings, and rows of the commonest terms, that the driver works on at a time.
+CHUNK, FEW = 1 << 20, 1 << 11
 #: Most distinct terms of all examples together, each counted once an example.
 MAX_POSTINGS = 6_000_000
 #: Commonest terms, and groups of examples by them, that order the index.
@@ -492,8 +492,10 @@ def _order(row: np.ndarray, term: np.ndarray, size: np.ndarray, leader: np.ndarr
             unit = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
             group = np.argmax(held @ unit.T, axis=1)
             for g in range(GROUPS):
-                if (group == g).any():
-                    centre[g] = held[group == g].mean(axis=0)
+                some = np.flatnonzero(group == g)
+                if len(some):
+                    total = sum(held[some[lo : lo + FEW]].sum(axis=0) for lo in range(0, len(some), FEW))  # whole numbers
+                    centre[g] = total / np.float32(len(some))
     return np.lexsort((np.arange(len(size)), size, group))
 
 
@@ -504,12 +506,16 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, names: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
     """From the examples' (id, toxic) and their (row, term, count)."""
-    b = np.bincount(term, minlength=len(names))
-    a = np.bincount(term[toxic.astype(bool)[row]], minlength=len(names))
+    # The driver holds few arrays of all postings at once.
+    a, b = np.zeros((2, len(names)), np.int64)
+    for lo in range(0, len(term), CHUNK):
+        part = slice(lo, lo + CHUNK)
+        b += np.bincount(term[part], minlength=len(names))
+        a += np.bincount(term[part][toxic.astype(bool)[row[part]]], minlength=len(names))
     b -= a
     idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * relevance(a, b, int(toxic.sum()), int((1 - toxic).sum()))
     length = np.zeros(len(ids))
-    for lo in range(0, len(term), CHUNK):  # the driver holds few arrays of all postings at once
+    for lo in range(0, len(term), CHUNK):
         part = slice(lo, lo + CHUNK)
         length += np.bincount(row[part], (_frequency(n[part]) * idf[term[part]]) ** 2, len(ids))
     length = np.sqrt(length)
@@ -524,11 +530,19 @@ def _index(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray
     order = order[full[order]]
     place = np.zeros(len(ids), np.int32)
     place[order] = np.arange(len(order))
-    post = _small(place)[row]
-    by = np.lexsort((post, term))
     offset = np.concatenate([[0], np.cumsum(a + b)])
+    place, n = _small(place), _small(n)
+    post, count = np.empty(len(term), place.dtype), np.empty(len(term), n.dtype)
+    first = 0
+    while first < len(names):  # by term and row, the postings of some terms at a time
+        last = max(first + 1, int(np.searchsorted(offset, offset[first] + CHUNK, "right")) - 1)
+        some = np.flatnonzero((term >= first) & (term < last))
+        some = some[np.lexsort((place[row[some]], term[some]))]
+        part = slice(int(offset[first]), int(offset[last]))
+        post[part], count[part] = place[row[some]], n[some]
+        first = last
     unseen = float(np.log((1.0 + n_docs) / 2.0) + 1.0)
-    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, post[by], _small(n[by]), base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    return Index(names, idf, unseen, ids[order], toxic[order].astype(np.float64), length[order], offset, post, count, base, blank, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
 
 # ------------------------------------------------------------------ Spark
@@ -559,20 +573,34 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     seen = stored(seen.withColumn("key", F.xxhash64("terms", "n")), "terms")
     upto = seen.select("id", "key", F.sum(F.size("terms").cast("long")).over(run).alias("held")).where(F.col("held") <= MAX_POSTINGS)
     seen = stored(seen.join(F.broadcast(upto.select("id", "key").distinct()), ["id", "key"]), "examples")
-    got = seen.select("id", "y", "terms", "n").orderBy("id", "key").toArrow()  # at most MAX_POSTINGS terms
-    ids, toxic = got["id"].to_numpy().astype(np.int64), got["y"].to_numpy().astype(np.int64)
-    lists = got["terms"].chunks
-    sizes = np.concatenate([np.zeros(0, np.int32), *[c.value_lengths().to_numpy(zero_copy_only=False) for c in lists]]).astype(np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in lists]])
-    counts = _small(np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in got["n"].chunks]]))
-    del got, lists
-    names = np.unique(flat)
-    term = np.empty(len(flat), np.int32)
-    for lo in range(0, len(flat), CHUNK):
-        term[lo : lo + CHUNK] = np.searchsorted(names, flat[lo : lo + CHUNK])
-    del flat
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column(0).flatten().to_numpy()))], ["term"])
+
+    names = np.sort(seen.select("terms").mapInArrow(tidy(distinct), "term long").distinct().toArrow()["term"].to_numpy())  # a row per term of the examples
     vocabulary = spark.sparkContext.broadcast(names)
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        for b in batches:
+            terms = [np.searchsorted(known, x.values.to_numpy()).astype("<i4").tobytes() for x in b.column(2)]
+            n = [_small(x.values.to_numpy()).tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.binary()), pa.array(n, pa.binary())], ["id", "y", "terms", "n"])
+
+    # At most MAX_POSTINGS terms, as numbers and a partition at a time.
+    ids, toxic, terms, counts = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+    for r in seen.select("id", "y", "terms", "n", "key").orderBy("id", "key").drop("key").mapInArrow(tidy(numbered), "id long, y int, terms binary, n binary").toLocalIterator():
+        ids.append(r["id"])
+        toxic.append(r["y"])
+        terms.append(np.frombuffer(r["terms"], "<i4"))
+        counts.append(np.frombuffer(r["n"], f"u{max(1, len(r['n']) // max(1, len(terms[-1])))}"))
+    ids, toxic = np.array(ids, np.int64), np.array(toxic, np.int64)
+    sizes = np.array([len(t) for t in terms[1:]], np.int64)
+    term, counts = np.concatenate(terms), np.concatenate(counts)
+    del terms
+    give_back()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         total, n = np.zeros(len(known), np.int64), 0
@@ -594,6 +622,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str =
     row = np.repeat(_small(np.arange(len(sizes))), sizes)
     index = _index(ids, toxic, row, term, counts, names, df, n_docs)
     del row, term, counts, found
+    give_back()
     index.sent = model = spark.sparkContext.broadcast(index)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
