@@ -406,6 +406,21 @@ def test_texts_that_share_an_id_keep_their_own_links(spark):
     assert {r.component_id for r in got.collect() if r.doc_id == 2} == {2}
 
 
+def test_join_sends_fragments_to_hubs_and_merges_only_copies(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(jaccard, "stored", lambda df, kind="step": made.setdefault(kind, []).append(common.stored(df, kind)) or made[kind][-1])
+    rows = near_copies(n=12)
+    rows += [(900 + i, rows[0][1]) for i in range(3)]  # copies of one text, in other partitions
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, rows).repartition(4), 3, 90).collect()}
+    assert got == groups_of(sets_of(rows, 3), 90)
+    again = {r.id for r in made["prefix"][-1].where("again").select("id").distinct().collect()}
+    copies = {r.id for r in made["copied"][0].collect()}
+    often = Counter(t for _, t in rows)
+    assert again and again <= copies == {i for i, t in rows if often[t] > 1}  # the others stand for themselves
+    sides = made["segments"][0].groupBy("id").agg(F.max(F.col("at_hub").cast("int")).alias("hub"), F.max(F.col("at_leaf").cast("int")).alias("leaf")).collect()
+    assert sum(r.hub and not r.leaf for r in sides) and sum(r.leaf and not r.hub for r in sides) > len(sides) / 2
+
+
 # ------------------------------------------------------------------ toxicity
 
 

@@ -130,9 +130,10 @@ def _order(profile: DataFrame) -> Order:
     return Order(counts)
 
 
-def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """(token, id, n, pos): the first n - ceil(t n) + 1 n-grams of each document in the global
-    order, without those that occur once in the corpus; of copies in a partition, one."""
+def _prefixes(docs: DataFrame, order, copied, k: int, percent: int) -> DataFrame:
+    """(token, id, n, pos, again): the first n - ceil(t n) + 1 n-grams of each document in the
+    global order, without those that occur once in the corpus; of copies in a partition, one.
+    again: the document may have copies, by the bit filter ``copied``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -150,13 +151,13 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                 pos = np.flatnonzero(shared[:p])
                 got.append((h[pos].view(np.int64), i, n, pos))
             if got:
-                m = [len(g[0]) for g in got]
+                m, own = [len(g[0]) for g in got], np.array([g[1] for g in got], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g[0] for g in got])), pa.array(np.repeat(np.array([g[1] for g in got], np.int64), m)), pa.array(np.repeat(np.array([g[2] for g in got], np.int32), m)), pa.array(np.concatenate([g[3] for g in got]).astype(np.int32))],
-                    ["token", "id", "n", "pos"],
+                    [pa.array(np.concatenate([g[0] for g in got])), pa.array(np.repeat(own, m)), pa.array(np.repeat(np.array([g[2] for g in got], np.int32), m)), pa.array(np.concatenate([g[3] for g in got]).astype(np.int32)), pa.array(np.repeat(in_filter(copied.value, own), m))],
+                    ["token", "id", "n", "pos", "again"],
                 )
 
-    return stored(docs.mapInArrow(tidy(run), "token long, id long, n int, pos int"), "prefix")
+    return stored(docs.mapInArrow(tidy(run), "token long, id long, n int, pos int, again boolean"), "prefix")
 
 
 def _least(percent: int, a: str, b: str) -> F.Column:
@@ -187,28 +188,41 @@ def _sharing(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold: overlaps per fragment, summed."""
+    """The pairs (a, b, na, nb) that reach the threshold: overlaps per fragment, summed.  Of a
+    pair the document with more pairs is the hub; the fragments of the other, the leaf, go to it."""
     pairs = stored(pairs, "pairs")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    degree = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d")), "degrees"))
+    pairs = pairs.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    pairs = stored(pairs.select("a", "b", "na", "nb", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf")), "pairs")
+    hubs, leaves = (docs.sparkSession.sparkContext.broadcast(bit_filter(pairs, c)) for c in ("hub", "leaf"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for b in batches:
-            b = b.filter(pa.array(in_filter(wanted.value, b.column(0).to_numpy(zero_copy_only=False))))
-            ids, frags, segs = [], [], []
-            for i, h in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k)):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            hub, leaf = in_filter(hubs.value, ids), in_filter(leaves.value, ids)
+            b = b.filter(pa.array(hub | leaf))
+            place, frags, segs = [], [], []
+
+            def made(hub=hub[hub | leaf], leaf=leaf[hub | leaf], ids=ids[hub | leaf]):
+                at = np.array(place, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(frags, pa.int32()), pa.array(segs, pa.binary()), pa.array(hub[at]), pa.array(leaf[at])], ["id", "f", "seg", "at_hub", "at_leaf"])
+
+            for i, h in enumerate(shingle_sets(b.column(1), k)):
                 h, f, _ = o.sort(h)
                 for x in np.unique(f):
-                    ids.append(i)
+                    place.append(i)
                     frags.append(x)
                     segs.append(np.sort(h[f == x]).tobytes())
-                if len(ids) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.binary())], ["id", "f", "seg"])
-                    ids, frags, segs = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.binary())], ["id", "f", "seg"])
+                if len(place) > 2000:
+                    yield made()
+                    place, frags, segs = [], [], []
+            yield made()
 
-    segs = stored(docs.mapInArrow(tidy(cut), "id long, f int, seg binary"), "segments")
-    both = pairs.join(segs.select(F.col("id").alias("a"), "f", F.col("seg").alias("sa")), "a").join(segs.select(F.col("id").alias("b"), "f", F.col("seg").alias("sb")), ["b", "f"])
+    segs = stored(docs.mapInArrow(tidy(cut), "id long, f int, seg binary, at_hub boolean, at_leaf boolean"), "segments")
+    sent = segs.where("at_leaf").select(F.col("id").alias("leaf"), "f", F.col("seg").alias("sa")).join(small(pairs), "leaf")
+    both = sent.join(segs.where("at_hub").select(F.col("id").alias("hub"), "f", F.col("seg").alias("sb")), ["hub", "f"])
 
     @pandas_udf("long")
     def shared(sa: pd.Series, sb: pd.Series) -> pd.Series:
@@ -226,10 +240,11 @@ def _links(docs: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> Da
     return stored(whole.where((100 * F.col("o")) >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b").distinct(), "links")
 
 
-def _members(nodes: DataFrame, prefix: DataFrame) -> DataFrame:
+def _members(copied: DataFrame, prefix: DataFrame) -> DataFrame:
     """(token, id, n, pos, s, r) of the n-grams that several prefixes hold, by class
     representative; s: how many a prefix has, r: which of them this is.  A bit filter drops the bulk of the prefixes, n-grams of one document,
-    before the exact join."""
+    before the exact join.  Only prefixes that may be of ``copied`` rows (id, rep) are sent to
+    their representatives and merged; the others stand for themselves."""
     shared = stored(prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
     bits = prefix.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
 
@@ -237,9 +252,12 @@ def _members(nodes: DataFrame, prefix: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_filter(bits.value, b.column(0).to_numpy())))
 
-    rep = nodes.where("digest is not null").select("id", "rep").distinct()
-    got = prefix.mapInArrow(tidy(some), "token long, id long, n int, pos int").join(shared, "token").join(rep, "id")
-    got = got.groupBy("rep", "token", "n").agg(F.min("pos").alias("pos")).withColumnRenamed("rep", "id")
+    def met(again: bool) -> DataFrame:
+        rows = prefix.where(F.col("again") == again).select("token", "id", "n", "pos")
+        return rows.mapInArrow(tidy(some), "token long, id long, n int, pos int").join(shared, "token")
+
+    merged = met(True).join(small(copied), "id", "left").withColumn("rep", F.coalesce("rep", "id")).groupBy("rep", "token", "n").agg(F.min("pos").alias("pos"))
+    got = met(False).unionByName(merged.withColumnRenamed("rep", "id"))
     own = Window.partitionBy("id")  # the shared n-grams of one prefix
     return stored(got.withColumn("s", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("pos", "token"))), "members")
 
@@ -250,18 +268,20 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     profile = _profile(docs, k)
     order = _order(profile)
     rows = profile.where("at is null").select("id", "n", "digest")
-    reps = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = stored(rows.join(reps, "digest", "left").select("id", "n", "digest", F.coalesce("rep", "id").alias("rep")), "nodes")
+    reps = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    nodes = stored(rows.join(reps, "digest", "left").select("id", "n", "digest", F.coalesce("rep", "id").alias("rep"), "copies"), "nodes")
+    copied = stored(nodes.where("copies > 1").select("id", "rep").distinct(), "copied")
+    again = spark.sparkContext.broadcast(bit_filter(copied, "id"))
 
     # The sketch cannot tell n-grams of a few dozen documents from single ones.  Those that a
     # first round of prefixes shows are put last too, and the prefixes made again; any fixed
     # order is exact, so the filter's false positives do no harm.
-    first = _prefixes(docs, spark.sparkContext.broadcast(order), k, percent)
+    first = _prefixes(docs, spark.sparkContext.broadcast(order), again, k, percent)
     often = stored(first.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= OFTEN).select("token"), "often")
     order.often = bit_filter(often, "token")
     order = spark.sparkContext.broadcast(order)
-    prefix = _prefixes(docs, order, k, percent)
-    members = _members(nodes, prefix)
+    prefix = _prefixes(docs, order, again, k, percent)
+    members = _members(copied, prefix)
     by = F.col("pos").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     centres = members.groupBy("token").agg(F.count("*").alias("m"), F.min_by("id", by).alias("yid"), F.min_by("n", by).alias("yn"), F.min_by("s", by).alias("ys")).where("m > 1")
     stars = members.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), F.col("s").alias("xs")).join(centres, "token").where("xid <> yid").where(F.least("xs", "ys") >= _least(percent, "xn", "yn"))
@@ -271,7 +291,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     # largest component with everything of another component.  Two prefixes that share c of
     # their s shared n-grams meet at one of the first s - c + 1 of both.
     comp = stored(components(links), "components")
-    placed = stored(members.join(comp, "id", "left").select("token", "id", "n", "s", "r", F.coalesce("component_id", "id").alias("comp")), "placed")
+    placed = stored(members.join(small(comp), "id", "left").select("token", "id", "n", "s", "r", F.coalesce("component_id", "id").alias("comp")), "placed")
     share = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.col("c")).alias("main")).where("comps > 1")
     open_ = placed.join(share.select("token", "main"), "token")
     x = open_.select("token", F.col("id").alias("xid"), F.col("n").alias("xn"), (F.col("s") - F.col("r") + 1).alias("xleft"), F.col("comp").alias("xcomp"), (F.col("comp") == F.col("main")).alias("xmain"))
