@@ -11,19 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from tidecast.llm import decontaminate, jaccard, language, packing, toxicity
 from tidecast.llm.common import stored, table
 
+#: Bytes of a batch of texts on its way to Python, which an executor holds in the JVM and in
+#: the worker, for each of its cores (Spark: 64 MB); units that a worker of the last stage remembers.
+BATCH, UNITS = 2 << 20, 200_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Small batches for this session from now on, unless it sets a size itself: a stage runs
+    only when its result is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score one half or more for toxicity."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents whose language is identified."""
+    _small_batches(spark)
     return language.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, Jaccard 0.8 or more."""
+    _small_batches(spark)
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
@@ -33,8 +48,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 token ids, one row per piece."""
-    return packing.pack(docs)
+    """Windows of 2048 token ids, one row per piece.  After the other stages the executors
+    have little memory to spare."""
+    _small_batches(spark)
+    return packing.pack(docs, remembered=UNITS)
 
 
 STAGES = [

@@ -685,3 +685,41 @@ def test_index_is_made_in_small_steps(monkeypatch, chunk):
     assert (ix.post == place[row][by]).all() and (ix.count == count[by]).all()
     assert (ix.offset == np.concatenate([[0], np.cumsum(np.bincount(term, minlength=v))])).all()
     assert peak < 14 * len(term) or chunk == 50  # 8 bytes of a posting for its place alone, if all are sorted at once
+
+
+def test_fewer_remembered_units_give_the_same_pieces(spark, docs):
+    ids = bpe.Ids(bpe.tokenizer_path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20)]
+    assert [ids.of(t, 60) for t in texts] == [ids.of(t) for t in texts]
+    ids.forget()
+    held = []
+    for t in texts:
+        ids.of(t, 60)
+        held.append(len(ids))
+    assert max(held) < 60 + 400
+    rows = docs.repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    assert sorted(map(tuple, packing.pack(rows, remembered=50).collect())) == sorted(map(tuple, packing.pack(rows).collect()))
+
+
+def test_index_is_derived_in_the_room_of_what_it_keeps(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 1 << 16)
+    rng = np.random.default_rng(6)
+    rows, words, each = 6000, 150_000, 500
+    term = np.concatenate([np.unique(rng.integers(0, words, each)) for _ in range(rows)]).astype(np.int32)
+    row = np.repeat(np.arange(rows, dtype=np.uint16), np.diff(np.flatnonzero(np.r_[True, np.diff(term) < 0, True])))
+    n = rng.integers(1, 5, len(term)).astype(np.uint8)
+    index = toxicity._index(np.arange(rows), (np.arange(rows) % 9 == 0).astype(np.int64), row, term, n, np.arange(words), np.bincount(term, minlength=words) * 2.0, 9000)
+    sent = toxicity.Index(**index.__getstate__())
+    tracemalloc.start()
+    try:
+        sent.ready()
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.1 * kept
+    some = toxicity._ranges(sent.entry_post[:-1], sent.entry_post[1:])
+    assert (some == np.arange(len(sent.weight))).all()
+    assert (sent.entry_peak == [sent.weight[i:j].max() for i, j in zip(sent.entry_post[:-1], sent.entry_post[1:])]).all()
+    held = np.where(sent.leader < 0, np.diff(sent.offset), 0)
+    assert (sent.entry_post[sent.term_entry] == np.concatenate([[0], np.cumsum(held)])).all()
+    assert (np.sort(sent.row_term, kind="stable") == np.repeat(np.arange(words), np.diff(sent.offset))).all()

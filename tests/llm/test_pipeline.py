@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -57,3 +58,31 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = common.table(spark, SF001, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF001).columns == docs.columns, name
+
+
+def test_stages_that_use_python_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = common.table(spark, SF001, "documents")
+    long = spark.range(0, 3000, 1, 1).selectExpr("repeat('0123456789', 500) as text")
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    own = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "benchmark_decontamination":  # DataFrame functions only
+                continue
+            spark.conf.unset(key)
+            stage(spark, docs.limit(0), SF001)
+            sizes = [r["size"] for r in long.mapInArrow(held, "size long").collect()]
+            assert len(sizes) > 5 and max(sizes) < 2 * corpus_pipeline.BATCH, name
+        spark.conf.set(key, "9m")  # the session's own size stays
+        corpus_pipeline.pack(spark, docs.limit(0), SF001)
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.unset(key)
+        if own is not None:
+            spark.conf.set(key, own)

@@ -119,11 +119,12 @@ class Ids(dict):
         out = self[unit] = self.made(unit)
         return out
 
-    def of(self, text: str | None) -> bytes:
-        """Ids of a whole text (null: none), packed."""
+    def of(self, text: str | None, most: int = REMEMBERED) -> bytes:
+        """Ids of a whole text (null: none), packed; before it, a memory of more than ``most``
+        units is emptied."""
         if not text:
             return b""
-        if len(self) + len(self.after) > REMEMBERED:
+        if len(self) + len(self.after) > most:
             self.forget()
         # Separators on whose class the two regex engines differ, and special strings: the
         # library splits at these first, so the white space before one ends a segment.

@@ -3,6 +3,7 @@ bit filters and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -77,6 +78,21 @@ def give_back() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def returned_at_once() -> Iterator[None]:
+    """While this is open, the system gets back arrays from 256 KB on as soon as they are freed
+    (where its C library can); else they leave holes between the arrays that stay."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    threshold = -3  # M_MMAP_THRESHOLD
+    if tune:
+        tune(threshold, 1 << 18)
+    try:
+        yield
+    finally:
+        if tune:
+            tune(threshold, 1 << 25)  # where it gets by itself when such arrays are freed
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``work`` over the batches of a task, after which its worker gives freed memory back.
     Workers outlive their tasks, and the idle ones share an executor's memory."""

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Ids, tokenizer_path
-from .common import stored, tidy
+from .bpe import REMEMBERED, Ids, tokenizer_path
+from .common import give_back, stored, tidy
 
 WINDOW = 2048
 OPEN = 64
@@ -98,14 +98,17 @@ def _refill(pieces: list[Piece], window: int) -> Iterator[list[Piece]]:
         yield now
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, open_windows: int = OPEN, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, open_windows: int = OPEN, text: str = "text", id_col: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start (the document's ids before it), length, ids_crc32,
-    doc_tokens (with the end id), sequence_id, offset (in its sequence, gapless from 0)."""
+    doc_tokens (with the end id), sequence_id, offset (in its sequence, gapless from 0).
+    A worker remembers the ids of about ``remembered`` units: fewer take less memory and more
+    time, and give the same ids."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()  # what the worker held for other work, broadcasts that Spark has just dropped
         part = TaskContext.get().partitionId()
         encode, packer, made = Ids.load(tokenizer_path(tokenizer)), Packer(window, open_windows), 0
 
@@ -115,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
         rows: list[tuple] = []
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for w in packer.add(doc_id, encode.of(t.as_py()) + end):
+                for w in packer.add(doc_id, encode.of(t.as_py(), remembered) + end):
                     rows += _rows(w, (part << 36) + made)
                     made += 1
             yield batch(rows)

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import BROADCAST_ROWS, give_back, mix64, stored, temp_name, tidy
+from .common import BROADCAST_ROWS, give_back, mix64, returned_at_once, stored, temp_name, tidy
 from .shingles import powers
 
 MAX_EXAMPLES = 20_000
@@ -229,8 +229,13 @@ class Index:
 
     def ready(self) -> Index:
         """The index with its derived parts."""
-        if self.row_at is not None:
-            return self
+        if self.row_at is None:
+            with returned_at_once():
+                self._derive()
+            give_back()
+        return self
+
+    def _derive(self) -> None:
         # Every worker makes these parts: CHUNK postings at a time, and first those that need most room.
         self.frequency = _frequency(np.maximum(np.arange(int(self.count.max(initial=0)) + 1), 1))  # by count
         n, size = len(self.ids), np.diff(self.offset)
@@ -250,25 +255,32 @@ class Index:
         block = _small(np.floor_divide(self.block_post, BLOCK, dtype=np.int32))
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        del new
-        self.entry_block, self.entry_post = block[first], np.empty(len(first) + 1, np.int32)
-        self.entry_post[:-1], self.entry_post[-1] = first, len(term)
-        self.entry_peak = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.term_entry = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int64)
-        del term, block, first
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)
-        self.row_term, self.row_count = np.empty(len(term), np.int32), np.empty(len(term), self.count.dtype)
-        row_at = np.concatenate([[0], np.cumsum(np.bincount(self.post, minlength=n))])
+        del term
+        entries, at = int(np.count_nonzero(new)), 0
+        self.entry_block, self.entry_post, self.entry_peak = np.empty(entries, block.dtype), np.empty(entries + 1, np.int32), np.empty(entries, np.float32)
+        self.entry_post[-1] = len(new)
+        for lo in range(0, len(new), CHUNK):
+            first = np.flatnonzero(new[lo : lo + CHUNK]) + lo
+            self.entry_post[at : at + len(first)], self.entry_block[at : at + len(first)] = first, block[first]
+            at += len(first)
+        for lo in range(0, entries, CHUNK):
+            edge = self.entry_post[lo : lo + CHUNK + 1]
+            self.entry_peak[lo : lo + CHUNK] = np.maximum.reduceat(self.weight[edge[0] : edge[-1]], edge[:-1] - edge[0])
+        held = np.concatenate([[0], np.cumsum(np.where(self.leader < 0, size, 0))]).astype(np.int32)
+        self.term_entry = np.searchsorted(self.entry_post[:-1], held).astype(np.int64)
+        del new, block
+        self.row_term, self.row_count = np.empty(len(self.post), np.int32), np.empty(len(self.post), self.count.dtype)
+        held = sum((np.bincount(self.post[lo : lo + CHUNK], minlength=n) for lo in range(0, len(self.post), CHUNK)), np.zeros(n, np.int64))
+        row_at = np.concatenate([[0], np.cumsum(held)])
         row = 0
         while row < n:
             end = max(row + 1, int(np.searchsorted(row_at, row_at[row] + CHUNK, "right")) - 1)
             some = np.flatnonzero((self.post >= row) & (self.post < end))
-            some = some[np.argsort(self.post[some], kind="stable")]
+            term = np.searchsorted(self.offset, some, "right") - 1  # ascending, as some is
+            by = np.argsort(self.post[some], kind="stable")
             part = slice(int(row_at[row]), int(row_at[end]))
-            self.row_term[part], self.row_count[part] = term[some], self.count[some]
+            self.row_term[part], self.row_count[part] = term[by], self.count[some[by]]
             row = end
-        del term
         self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
         for t in often.tolist():
             part = slice(int(self.offset[t]), int(self.offset[t + 1]))
@@ -276,8 +288,6 @@ class Index:
         self.peaks = self.dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else self.dense
         self.query = np.zeros(len(self.terms))  # a query's weights by term, all 0 between queries
         self.row_at = row_at
-        give_back()
-        return self
 
     def alone(self) -> Index:
         """The index in a worker, which sends it nowhere: with its derived parts, without the
